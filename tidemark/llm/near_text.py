@@ -189,7 +189,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     members = stored(buckets.join(chosen, "bucket", "left_semi").distinct(), "members")
     needed = members.select("doc_id").distinct()
     rows = reps.select("doc_id", "sketch").join(needed, "doc_id", "left_semi")
-    sets = source.join(needed, "doc_id", "left_semi").mapInArrow(_set_rows, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+    # One plan at every size: the needed ids grow with the corpus, so they are never broadcast.
+    sets = source.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(_set_rows, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
     payload = rows.join(sets, "doc_id")
     pairs = in_blocks(members, "bucket", "doc_id", BLOCK_ROWS).join(payload, "doc_id")
     links = pairs.groupBy("bucket", "lo", "hi").applyInArrow(_compare(threshold), "a long, b long")
