@@ -1,13 +1,46 @@
-"""The corpus pipeline: quality classifier, quality rules, near-duplicates, personal data, packing."""
+"""The corpus pipeline: quality classifier, quality rules, near-duplicates, personal data, packing.
+
+Every stage takes (spark, docs, sf_dir), works on all rows its predecessor
+kept, and returns the columns of ``documents``; the last returns pieces of
+packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import near_text, packing, personal, quality, rules
 from tidemark.llm.common import stored, table
+from tidemark.llm.queries import tokenizer
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier accepts."""
+    return quality.accepted(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the default rule policy."""
+    return rules.accepted(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose five-word shingles agree by 0.8 or more."""
+    return near_text.representatives(docs, 80)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their personal data replaced by its kind."""
+    return personal.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2048 tokens."""
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"))
+
 
-STAGES: list = []
-#: Compression, sketches, a neural tagger and tokenizers are beyond SQL; see tests/llm.
+STAGES = [("quality-classifier", quality_classifier), ("quality-rules", quality_rules), ("near-duplicates", near_duplicates), ("personal-data", personal_data), ("packing", packed)]
+#: Compression, sketches, a neural tagger and tokenizers are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

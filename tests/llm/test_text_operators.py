@@ -1,0 +1,381 @@
+"""The text operators against brute force, libraries and edge cases."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from tests_llm_helpers import brute_near, brute_rules, low, words
+
+from tidemark.llm import bpe, extraction, language_model, near_text, near_vectors, packing, personal, queries, rules, tagger, warc
+
+ODD = [
+    (1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "one two three four five"), (5, "one two three four five"), (6, "ONE two three four five"), (7, "naïve word  don't  stop<|endoftext|>now\x1cthen\x85end 𝔘𝔫𝔦 é"),
+    (8, "a " * 4000), (9, "x" * 30000), (10, "mail a.b+c@d-e.org, 1.2.3.4 and 4111 1111-1111 1111; +1 (212) 555-0100 300.1.1.1"), (None, "no id here at all but words"), (11, "line\nline\nother line\n\nline"),
+]
+
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r["doc_id"], r["text"]) for r in docs.collect()]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    frame = spark.createDataFrame([(i, t, "x", 1.0) for i, t in ODD], "doc_id long, text string, digest string, bucket double")
+    return frame.withColumnRenamed("bucket", "_n")
+
+
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string")
+
+
+# 2: BPE
+
+
+def library_ids(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer("byte_bpe_50k.json"))
+    return [(e.ids, t.decode(e.ids, skip_special_tokens=False)) for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_bpe_equals_library(spark, rows, odd):
+    texts = [t or "" for _, t in rows[:120]] + [t or "" for _, t in ODD] + ["  lead", "tail  ", "\n\n x\r\n", "I'll we've 12345 ٣٤  z", "<|endoftext|>", "a<|endoftext|><|endoftext|> b"]
+    voc = bpe.Vocabulary(queries.tokenizer("byte_bpe_50k.json"))
+    for text, (ids, back), mine in zip(texts, library_ids(texts), voc.encode(texts), strict=True):
+        assert mine.tolist() == ids, text[:80]
+        assert voc.decode(mine) == back
+    path = queries.tokenizer("byte_bpe_50k.json")
+    assert voc.decode(np.array([0xE2], np.int32)) == library_decode([0xE2])
+    ids = bpe.encode(odd, path)
+    assert Counter(r["text"] for r in bpe.decode(ids, path).collect()) == Counter(t or "" for _, t in ODD)
+    assert bpe.round_trip(empty(spark), path).count() == 0
+
+
+def library_decode(ids):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(queries.tokenizer("byte_bpe_50k.json")).decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_query_digests(spark, sf, rows):
+    texts = dict(rows)
+    found = queries.op2_bpe(spark, sf).collect()
+    assert len(found) == len(rows)
+    for r, (ids, back) in zip(found, library_ids([texts[r["doc_id"]] or "" for r in found]), strict=True):
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+
+
+# 3: personal data
+
+
+def brute_base(text):
+    spans = []
+    for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m.group() if c in "0123456789"]
+            luhn = sum(d if k % 2 == 0 else (d * 2 - 9 if d > 4 else d * 2) for k, d in enumerate(digits[::-1])) % 10 == 0
+            if kind == "email" or (kind == "ip" and all(int(p) <= 255 for p in m.group().split("."))) or (kind == "card" and 16 <= len(digits) <= 19 and luhn) or (kind == "phone" and 8 <= len(digits) <= 15):
+                spans.append((kind, *m.span()))
+    return spans
+
+
+def test_base_spans_equal_patterns(rows):
+    tricky = ["a@b a@b.c@d.e", "x@@y.z", "..@a-b.c.d-", "1.2.3.4.5.6.7.8.9", "01.002.0003.255 256.1.1.1", "4111111111111111", "4111 1111 1111 1112 4111-1111-1111-1111", "+1 (212) 555-0100 +49-30 1234567 .", "+12 +1234567", "é@x.y ü+a@b.co.uk.", "12  34", "@a.b", "a@b.c@d.e"]
+    for text in [t for _, t in rows if t] + tricky + [t for _, t in ODD if t]:
+        mine = [(k, *s) for k in personal.BASE_KINDS for s in personal.base_spans(text)[k]]
+        assert mine == brute_base(text), text[:100]
+
+
+def test_tagger_gradient():
+    rng = np.random.default_rng(0)
+    m = {k: v.astype(np.float64) for k, v in tagger.new_model(5).items()}
+    chars, tags = rng.integers(0, tagger.N_CLASSES, (2, 7)), rng.integers(0, 5, (2, 7))
+    _, g = tagger._gradient(m, chars, tags)
+    for k, v in m.items():
+        at = tuple(rng.integers(0, n) for n in v.shape) if k != "embed" else (int(chars[0, 3]), 2)
+        keep, step = v[at], 1e-3
+        v[at] = keep + step
+        up, _ = tagger._gradient(m, chars, tags)
+        v[at] = keep - step
+        down, _ = tagger._gradient(m, chars, tags)
+        v[at] = keep
+        assert abs((up - down) / (2 * step) - g[k][at]) < 2e-3, k
+
+
+def test_personal_data(spark, odd):
+    secrets = [(100 + k, f"thing {k} word password={hashlib.md5(str(k).encode()).hexdigest()[:18]} other words and AKIA{hashlib.md5(b'x%d' % k).hexdigest()[:16].upper()} or user{k}@site.example.com end of it") for k in range(300)]
+    train = spark.createDataFrame(secrets, "doc_id long, text string")
+    model = personal.fit(train)
+    new = [(k, f"other text {k} password={hashlib.md5(b'q%d' % k).hexdigest()[:18]} follows here") for k in range(60)]
+    found = personal.find(spark.createDataFrame(new, "doc_id long, text string"), model).collect()
+    hit = sum("secret:" in r["spans"] for r in found)
+    assert hit >= 50
+    clean = personal.redact(spark.createDataFrame([(1, "write to a@b.org or b@c.org, 1.2.3.4!", 9), (2, None, 9)], "doc_id long, text string, n_chars long"), model).orderBy("doc_id").collect()
+    assert clean[0]["text"].startswith("write to [EMAIL] or [EMAIL], [IP]") and clean[0]["n_chars"] == len(clean[0]["text"])
+    assert clean[1]["text"] is None
+    assert personal.find(odd, model).count() == len(ODD)
+    assert personal.fit(empty(spark)) is None
+    assert personal.find(empty(spark)).count() == 0
+    assert personal.find(spark.createDataFrame([(1, "no cues")], "doc_id long, text string")).first()["spans"] == ""
+
+
+# 4: rules
+
+
+
+def test_rules(spark, docs, odd, rows):
+    for frame, expected in ((docs, rows), (odd, ODD)):
+        want = Counter((i, *brute_rules(t)) for i, t in expected)
+        got = rules.judged(frame).collect()
+        assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got) == want
+    assert rules.judged(empty(spark)).count() == 0
+    book = rules.ledger(docs)
+    kept = {p: book.where(rules.passes(p)).count() for p in rules.POLICIES}
+    assert kept["base"] >= kept["v1"] >= kept["v2"] >= kept["strict"]
+    for r in rules.ablations(book, "v2").collect():
+        assert r["kept_without"] == kept["v2"] + r["failing_alone"]
+
+
+def test_rules_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    mine = queries.op4_quality_rules(spark, sf)
+    want = con.execute(f"SELECT {', '.join(mine.columns)} FROM ({queries.ORACLES['op4_quality_rules']})").fetchall()
+    assert Counter(map(tuple, mine.collect())) == Counter(map(tuple, want))
+
+
+# 5: embeddings
+
+
+def brute_links(vectors, cosine):
+    n = len(vectors)
+    ok = [v is not None and label is not None and all(x is not None and math.isfinite(x) for x in v) and any(v) for _, v, label in vectors]
+    links, up = [0] * n, list(range(n))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(n):
+        for j in range(i):
+            if ok[i] and ok[j] and vectors[i][2] == vectors[j][2] and len(vectors[i][1]) == len(vectors[j][1]):
+                a, b = np.array(vectors[i][1], float), np.array(vectors[j][1], float)
+                if a @ b / math.sqrt(a @ a) / math.sqrt(b @ b) >= cosine:
+                    links[i] += 1
+                    links[j] += 1
+                    up[root(i)] = root(j)
+    low = {}
+    for i in range(n):
+        low[root(i)] = min(low.get(root(i), 1 << 60), vectors[i][0])
+    return {vectors[i][0]: (links[i], low[root(i)]) for i in range(n)}
+
+
+def test_vectors(spark, sf, monkeypatch):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(40, 16))
+    vectors = [(k, (base[k % 40] + rng.normal(size=16) * 0.08 * (k % 3)).tolist(), k % 2) for k in range(600)]
+    vectors += [(1000 + k, base[0].tolist(), 0) for k in range(30)]
+    vectors += [(2000, None, 1), (2001, [0.0] * 16, 1), (2002, [float("nan")] * 16, 1), (2003, base[1].tolist(), None), (2004, [1.0, None], 1), (2005, [1.0, 2.0], 1), (2006, [2.0, 4.0], 1), (2007, [], 1)]
+    frame = spark.createDataFrame([(i, v, c, 0) for i, v, c in vectors], "vec_id long, embedding array<double>, label int, n int")
+    want = brute_links(vectors, 0.98)
+    for leaf, block in ((192, 768), (16, 8)):
+        monkeypatch.setattr(near_vectors, "LEAF_ROWS", leaf)
+        monkeypatch.setattr(near_vectors, "BLOCK_ROWS", block)
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors.near_duplicates(frame).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[i][0] <= want[i][0] for i in want)  # nothing below the threshold links
+        assert sum(x for x, _ in got.values()) >= 0.99 * sum(x for x, _ in want.values())
+        assert sum(got[i][1] == want[i][1] for i in want) >= 0.99 * len(want)
+    real = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in queries.op5_embedding_dedup(spark, sf).collect()}
+    assert got == brute_links(real, 0.98)
+    assert near_vectors.near_duplicates(spark.createDataFrame([], frame.schema)).count() == 0
+
+
+# 6: WARC
+
+
+def test_warc(spark, sf, tmp_path):
+    pages = [(1, "u1", "same"), (2, "u2", "same"), (3, None, "other é"), (4, "u\n4", None), (5, "u5", ""), (6, "u6", "x" * 50000), (7, "u7", "same"), (7, "u7", "same"), (None, "u8", "other é")]
+    frame = spark.createDataFrame([(*p, "z") for p in pages], "page_id long, url string, html string, first string")
+    got = warc.archived(frame, f"file://{tmp_path}/a").collect()
+    assert Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in got) == Counter([(1, "revisit", 7), (2, "revisit", 7), (3, "response", None), (4, "revisit", 5), (5, "response", None), (6, "response", None), (7, "response", None), (7, "response", None), (None, "revisit", 3)])
+    assert {r["html"] for r in got if r["page_id"] == 6} == {"x" * 50000}
+    small = warc.archived(frame, f"file://{tmp_path}/b", min_bytes=5).collect()
+    assert Counter(r["record_type"] for r in small) == Counter(response=8, revisit=1)
+    real = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    for r in queries.op6_warc(spark, sf).collect():
+        body = real[r["page_id"]].encode()
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(body), warc.payload_digest(body))
+    files = sorted((tmp_path / "a").glob("*.warc.zst"))
+    assert files and all(f.read_bytes()[:4] == b"\x5d\x2a\x4d\x18" for f in files)
+    assert warc.archived(frame.limit(0), f"file://{tmp_path}/c").count() == 0
+
+
+# 7: near-duplicates
+
+
+
+def near(frame):
+    return Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_text.near_duplicates(frame).collect())
+
+
+def test_near_text(spark, docs, rows, odd, monkeypatch):
+    assert near(odd) == brute_near(ODD)
+    assert near(docs) == brute_near(rows)
+    rng = np.random.default_rng(4)
+    family, base = [], [f"w{k}" for k in range(140)]
+    for k in range(150):  # a group of near copies at many distances
+        w = list(base)
+        for p in rng.choice(140, int(k % 12), replace=False):
+            w[p] = f"v{rng.integers(1 << 30)}"
+        family.append((k, " ".join(w)))
+    family += [(500 + k, f"only {k} some short text of {k} words here") for k in range(20)] + [(900 + k, " ".join(base)) for k in range(25)]
+    monkeypatch.setattr(near_text, "BLOCK_ROWS", 32)
+    assert near(spark.createDataFrame(family, "doc_id long, text string")) == brute_near(family)
+    assert near_text.near_duplicates(empty(spark)).count() == 0
+
+
+def test_estimate_is_unbiased():
+    rng = np.random.default_rng(2)
+    for j in (0.3, 0.6, 0.85, 0.95):
+        n = 2000
+        both = int(n * 2 * j / (1 + j))
+        values = rng.integers(0, 1 << 63, 3 * n, dtype=np.uint64) * np.uint64(2)
+        a, b = np.sort(values[:n]), np.sort(np.concatenate([values[:both], values[n : 2 * n - both]]))
+        s = near_text.sketches(np.repeat([0, 1], n), np.concatenate([a, b]), 2)
+        assert abs(near_text.estimate(s[:1], s[1:])[0, 0] - j) < 0.13
+
+
+# 8: extraction
+
+
+def test_extraction(spark, sf):
+    page = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body><div id="cookie-notice"><p>We use cookies, really, many cookies.</p></div>
+    <header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></li></ul></nav><div class="layout"><main><article><h1>Head &amp; line</h1><p>First   para, with <b>bold</b>
+    and <a href=x>a link</a>.<p>Second one, &eacute;t&eacute;<br>next line, more of it.</p><div class="ad-slot">Buy now</div><ul><li>Item one, yes</li><li>Item two</li></ul><script>var a="<p>no</p>";</script>
+    <form><label>Mail</label><input name=a></form><blockquote>Quoted, text.</blockquote></article><section id="comments"><p>Reader says, hello, this is bad.</p></section></main>
+    <aside><p>Read also, these, things.</p></aside></div><footer>&copy; us</footer></body></html>"""
+    assert extraction.extract(page) == "Head & line\nFirst para, with bold and a link.\nSecond one, été next line, more of it.\nItem one, yes\nItem two\nQuoted, text."
+    assert extraction.extract("") == "" and extraction.extract("<<<>") is not None
+    assert extraction.extract("<div>" * 5000 + "deep text, here") == "deep text, here"
+    frame = spark.createDataFrame([(1, "u", None), (2, None, "<p>x</p>"), (2, None, "<p>x</p>"), (None, "u", "")], "page_id long, url string, html string")
+    assert Counter((r["page_id"], r["text"], r["n_chars"]) for r in extraction.extracted(frame).collect()) == Counter({(1, "", 0): 1, (2, "x", 1): 2, (None, "", 0): 1})
+    for r in queries.op8_html(spark, sf).collect():
+        assert r["n_chars"] == len(r["text"]) > 0
+
+
+def test_extraction_of_real_pages(spark, sf):
+    import html
+
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        inner = re.search(r"<article>(.*?)</article>", r["html"], re.S).group(1)
+        blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[a-z/][^>]*>", "", x))).strip() for x in re.split(r"</?(?:p|h1)>", inner)]
+        assert extraction.extract(r["html"]) == "\n".join(x for x in blocks if x)
+
+
+# 9: packing
+
+
+def check_pieces(pieces, ids_of, limit):
+    by_doc, by_sequence = {}, {}
+    for p in pieces:
+        by_doc.setdefault(p["doc_id"], []).append(p)
+        by_sequence.setdefault(p["sequence_id"], []).append(p)
+    assert by_doc.keys() == ids_of.keys()
+    for d, parts in by_doc.items():
+        at = 0
+        for p in sorted(parts, key=lambda p: p["start"]):
+            assert p["start"] == at and p["length"] > 0 and p["doc_tokens"] == len(ids_of[d])
+            assert p["ids_crc32"] == zlib.crc32(np.array(ids_of[d][at : at + p["length"]], "<u4").tobytes())
+            at += p["length"]
+        assert at == len(ids_of[d])
+    padding = total = 0
+    for parts in by_sequence.values():
+        at = 0
+        for p in sorted(parts, key=lambda p: p["offset"]):
+            assert p["offset"] == at
+            at += p["length"]
+        assert at <= 2048
+        padding += 0 if at & (at - 1) == 0 else 2048 - at
+        total += at
+    assert padding <= limit * total
+    return padding / total
+
+
+def test_packing(spark, sf, rows, odd):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    ids = {i: t.encode(x or "", add_special_tokens=False).ids + [1] for i, x in rows}
+    check_pieces(queries.op9_packing(spark, sf).collect(), ids, 0.01)
+    pieces = packing.pack(odd.where("doc_id is not null and doc_id <> 5"), path).collect()
+    ids = {i: t.encode(x or "", add_special_tokens=False).ids + [1] for i, x in ODD if i not in (None, 5)}
+    check_pieces(pieces, ids, 0.01)
+    assert all(p["ids"] == ids[p["doc_id"]][p["start"] : p["start"] + p["length"]] for p in pieces)
+    assert packing.pack(odd, path).where("doc_id is null").count() == 1
+    assert packing.pack(empty(spark), path).count() == 0
+
+
+def test_cuts_are_cheapest():
+    rng = np.random.default_rng(8)
+    total = 6000
+    at = np.unique(np.concatenate([[0, total], rng.integers(1, total, 150)]))
+    penalty = rng.choice([0.0, 1.0, 8.0], len(at))
+    penalty[0] = 0
+    cuts = packing.best_cuts(at, penalty)
+    tail = total - packing.WINDOW
+
+    def cost(lengths_end):
+        out = 0.0
+        for a, b in lengths_end:
+            n = b - a
+            free = n in (*packing.EXACT, 2048) or (b > tail and n & (n - 1) == 0)
+            out += (0 if free else 2048 - n) + packing.WINDOW_COST + penalty[np.searchsorted(at, b)]
+        return out
+
+    best = {0: 0.0}
+    for b in at[1:].tolist():
+        best[b] = min((best[a] + cost([(a, b)]) for a in at.tolist() if a < b and b - a <= 2048 and a in best), default=math.inf)
+    assert cost(list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))) == pytest.approx(best[total])
+
+
+# 10: language model
+
+
+def test_language_model(spark, docs, rows, odd):
+    found = {r["doc_id"]: r for r in language_model.scored(docs).collect()}
+    tokens = {i: [*words(low(t or "")), None] for i, t in rows}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    count = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    n, v = sum(count.values()), len(count)
+    assert found.keys() == tokens.keys()
+    for i, r in found.items():
+        base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in tokens[i])
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(tokens[i]), sum(count[w] > 0 for w in tokens[i]), n)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9)
+    out = [r for r in found.values() if r["held_out"]]
+    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)  # better than the counts alone
+    assert language_model.scored(odd).count() == len(ODD)
+    assert language_model.scored(empty(spark)).count() == 0
+
+
+def test_language_model_is_normalised(spark, docs):
+    scorer = language_model.fitted(docs).train(1)
+    one, two, log_z = scorer.model.tables()
+    p = np.exp(one[3][None, :] + two[:50] - log_z[3][:50, None])
+    assert np.allclose(p.sum(1), 1, atol=1e-4)

@@ -199,3 +199,14 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     joined = filled.select("doc_id", "n_shingles", "digest").join(where, "digest").select("doc_id", "n_shingles", "component_id")
     alone = parts.where("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def representatives(docs: DataFrame, threshold: int = 85) -> DataFrame:
+    """One row of ``docs``, all columns, for each group of near-duplicates.
+
+    Repeated rows (equal doc_id and text) count as copies of each other; rows
+    without a doc_id stay.
+    """
+    keep = near_duplicates(docs, threshold).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.join(keep.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))

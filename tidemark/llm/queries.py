@@ -2,21 +2,63 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_text, rules
+from . import bpe, extraction, language_model, near_text, near_vectors, packing, personal, quality, rules, warc
 from .common import table
 
+#: Where the public vocabulary files are; every executor has them at the same place.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
+
+def tokenizer(name: str) -> str:
+    return os.path.join(TOKENIZERS, name)
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digests(personal.find(table(spark, sf_dir, "documents")))
+
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.judged(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed_bits", "base_failed", "kept")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(table(spark, sf_dir, "pages"), min_bytes=0, with_html=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules, "op7_minhash": op7_minhash}
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extracted(table(spark, sf_dir, "pages"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), with_ids=False).drop("ids")
+
+
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_pii, op4_quality_rules, op5_embedding_dedup, op6_warc, op7_minhash, op8_html, op9_packing, op10_lm)}
 
 ORACLES = {"op4_quality_rules": rules.ledger_sql()}

@@ -8,10 +8,13 @@ out never reads a text again.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import texts
 from .textvec import Block, mix, text_blocks
@@ -119,6 +122,27 @@ def judged(docs: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
     return ledger(docs).withColumn("base_failed", base).withColumn("kept", ~base & passes(policy))
 
 
+def accepted(docs: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
+    """The rows of ``docs``, all columns, that pass the base and the policy; measured as they stream by, without a join."""
+    marks = [f"_measured_{m}" for m in MEASURES]
+
+    def run(batches):
+        for batch in batches:
+            text = batch.column("_measured_text")
+            for a, b, data, offsets in text_blocks(text):
+                found = measure_block(data, offsets)
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(found[m].astype(np.int64)) for m in MEASURES)], [*part.schema.names[:-1], *marks])
+
+    ddl = T.StructType([*docs.schema.fields, *(T.StructField(m, T.LongType()) for m in marks)])
+    measured = docs.withColumn("_measured_text", F.coalesce(docs["text"], F.lit(""))).mapInArrow(run, ddl)
+    wanted = POLICIES[policy] | BASE_MASK
+    for k, (_, fails) in enumerate(RULES):
+        if wanted >> k & 1:
+            measured = measured.where(~F.expr(re.sub(r"\b(" + "|".join(MEASURES) + r")\b", r"_measured_\1", fails)))
+    return measured.select(*docs.columns)
+
+
 def ledger_sql() -> str:
     """The same verdicts as DuckDB SQL over ``documents``."""
     bits = " + ".join(f"CASE WHEN {fails} THEN {1 << k} ELSE 0 END" for k, (_, fails) in enumerate(RULES))
