@@ -356,9 +356,9 @@ def portfolio_headroom(spark, sf_dir):
     return rounded(out.select("account", "o_orderkey", "headroom_r", "allowed_r", "verdict"), "headroom_r", "allowed_r")
 
 
-@query(f"WITH {_POSITIONS} SELECT account, count(*) AS positions, round(sum(risk_r), 6) AS total_r, round(sum(risk_r * risk_r) / sum(risk_r) ** 2, 6) AS herfindahl, round(sum(risk_r) ** 2 / sum(risk_r * risk_r), 6) AS effective_positions, round(max(risk_r) / sum(risk_r), 6) AS largest_share, round(sqrt(0.7 * sum(risk_r * risk_r) + 0.3 * sum(risk_r) ** 2), 6) AS correlated_loss_r FROM ps GROUP BY account")
+@query(f"WITH {_POSITIONS} SELECT account, count(*) AS positions, round(sum(risk_r), 9) AS total_r, round(sum(risk_r * risk_r) / sum(risk_r) ** 2, 9) AS herfindahl, round(sum(risk_r) ** 2 / sum(risk_r * risk_r), 9) AS effective_positions, round(max(risk_r) / sum(risk_r), 9) AS largest_share, round(sqrt(0.7 * sum(risk_r * risk_r) + 0.3 * sum(risk_r) ** 2), 9) AS correlated_loss_r FROM ps GROUP BY account")
 def concentration(spark, sf_dir):
-    return rounded(risk.concentration(positions(spark, sf_dir), "account", correlation=0.3), "total_r", "herfindahl", "effective_positions", "largest_share", "correlated_loss_r")
+    return rounded(risk.concentration(positions(spark, sf_dir), "account", correlation=0.3), "total_r", "herfindahl", "effective_positions", "largest_share", "correlated_loss_r", places=9)
 
 
 _REQUESTS = "rq AS (SELECT c_custkey, 0.25 + c_custkey % 4 * 0.25 AS requested_r, c_acctbal AS equity, 1000.0 + abs(c_acctbal) * (1 + c_custkey % 5 * 0.03) AS peak, CAST(c_custkey % 9 - 5 AS DOUBLE) * 0.8 AS pnl, c_custkey % 12 AS pos, CAST(c_custkey % 60 AS DOUBLE) AS um, 100.0 - c_custkey % 60 AS fm, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE CAST(c_custkey % 5 AS DOUBLE) END AS age, c_custkey % 3 <> 0 AS eligible, c_custkey % 2 = 0 AS calibrated, c_custkey % 7 = 0 AS unk, c_custkey % 101 = 0 AS safe, CASE WHEN c_custkey % 6 = 0 THEN 0.3 END AS hr FROM customer)"
@@ -376,7 +376,7 @@ def authorised(spark, sf_dir):
     return risk.authorise(rows)
 
 
-@query(f"WITH {_REQUESTS}, {_AUTHORISED} SELECT c_custkey, round(permitted_r, 6) AS permitted_r, CASE WHEN permitted_r <= 0 THEN 'block' WHEN permitted_r >= requested_r THEN 'approve' ELSE 'reduce' END AS verdict FROM au")
+@query(f"WITH {_REQUESTS}, {_AUTHORISED} SELECT c_custkey, round(CAST(permitted_r AS DOUBLE), 6) AS permitted_r, CASE WHEN permitted_r <= 0 THEN 'block' WHEN permitted_r >= requested_r THEN 'approve' ELSE 'reduce' END AS verdict FROM au")
 def risk_authorise(spark, sf_dir):
     return rounded(authorised(spark, sf_dir).select("c_custkey", "permitted_r", "verdict"), "permitted_r")
 
@@ -440,7 +440,7 @@ _RUNLOG = "rl AS (SELECT user_id AS instrument, event_id, value AS seconds, 1 +
 
 
 def run_log(spark, sf_dir):
-    return B.table(spark, sf_dir, "events").select(F.col("user_id").alias("instrument"), "event_id", F.col("value").alias("seconds"), (1 + F.round("value").cast("long") % 3).alias("attempts"), F.when(F.col("user_id") % 8 == 0, 0).otherwise(5).alias("rows_written"))
+    return B.table(spark, sf_dir, "events").select(F.col("user_id").alias("instrument"), "event_id", F.col("value").alias("seconds"), (1 + F.rint("value").cast("long") % 3).alias("attempts"), F.when(F.col("user_id") % 8 == 0, 0).otherwise(5).alias("rows_written"))
 
 
 @query(f"WITH {_RUNLOG} SELECT instrument, count(*) AS runs, CAST(sum(attempts) AS BIGINT) AS attempts, CAST(sum(attempts) - count(*) AS BIGINT) AS extra FROM rl GROUP BY 1 HAVING sum(attempts) > count(*)")
@@ -458,8 +458,8 @@ def empty_work(spark, sf_dir):
     return operations.empty_work(run_log(spark, sf_dir))
 
 
-@query("""WITH e AS (SELECT event_type AS component, ts AS at, CASE event_id % 4 WHEN 0 THEN 'info' WHEN 1 THEN 'warning' WHEN 2 THEN 'error' ELSE 'critical' END AS severity, CASE WHEN event_id % 2 = 0 THEN 'failed after #' ELSE 'user # timed out' END AS text FROM events)
-SELECT substr(sha256(concat(component, '|', text)), 1, 24) AS fingerprint, count(*) AS occurrences, min(at) AS first_seen, max(at) AS last_seen, min(component) AS component, CASE max(CASE severity WHEN 'info' THEN 0 WHEN 'warning' THEN 1 WHEN 'error' THEN 2 ELSE 3 END) WHEN 0 THEN 'info' WHEN 1 THEN 'warning' WHEN 2 THEN 'error' ELSE 'critical' END AS severity FROM e GROUP BY 1 HAVING count(*) >= 5""")
+@query("""WITH e AS (SELECT event_type AS component, ts AS seen_at, CASE event_id % 4 WHEN 0 THEN 'info' WHEN 1 THEN 'warning' WHEN 2 THEN 'error' ELSE 'critical' END AS severity, CASE WHEN event_id % 2 = 0 THEN 'failed after #' ELSE 'user # timed out' END AS text FROM events)
+SELECT substr(sha256(concat(component, '|', text)), 1, 24) AS fingerprint, count(*) AS occurrences, min(seen_at) AS first_seen, max(seen_at) AS last_seen, min(component) AS component, CASE max(CASE severity WHEN 'info' THEN 0 WHEN 'warning' THEN 1 WHEN 'error' THEN 2 ELSE 3 END) WHEN 0 THEN 'info' WHEN 1 THEN 'warning' WHEN 2 THEN 'error' ELSE 'critical' END AS severity FROM e GROUP BY 1 HAVING count(*) >= 5""")
 def incident_fold(spark, sf_dir):
     n = F.col("event_id")
     message = F.when(n % 2 == 0, F.concat(F.lit("Failed  after "), (n + 1000).cast("string"), F.lit("ms"))).otherwise(F.concat(F.lit("User "), (n + 5000).cast("string"), F.lit(" timed out")))

@@ -109,7 +109,7 @@ def features_tall(spark, sf_dir):
     return rounded(features.materialise(A(spark, sf_dir), B.HOUR, ["sma_20", "rsi_14", "atr_14"]), "value")
 
 
-@query(f"WITH {BARS_A}, {steps('a')} SELECT symbol, event_time, {feature_sql(['sma_20'])[:-len(' AS sma_20')]} AS \"sma_20@1\", {feature_sql(['rsi_14'])[:-len(' AS rsi_14')]} AS \"rsi_14@1\" FROM st WHERE event_time <= TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR AND n > 14")
+@query(f"WITH {BARS_A}, {steps('a')} SELECT symbol, event_time, {feature_sql(['sma_20'])[:-len(' AS sma_20')]} AS \"sma_20@1\", {feature_sql(['rsi_14'])[:-len(' AS rsi_14')]} AS \"rsi_14@1\" FROM st QUALIFY event_time <= TIMESTAMP '{AS_OF}' - INTERVAL 1 HOUR AND n > 14")
 def features_pivot_asof(spark, sf_dir):
     tall = features.materialise(A(spark, sf_dir), B.HOUR, ["sma_20", "rsi_14"])
     wide = asof.features_asof(tall, AS_OF, B.HOUR)
