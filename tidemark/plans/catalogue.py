@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decisions, series  # noqa: F401
+from . import decisions, series, streams  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
