@@ -7,7 +7,9 @@ four mantissa bits in one byte; empty registers borrow from others
 the Jaccard similarity.  32 bands of 8 compressed registers choose candidates,
 the collision-corrected estimate discards hopeless pairs, and the rest is
 confirmed on the full sets.  Documents with equal sets are one class
-throughout; a group of any size is compared in blocks.
+throughout.  In a candidate group every member is first compared with one
+leader; only rows that are still in another component than most of their group
+are compared with all of it, in blocks.
 """
 
 from __future__ import annotations
@@ -19,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, in_blocks, stored, texts
+from .common import components, stored, texts
 from .textvec import Block, text_blocks
 
 REGISTERS, BANDS, WIDTH = 256, 32, 5
 MANTISSA_BITS, ZEROS_MAX = 4, 15
 #: Members of a band bucket that one comparison holds at once, on either side.
 BLOCK_ROWS = 512
+#: Comparisons with one member of each candidate group before the groups that are still apart meet in blocks.
+LEADER_ROUNDS = 2
 #: Standard errors below the threshold at which the estimate still asks for the full sets.
 SIGMAS = 5.0
 ATTEMPTS = 48
@@ -111,12 +115,31 @@ def _sketch_rows(batches):
             )
 
 
-def _set_rows(batches):
-    for batch in batches:
-        for a, b, data, offsets in text_blocks(batch.column("text")):
-            doc, value = Block(data, offsets, lower=True).shingles(WIDTH)
-            at = np.searchsorted(doc, np.arange(b - a + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([value[at[i] : at[i + 1]].tobytes() for i in range(b - a)], pa.binary())], ["doc_id", "shingles"])
+def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The sorted shingle hashes of each text."""
+    out = []
+    for a, b, data, offsets in text_blocks(column):
+        doc, value = Block(data, offsets, lower=True).shingles(WIDTH)
+        at = np.searchsorted(doc, np.arange(b - a + 1))
+        out += [value[at[i] : at[i + 1]] for i in range(b - a)]
+    return out
+
+
+def _registers(group: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(group.num_rows, REGISTERS)
+
+
+def _hopeful(a: pa.Table, b: pa.Table, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of ``a`` and ``b`` may reach the threshold, by sizes and sketches, and their estimates."""
+    size, other = a.column("n_shingles").to_numpy()[:, None], b.column("n_shingles").to_numpy()[None, :]
+    guess, j = estimate(_registers(a), _registers(b)), threshold / 100
+    spread = np.sqrt(j * (1 - j) / np.minimum(REGISTERS, np.minimum(size, other)))
+    return (guess >= j - SIGMAS * spread) & (100 * np.minimum(size, other) >= threshold * np.maximum(size, other)), guess
+
+
+def _alike(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
+    both = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
+    return 100 * both >= threshold * (len(a) + len(b) - both)
 
 
 class _Groups:
@@ -132,33 +155,62 @@ class _Groups:
         return x
 
 
+def _promising_pairs(threshold: int):
+    """Of one part of a leader's pairs, those that may reach the threshold."""
+
+    def run(pairs: pa.Table, leader: pa.Table) -> pa.Table:
+        if not leader.num_rows or not pairs.num_rows:
+            return pairs.select(["a", "b", "part"]).slice(0, 0)
+        return pairs.filter(pa.array(_hopeful(leader.slice(0, 1), pairs, threshold)[0][0])).select(["a", "b", "part"])
+
+    return run
+
+
+def _confirmed_pairs(threshold: int):
+    """Of one part of a leader's pairs, those that reach the threshold on the full sets."""
+
+    def run(pairs: pa.Table, leader: pa.Table) -> pa.Table:
+        if not leader.num_rows or not pairs.num_rows:
+            return pairs.select(["a", "b"]).slice(0, 0)
+        own = _sets(leader.column("text").slice(0, 1))[0]
+        return pairs.filter(pa.array([_alike(own, x, threshold) for x in _sets(pairs.column("text"))])).select(["a", "b"])
+
+    return run
+
+
+def _across(group: pa.Table, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of both sides of a pair of blocks, and which of them may link different components."""
+    minor = group.column("minor").to_numpy(zero_copy_only=False)
+    component = group.column("component").to_numpy()
+    left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
+    hopeful, guess = _hopeful(group.take(pa.array(left)), group.take(pa.array(right)), threshold)
+    return left, right, hopeful & (component[left][:, None] != component[right][None, :]), guess
+
+
+def _promising_rows(threshold: int):
+    """Rows of one pair of blocks that may link with a row of another component."""
+
+    def run(group: pa.Table) -> pa.Table:
+        left, right, hopeful, _ = _across(group, threshold)
+        some = np.concatenate([left[hopeful.any(axis=1)], right[hopeful.any(axis=0)]])
+        return group.select(["bucket", "lo", "hi", "minor", "doc_id", "component"]).take(pa.array(some, pa.int64()))
+
+    return run
+
+
 def _compare(threshold: int):
     """Confirmed links of one pair of blocks; a pair already joined by others needs no test."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("doc_id")
-        ids = group.column("doc_id").to_numpy()
-        own, lo, hi = group.column("own").to_numpy(), group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        registers = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-        sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
-        size = np.array([len(x) for x in sets])
-        guess = estimate(registers[left], registers[right])
-        j = threshold / 100
-        spread = np.sqrt(j * (1 - j) / np.minimum(REGISTERS, np.minimum(size[left][:, None], size[right][None, :])))
-        small, large = np.minimum(size[left][:, None], size[right][None, :]), np.maximum(size[left][:, None], size[right][None, :])
-        hopeful = (guess >= j - SIGMAS * spread) & (100 * small >= threshold * large)
-        if lo == hi:
-            hopeful = np.triu(hopeful, 1)
+        left, right, hopeful, guess = _across(group, threshold)
+        ids, sets = group.column("doc_id").to_numpy(), _sets(group.column("text"))
+        component = np.unique(group.column("component").to_numpy(), return_inverse=True)[1].tolist()
         x, y = np.nonzero(hopeful)
         order = np.argsort(-guess[x, y], kind="stable")
         found, tree = [], _Groups(len(ids))
         for p, q in zip(left[x[order]].tolist(), right[y[order]].tolist(), strict=True):
-            r, s = tree.root(p), tree.root(q)
-            if r == s:
-                continue
-            both = len(sets[p]) + len(sets[q]) - len(np.unique(np.concatenate([sets[p], sets[q]])))
-            if 100 * both >= threshold * (len(sets[p]) + len(sets[q]) - both):
+            r, s = tree.root(component[p]), tree.root(component[q])
+            if r != s and _alike(sets[p], sets[q], threshold):
                 tree.up[r] = s
                 found.append((ids[p], ids[q]))
         return pa.table({"a": pa.array([int(p) for p, _ in found], pa.int64()), "b": pa.array([int(q) for _, q in found], pa.int64())})
@@ -166,6 +218,62 @@ def _compare(threshold: int):
     return run
 
 
+def _open(members: DataFrame, links: DataFrame | None, seed: int) -> DataFrame:
+    """(bucket, doc_id, component, minor) of buckets that still hold several components.
+
+    ``minor`` rows are outside the largest component of their bucket.  Without
+    links each document is its own component.
+    """
+    if links is None:
+        rows = members.withColumn("component", F.col("doc_id"))
+    else:
+        known = components(links)
+        rows = members.join(known, members["doc_id"] == known["id"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max_by("component", F.struct("n", F.xxhash64("component", F.lit(seed)))).alias("main")).where("k > 1").select("bucket", "main")
+    return stored(rows.join(main, "bucket").select("bucket", "doc_id", "component", (F.col("component") != F.col("main")).alias("minor")), "open")
+
+
+def _leader_links(rows: DataFrame, payload: DataFrame, threshold: int, seed: int) -> DataFrame:
+    """Links between one member of each bucket's largest component and the rows outside it.
+
+    Buckets of one group mostly choose the same leader, so a document has few
+    distinct pairs.  A leader's pairs are dealt out in parts of bounded size.
+    """
+    leaders = rows.where("not minor").groupBy("bucket").agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(seed))).alias("a"))
+    pairs = rows.where("minor").join(leaders, "bucket").select("a", F.col("doc_id").alias("b")).distinct()
+    size = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))
+    pairs = stored(pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")), "pairs")
+
+    def beside(pairs: DataFrame, check, schema: str, *columns: str) -> DataFrame:
+        side = payload.select("doc_id", *columns)
+        members = pairs.join(side.withColumnRenamed("doc_id", "b"), "b")
+        own = pairs.select("a", "part").distinct().join(side.withColumnRenamed("doc_id", "a"), "a")
+        own = own.toDF(*own.columns)  # its columns are not those of ``members``
+        return members.groupBy("a", "part").cogroup(own.groupBy("a", "part")).applyInArrow(check(threshold), schema)
+
+    hopeful = stored(beside(pairs, _promising_pairs, "a long, b long, part int", "n_shingles", "sketch"), "hopeful")
+    return stored(beside(hopeful, _confirmed_pairs, "a long, b long", "text"), "confirmed")
+
+
+def _block_links(rows: DataFrame, payload: DataFrame, threshold: int) -> DataFrame:
+    """Links from the rows outside the largest component of their bucket to all its rows.
+
+    Both sides are dealt out in blocks; a row goes to every pair of blocks that
+    holds its own.  Sketches first tell which rows have any hope; only those
+    are compared on their full sets.  Nothing is dropped, whatever a bucket's size.
+    """
+    size = rows.groupBy("bucket").agg(F.ceil(F.count_if("minor") / BLOCK_ROWS).cast("int").alias("few"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("all"))
+    sized = rows.join(size, "bucket")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    left = sized.where("minor").select("bucket", own("few").alias("lo"), every("all").alias("hi"), F.lit(True).alias("minor"), "doc_id", "component")
+    right = sized.select("bucket", every("few").alias("lo"), own("all").alias("hi"), F.lit(False).alias("minor"), "doc_id", "component")
+    key = ["bucket", "lo", "hi"]
+    hopeful = left.unionByName(right).join(payload.select("doc_id", "n_shingles", "sketch"), "doc_id").groupBy(*key).applyInArrow(_promising_rows(threshold), "bucket long, lo int, hi int, minor boolean, doc_id long, component long")
+    return stored(stored(hopeful, "hopeful").join(payload, "doc_id").groupBy(*key).applyInArrow(_compare(threshold), "a long, b long"), "confirmed")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document.
 
@@ -188,12 +296,16 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     chosen = sizes.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket")
     members = stored(buckets.join(chosen, "bucket", "left_semi").distinct(), "members")
     needed = members.select("doc_id").distinct()
-    rows = reps.select("doc_id", "sketch").join(needed, "doc_id", "left_semi")
+    rows = reps.select("doc_id", "n_shingles", "sketch").join(needed, "doc_id", "left_semi")
     # One plan at every size: the needed ids grow with the corpus, so they are never broadcast.
-    sets = source.join(needed.hint("merge"), "doc_id", "left_semi").mapInArrow(_set_rows, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
-    payload = rows.join(sets, "doc_id")
-    pairs = in_blocks(members, "bucket", "doc_id", BLOCK_ROWS).join(payload, "doc_id")
-    links = pairs.groupBy("bucket", "lo", "hi").applyInArrow(_compare(threshold), "a long, b long")
+    payload = stored(source.join(rows.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch", "text"), "payload")
+    # Leaders join most of a group in few comparisons; the rest meets in blocks, so that every candidate pair of two components is tested.
+    links = None
+    for seed in range(LEADER_ROUNDS):
+        found = _leader_links(_open(members, links, seed), payload, threshold, seed)
+        links = found if links is None else links.unionByName(found)
+    found = _block_links(_open(members, links, LEADER_ROUNDS), payload, threshold)
+    links = found if links is None else links.unionByName(found)
     linked = components(links)
     where = classes.join(linked, classes["rep"] == linked["id"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     joined = filled.select("doc_id", "n_shingles", "digest").join(where, "digest").select("doc_id", "n_shingles", "component_id")
