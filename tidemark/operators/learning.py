@@ -25,15 +25,19 @@ def reliability(forecasts: DataFrame, *keys: str) -> DataFrame:
 
 
 def brier(forecasts: DataFrame, *keys: str) -> DataFrame:
-    """Brier score, base-rate baseline, skill and expected calibration error; null below 100 forecasts."""
+    """Brier score, base-rate baseline, skill and expected calibration error.
+
+    Below 100 forecasts only their number is reported, all measures are null.
+    Where the base rate leaves nothing to beat, the skill is 0.
+    """
     y = F.col("outcome").cast("double")
     whole = forecasts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("score") - y) * (F.col("score") - y)).alias("brier"), F.avg(y).alias("base_rate"))
     bins = reliability(forecasts, *keys)
     error = bins.groupBy(*keys).agg((F.sum(F.col("n") * F.abs(F.col("mean_score") - F.col("observed"))) / F.sum("n")).alias("calibration_error"))
     rows = (whole.join(error, list(keys), "left") if keys else whole.join(F.broadcast(error))).withColumn("baseline", F.col("base_rate") * (1 - F.col("base_rate")))
     enough = F.col("n") >= LEAST_FORECASTS
-    rows = rows.withColumn("skill", F.when(F.col("baseline") > 0, 1 - F.col("brier") / F.col("baseline")))
-    return rows.withColumns({c: F.when(enough, F.col(c)) for c in ("brier", "baseline", "skill", "calibration_error")})
+    rows = rows.withColumn("skill", F.when(F.col("baseline") > 0, 1 - F.col("brier") / F.col("baseline")).otherwise(0.0))
+    return rows.withColumns({c: F.when(enough, F.col(c)) for c in ("brier", "base_rate", "baseline", "skill", "calibration_error")})
 
 
 def to_probability(scores: DataFrame, bins: DataFrame) -> DataFrame:

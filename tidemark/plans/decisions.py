@@ -112,7 +112,8 @@ def _neighbours(spark, sf_dir):
     return neighbours.nearest(asked, ready, KNN)
 
 
-_Z = ", ".join(f"({n} - (SELECT center FROM sc WHERE name = '{n}')) / (SELECT q3 - q1 FROM sc WHERE name = '{n}') AS {n}" for n in KNN)
+#: A feature with under 20 values, or whose quartiles agree, has no scale and counts in no distance.
+_Z = ", ".join(f"({n} - (SELECT center FROM sc WHERE name = '{n}' AND n >= 20 AND q3 > q1)) / (SELECT q3 - q1 FROM sc WHERE name = '{n}' AND n >= 20 AND q3 > q1) AS {n}" for n in KNN)
 _NEAR = f"""qs0 AS (SELECT *, lag(close) OVER {W} AS prev, row_number() OVER {W} AS n FROM k), qst AS (SELECT *, CASE WHEN prev > 0 AND close > 0 THEN ln(close / prev) END AS ret, CASE WHEN prev IS NOT NULL THEN greatest(high - low, abs(high - prev), abs(low - prev)) END AS tr,
  CASE WHEN prev IS NOT NULL THEN greatest(close - prev, 0) END AS up, CASE WHEN prev IS NOT NULL THEN greatest(prev - close, 0) END AS down FROM qs0), qf AS (SELECT symbol, event_time, {feature_sql(KNN, 15)} FROM qst), ql AS (SELECT * FROM qf QUALIFY event_time = max(event_time) OVER (PARTITION BY symbol)),
 lz AS (SELECT id, symbol, event_time, forward_return_pct, {_Z} FROM ep), qz AS (SELECT symbol AS query_id, {_Z} FROM ql),
@@ -248,7 +249,7 @@ def calibration_buckets(spark, sf_dir):
     return rounded(learning.reliability(forecasts(spark, sf_dir)), "mean_score", "observed")
 
 
-@query(f"WITH {_SCORED}, {_BINS}, wh AS (SELECT count(*) AS n, avg((score - CASE WHEN outcome THEN 1.0 ELSE 0.0 END) ** 2) AS brier, avg(CASE WHEN outcome THEN 1.0 ELSE 0.0 END) AS base_rate FROM fc) SELECT n, round(brier, 6) AS brier, round(base_rate, 6) AS base_rate, (SELECT round(sum(n * abs(mean_score - observed)) / sum(n), 6) FROM bk) AS calibration_error, round(base_rate * (1 - base_rate), 6) AS baseline, round(1 - brier / (base_rate * (1 - base_rate)), 6) AS skill FROM wh WHERE n >= 100")
+@query(f"WITH {_SCORED}, {_BINS}, wh AS (SELECT count(*) AS n, avg((score - CASE WHEN outcome THEN 1.0 ELSE 0.0 END) ** 2) AS brier, avg(CASE WHEN outcome THEN 1.0 ELSE 0.0 END) AS base_rate FROM fc) SELECT n, CASE WHEN n >= 100 THEN round(brier, 6) END AS brier, CASE WHEN n >= 100 THEN round(base_rate, 6) END AS base_rate, CASE WHEN n >= 100 THEN (SELECT round(sum(n * abs(mean_score - observed)) / sum(n), 6) FROM bk) END AS calibration_error, CASE WHEN n >= 100 THEN round(base_rate * (1 - base_rate), 6) END AS baseline, CASE WHEN n >= 100 THEN CASE WHEN base_rate * (1 - base_rate) > 0 THEN round(1 - brier / (base_rate * (1 - base_rate)), 6) ELSE 0.0 END END AS skill FROM wh")
 def brier_skill(spark, sf_dir):
     return rounded(learning.brier(forecasts(spark, sf_dir)), "brier", "base_rate", "calibration_error", "baseline", "skill")
 
