@@ -382,3 +382,21 @@ def test_language_model_is_normalised(spark, docs):
     one, two, log_z = scorer.model.tables()
     p = np.exp(one[3][None, :] + two[:50] - log_z[3][:50, None])
     assert np.allclose(p.sum(1), 1, atol=1e-4)
+
+
+def test_language_model_learns_from_every_position(spark, docs, monkeypatch):
+    weight = []
+    average = language_model._average
+
+    def heard(batches):
+        batches = list(batches)
+        weight.append(sum(w for b in batches for w in b.column("weight").to_pylist()))
+        return average(batches)
+
+    scorer = language_model.fitted(docs)
+    monkeypatch.setattr(language_model, "_average", heard)
+    scorer.train()
+    assert sum(weight) == scorer.n  # no position left out, none seen twice
+    held, lengths = np.array([False, True, False]), np.array([5, 3, 4])
+    for rounds in (1, 2, 3, 7):
+        assert sorted(np.concatenate([language_model._examples(held, lengths, r, rounds) for r in range(rounds)])) == [0, 1, 2, 3, 4, 8, 9, 10, 11]

@@ -14,6 +14,7 @@ matrices and Q the word vectors,
 and log Z of all class pairs comes from batched matrix products, once.
 Training runs where the blocks are: each task fits the model to its blocks by
 NCE with unigram noise, and the tasks' parameters are averaged in a tree.
+The rounds share out the training positions: each is an example in exactly one.
 """
 
 from __future__ import annotations
@@ -28,8 +29,7 @@ from .common import fold, stored, texts
 from .textvec import Block, text_blocks
 
 CLASSES, WIDTH, NOISE, ROUNDS = 512, 16, 48, 2
-#: One position in so many of every training text makes an NCE example, evenly spread; all texts take part.
-STRIDE, BATCH, RATE = 4, 2048, 0.08
+BATCH, RATE = 2048, 0.08
 _PLACE_BITS = 26
 #: Text bytes whose tokens form one block.
 CHUNK_BYTES = 8 << 20
@@ -209,6 +209,11 @@ def _classes(words: np.ndarray, top: np.ndarray, number: np.ndarray) -> np.ndarr
     return np.where(top[at] == words, number[at], 0).astype(np.int16)
 
 
+def _examples(held: np.ndarray, lengths: np.ndarray, r: int, rounds: int) -> np.ndarray:
+    """The positions of round ``r``; over all rounds, each position of the texts not held out once."""
+    return np.flatnonzero(np.repeat(~held, lengths))[r::rounds]
+
+
 def _average(batches):
     total, weight = 0.0, 0.0
     for batch in batches:
@@ -252,8 +257,7 @@ class Scorer:
                         rng = np.random.default_rng((17, r, row["block"]))
                         lengths = _unpress(row["lengths"], np.int64)
                         w, u, v = _contexts(_unpress(row["tokens"], np.uint32), lengths, _classes(_unpress(row["words"], np.int64), top, number))
-                        at = np.flatnonzero(np.repeat(~_unpress(row["held"], bool), lengths))[r % STRIDE :: STRIDE]
-                        at = rng.permutation(at)
+                        at = rng.permutation(_examples(_unpress(row["held"], bool), lengths, r, rounds))
                         model.fit(u[at], v[at], w[at], rng, state)
                         weight += len(at)
                 if weight:
