@@ -290,6 +290,24 @@ def test_extraction_of_real_pages(spark, sf):
         assert extraction.extract(r["html"]) == "\n".join(x for x in blocks if x)
 
 
+LONG = "A long sentence, with commas, and many words of the article, told at length, " * 12
+
+
+def test_extraction_keeps_the_whole_article():
+    long, line = f"<p>{LONG}</p>" * 4, LONG.strip()
+    lines = "\n".join([line] * 4)
+    assert extraction.extract(f"<body><article><section>{long}</section><section><p>Short end.</p></section></article></body>") == f"{lines}\nShort end."
+    deep = f"<body><article><h1>Head</h1><p>Lead.</p><div><section>{long}</section><section><p>Short end.</p></section></div></article><div><p>Other.</p></div></body>"
+    assert extraction.extract(deep) == f"Head\nLead.\n{lines}\nShort end."
+    plain = f"<body><div><h1>Head</h1><div><section>{long}</section><section><p>Short end.</p></section></div></div><div><a href=x>Elsewhere, more</a></div></body>"
+    assert extraction.extract(plain) == f"Head\n{lines}\nShort end."
+    for tag in ("h4", "h5", "h6", "dl", "figure", "address"):
+        assert extraction.extract(f"<body><{tag}>Beside it</{tag}><div>{long}</div></body>") == f"Beside it\n{lines}", tag
+    works = "<ul><li><a href=a>First work</a></li><li><a href=b>Second work</a></li></ul>"
+    assert extraction.extract(f"<body><article>{long}{works}</article></body>") == f"{lines}\nFirst work\nSecond work"
+    assert extraction.extract(f"<body><div>{long}{works}</div></body>") == lines
+
+
 # 9: packing
 
 

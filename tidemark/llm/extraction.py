@@ -2,8 +2,11 @@
 
 Each block of text passes points for its length and commas to its parent, half
 to the grandparent and so on with shrinking weight; a container's points are
-discounted by its link density.  The best container is kept with those of its
-siblings that read like it.  Menus, headers, footers, forms, adverts, notices,
+discounted by its link density.  From the best container the whole article (or
+main) element around it is kept; without one, the ancestors below the body as
+long as each adds text with few links.  Siblings that read like it are kept
+too; list items that are only links are left out unless an article or main
+element holds them.  Menus, headers, footers, forms, adverts, notices,
 comments and the like are cut out of the tree before scoring.
 """
 
@@ -26,6 +29,9 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 UNWANTED = frozenset("ad ads adv advert adverts advertisement advertising banner promo promotion promoted sponsor sponsored sponsors nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar side aside widget widgets related recommended recommendations share sharing social subscribe subscription newsletter signup login cookie cookies consent notice notices alert gdpr popup modal overlay comment comments reply replies respond disqus discussion pagination pager toolbar tags skip copyright".split())
 UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CONTAINERS = frozenset("article main section div td body blockquote html".split())
+#: Siblings of the article that are kept whatever their length, below this share of link text.
+TEXTUAL = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 hgroup ul ol dl figure table address details".split())
+LINKED = 0.25
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -168,6 +174,28 @@ def _density(node: Node) -> float:
     return node.link_chars / node.text_chars if node.text_chars else 0.0
 
 
+def _article(node: Node) -> Node | None:
+    """The outermost article that holds ``node``, or else the innermost main element."""
+    found = main = None
+    while node is not None:
+        if node.tag == "article":
+            found = node
+        elif node.tag == "main":
+            main = main or node
+        node = node.parent
+    return found or main
+
+
+def _widened(node: Node) -> Node:
+    """The highest element below the body up to which every step adds text with few links."""
+    while node.parent is not None and node.parent.tag not in ("body", "html"):
+        up = node.parent
+        if up.link_chars - node.link_chars > LINKED * (up.text_chars - node.text_chars):
+            break
+        node = up
+    return node
+
+
 def extract(page: str) -> str:
     """The article's blocks of a page, one a line."""
     root = parse(page)
@@ -190,19 +218,21 @@ def extract(page: str) -> str:
             up = up.parent
     value = lambda n: (n.points * (1 - _density(n))) * (1.5 if n.tag in ("article", "main") else 1.0)
     best = max(scored.values(), key=value, default=root)
-    inside = {id(best)}
-    up = best.parent
+    article = _article(best)
+    top = article or _widened(best)
+    inside = {id(top)}
+    up = top.parent
     if up is not None:  # siblings that read like the article
         least = 0.25 * value(best)
         for other in up.children:
-            if isinstance(other, Node) and other is not best and not other.dropped and (other.tag in CONTAINERS and value(other) >= least or other.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "ul", "ol", "table") and other.text_chars and _density(other) < 0.25):
+            if isinstance(other, Node) and other is not top and not other.dropped and (other.tag in CONTAINERS and value(other) >= least or other.tag in TEXTUAL and other.text_chars and _density(other) < LINKED):
                 inside.add(id(other))
     kept = []
     for node, text, linked in found:
         up = node
         while up is not None and id(up) not in inside:
             up = up.parent
-        if up is not None and not (linked >= 0.9 * len(text) and node.tag == "li"):
+        if up is not None and not (linked >= 0.9 * len(text) and node.tag == "li" and up is not article):
             kept.append(text)
     return "\n".join(kept)
 
