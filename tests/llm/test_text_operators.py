@@ -308,6 +308,17 @@ def test_extraction_keeps_the_whole_article():
     assert extraction.extract(f"<body><div>{long}{works}</div></body>") == lines
 
 
+def test_extraction_keeps_an_article_in_a_named_wrapper():
+    long, lines = f"<p>{LONG}</p>" * 4, "\n".join([LONG.strip()] * 4)
+    for wrapper in ("class='layout with-sidebar'", "id='has-header'", "class='content share-enabled'", "class='post-tags-on'", "class='pageNoSidebar'"):
+        for page in (f"<article>{long}</article>", f"<div>{long}</div>"):
+            assert extraction.extract(f"<body><div {wrapper}>{page}</div><div class='sidebar'><p>Read also, this.</p></div></body>") == lines, wrapper
+    said = "<div class='comments'><article class='comment'><p>Reader says, hello.</p></article></div>"
+    assert extraction.extract(f"<body><article>{long}{said}</article>{said}<div class='share-bar'><p>Tell it on.</p></div></body>") == lines
+    assert extraction.extract(f"<body><div>{long}</div><div id='comments'>{long}{long}</div><nav class='menu'><p>{LONG}</p></nav></body>") == lines
+    assert extraction.extract(f"<body><div hidden class='content share-enabled'><article>{long}</article></div><p>Here.</p></body>") == "Here."
+
+
 # 9: packing
 
 

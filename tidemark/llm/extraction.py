@@ -7,7 +7,8 @@ main) element around it is kept; without one, the ancestors below the body as
 long as each adds text with few links.  Siblings that read like it are kept
 too; list items that are only links are left out unless an article or main
 element holds them.  Menus, headers, footers, forms, adverts, notices,
-comments and the like are cut out of the tree before scoring.
+comments and the like are cut out of the tree before scoring; an unwanted class
+or id word does not cut out the subtree with the page's article.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ RAW = frozenset("script style textarea title noscript iframe noembed noframes xm
 DROPPED = frozenset("head script style textarea title noscript iframe noembed noframes template nav header footer aside form button select option svg canvas object video audio dialog menu input".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 UNWANTED = frozenset("ad ads adv advert adverts advertisement advertising banner promo promotion promoted sponsor sponsored sponsors nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar side aside widget widgets related recommended recommendations share sharing social subscribe subscription newsletter signup login cookie cookies consent notice notices alert gdpr popup modal overlay comment comments reply replies respond disqus discussion pagination pager toolbar tags skip copyright".split())
+#: Of these, the words that say what a part is for, however long it is.
+OWN_PURPOSE = frozenset("ad ads adv advert adverts advertisement advertising cookie cookies consent gdpr popup modal overlay comment comments reply replies respond disqus discussion".split())
+#: What follows one of these in a class or id word tells of the layout, not of the part itself.
+QUALIFIERS = frozenset("with without has no not".split())
 UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CONTAINERS = frozenset("article main section div td body blockquote html".split())
 #: Siblings of the article that are kept whatever their length, below this share of link text.
@@ -43,32 +48,67 @@ _FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table
 
 
 class Node:
-    __slots__ = ("children", "dropped", "link_chars", "parent", "points", "tag", "text_chars")
+    __slots__ = ("children", "dropped", "link_chars", "named", "parent", "points", "tag", "text_chars")
 
-    def __init__(self, tag: str, parent, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent, dropped: bool, named: frozenset[str] = frozenset()):
+        self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, named
         self.children: list = []
         self.points, self.text_chars, self.link_chars = 0.0, 0, 0
 
 
-def _unwanted(attributes: str) -> bool:
+def _unwanted(attributes: str) -> tuple[bool, frozenset[str]]:
+    """Whether role or visibility drops an element, and the unwanted words of its class and id."""
+    named = set()
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
             for word in value.split():
-                if any(p.lower() in UNWANTED for p in _NAME_PARTS.findall(word)):
-                    return True
+                for part in _NAME_PARTS.findall(word):
+                    part = part.lower()
+                    if part in QUALIFIERS:
+                        break
+                    if part in UNWANTED:
+                        named.add(part)
         elif name == "role" and value.lower().strip() in UNWANTED_ROLES:
-            return True
+            return True, frozenset()
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.lower().replace(" ", ""):
-            return True
-    return False
+            return True, frozenset()
+    return False, frozenset(named)
+
+
+def _drop_named(nodes: list[Node]) -> None:
+    """Drop the subtrees with unwanted names, but for those that hold the page's article.
+
+    Such a one holds an article or main element while none stands outside the
+    unwanted subtrees, or holds more than half of the page's text outside links
+    and its name isn't that of a part with a purpose of its own.  ``nodes`` is in page order.
+    """
+    plain, holds, linked, apart = {}, {}, {}, {}
+    clean = False
+    for node in nodes:
+        up = node.parent
+        linked[id(node)] = node.tag == "a" or up is not None and linked[id(up)]
+        apart[id(node)] = bool(node.named) or up is not None and apart[id(up)]
+        plain[id(node)] = 0 if node.dropped or linked[id(node)] else sum(len(_SPACE.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
+        holds[id(node)] = not node.dropped and node.tag in ("article", "main")
+        clean = clean or holds[id(node)] and not apart[id(node)]
+    for node in reversed(nodes):
+        if node.parent is not None:
+            plain[id(node.parent)] += plain[id(node)]
+            holds[id(node.parent)] = holds[id(node.parent)] or holds[id(node)]
+    whole = plain[id(nodes[0])]
+    for node in nodes:
+        if node.parent is not None and node.parent.dropped:
+            node.dropped = True
+        elif node.named and not (holds[id(node)] and not clean or 2 * plain[id(node)] > whole and not node.named & OWN_PURPOSE):
+            node.dropped = True
 
 
 def parse(page: str) -> Node:
     """A tree of elements and text; tags that don't match are mended as browsers do."""
     root = Node("html", None, False)
     stack, at = [root], 0
+    nodes = [root]
 
     def text(piece: str):
         if piece:
@@ -114,9 +154,12 @@ def parse(page: str) -> Node:
                     break
         if tag in ("article", "main", "body", "p", "div", "section") and stack[-1].tag == "head":
             stack.pop()
-        drop = stack[-1].dropped or tag in DROPPED or (tag not in ("html", "body", "article", "main") and bool(m.group(3)) and _unwanted(m.group(3)))
-        node = Node(tag, stack[-1], drop)
+        drop, named = stack[-1].dropped or tag in DROPPED, frozenset()
+        if not drop and tag not in ("html", "body", "article", "main") and m.group(3):
+            drop, named = _unwanted(m.group(3))
+        node = Node(tag, stack[-1], drop, named)
         stack[-1].children.append(node)
+        nodes.append(node)
         if tag in VOID:
             continue
         if tag in RAW:
@@ -126,6 +169,8 @@ def parse(page: str) -> Node:
         if not (m.group(3) or "").endswith("/") or tag in BLOCKS or tag in ("a", "b", "i", "em", "strong", "span"):
             stack.append(node)
     text(page[at:])
+    if any(n.named for n in nodes):
+        _drop_named(nodes)
     return root
 
 
