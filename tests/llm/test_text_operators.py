@@ -453,3 +453,25 @@ def test_language_model_learns_from_every_position(spark, docs, monkeypatch):
     held, lengths = np.array([False, True, False]), np.array([5, 3, 4])
     for rounds in (1, 2, 3, 7):
         assert sorted(np.concatenate([language_model._examples(held, lengths, r, rounds) for r in range(rounds)])) == [0, 1, 2, 3, 4, 8, 9, 10, 11]
+
+
+def test_language_model_knows_every_repeated_word(spark, docs):
+    scorer = language_model.fitted(docs.repartition(3)).train()
+    blocks = scorer.equipped.collect()
+    vectors, count, total = {}, {}, np.zeros(language_model.CLASSES)
+    for row in blocks:
+        counts, words = language_model._unpress(row["counts"], np.int64), language_model._unpress(row["words"], np.int64)
+        which, _ = language_model._own(language_model._classes(words, scorer.top, scorer.number), counts)
+        mine = language_model.Own(len(which), row["vectors"]).rows()
+        for w, n, x in zip(words[which].tolist(), counts[which].tolist(), mine, strict=True):
+            assert vectors.setdefault(w, x.tobytes()) == x.tobytes()  # the same in every block
+            count[w] = n
+        count |= {w: n for w, n in zip(words.tolist(), counts.tolist(), strict=True) if n}
+    own = set(count) - set(scorer.top.tolist())
+    own = {w for w in own if count[w] >= 2}
+    assert len(blocks) > 1 and len(own) > 2000 and vectors.keys() == own
+    assert len(set(vectors.values())) > 0.99 * len(own)
+    total = sum((count[w] + 1.0) * np.exp(scorer.model.g @ np.frombuffer(vectors[w], np.float16).astype(float)[language_model.WIDTH :]) for w in own)
+    singles = [w for w in set(count) - own - set(scorer.top.tolist())]
+    total = total + sum(count[w] + 1.0 for w in singles) + 1  # and all unseen words
+    assert np.allclose(np.log(total), scorer.log_rest, atol=1e-9)

@@ -3,15 +3,22 @@
 Texts are read once into blocks: a block's tokens as indices into its own list
 of distinct words.  Words are keyed by 64-bit hashes, so a word's corpus count
 comes from one aggregation, and a join sends each block the counts of its own
-words; no vocabulary is broadcast or gathered.  The neural model has the most
-frequent words as classes (a fixed number) and one class for the rest, within
-which a word's share follows its smoothed count, so probabilities over all
-words add up to one.  With R the context vectors, C1 and C2 the position
-matrices and Q the word vectors,
-
-    log P(w | u, v) = (R[u] C1 + R[v] C2) . Q[w] + b[w] - log Z(u, v)
-
-and log Z of all class pairs comes from batched matrix products, once.
+own words; no vocabulary is broadcast or gathered.  The neural model has two
+levels: the most frequent words are classes of their own (a fixed number), and
+one class is the rest.  Every word of the rest seen at least twice in training
+has a context vector and a target vector of its own, so the vocabulary follows
+the corpus; only singletons and unseen words share one.  With R the context
+vectors, C1 and C2 the position matrices, Q the target vectors and c the class,
+
+    log P(c | u, v) = (R[u] C1 + R[v] C2) . Q[c] + b[c] - log Z(u, v)
+    log P(w | rest, u) = log(n[w] + 1) + G[c(u)] . Q[w] - log Z(c(u))
+
+Z(u, v) is summed over the classes for each position (from a table where both
+are classes), Z(c) over all words of the rest by one aggregation, so
+probabilities over all words add up to one.  Words' own vectors live with the
+blocks: each block trains those of its words, one exchange by word averages them,
+and one by block brings them back.  A word of the rest is told from others of the
+rest by the class of the word before it, not by that word's own vector.
 Training runs where the blocks are: each task fits the model to its blocks by
 NCE with unigram noise, and the tasks' parameters are averaged in a tree.
 The rounds share out the training positions: each is an example in exactly one.
@@ -29,6 +36,8 @@ from .common import fold, stored, texts
 from .textvec import Block, text_blocks
 
 CLASSES, WIDTH, NOISE, ROUNDS = 512, 16, 48, 2
+#: Training count from which a word of the rest has vectors of its own; learning rate of these.
+LEAST_SEEN, WORD_RATE = 2, 0.2
 BATCH, RATE = 2048, 0.08
 _PLACE_BITS = 26
 #: Text bytes whose tokens form one block.
@@ -125,10 +134,37 @@ def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([row], _schema(_FULL))
 
 
+class Own:
+    """Vectors of a block's words of the rest: as context ``r``, as target ``q``.  The last row is that of all other words, zero."""
+
+    def __init__(self, n: int, vectors: bytes | None = None):
+        self.n = n
+        flat = np.zeros((n, 2 * WIDTH)) if vectors is None else _unpress(vectors, np.float16).reshape(n, 2 * WIDTH).astype(float)
+        flat = np.concatenate([flat, np.zeros((1, 2 * WIDTH))])
+        self.r, self.q = flat[:, :WIDTH].copy(), flat[:, WIDTH:].copy()
+        self.state = {name: np.ones((n + 1, WIDTH)) for name in "rq"}
+
+    def at(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, pool: np.ndarray) -> Own:
+        """The rows of the examples, and those that noise is drawn from."""
+        self.u, self.v, self.w, self.pool = u, v, w, pool
+        return self
+
+    def learn(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
+        order = np.argsort(rows, kind="stable")
+        cuts = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        rows, g = rows[order][cuts], np.add.reduceat(gradient[order], cuts)
+        rows, g = (rows[:-1], g[:-1]) if rows[-1] == self.n else (rows, g)
+        self.state[name][rows] += g * g
+        getattr(self, name)[rows] += WORD_RATE * g / np.sqrt(self.state[name][rows])
+
+    def rows(self) -> np.ndarray:
+        return np.concatenate([self.r[:-1], self.q[:-1]], axis=1).astype(np.float16)
+
+
 class Model:
     """Parameters of the log-bilinear model over class numbers."""
 
-    NAMES = ("r", "q", "c1", "c2", "b")
+    NAMES = ("r", "q", "c1", "c2", "b", "g")
 
     def __init__(self, unigram: np.ndarray, seed: int = 3):
         rng = np.random.default_rng(seed)
@@ -137,6 +173,7 @@ class Model:
         self.r, self.q = rng.normal(0, 0.15, (v, WIDTH)), rng.normal(0, 0.15, (v, WIDTH))
         self.c1, self.c2 = np.eye(WIDTH), np.eye(WIDTH) * 0.5
         self.b = np.log(unigram)
+        self.g = rng.normal(0, 0.15, (v, WIDTH))
 
     def vector(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
@@ -149,13 +186,19 @@ class Model:
             at += x.size
         return self
 
-    def fit(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, rng, state: dict) -> None:
-        """One pass of NCE over examples: ``w`` follows ``u``, which follows ``v``."""
+    def fit(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, rng, state: dict | None, own: Own | None = None) -> None:
+        """One pass of NCE over examples: ``w`` follows ``u``, which follows ``v``.
+
+        Without ``state`` only the words' own vectors learn, without ``own`` only the classes.
+        """
         log_noise = np.log(NOISE * self.unigram)
         cumulative = np.cumsum(self.unigram)
         for k in range(0, len(w), BATCH):
             a, c, t = u[k : k + BATCH], v[k : k + BATCH], w[k : k + BATCH]
             ra, rc = self.r[a], self.r[c]
+            if own is not None:
+                oa, oc, ot = own.u[k : k + BATCH], own.v[k : k + BATCH], own.w[k : k + BATCH]
+                ra, rc = ra + own.r[oa], rc + own.r[oc]
             hat = ra @ self.c1 + rc @ self.c2
             noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), len(cumulative) - 1)
             good = (hat * self.q[t]).sum(1) + self.b[t] - log_noise[t]
@@ -163,6 +206,18 @@ class Model:
             e_good = 1 / (1 + np.exp(np.clip(good, -30, 30)))  # 1 - P(data)
             e_bad = -1 / (1 + np.exp(-np.clip(bad, -30, 30)))
             d_hat = e_good[:, None] * self.q[t] + e_bad @ self.q[noise]
+            g_g = np.zeros_like(self.g)
+            if own is not None:
+                own.learn("r", np.concatenate([oa, oc]), np.concatenate([d_hat @ self.c1.T, d_hat @ self.c2.T]))
+                rest = np.flatnonzero(t == 0)
+                if len(rest):  # which word of the rest, told apart from others drawn by their counts
+                    context, drawn = self.g[a[rest]], rng.choice(own.pool, NOISE)
+                    e_own = 1 / (1 + np.exp(np.clip((context * own.q[ot[rest]]).sum(1), -30, 30)) / NOISE)
+                    e_drawn = -1 / (1 + NOISE * np.exp(-np.clip(context @ own.q[drawn].T, -30, 30)))
+                    np.add.at(g_g, a[rest], e_own[:, None] * own.q[ot[rest]] + e_drawn @ own.q[drawn])
+                    own.learn("q", np.concatenate([ot[rest], drawn]), np.concatenate([e_own[:, None] * context, e_drawn.T @ context]))
+            if state is None:
+                continue
             g_q, g_b, g_r = np.zeros_like(self.q), np.bincount(t, e_good, len(self.b)), np.zeros_like(self.r)
             np.add.at(g_b, noise, e_bad.sum(0))
             order = np.argsort(t, kind="stable")
@@ -173,7 +228,7 @@ class Model:
                 order = np.argsort(word, kind="stable")
                 cuts = np.flatnonzero(np.diff(word[order], prepend=-1))
                 g_r[word[order][cuts]] += np.add.reduceat(back[order], cuts)
-            for n, g in (("q", g_q), ("b", g_b), ("r", g_r), ("c1", ra.T @ d_hat), ("c2", rc.T @ d_hat)):
+            for n, g in (("q", g_q), ("b", g_b), ("r", g_r), ("c1", ra.T @ d_hat), ("c2", rc.T @ d_hat), ("g", g_g)):
                 g = g / len(t)
                 state[n] = state.get(n, 1e-6) + g * g
                 setattr(self, n, getattr(self, n) + RATE * g / np.sqrt(state[n]))
@@ -190,20 +245,87 @@ class Model:
         return one, two, log_z
 
 
-def _contexts(tokens: np.ndarray, lengths: np.ndarray, classes: np.ndarray):
-    """Classes of each token and of the two before it; a text begins after two ends."""
+def _contexts(tokens: np.ndarray, lengths: np.ndarray, classes: np.ndarray, end: int = 1):
+    """Classes of each token and of the two before it; a text begins after two ends, whose class is ``end``."""
     w = classes[tokens]
     begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     u, v = np.empty_like(w), np.empty_like(w)
     u[1:], v[2:] = w[:-1], w[:-2]
-    u[begin] = 1
-    v[:2] = 1
-    v[begin] = 1
+    u[begin] = end
+    v[:2] = end
+    v[begin] = end
     second = begin[lengths > 1] + 1
-    v[second] = 1
+    v[second] = end
     return w, u, v
 
 
+def _own(classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a block's words have vectors of their own, and each word's row among them (all others the last)."""
+    which = np.flatnonzero((classes == 0) & (counts >= LEAST_SEEN))
+    row = np.full(len(classes), len(which), np.int32)
+    row[which] = np.arange(len(which))
+    return which, row
+
+
+_ROUND = "flat binary, weight double, place long, word long, vector binary, times int"
+_MEAN = "block long, place long, vector binary, first boolean"
+_VECTOR_BYTES = 2 * WIDTH * 2
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    """Rows of numbers as one binary value each."""
+    x = np.ascontiguousarray(x)
+    ends = np.arange(len(x) + 1, dtype=np.int32) * _VECTOR_BYTES
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(x)])
+
+
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks()
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float16).reshape(len(column), 2 * WIDTH)
+
+
+def _mean(batches):
+    """Rows sorted by word: each gets the word's vectors averaged over its blocks by their occurrences."""
+
+    def settle(rows: pa.Table):
+        word, times = rows.column("word").to_numpy(), rows.column("times").to_numpy().astype(float)
+        first = np.diff(word, prepend=word[0] - 1 if word[0] > -(1 << 62) else word[0] + 1) != 0
+        cuts = np.flatnonzero(first)
+        total = np.add.reduceat(_vectors(rows.column("vector")) * times[:, None], cuts)
+        mean = (total / np.maximum(np.add.reduceat(times, cuts), 1)[:, None]).astype(np.float16)
+        place = rows.column("place").to_numpy()
+        back = np.repeat(np.arange(len(cuts)), np.diff(cuts, append=len(word)))
+        for k in range(0, len(word), 100_000):
+            here = slice(k, k + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(place[here] >> _PLACE_BITS), pa.array(place[here]), _binary(mean[back[here]]), pa.array(first[here])], schema=_schema(_MEAN))
+
+    held = None
+    for batch in batches:
+        if batch.num_rows:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]) if held is not None else rows
+            word = rows.column("word").to_numpy()
+            cut = int(np.searchsorted(word, word[-1], "left"))
+            if cut:
+                yield from settle(rows.slice(0, cut))
+            held = rows.slice(cut)
+    if held is not None and held.num_rows:
+        yield from settle(held)
+
+
+_SCORED = f"{_BLOCK}, counts binary, words binary, vectors binary, first binary"
+
+
+def _equip(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A block with the averaged vectors of its words of the rest; ``first`` marks those it accounts for."""
+    right = right.sort_by("place")
+    vectors = _vectors(right.column("vector")) if right.num_rows else np.zeros((0, 2 * WIDTH), np.float16)
+    first = right.column("first").to_numpy(zero_copy_only=False).astype(bool)
+    row = left.select([c.split()[0] for c in _SCORED.split(", ")[:-2]]).to_pylist()[0]
+    return pa.Table.from_pylist([row | {"vectors": _press(vectors), "first": _press(first)}], _schema(_SCORED))
+
+
 def _classes(words: np.ndarray, top: np.ndarray, number: np.ndarray) -> np.ndarray:
     at = np.minimum(np.searchsorted(top, words), len(top) - 1)
     return np.where(top[at] == words, number[at], 0).astype(np.int16)
@@ -223,6 +345,15 @@ def _average(batches):
         yield pa.RecordBatch.from_arrays([pa.array([(total / weight).tobytes()], pa.binary()), pa.array([weight])], ["flat", "weight"])
 
 
+def _added(batches):
+    total = 0.0
+    for batch in batches:
+        for flat in batch.column("flat").to_pylist():
+            total = total + np.frombuffer(flat)
+    if np.ndim(total):
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([1.0])], ["flat", "weight"])
+
+
 class Scorer:
     """A trained model with the corpus counts it needs to score blocks."""
 
@@ -246,58 +377,126 @@ class Scorer:
         self.model = Model(unigram / unigram.sum())
 
     def train(self, rounds: int = ROUNDS) -> Scorer:
-        """Fit where the blocks are, then average; each round starts from the last average."""
+        """Fit where the blocks are, then average; each round starts from the last average.
+
+        In the last round the words' own vectors learn too, from the positions of all rounds.
+        """
         for r in range(rounds):
             start, unigram, top, number = self.model.vector(), self.model.unigram, self.top, self.number
+            last = r == rounds - 1
 
-            def run(batches, start=start, unigram=unigram, top=top, number=number, r=r):
+            def run(batches, start=start, unigram=unigram, top=top, number=number, r=r, last=last):
                 model, state, weight = Model(unigram).load(start), {}, 0
                 for batch in batches:
                     for row in batch.to_pylist():
                         rng = np.random.default_rng((17, r, row["block"]))
-                        lengths = _unpress(row["lengths"], np.int64)
-                        w, u, v = _contexts(_unpress(row["tokens"], np.uint32), lengths, _classes(_unpress(row["words"], np.int64), top, number))
-                        at = rng.permutation(_examples(_unpress(row["held"], bool), lengths, r, rounds))
-                        model.fit(u[at], v[at], w[at], rng, state)
+                        lengths, held = _unpress(row["lengths"], np.int64), _unpress(row["held"], bool)
+                        tokens, words = _unpress(row["tokens"], np.uint32), _unpress(row["words"], np.int64)
+                        classes = _classes(words, top, number)
+                        w, u, v = _contexts(tokens, lengths, classes)
+                        at = rng.permutation(_examples(held, lengths, r, rounds))
                         weight += len(at)
+                        if not last:
+                            model.fit(u[at], v[at], w[at], rng, state)
+                            continue
+                        which, own_row = _own(classes, _unpress(row["counts"], np.int64))
+                        ow, ou, ov = _contexts(tokens, lengths, own_row, len(which))
+                        learn = _examples(held, lengths, 0, 1)
+                        own, pool = Own(len(which)), ow[learn[w[learn] == 0]]
+                        for others in range(r + 1, r + rounds):
+                            more = rng.permutation(_examples(held, lengths, others % rounds, rounds))
+                            model.fit(u[more], v[more], w[more], rng, None, own.at(ou[more], ov[more], ow[more], pool))
+                        model.fit(u[at], v[at], w[at], rng, state, own.at(ou[at], ov[at], ow[at], pool))
+                        times, vectors = np.bincount(tokens[learn], minlength=len(words))[which].astype(np.int32), own.rows()
+                        for k in range(0, len(which), 100_000):
+                            here = slice(k, k + 100_000)
+                            none = pa.nulls(len(which[here]))
+                            yield pa.RecordBatch.from_arrays([none.cast(pa.binary()), none.cast(pa.float64()), pa.array(which[here] + (row["block"] << _PLACE_BITS)), pa.array(words[which[here]]), _binary(vectors[here]), pa.array(times[here])], schema=_schema(_ROUND))
                 if weight:
-                    yield pa.RecordBatch.from_arrays([pa.array([model.vector().tobytes()], pa.binary()), pa.array([float(weight)])], ["flat", "weight"])
-
-            sets = self.blocks.mapInArrow(run, "flat binary, weight double")
-            n = self.blocks.rdd.getNumPartitions()
-            while n > FAN_IN:
-                n = -(-n // FAN_IN)
-                sets = sets.repartition(n).mapInArrow(_average, "flat binary, weight double")
-            found = sets.toArrow()
-            if found.num_rows:
-                self.model.load(np.frombuffer(next(iter(_average(found.to_batches()))).column("flat")[0].as_py()))
+                    yield pa.RecordBatch.from_pylist([{"flat": model.vector().tobytes(), "weight": float(weight)}], _schema(_ROUND))
+
+            out = self.blocks.mapInArrow(run, _ROUND)
+            if last:
+                out = stored(out, "lm-round")
+            averaged = self._by_tree(out.where("flat is not null").select("flat", "weight"), self.blocks.rdd.getNumPartitions(), _average)
+            if averaged is not None:
+                self.model.load(averaged)
+        own = out.where("word is not null").repartition("word").sortWithinPartitions("word").select("place", "word", "vector", "times").mapInArrow(_mean, _MEAN)
+        self.equipped = stored(self.blocks.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_equip, _SCORED), "lm-equipped")
+        self._normalise()
         return self
 
+    @staticmethod
+    def _by_tree(sets: DataFrame, n: int, merge) -> np.ndarray | None:
+        """Number sets from ``n`` partitions, merged level by level."""
+        while n > FAN_IN:
+            n = -(-n // FAN_IN)
+            sets = sets.repartition(n).mapInArrow(merge, "flat binary, weight double")
+        found = sets.toArrow()
+        return np.frombuffer(next(iter(merge(found.to_batches()))).column("flat")[0].as_py()) if found.num_rows else None
+
+    def _normalise(self) -> None:
+        """log of the sum over all words of the rest, for each class of the word before."""
+        g, top, number = self.model.g, self.top, self.number
+
+        def run(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    counts = _unpress(row["counts"], np.int64)
+                    which, _ = _own(_classes(_unpress(row["words"], np.int64), top, number), counts)
+                    own, first = Own(len(which), row["vectors"]), _unpress(row["first"], bool)
+                    q, times, total = own.q[:-1][first], counts[which][first] + 1.0, np.zeros(len(g))
+                    for k in range(0, len(q), 8192):
+                        total += times[k : k + 8192] @ np.expm1(q[k : k + 8192] @ g.T)
+                    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([1.0])], ["flat", "weight"])
+
+        more = self._by_tree(self.equipped.mapInArrow(run, "flat binary, weight double"), self.equipped.rdd.getNumPartitions(), _added)
+        more = 0.0 if more is None else more
+        self.log_rest = np.log(self.rest_n + self.rest_v + 1 + more) * np.ones(len(g))
+
     def scores(self) -> DataFrame:
-        tables, n, v, rest = self.model.tables(), self.n, self.v, self.rest_n + self.rest_v + 1
+        tables, n, v, model, log_rest = self.model.tables(), self.n, self.v, self.model, self.log_rest
         top, number = self.top, self.number
         ten = np.log(10.0)
 
         def run(batches):
             one, two, log_z = tables
+            r, q, bias = model.r.astype(np.float32), model.q.T.astype(np.float32), model.b.astype(np.float32)
+            c1, c2 = model.c1.astype(np.float32), model.c2.astype(np.float32)
             for batch in batches:
                 for row in batch.to_pylist():
                     ids, nulls = _unpress(row["docs"], np.int64).reshape(2, -1)
                     lengths, held = _unpress(row["lengths"], np.int64), _unpress(row["held"], bool)
                     tokens, count = _unpress(row["tokens"], np.uint32), _unpress(row["counts"], np.int64)
                     classes = _classes(_unpress(row["words"], np.int64), top, number)
+                    which, own_row = _own(classes, count)
+                    own = Own(len(which), row["vectors"])
+                    own_r, own_q = own.r.astype(np.float32), own.q
                     known = count > 0
                     base = np.log10((count + 1) / (n + v + 1))
-                    within = np.where(classes == 0, np.log((count + 1) / rest), 0.0)
-                    w, c1, c2 = _contexts(tokens, lengths, classes)
-                    logp = one[c1, w].astype(np.float64) + two[c2, w] - log_z[c1, c2] + within[tokens]
+                    w, u, v2 = _contexts(tokens, lengths, classes)
+                    ow, ou, ov = _contexts(tokens, lengths, own_row, len(which))
+                    logp = one[u, w].astype(np.float64) + two[v2, w] - log_z[u, v2]
+                    moved = np.flatnonzero((ou < len(which)) | (ov < len(which)))  # contexts with vectors of their own
+                    for k in range(0, len(moved), 4096):
+                        m = moved[k : k + 4096]
+                        s = ((r[u[m]] + own_r[ou[m]]) @ c1 + (r[v2[m]] + own_r[ov[m]]) @ c2) @ q + bias
+                        chosen = s[np.arange(len(m)), w[m]]
+                        highest = s.max(1)
+                        s -= highest[:, None]
+                        np.exp(s, out=s)
+                        logp[m] = chosen - highest - np.log(s.sum(1))
+                    rest = np.flatnonzero(w == 0)
+                    for k in range(0, len(rest), 1 << 16):
+                        m = rest[k : k + (1 << 16)]
+                        logp[m] += np.log(count[tokens[m]] + 1) + (model.g[u[m]] * own_q[ow[m]]).sum(1) - log_rest[u[m]]
                     at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(ids, mask=nulls.astype(bool)), pa.array(held), pa.array(lengths), pa.array(np.add.reduceat(known[tokens].astype(np.int64), at)), pa.array(np.full(len(ids), n)), pa.array(np.add.reduceat(base[tokens], at)), pa.array(np.add.reduceat(logp, at) / ten)],
                         ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                     )
 
-        return self.blocks.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return self.equipped.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def fitted(docs: DataFrame) -> Scorer:
