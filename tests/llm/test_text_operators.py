@@ -155,6 +155,15 @@ def test_credentials_of_letters_alone(spark):
     assert not list(personal.regions("just words of a text, a Key word and a Token of thanks " + "x" * 30000))
 
 
+def test_training_windows_come_from_the_whole_text():
+    rng = np.random.default_rng(6)
+    text = "".join(f"{''.join(rng.choice(list('abcdefghij klmnop'), 90))} {k}\n" for k in range(400))
+    every, some = personal.labelled_windows(text), personal.sampled_windows(text)
+    at = [every.index(w) for w in some]
+    assert len(some) == personal.DOC_WINDOWS and at[0] < len(every) / 8 and at[-1] > 7 * len(every) / 8
+    assert personal.sampled_windows(text[:200]) == personal.labelled_windows(text[:200])
+
+
 # 4: rules
 
 
