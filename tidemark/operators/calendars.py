@@ -57,7 +57,7 @@ def is_open(rows: DataFrame, hours: list[tuple[int, int, int]], zone: str, holid
     days = F.struct("kind", "opens_at", "closes_at")
     market = holidays.where("symbol is null").groupBy(F.col("holiday_date").alias("_date")).agg(F.max(days).alias("_m"))
     own = holidays.where("symbol is not null").groupBy("symbol", F.col("holiday_date").alias("_date")).agg(F.max(days).alias("_s"))
-    both = rows.join(F.broadcast(market.limit(100_000)), "_date", "left").join(own, ["symbol", "_date"], "left").withColumn("_h", F.coalesce("_s", "_m"))
+    both = rows.join(market, "_date", "left").join(own, ["symbol", "_date"], "left").withColumn("_h", F.coalesce("_s", "_m"))
     shut = (F.col("_h.kind") == "closed") | (F.col("_clock") >= F.col("_h.closes_at")) | (F.col("_clock") < F.col("_h.opens_at"))
     return both.withColumn("is_open", F.col("_open") & ~F.coalesce(shut, F.lit(False))).drop("_open", "_date", "_clock", "_m", "_s", "_h")
 

@@ -105,7 +105,7 @@ def pnl(deals: DataFrame) -> DataFrame:
 def retention(rows: DataFrame, policy: DataFrame, now: str) -> DataFrame:
     """Rows per kind that are older than their policy allows, those protected, and those removable."""
     age = F.datediff(F.lit(now).cast("timestamp"), F.col("at"))
-    met = rows.join(F.broadcast(policy.limit(10_000)), "kind").withColumn("_old", age > F.col("keep_days"))
+    met = rows.join(policy, "kind").withColumn("_old", age > F.col("keep_days"))
     return met.groupBy("kind").agg(F.count_if(F.col("_old")).alias("eligible"), F.count_if(F.col("_old") & F.col("protected")).alias("held"), F.count_if(F.col("_old") & ~F.col("protected")).alias("removable"))
 
 

@@ -20,9 +20,11 @@ LATENESS = "2 days"
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of files."""
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
+    """The events table as a stream of files: one file of its name, or all part files of its folder."""
+    events = table(spark, sf_dir, "events")
+    if not any(f.endswith("/events.parquet") for f in events.inputFiles()):
+        return spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet")
+    return spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
 
 
 def event_bars(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
