@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,14 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new place under the session's checkpoint folder; only a session without one gets a local folder."""
+    """A new place under the session's checkpoint folder.
+
+    Only a local session without the setting gets a local folder; on a cluster its absence is an error.
+    """
     base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-streams-")
         spark.conf.set(CHECKPOINT_KEY, base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
