@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests_llm_helpers import brute_near, brute_rules, low, words
 
+from tidemark.llm.common import vocabulary_file
 from tidemark.llm import bpe, extraction, language_model, near_text, near_vectors, packing, personal, queries, rules, tagger, warc
 
 ODD = [
@@ -47,18 +48,23 @@ def empty(spark):
 def library_ids(texts):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(queries.tokenizer("byte_bpe_50k.json"))
+    t = Tokenizer.from_file(vocabulary_file(queries.BYTE_BPE))
     return [(e.ids, t.decode(e.ids, skip_special_tokens=False)) for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_bpe_equals_library(spark, rows, odd):
     texts = [t or "" for _, t in rows[:120]] + [t or "" for _, t in ODD] + ["  lead", "tail  ", "\n\n x\r\n", "I'll we've 12345 ٣٤  z", "<|endoftext|>", "a<|endoftext|><|endoftext|> b"]
-    voc = bpe.Vocabulary(queries.tokenizer("byte_bpe_50k.json"))
-    for text, (ids, back), mine in zip(texts, library_ids(texts), voc.encode(texts), strict=True):
+    voc = bpe.Vocabulary(vocabulary_file(queries.BYTE_BPE))
+    found, counts = voc.encode(texts)
+    backs = voc.decode(found, counts)
+    for text, (ids, back), mine, mine_back in zip(texts, library_ids(texts), np.split(found, np.cumsum(counts)[:-1]), backs, strict=True):
         assert mine.tolist() == ids, text[:80]
-        assert voc.decode(mine) == back
-    path = queries.tokenizer("byte_bpe_50k.json")
-    assert voc.decode(np.array([0xE2], np.int32)) == library_decode([0xE2])
+        assert mine_back == back
+    voc.keep_common()
+    again, _ = voc.encode(texts)
+    assert again.tolist() == found.tolist()
+    path = vocabulary_file(queries.BYTE_BPE)
+    assert voc.decode(np.array([0xE2], np.int32), np.array([1])) == [library_decode([0xE2])]
     ids = bpe.encode(odd, path)
     assert Counter(r["text"] for r in bpe.decode(ids, path).collect()) == Counter(t or "" for _, t in ODD)
     assert bpe.round_trip(empty(spark), path).count() == 0
@@ -67,7 +73,7 @@ def test_bpe_equals_library(spark, rows, odd):
 def library_decode(ids):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(queries.tokenizer("byte_bpe_50k.json")).decode(ids, skip_special_tokens=False)
+    return Tokenizer.from_file(vocabulary_file(queries.BYTE_BPE)).decode(ids, skip_special_tokens=False)
 
 
 def test_bpe_query_digests(spark, sf, rows):
@@ -384,7 +390,7 @@ def check_pieces(pieces, ids_of, limit):
 def test_packing(spark, sf, rows, odd):
     from tokenizers import Tokenizer
 
-    path = queries.tokenizer("word_bpe_49k.json")
+    path = vocabulary_file(queries.WORD_BPE)
     t = Tokenizer.from_file(path)
     ids = {i: t.encode(x or "", add_special_tokens=False).ids + [1] for i, x in rows}
     check_pieces(queries.op9_packing(spark, sf).collect(), ids, 0.01)

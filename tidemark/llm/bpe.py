@@ -1,18 +1,14 @@
 """Byte-level BPE by a pair occurrence index.
 
-The distinct words of a batch stand in one linked sequence of symbols.  An
-index maps each mergeable pair to all positions where it occurs; ranks become
-active when a pair appears and are applied in ascending order, each over its
-whole position list, and a merge updates only the lists of its neighbours.
-That order equals merging word by word because a merge's product is always
-learnt before any merge that uses it (checked when a vocabulary is read).
-Memory is bounded by a batch and a bounded cache of encoded words.
+The distinct words of a partition's texts, a bounded slice at a time, are
+merged together: an index maps each pair to all its positions (see ``pairs``),
+ranks are applied in ascending order.  A text's ids are then gathered word by
+word from one array, without an object for each word.
 """
 
 from __future__ import annotations
 
 import functools
-import heapq
 import itertools
 import json
 
@@ -23,15 +19,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, vocabulary_file
+from .pairs import PairIndex, gathered, words
 
-CACHE_WORDS = 150_000
-#: Bytes of text encoded before a result batch is handed on.
-PART_BYTES = 2 << 20
+#: Distinct words kept between slices of a partition, and bytes of text in a slice.
+CACHE_WORDS, PART_BYTES = 200_000, 8 << 20
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The printable stand-in of each byte in a byte-level vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     spare = itertools.count(256)
@@ -39,132 +35,87 @@ def _byte_letters() -> list[str]:
 
 
 class Vocabulary:
-    """A byte-level BPE vocabulary read from a tokenizers JSON file."""
+    """A byte-level BPE vocabulary read from a tokenizers JSON file.
+
+    Tables of distinct words are bounded; when one is full the words seen once are forgotten.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         ids = spec["model"]["vocab"]
-        letters = _byte_letters()
+        letters = byte_letters()
         back = {c: b for b, c in enumerate(letters)}
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = 1 + max([*ids.values(), *self.specials.values()])
-        self.token_bytes = [b""] * size
+        token_bytes = [b""] * size
         for token, i in ids.items():
-            self.token_bytes[i] = bytes(back[c] for c in token)
+            token_bytes[i] = bytes(back[c] for c in token)
         for token, i in self.specials.items():
-            self.token_bytes[i] = token.encode()
-        self.byte_ids = np.array([ids[c] for c in letters], np.int64)
-        known, self.merges, self.rank = set(self.byte_ids.tolist()), [], {}
-        for r, pair in enumerate(spec["model"]["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            left, right, made = ids[a], ids[b], ids[a + b]
-            if left not in known or right not in known or made in known:
-                raise ValueError("merges must make each token once, after its parts")
-            known.add(made)
-            self.merges.append((left, right, made))
-            self.rank[left << 20 | right] = r
-        keys = np.array([a << 20 | b for a, b, _ in self.merges], np.int64)
-        self._order = np.argsort(keys)
-        self._keys = keys[self._order]
+            token_bytes[i] = token.encode()
+        self.bytes_flat = np.frombuffer(b"".join(token_bytes), np.uint8)
+        self.bytes_at = np.concatenate([[0], np.cumsum([len(t) for t in token_bytes])])
+        self.byte_ids = np.array([ids[c] for c in letters], np.int32)
+        merges = [tuple(pair) if isinstance(pair, list) else tuple(pair.split(" ")) for pair in spec["model"]["merges"]]
+        self.index = PairIndex([(ids[a], ids[b], ids[a + b]) for a, b in merges], set(self.byte_ids.tolist()))
         self.split = regex.compile(_SPLIT)
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        self.shared = list(range(size))
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def _encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Token ids of distinct non-empty words, merged together through the pair index."""
-        raw = [w.encode("utf-8") for w in words]
-        lengths = np.array([len(x) for x in raw])
-        symbols = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
-        n = len(symbols)
-        last = np.zeros(n, bool)
-        last[np.cumsum(lengths) - 1] = True
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
-        after[last] = -1
-        before[1:][last[:-1]] = -1
-        here = np.flatnonzero(~last)
-        key = symbols[here] << 20 | symbols[here + 1]
-        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-        hit = self._keys[at] == key
-        rank, here = self._order[at[hit]], here[hit]
-        by_rank = np.argsort(rank, kind="stable")
-        rank, here = rank[by_rank], here[by_rank]
-        edges = np.flatnonzero(np.diff(rank)) + 1
-        index = dict(zip(rank[np.concatenate([[0], edges])].tolist() if len(rank) else [], [x.tolist() for x in np.split(here, edges)] if len(rank) else [], strict=True))
-        active = sorted(index)
-        symbols, after, before = symbols.tolist(), after.tolist(), before.tolist()
-        rank_of, merges = self.rank.get, self.merges
-        while active:
-            r = heapq.heappop(active)
-            places = index.pop(r)
-            left, right, made = merges[r]
-            if left == right:
-                places.sort()
-            for p in places:
-                q = after[p]
-                if symbols[p] != left or q < 0 or symbols[q] != right:
-                    continue
-                symbols[p], symbols[q] = made, -1
-                nxt = after[p] = after[q]
-                if nxt >= 0:
-                    before[nxt] = p
-                    new = rank_of(made << 20 | symbols[nxt])
-                    if new is not None:
-                        if new in index:
-                            index[new].append(p)
-                        else:
-                            index[new] = [p]
-                            heapq.heappush(active, new)
-                prv = before[p]
-                if prv >= 0:
-                    new = rank_of(symbols[prv] << 20 | made)
-                    if new is not None:
-                        if new in index:
-                            index[new].append(prv)
-                        else:
-                            index[new] = [prv]
-                            heapq.heappush(active, new)
-        flat = np.array(symbols)
-        alive = flat >= 0
-        count = np.add.reduceat(alive, np.concatenate([[0], np.cumsum(lengths)[:-1]]))
-        rest = flat[alive].tolist()
-        shared, out, k = self.shared, [], 0
-        for c in count.tolist():
-            out.append(tuple([shared[i] for i in rest[k : k + c]]))
-            k += c
-        return out
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.seen = words(self.specials), np.zeros(0, np.int64)
+        self.flat, self.offsets = np.array(list(self.specials.values()), np.int32), np.arange(len(self.specials) + 1)
+
+    def keep_common(self, most: int = CACHE_WORDS // 2) -> None:
+        """Forget the words seen once, and all if still more than ``most`` are left."""
+        again = self.seen > 1
+        again[: len(self.specials)] = True
+        kept = np.flatnonzero(again)
+        if len(kept) > most:
+            self.forget()
+            return
+        names = list(self.words)
+        self.words = words(map(names.__getitem__, kept.tolist()))
+        self.flat, length = gathered(self.flat, self.offsets, kept)
+        self.offsets = np.concatenate([[0], np.cumsum(length)])
+        self.seen = np.ones(len(kept), np.int64)
 
     def _words(self, text: str) -> list[str]:
         if self.special_split is None or not any(s in text for s in self.specials):
             return self.split.findall(text)
-        words = []
+        found = []
         for part in self.special_split.split(text):
-            words += [part] if part in self.specials else self.split.findall(part)
-        return words
-
-    def encode(self, rows: list[str]) -> list[np.ndarray]:
-        """Token ids of each text; special tokens' strings are recognised, none are added."""
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        for s, i in self.specials.items():
-            cache[s] = (i,)
-        split = [self._words(t) for t in rows]
-        new = [w for w in set(itertools.chain.from_iterable(split)) if w not in cache]
+            found += [part] if part in self.specials else self.split.findall(part)
+        return found
+
+    def encode(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(token ids, their number in each text); special tokens' strings are recognised, none are added."""
+        if len(self.words) > CACHE_WORDS:
+            self.keep_common()
+        number = self.words.__getitem__
+        at = [np.fromiter(map(number, self._words(t)), np.int64) for t in rows]
+        new = [w.encode("utf-8") for w in itertools.islice(self.words, len(self.offsets) - 1, None)]
         if new:
-            cache.update(zip(new, self._encode_words(new), strict=True))
-        get = cache.__getitem__
-        return [np.fromiter(itertools.chain.from_iterable(map(get, words)), np.int32) for words in split]
-
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of token ids, special tokens included; invalid UTF-8 is replaced."""
-        return b"".join(map(self.token_bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
-
-
-@functools.lru_cache(maxsize=2)
+            flat, count = self.index.merge(self.byte_ids[np.frombuffer(b"".join(new), np.uint8)], np.array([len(w) for w in new]))
+            self.flat = np.concatenate([self.flat, flat])
+            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(count)])
+        every = np.concatenate([np.zeros(0, np.int64), *at])
+        self.seen = np.concatenate([self.seen, np.zeros(len(self.words) - len(self.seen), np.int64)]) + np.bincount(every, minlength=len(self.words))
+        ids, length = gathered(self.flat, self.offsets, every)
+        stop = np.concatenate([[0], np.cumsum(length)])[np.cumsum([0, *(len(x) for x in at)])]
+        return ids, np.diff(stop)
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """The texts of token ids, special tokens included; invalid UTF-8 is replaced."""
+        data, length = gathered(self.bytes_flat, self.bytes_at, ids)
+        stop = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        data = data.tobytes()
+        return [data[a:b].decode("utf-8", "replace") for a, b in itertools.pairwise(stop)]
+
+
+@functools.lru_cache(maxsize=1)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    return Vocabulary(vocabulary_file(path))
 
 
 def parts(batch: pa.RecordBatch, column: str, limit: int = PART_BYTES):
@@ -177,16 +128,15 @@ def parts(batch: pa.RecordBatch, column: str, limit: int = PART_BYTES):
         first, done = last, size[last - 1]
 
 
-def _lists(ids: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids): token ids of each whole text.
 
     ``path`` is the vocabulary file, which every executor must have at that
-    place.  A null or empty text has no ids; rows are neither joined nor
+    place, or the bare name of a public tokenizer.  A null or empty text has no ids; rows are neither joined nor
     dropped, so repeated rows and null ids stay; other columns are ignored.
     """
 
@@ -194,7 +144,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         voc = vocabulary(path)
         for batch in batches:
             for part in parts(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(voc.encode(part.column("text").to_pylist()))], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(*voc.encode(part.column("text").to_pylist()))], ["doc_id", "ids"])
+        voc.keep_common()
 
     return texts(docs, "doc_id").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -206,7 +157,8 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
         voc = vocabulary(path)
         for batch in batches:
             ids = batch.column("ids")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([voc.decode(np.asarray(x.values if x.is_valid else [], np.int32)) for x in ids], pa.string())], ["doc_id", "text"])
+            counts = pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(voc.decode(ids.flatten().to_numpy(zero_copy_only=False), counts), pa.string())], ["doc_id", "text"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
@@ -218,8 +170,9 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         voc = vocabulary(path)
         for batch in batches:
             for part in parts(batch, "text"):
-                ids = voc.encode(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(ids), pa.array([voc.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "text"])
+                ids, counts = voc.encode(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(ids, counts), pa.array(voc.decode(ids, counts), pa.string())], ["doc_id", "ids", "text"])
+        voc.keep_common()
 
     return texts(docs, "doc_id").mapInArrow(run, "doc_id long, ids array<int>, text string")
 

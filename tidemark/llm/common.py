@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 
@@ -14,10 +16,13 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where the setting is absent (a local test session) one is made here.
+    Only a local session, whose executors are the driver's own threads, gets a
+    folder of its own where the setting is absent; on a cluster that is an error.
     """
     found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
         spark.conf.set(CHECKPOINT_KEY, found)
     return found.rstrip("/")
@@ -43,6 +48,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary_file(path: str) -> str:
+    """Where a tokenizer's file is on this machine: a bare name is one of the public tokenizers."""
+    if os.path.basename(path) != path:
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(path)
+
+
 def fold(column: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``."""
     return F.crc32(F.col(column).cast("string")) % modulus

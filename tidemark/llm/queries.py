@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, extraction, language_model, near_text, near_vectors, packing, personal, quality, rules, warc
 from .common import table
 
-#: Where the public vocabulary files are; every executor has them at the same place.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-
-
-def tokenizer(name: str) -> str:
-    return os.path.join(TOKENIZERS, name)
+#: Vocabularies by name; every worker finds them through the public tokenizers' package.
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +16,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +46,7 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), with_ids=False).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, with_ids=False).drop("ids")
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
