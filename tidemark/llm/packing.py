@@ -18,16 +18,21 @@ No shuffle: blocks are cut from each input partition as it is read.
 from __future__ import annotations
 
 import functools
+import itertools
+import json
+import re
 import zlib
 from collections import deque
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe import parts
-from .common import texts
+from .bpe import byte_letters, parts
+from .common import texts, vocabulary_file
+from .pairs import PairIndex, gathered, words
 
 WINDOW = 2048
 SENTENCE_PENALTY, TRUNCATION_PENALTY, WINDOW_COST = 1.0, 8.0, 2.0
@@ -37,15 +42,26 @@ MAX_GAP = 64
 BLOCK_TOKENS = 1 << 20
 #: Padding-free lengths tried everywhere; all powers of two are tried at a block's end.
 EXACT = (1024, 512, 256)
-CACHE_WORDS = 200_000
+#: Distinct chunks kept between slices of a partition, and bytes of text in a slice.
+CACHE_WORDS, SLICE_BYTES = 200_000, 8 << 20
+#: The tokenizer's pieces, and the blank between chunks.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+| ")
+#: Chunks that the library encodes: with characters beyond the Latin blocks, or with what begins a special token.
+_PLAIN_END = "\u0250"
+_ODD = re.compile(rf"[{_PLAIN_END}-\U0010ffff]|<\|")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _SENTENCE_END = frozenset(".!?…。！？")
 
 
 class WordTokens:
-    """A tokenizers vocabulary whose pre-tokenizer never crosses white space.
-
-    Texts are split at white space and each distinct chunk is encoded once by
-    the library; a bounded cache holds the ids as bytes.
+    """Token ids of a vocabulary whose pre-tokenizer never crosses white space.
+
+    Texts are split at white space and each distinct chunk is encoded once: its
+    pieces (the tokenizer's own pattern) are merged together with those of all
+    other new chunks through the pair occurrence index.  Chunks with characters
+    from ``_PLAIN_END`` on, where normalising is more than lower case, and those
+    that may hold a special token go through the library.  Tables of chunks and
+    pieces are bounded; when one is full the chunks seen once are forgotten.
     """
 
     def __init__(self, path: str):
@@ -54,32 +70,98 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        ids = spec["model"]["vocab"]
+        letters = byte_letters()
+        self.inner, self.final = (np.array([ids[c + end] for c in letters], np.int32) for end in ("", "</w>"))
+        merges = [tuple(pair) if isinstance(pair, list) else tuple(pair.split(" ")) for pair in spec["model"]["merges"]]
+        self.index = PairIndex([(ids[a], ids[b], ids[a + b]) for a, b in merges], {*self.inner.tolist(), *self.final.tolist()})
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(1 + max(vocab.values()), bool)
         for token, i in vocab.items():
             word = token.removesuffix("</w>")
             self.ends[i] = token.endswith("</w>") and word != "" and set(word) <= _SENTENCE_END
-
-    def _library(self, rows: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(rows, add_special_tokens=False)]
-
-    def encode(self, rows: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in rows]  # str.split takes these as white space, the library does not
-        new = list({w for words in split if words for w in words if w not in cache})
-        if new:
-            cache.update(zip(new, self._library(new), strict=True))
-        get = cache.__getitem__
-        return [b"".join(map(get, words)) if words is not None else self._library([t])[0] for t, words in zip(rows, split, strict=True)]
-
-
-@functools.lru_cache(maxsize=2)
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.flat, self.offsets = words(), np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.seen = np.zeros(0, np.int64)
+
+    def keep_common(self, most: int = CACHE_WORDS // 2) -> None:
+        """Forget the chunks seen once, and all if still more than ``most`` are left."""
+        kept = np.flatnonzero(self.seen > 1)
+        if len(kept) > most:
+            self.forget()
+            return
+        names = list(self.words)
+        self.words = words(map(names.__getitem__, kept.tolist()))
+        self.flat, length = gathered(self.flat, self.offsets, kept)
+        self.offsets = np.concatenate([[0], np.cumsum(length)])
+        self.seen = np.ones(len(kept), np.int64)
+
+    def _library(self, rows: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch(rows, add_special_tokens=False)]
+
+    def _pieces(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of each chunk) of plain chunks."""
+        number = words([" "])
+        at = np.fromiter(map(number.__getitem__, _PIECE.findall(" ".join(chunks).lower() + " ")), np.int64)
+        new = [w.encode() for w in itertools.islice(number, 1, None)]
+        lengths = np.array([len(w) for w in new], np.int64)
+        raw = np.frombuffer(b"".join(new), np.uint8)
+        symbols = self.inner[raw]
+        last = np.cumsum(lengths) - 1
+        symbols[last] = self.final[raw[last]]
+        flat, count = self.index.merge(symbols, lengths)
+        offsets = np.concatenate([[0, 0], np.cumsum(count)])  # the blank between chunks has no ids
+        ids, length = gathered(flat, offsets, at)
+        stop = np.cumsum(length)[at == 0]
+        return ids, np.diff(stop, prepend=0)
+
+    def _learn(self) -> None:
+        """Encode the chunks that have been numbered but not encoded."""
+        new = list(itertools.islice(self.words, len(self.offsets) - 1, None))
+        if not new:
+            return
+        odd = {w for w in new if _ODD.search(w)} if _ODD.search(" ".join(new)) else ()
+        ids, count = self._pieces([w for w in new if w not in odd] if odd else new)
+        if odd:
+            hard = [w for w in new if w in odd]
+            found = self._library(hard)
+            plain = np.array([w not in odd for w in new])
+            order = np.empty(len(new), np.int64)
+            order[plain], order[~plain] = np.arange(len(count)), np.arange(len(count), len(new))
+            count = np.concatenate([count, [len(x) for x in found]]).astype(np.int64)
+            ids, count = gathered(np.concatenate([ids, *found]), np.concatenate([[0], np.cumsum(count)]), order)
+        self.flat = np.concatenate([self.flat, ids])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(count)])
+
+    def encode(self, rows: list[str]) -> list[np.ndarray]:
+        """Token ids of each text."""
+        if len(self.words) > CACHE_WORDS:
+            self.keep_common()
+        number = self.words.__getitem__
+        whole = {k for k, t in enumerate(rows) if any(c in t for c in _SEPARATORS)}  # str.split takes these as white space, the library does not
+        at = [np.fromiter(map(number, t.split()), np.int64) if k not in whole else None for k, t in enumerate(rows)]
+        self._learn()
+        every = np.concatenate([np.zeros(0, np.int64), *(x for x in at if x is not None)])
+        self.seen = np.concatenate([self.seen, np.zeros(len(self.words) - len(self.seen), np.int64)]) + np.bincount(every, minlength=len(self.words))
+        ids, length = gathered(self.flat, self.offsets, every)
+        stop = np.concatenate([[0], np.cumsum(length)])
+        out, done = [], 0
+        for k, x in enumerate(at):
+            if x is None:
+                out += self._library([rows[k]])
+            else:
+                out.append(ids[stop[done] : stop[done + len(x)]])
+                done += len(x)
+        return out
+
+
+@functools.lru_cache(maxsize=1)
 def word_tokens(path: str) -> WordTokens:
-    return WordTokens(path)
+    return WordTokens(vocabulary_file(path))
 
 
 def candidates(ends_doc: np.ndarray, sentence: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,8 +256,8 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, with_ids: bool = True) ->
 
         def flush():
             nonlocal sequence, names, held, size
-            ids = np.frombuffer(b"".join(held), np.uint32)
-            lengths = np.array([len(x) // 4 for x in held])
+            ids = np.concatenate(held)
+            lengths = np.array([len(x) + 1 for x in held[::2]])
             doc, start, length, window, offset, at = pack_block(ids, np.cumsum(lengths), voc.ends)
             view = memoryview(ids).cast("B")
             crc = [zlib.crc32(view[4 * p : 4 * (p + n)]) for p, n in zip(at.tolist(), length.tolist(), strict=True)]
@@ -186,16 +268,17 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, with_ids: bool = True) ->
             names, held, size = [], [], 0
             return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PIECES.split(", ")])
 
-        end = np.array([end_id], np.uint32).tobytes()
+        end = np.array([end_id], np.int32)
         for batch in batches:
-            for part in parts(batch, "text"):
+            for part in parts(batch, "text", SLICE_BYTES):
                 for name, found in zip(part.column("doc_id").to_pylist(), voc.encode(part.column("text").to_pylist()), strict=True):
                     names.append(name)
-                    held.append(found + end)
-                    size += len(found) // 4 + 1
+                    held += [found, end]
+                    size += len(found) + 1
                     if size >= BLOCK_TOKENS:
                         yield flush()
         if held:
             yield flush()
+        voc.keep_common()
 
     return texts(docs, "doc_id").mapInArrow(run, PIECES)
