@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import near_text, packing, personal, quality, rules
 from tidemark.llm.common import stored, table
-from tidemark.llm.queries import tokenizer
+from tidemark.llm.queries import WORD_BPE
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 2048 tokens."""
-    return packing.pack(docs, tokenizer("word_bpe_49k.json"))
+    return packing.pack(docs, WORD_BPE)
 
 
 STAGES = [("quality-classifier", quality_classifier), ("quality-rules", quality_rules), ("near-duplicates", near_duplicates), ("personal-data", personal_data), ("packing", packed)]
