@@ -291,6 +291,19 @@ def test_near_text(spark, docs, rows, odd, monkeypatch):
     assert near_text.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_text_with_repeated_ids(spark):
+    text = {k: " ".join(f"{k}{n}" for n in range(300)) for k in "abc"}
+    rows = [(1, text["a"]), (1, text["b"]), (2, text["a"] + " more"), (3, text["b"] + " more"), (9, text["c"]), (9, text["a"]), (8, text["c"] + " x"), (9, text["c"]), (7, None), (7, text["c"])]
+    assert near(spark.createDataFrame(rows, "doc_id long, text string")) == brute_near(rows)
+    pair = near(spark.createDataFrame(rows[:4], "doc_id long, text string"))
+    assert {c for _, _, c in pair} == {1} and pair == brute_near(rows[:4])
+    kept = near_text.representatives(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, cid string")).collect()
+    assert sorted((r["doc_id"], (r["text"] or "")[:2]) for r in kept) == [(1, "a0"), (1, "b0"), (7, ""), (7, "c0")] and kept[0].__fields__ == ["doc_id", "text", "cid"]
+    near_copies = [(9, text["c"]), (9, text["c"] + " x"), (9, text["a"]), (1, text["a"])]
+    kept = near_text.representatives(spark.createDataFrame(near_copies, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"][:2]) for r in kept) == [(1, "a0"), (9, "c0")]
+
+
 def test_estimate_is_unbiased():
     rng = np.random.default_rng(2)
     for j in (0.3, 0.6, 0.85, 0.95):

@@ -110,8 +110,8 @@ def _sketch_rows(batches):
             keys = band_keys(registers)
             digest = [hashlib.blake2b(value[at[i] : at[i + 1]], digest_size=16).digest() if at[i] < at[i + 1] else None for i in range(n)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, n), pa.array(np.diff(at)), pa.array(digest, pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64())), pa.array([r.tobytes() for r in registers], pa.binary())],
-                ["doc_id", "n_shingles", "digest", "bands", "sketch"],
+                [batch.column("doc_id").slice(a, n), batch.column("text_key").slice(a, n), pa.array(np.diff(at)), pa.array(digest, pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64())), pa.array([r.tobytes() for r in registers], pa.binary())],
+                ["doc_id", "text_key", "n_shingles", "digest", "bands", "sketch"],
             )
 
 
@@ -142,6 +142,11 @@ def _alike(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     return 100 * both >= threshold * (len(a) + len(b) - both)
 
 
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """Equal values as equal small numbers."""
+    return column.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+
+
 class _Groups:
     """Union-find over positions of one comparison."""
 
@@ -181,7 +186,7 @@ def _confirmed_pairs(threshold: int):
 def _across(group: pa.Table, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows of both sides of a pair of blocks, and which of them may link different components."""
     minor = group.column("minor").to_numpy(zero_copy_only=False)
-    component = group.column("component").to_numpy()
+    component = _numbers(group.column("component"))
     left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
     hopeful, guess = _hopeful(group.take(pa.array(left)), group.take(pa.array(right)), threshold)
     return left, right, hopeful & (component[left][:, None] != component[right][None, :]), guess
@@ -193,7 +198,7 @@ def _promising_rows(threshold: int):
     def run(group: pa.Table) -> pa.Table:
         left, right, hopeful, _ = _across(group, threshold)
         some = np.concatenate([left[hopeful.any(axis=1)], right[hopeful.any(axis=0)]])
-        return group.select(["bucket", "lo", "hi", "minor", "doc_id", "component"]).take(pa.array(some, pa.int64()))
+        return group.select(["bucket", "lo", "hi", "minor", "cid", "component"]).take(pa.array(some, pa.int64()))
 
     return run
 
@@ -203,8 +208,8 @@ def _compare(threshold: int):
 
     def run(group: pa.Table) -> pa.Table:
         left, right, hopeful, guess = _across(group, threshold)
-        ids, sets = group.column("doc_id").to_numpy(), _sets(group.column("text"))
-        component = np.unique(group.column("component").to_numpy(), return_inverse=True)[1].tolist()
+        ids, sets = group.column("cid").to_pylist(), _sets(group.column("text"))
+        component = _numbers(group.column("component")).tolist()
         x, y = np.nonzero(hopeful)
         order = np.argsort(-guess[x, y], kind="stable")
         found, tree = [], _Groups(len(ids))
@@ -213,47 +218,46 @@ def _compare(threshold: int):
             if r != s and _alike(sets[p], sets[q], threshold):
                 tree.up[r] = s
                 found.append((ids[p], ids[q]))
-        return pa.table({"a": pa.array([int(p) for p, _ in found], pa.int64()), "b": pa.array([int(q) for _, q in found], pa.int64())})
+        return pa.table({"a": pa.array([p for p, _ in found], pa.binary()), "b": pa.array([q for _, q in found], pa.binary())})
 
     return run
 
 
-def _open(members: DataFrame, links: DataFrame | None, seed: int) -> DataFrame:
-    """(bucket, doc_id, component, minor) of buckets that still hold several components.
+def _open(members: DataFrame, known: DataFrame | None, seed: int) -> DataFrame:
+    """(bucket, cid, component, minor) of buckets that still hold several components.
 
     ``minor`` rows are outside the largest component of their bucket.  Without
-    links each document is its own component.
+    ``known`` components each class is its own.
     """
-    if links is None:
-        rows = members.withColumn("component", F.col("doc_id"))
+    if known is None:
+        rows = members.withColumn("component", F.col("cid"))
     else:
-        known = components(links)
-        rows = members.join(known, members["doc_id"] == known["id"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        rows = members.join(known, members["cid"] == known["id"], "left").select("bucket", "cid", F.coalesce("component", "cid").alias("component"))
     sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max_by("component", F.struct("n", F.xxhash64("component", F.lit(seed)))).alias("main")).where("k > 1").select("bucket", "main")
-    return stored(rows.join(main, "bucket").select("bucket", "doc_id", "component", (F.col("component") != F.col("main")).alias("minor")), "open")
+    return stored(rows.join(main, "bucket").select("bucket", "cid", "component", (F.col("component") != F.col("main")).alias("minor")), "open")
 
 
 def _leader_links(rows: DataFrame, payload: DataFrame, threshold: int, seed: int) -> DataFrame:
     """Links between one member of each bucket's largest component and the rows outside it.
 
-    Buckets of one group mostly choose the same leader, so a document has few
+    Buckets of one group mostly choose the same leader, so a class has few
     distinct pairs.  A leader's pairs are dealt out in parts of bounded size.
     """
-    leaders = rows.where("not minor").groupBy("bucket").agg(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(seed))).alias("a"))
-    pairs = rows.where("minor").join(leaders, "bucket").select("a", F.col("doc_id").alias("b")).distinct()
+    leaders = rows.where("not minor").groupBy("bucket").agg(F.min_by("cid", F.xxhash64("cid", F.lit(seed))).alias("a"))
+    pairs = rows.where("minor").join(leaders, "bucket").select("a", F.col("cid").alias("b")).distinct()
     size = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))
     pairs = stored(pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")), "pairs")
 
     def beside(pairs: DataFrame, check, schema: str, *columns: str) -> DataFrame:
-        side = payload.select("doc_id", *columns)
-        members = pairs.join(side.withColumnRenamed("doc_id", "b"), "b")
-        own = pairs.select("a", "part").distinct().join(side.withColumnRenamed("doc_id", "a"), "a")
+        side = payload.select("cid", *columns)
+        members = pairs.join(side.withColumnRenamed("cid", "b"), "b")
+        own = pairs.select("a", "part").distinct().join(side.withColumnRenamed("cid", "a"), "a")
         own = own.toDF(*own.columns)  # its columns are not those of ``members``
         return members.groupBy("a", "part").cogroup(own.groupBy("a", "part")).applyInArrow(check(threshold), schema)
 
-    hopeful = stored(beside(pairs, _promising_pairs, "a long, b long, part int", "n_shingles", "sketch"), "hopeful")
-    return stored(beside(hopeful, _confirmed_pairs, "a long, b long", "text"), "confirmed")
+    hopeful = stored(beside(pairs, _promising_pairs, "a binary, b binary, part int", "n_shingles", "sketch"), "hopeful")
+    return stored(beside(hopeful, _confirmed_pairs, "a binary, b binary", "text"), "confirmed")
 
 
 def _block_links(rows: DataFrame, payload: DataFrame, threshold: int) -> DataFrame:
@@ -266,51 +270,78 @@ def _block_links(rows: DataFrame, payload: DataFrame, threshold: int) -> DataFra
     size = rows.groupBy("bucket").agg(F.ceil(F.count_if("minor") / BLOCK_ROWS).cast("int").alias("few"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("all"))
     sized = rows.join(size, "bucket")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-    left = sized.where("minor").select("bucket", own("few").alias("lo"), every("all").alias("hi"), F.lit(True).alias("minor"), "doc_id", "component")
-    right = sized.select("bucket", every("few").alias("lo"), own("all").alias("hi"), F.lit(False).alias("minor"), "doc_id", "component")
+    own = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    left = sized.where("minor").select("bucket", own("few").alias("lo"), every("all").alias("hi"), F.lit(True).alias("minor"), "cid", "component")
+    right = sized.select("bucket", every("few").alias("lo"), own("all").alias("hi"), F.lit(False).alias("minor"), "cid", "component")
     key = ["bucket", "lo", "hi"]
-    hopeful = left.unionByName(right).join(payload.select("doc_id", "n_shingles", "sketch"), "doc_id").groupBy(*key).applyInArrow(_promising_rows(threshold), "bucket long, lo int, hi int, minor boolean, doc_id long, component long")
-    return stored(stored(hopeful, "hopeful").join(payload, "doc_id").groupBy(*key).applyInArrow(_compare(threshold), "a long, b long"), "confirmed")
+    hopeful = left.unionByName(right).join(payload.select("cid", "n_shingles", "sketch"), "cid").groupBy(*key).applyInArrow(_promising_rows(threshold), "bucket long, lo int, hi int, minor boolean, cid binary, component binary")
+    return stored(stored(hopeful, "hopeful").join(payload, "cid").groupBy(*key).applyInArrow(_compare(threshold), "a binary, b binary"), "confirmed")
+
+
+def _classes(filled: DataFrame) -> DataFrame:
+    """(digest, doc_id, text_key, cid) of each distinct set: one row that has it, and the name it goes by.
+
+    The name is the row's doc_id in eight bytes, followed by the text's hash
+    where several classes would have the same: a doc_id that repeats with
+    different texts is in several classes.
+    """
+    first = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("_r")).select("digest", "_r.doc_id", "_r.text_key")
+    shared = first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    eight = lambda c: F.lpad(F.hex(c), 16, "0")
+    name = F.concat(eight("doc_id"), F.when(F.col("_n").isNotNull(), eight("text_key")).otherwise(""))
+    return first.join(shared, "doc_id", "left").select("digest", "doc_id", "text_key", F.unhex(name).alias("cid"))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document.
 
-    Two documents are linked if 100 * |intersection| >= threshold * |union| of
+    Two rows are linked if 100 * |intersection| >= threshold * |union| of
     their sets.  A null or empty text, or one without words, has an empty set
     and stands alone; a text of fewer than five words has its whole sequence
-    as one shingle.  Repeated rows of one doc_id count as equal documents and
-    stay as rows.  Rows whose doc_id is null are kept and linked with nothing
-    (component_id null, kept true).  Other columns are ignored.
+    as one shingle.  Rows are compared as rows: a doc_id that repeats with
+    different texts has the component of each text in its row, and
+    ``component_id`` is the smallest doc_id of the component's rows.  Rows whose
+    doc_id is null are kept and linked with nothing (component_id null, kept
+    true).  Other columns are ignored.
     """
-    source = texts(docs, "doc_id")
-    parts = stored(source.mapInArrow(_sketch_rows, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary"), "sketches")
+    return _grouped(docs, threshold).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _grouped(docs: DataFrame, threshold: int) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, chosen) of every row; one text of each component is ``chosen``."""
+    source = texts(docs, "doc_id").withColumn("text_key", F.xxhash64("text"))
+    parts = stored(source.mapInArrow(_sketch_rows, "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>, sketch binary"), "sketches")
     filled = parts.where("digest is not null and doc_id is not null")
-    classes = stored(filled.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
+    classes = stored(_classes(filled), "classes")
+    row = ["doc_id", "text_key"]
+    reps = filled.join(classes.select(*row, "cid"), row).dropDuplicates(["cid"])
+    buckets = reps.select("cid", F.explode("bands").alias("bucket"))
     # Buckets with the same members would repeat the same comparisons: one of them is enough.
-    member = F.xxhash64("doc_id")
+    member = F.xxhash64("cid")
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(member).alias("x"), F.sum(member.bitwiseAND((1 << 40) - 1)).alias("s")).where("n > 1")
     chosen = sizes.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket")
     members = stored(buckets.join(chosen, "bucket", "left_semi").distinct(), "members")
-    needed = members.select("doc_id").distinct()
-    rows = reps.select("doc_id", "n_shingles", "sketch").join(needed, "doc_id", "left_semi")
+    needed = members.select("cid").distinct()
+    rows = reps.select("cid", *row, "n_shingles", "sketch").join(needed, "cid", "left_semi")
     # One plan at every size: the needed ids grow with the corpus, so they are never broadcast.
-    payload = stored(source.join(rows.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch", "text"), "payload")
+    payload = stored(source.join(rows.hint("merge"), row).dropDuplicates(["cid"]).select("cid", "n_shingles", "sketch", "text"), "payload")
     # Leaders join most of a group in few comparisons; the rest meets in blocks, so that every candidate pair of two components is tested.
-    links = None
+    known = None
     for seed in range(LEADER_ROUNDS):
-        found = _leader_links(_open(members, links, seed), payload, threshold, seed)
-        links = found if links is None else links.unionByName(found)
-    found = _block_links(_open(members, links, LEADER_ROUNDS), payload, threshold)
-    links = found if links is None else links.unionByName(found)
-    linked = components(links)
-    where = classes.join(linked, classes["rep"] == linked["id"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    joined = filled.select("doc_id", "n_shingles", "digest").join(where, "digest").select("doc_id", "n_shingles", "component_id")
-    alone = parts.where("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        known = _joined(known, _leader_links(_open(members, known, seed), payload, threshold, seed))
+    known = _joined(known, _block_links(_open(members, known, LEADER_ROUNDS), payload, threshold))
+    first = F.struct("doc_id", "text_key")
+    linked = classes.join(known, classes["cid"] == known["id"]).select("digest", first.alias("own"), "component")
+    least = linked.groupBy("component").agg(F.min("own").alias("first"))
+    where = classes.join(linked.join(least, "component").select("digest", "first"), "digest", "left").select("digest", F.coalesce("first", first).alias("first"))
+    joined = filled.join(where, "digest").select(*row, "n_shingles", F.col("first.doc_id").alias("component_id"), (first == F.col("first")).alias("chosen"))
+    alone = parts.where("digest is null or doc_id is null").select(*row, "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("chosen"))
+    return joined.unionByName(alone)
+
+
+def _joined(known: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components of ``known`` ones and new links."""
+    return components(links if known is None else links.unionByName(known.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
 
 def representatives(docs: DataFrame, threshold: int = 85) -> DataFrame:
@@ -319,6 +350,7 @@ def representatives(docs: DataFrame, threshold: int = 85) -> DataFrame:
     Repeated rows (equal doc_id and text) count as copies of each other; rows
     without a doc_id stay.
     """
-    keep = near_duplicates(docs, threshold).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(keep.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    keep = _grouped(docs, threshold).where("chosen and doc_id is not null").select(F.col("doc_id").alias("id"), "text_key").distinct()
+    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    named = docs.join(keep.hint("merge"), (docs["doc_id"] == keep["id"]) & (key == keep["text_key"]), "left_semi").dropDuplicates(["doc_id", "text"])
     return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
