@@ -15,10 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import parts
-from .common import fold, texts
+from .common import fold, stored, texts
 
-#: Bounds of the training sample: labelled texts of each class (smallest id hashes), and pieces of each, evenly spaced over it.
-SAMPLE_ROWS, PIECES, PIECE_BYTES = 4000, 12, 512
+#: Bounds of the training sample: labelled texts of each class (smallest hashes), and pieces of those that make
+#: a dictionary (smallest hashes over the whole length of all of them).  The curve is fitted on whole texts.
+SAMPLE_ROWS, SAMPLE_PIECES, PIECE_BYTES = 4000, 24_000, 512
 DICTIONARY_BYTES, CHUNK_BYTES, LEVEL = 64 << 10, 1024, 3
 #: Bytes added to a text's length, so that a few words are no strong evidence.
 DAMPING = 150
@@ -28,13 +29,6 @@ FOLDS = 5
 REJECT_BELOW = 0.3
 
 
-def _pieces(text: bytes) -> list[bytes]:
-    if len(text) <= PIECES * PIECE_BYTES:
-        return [text[k : k + PIECE_BYTES] for k in range(0, len(text), PIECE_BYTES)]
-    step = (len(text) - PIECE_BYTES) / (PIECES - 1)
-    return [text[int(k * step) : int(k * step) + PIECE_BYTES] for k in range(PIECES)]
-
-
 def _dictionary(samples: list[bytes]) -> bytes:
     import zstandard
 
@@ -104,35 +98,68 @@ def _isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndar
     return np.array([p[2] / p[0] for p in pools]), np.array([p[1] / p[0] for p in pools])
 
 
+def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """(text, quality, curve) of the sampled rows, each text once, and the number of labels of each class.
+
+    At most ``SAMPLE_ROWS`` texts of each class, whatever number of rows a labelled id has.
+    """
+    marks = labels.where("doc_id is not null and quality in (0, 1)").where(fold("doc_id", FOLDS) != 0).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    shares = {int(r["quality"]): r["count"] for r in marks.groupBy("quality").count().collect()}
+
+    def smallest(rows: DataFrame, *order: str) -> DataFrame:
+        each = [rows.where(F.col("quality") == q).orderBy(*order).limit(SAMPLE_ROWS) for q in (0, 1)]
+        return each[0].unionByName(each[1])
+
+    picked = smallest(marks.withColumn("h", F.xxhash64("doc_id")), "h", "doc_id")
+    rows = texts(docs, "doc_id").withColumn("key", F.xxhash64("text")).join(F.broadcast(picked), "doc_id")
+    found = smallest(rows.select("doc_id", "key", "quality", "h").distinct(), "h", "doc_id", "key").collect()
+    found.sort(key=lambda r: (r["h"], r["doc_id"], r["key"]))
+    chosen, place = [], [0, 0]
+    for r in found:  # every other text of a class makes the dictionary, the rest the curve
+        chosen.append((r["doc_id"], r["key"], r["quality"], place[r["quality"]] % 2 == 1))
+        place[r["quality"]] += 1
+    chosen = docs.sparkSession.createDataFrame(chosen, "doc_id long, key long, quality int, curve boolean")
+    source = texts(docs, "doc_id").withColumn("key", F.xxhash64("text"))
+    whole = source.join(F.broadcast(chosen), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("text", "quality", "curve")
+    return stored(whole, "quality-sample"), shares
+
+
+def _training_pieces(sample: DataFrame, quality: int) -> list[bytes]:
+    """Pieces of the class's dictionary texts, from their whole length."""
+    data = F.col("text").cast("binary")
+    starts = F.sequence(F.lit(0), F.floor((F.octet_length("text") - 1) / PIECE_BYTES).cast("int"))
+    rows = sample.where(f"quality = {quality} and not curve and text <> ''").select(data.alias("data"), F.explode(starts).alias("k"))
+    pieces = rows.select(F.substring("data", F.col("k") * PIECE_BYTES + 1, F.lit(PIECE_BYTES)).alias("piece"), "k")
+    return pieces.orderBy(F.xxhash64("piece", "k"), "piece").limit(SAMPLE_PIECES).toArrow().column("piece").to_pylist()
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     """Learn from labelled rows whose crc32(doc_id) mod 5 is not 0.
 
     At most ``SAMPLE_ROWS`` texts of each class are used, those with the
-    smallest id hashes; half of each class makes the dictionaries, the other half the
-    curve, weighted back to the classes' shares of the labels.  Labels that are
-    null or not 0 or 1 are ignored; of contradicting labels of one document
-    the higher counts.  With labels of one class only, every text scores that class.
+    smallest hashes; half of each class makes the dictionaries, the whole texts of
+    the other half the curve, weighted back to the classes' shares of the labels.
+    Labels that are null or not 0 or 1 are ignored; of contradicting labels of
+    one document the higher counts; repeated rows of a text count once.  With
+    labels of one class only, every text scores that class.
     """
-    marks = labels.where("doc_id is not null and quality in (0, 1)").where(fold("doc_id", FOLDS) != 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    shares = {int(r["quality"]): r["count"] for r in marks.groupBy("quality").count().collect()}
-    sample = [marks.where(F.col("quality") == q).select("doc_id", "quality", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE_ROWS) for q in (0, 1)]
-    picked = sample[0].unionByName(sample[1])
+    sample, shares = _sample(docs, labels)
+    sizes = {(r["quality"], r["curve"]): r["count"] for r in sample.groupBy("quality", "curve").count().collect()}
+    if not (sizes.get((0, False)) and sizes.get((1, False))):
+        good = any(q == 1 for q, _ in sizes) or not sizes
+        return Classifier(b"\n" * 16, b"\n" * 16, 0.0, 40.0 if good else -40.0)
+    made = Classifier(*(_dictionary(_training_pieces(sample, q)) for q in (1, 0)))
 
     def run(batches):
         for batch in batches:
             for part in parts(batch, "text"):
-                found = [_pieces(t.encode("utf-8", "surrogatepass")) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), part.column("h"), pa.array(found, pa.list_(pa.binary()))], ["doc_id", "quality", "h", "pieces"])
-
-    rows = texts(docs, "doc_id").join(F.broadcast(picked), "doc_id").select("doc_id", "text", F.col("quality").cast("int").alias("quality"), "h").mapInArrow(run, "doc_id long, quality int, h long, pieces array<binary>").limit(8 * SAMPLE_ROWS).toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["h"], r["doc_id"]))
-    by_class = [[r["pieces"] for r in rows if r["quality"] == q] for q in (0, 1)]
-    if not by_class[0] or not by_class[1]:
-        return Classifier(b"\n" * 16, b"\n" * 16, 0.0, 40.0 if by_class[1] or not by_class[0] else -40.0)
-    made = Classifier(*(_dictionary([p for pieces in by_class[q][::2] for p in pieces]) for q in (1, 0)))
-    rest = [(q, pieces) for q in (0, 1) for pieces in (by_class[q][1::2] or by_class[q])]
-    x = np.array([made.difference(b"".join(pieces)) for _, pieces in rest])
-    y = np.array([float(q) for q, _ in rest])
+                yield pa.RecordBatch.from_arrays([part.column("quality"), pa.array([made.difference(t.encode("utf-8", "surrogatepass")) for t in part.column("text").to_pylist()], pa.float64())], ["quality", "x"])
+
+    # A class with one text has no other for the curve than the dictionary's own.
+    both = [F.col("quality") == q if not sizes.get((q, True)) else (F.col("quality") == q) & F.col("curve") for q in (0, 1)]
+    rest = sample.where(both[0] | both[1]).select("text", "quality").mapInArrow(run, "quality int, x double").toArrow().to_pylist()
+    rest.sort(key=lambda r: (r["x"], r["quality"]))
+    x, y = np.array([r["x"] for r in rest]), np.array([float(r["quality"]) for r in rest])
     weight = np.where(y == 1, shares[1] / max(1, (y == 1).sum()), shares[0] / max(1, (y == 0).sum()))
     weight = weight * len(y) / weight.sum()
     made.slope, made.offset = _logistic(x, y, weight)
@@ -161,10 +188,10 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, classifier: Classifier, reject_below: float = REJECT_BELOW) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores at least ``reject_below``."""
+    """The rows of ``docs``, all columns, whose text scores at least ``reject_below``; a null text scores as an empty one."""
 
-    @F.pandas_udf("double")
-    def score(column):
-        return column.map(lambda t: classifier.score(t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"")).astype(float)
+    @F.arrow_udf("double")
+    def score(column: pa.Array) -> pa.Array:
+        return pa.array([classifier.score(t.as_py().encode("utf-8", "surrogatepass") if t.is_valid else b"") for t in column], pa.float64())
 
     return docs.where(score(docs["text"]) >= reject_below)
