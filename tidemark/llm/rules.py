@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import texts
 from .textvec import Block, mix, text_blocks
@@ -123,24 +122,25 @@ def judged(docs: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
 
 
 def accepted(docs: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
-    """The rows of ``docs``, all columns, that pass the base and the policy; measured as they stream by, without a join."""
-    marks = [f"_measured_{m}" for m in MEASURES]
-
-    def run(batches):
-        for batch in batches:
-            text = batch.column("_measured_text")
-            for a, b, data, offsets in text_blocks(text):
-                found = measure_block(data, offsets)
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(found[m].astype(np.int64)) for m in MEASURES)], [*part.schema.names[:-1], *marks])
-
-    ddl = T.StructType([*docs.schema.fields, *(T.StructField(m, T.LongType()) for m in marks)])
-    measured = docs.withColumn("_measured_text", F.coalesce(docs["text"], F.lit(""))).mapInArrow(run, ddl)
+    """The rows of ``docs``, all columns, that pass the base and the policy; measured as they stream by, without a join.
+
+    Only the text goes to the measuring function and only its numbers come back; a null text has no words.
+    """
+
+    @F.arrow_udf(", ".join(f"{m} long" for m in MEASURES))
+    def measured(column: pa.Array) -> pa.Array:
+        found = [measure_block(data, offsets) for _, _, data, offsets in text_blocks(column)]
+        whole = [np.concatenate([np.zeros(0, np.int64), *(f[m] for f in found)]).astype(np.int64) for m in MEASURES]
+        return pa.StructArray.from_arrays([pa.array(x) for x in whole], list(MEASURES))
+
+    name = "_measures"
+    while name in docs.columns:
+        name += "_"
+    rows = docs.withColumn(name, measured(docs["text"]))
     wanted = POLICIES[policy] | BASE_MASK
-    for k, (_, fails) in enumerate(RULES):
-        if wanted >> k & 1:
-            measured = measured.where(~F.expr(re.sub(r"\b(" + "|".join(MEASURES) + r")\b", r"_measured_\1", fails)))
-    return measured.select(*docs.columns)
+    fails = [f for k, (_, f) in enumerate(RULES) if wanted >> k & 1]
+    in_struct = [re.sub(r"\b(" + "|".join(MEASURES) + r")\b", rf"{name}.\1", f) for f in fails]
+    return rows.where(~F.expr(" OR ".join(f"({f})" for f in in_struct))).select(*docs.columns)
 
 
 def ledger_sql() -> str:
