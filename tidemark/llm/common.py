@@ -79,6 +79,29 @@ def in_blocks(members: DataFrame, key: str, ident: str, block: int) -> DataFrame
     return dealt.withColumn("_other", other).withColumn("lo", F.least("own", "_other")).withColumn("hi", F.greatest("own", "_other")).drop("_n", "_blocks", "_other")
 
 
+#: A key with more than this share of all rows is hot, so at most 1 / share keys are; its rows are dealt over so many tasks.
+HOT_SHARE, SALTS = 1 / 1024, 64
+
+
+def hot_keys(counted: DataFrame, key: str, n: str) -> DataFrame:
+    """Of (key, n) rows, the at most 1 / ``HOT_SHARE`` keys that hold more than ``HOT_SHARE`` of the sum of all n."""
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    return counted.where(F.col(n) > total * HOT_SHARE).select(key)
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side`` (one row a key); the rows of a hot key are dealt out by ``by`` and meet copies of its side row.
+
+    ``hot`` is broadcast: it comes from ``hot_keys``, which bounds its size.
+    """
+    hot = F.broadcast(hot.select(F.col(key).alias("_hot")))
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0).cast("int")
+    dealt = rows.join(hot, rows[key] == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot")
+    copies = F.explode(F.sequence(F.lit(0), F.when(F.col("_hot").isNotNull(), SALTS - 1).otherwise(0)))
+    beside = side.join(hot, side[key] == F.col("_hot"), "left").withColumn("_salt", copies).drop("_hot")
+    return dealt.join(beside, [key, "_salt"], how).drop("_salt")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of links (a, b): rows (id, component), the smallest id reachable.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored, texts
+from .common import components, hot_keys, spread_join, stored, texts
 from .textvec import Block, text_blocks
 
 REGISTERS, BANDS, WIDTH = 256, 32, 5
@@ -279,17 +279,17 @@ def _block_links(rows: DataFrame, payload: DataFrame, threshold: int) -> DataFra
 
 
 def _classes(filled: DataFrame) -> DataFrame:
-    """(digest, doc_id, text_key, cid) of each distinct set: one row that has it, and the name it goes by.
+    """(digest, doc_id, text_key, cid, n) of each distinct set: one row that has it, the name it goes by, and its rows.
 
     The name is the row's doc_id in eight bytes, followed by the text's hash
     where several classes would have the same: a doc_id that repeats with
     different texts is in several classes.
     """
-    first = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("_r")).select("digest", "_r.doc_id", "_r.text_key")
+    first = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("_r"), F.count(F.lit(1)).alias("n")).select("digest", "_r.doc_id", "_r.text_key", "n")
     shared = first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     eight = lambda c: F.lpad(F.hex(c), 16, "0")
     name = F.concat(eight("doc_id"), F.when(F.col("_n").isNotNull(), eight("text_key")).otherwise(""))
-    return first.join(shared, "doc_id", "left").select("digest", "doc_id", "text_key", F.unhex(name).alias("cid"))
+    return first.join(shared, "doc_id", "left").select("digest", "doc_id", "text_key", F.unhex(name).alias("cid"), "n")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
@@ -334,7 +334,8 @@ def _grouped(docs: DataFrame, threshold: int) -> DataFrame:
     linked = classes.join(known, classes["cid"] == known["id"]).select("digest", first.alias("own"), "component")
     least = linked.groupBy("component").agg(F.min("own").alias("first"))
     where = classes.join(linked.join(least, "component").select("digest", "first"), "digest", "left").select("digest", F.coalesce("first", first).alias("first"))
-    joined = filled.join(where, "digest").select(*row, "n_shingles", F.col("first.doc_id").alias("component_id"), (first == F.col("first")).alias("chosen"))
+    copies = filled.select(*row, "n_shingles", "digest")
+    joined = spread_join(copies, where, "digest", hot_keys(classes, "digest", "n"), "doc_id").select(*row, "n_shingles", F.col("first.doc_id").alias("component_id"), (first == F.col("first")).alias("chosen"))
     alone = parts.where("digest is null or doc_id is null").select(*row, "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("chosen"))
     return joined.unionByName(alone)
 

@@ -22,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, stored, texts
+from .common import fresh_path, hot_keys, spread_join, stored, texts
 
 SKIPPABLE = 0x184D2A5D
-DICTIONARY_BYTES, SAMPLE_RECORDS, SAMPLE_RECORD_BYTES = 64 << 10, 400, 16 << 10
+DICTIONARY_BYTES = 64 << 10
+#: Bounds of the dictionary's sample: records with the smallest id hashes, and pieces of them, by hash over their whole length.
+SAMPLE_RECORDS, SAMPLE_PIECES, PIECE_BYTES = 400, 512, 16 << 10
 #: A task begins a new file beyond this size.
 FILE_BYTES = 256 << 20
 LEVEL = 3
@@ -67,8 +69,9 @@ def planned(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     source = texts(pages, "page_id", "url", text="html").withColumn("key", F.sha1(F.col("text").cast("binary")))
     long = F.octet_length("text") >= min_bytes
-    again = source.where(long).groupBy("key").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("key", "first")
-    joined = source.join(again, "key", "left")
+    # Decided on ids and digests alone; the texts meet only one row of their key, those of a hot one dealt over tasks.
+    again = stored(source.where(long).groupBy("key").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "copies")
+    joined = spread_join(source.withColumn("_row", F.xxhash64("page_id", "url")), again.select("key", "first"), "key", hot_keys(again, "key", "copies"), "_row", "left")
     refers = F.when(long & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return joined.select("page_id", "url", "text", refers.alias("refers_to"))
 
@@ -76,13 +79,18 @@ def planned(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from the records of the ``SAMPLE_RECORDS`` pages with the smallest id hashes.
 
-    Too few or too small records to train on become a raw-content dictionary.
+    Long records are cut into pieces; all are used, or those with the smallest
+    hashes where there are more than ``SAMPLE_PIECES``.  Too few or too small
+    records to train on become a raw-content dictionary.
     """
     import zstandard
 
     source = texts(pages, "page_id", "url", text="html")
-    picked = source.select("page_id", F.xxhash64("page_id").alias("h")).orderBy("h", "page_id").limit(SAMPLE_RECORDS).select("page_id").distinct()
-    rows = source.join(F.broadcast(picked), "page_id").select("page_id", "url", F.substring(F.col("text").cast("binary"), 1, SAMPLE_RECORD_BYTES).alias("b")).limit(SAMPLE_RECORDS).toArrow().sort_by("page_id").to_pylist()
+    picked = source.select("page_id", F.xxhash64("page_id").alias("h")).distinct().orderBy("h", "page_id").limit(SAMPLE_RECORDS).select(F.col("page_id").alias("id"))
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.octet_length("text") - 1, F.lit(0)) / PIECE_BYTES).cast("int"))
+    whole = source.join(F.broadcast(picked), F.col("page_id").eqNullSafe(F.col("id"))).select("page_id", "url", F.col("text").cast("binary").alias("data"), F.explode(starts).alias("k"))
+    pieces = whole.select("page_id", "url", "k", F.substring("data", F.col("k") * PIECE_BYTES + 1, F.lit(PIECE_BYTES)).alias("b")).distinct()
+    rows = pieces.orderBy(F.xxhash64("page_id", "k", "b"), "page_id", "k").limit(SAMPLE_PIECES).toArrow().to_pylist()
     samples = [record_bytes(r["page_id"], r["url"], r["b"], payload_digest(r["b"]), None) for r in rows]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
