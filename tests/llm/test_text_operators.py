@@ -485,21 +485,20 @@ def test_language_model_learns_from_every_position(spark, docs, monkeypatch):
 
 def test_language_model_knows_every_repeated_word(spark, docs):
     scorer = language_model.fitted(docs.repartition(3)).train()
-    blocks = scorer.equipped.collect()
-    vectors, count, total = {}, {}, np.zeros(language_model.CLASSES)
-    for row in blocks:
-        counts, words = language_model._unpress(row["counts"], np.int64), language_model._unpress(row["words"], np.int64)
-        which, _ = language_model._own(language_model._classes(words, scorer.top, scorer.number), counts)
-        mine = language_model.Own(len(which), row["vectors"]).rows()
-        for w, n, x in zip(words[which].tolist(), counts[which].tolist(), mine, strict=True):
-            assert vectors.setdefault(w, x.tobytes()) == x.tobytes()  # the same in every block
-            count[w] = n
-        count |= {w: n for w, n in zip(words.tolist(), counts.tolist(), strict=True) if n}
-    own = set(count) - set(scorer.top.tolist())
-    own = {w for w in own if count[w] >= 2}
-    assert len(blocks) > 1 and len(own) > 2000 and vectors.keys() == own
-    assert len(set(vectors.values())) > 0.99 * len(own)
-    total = sum((count[w] + 1.0) * np.exp(scorer.model.g @ np.frombuffer(vectors[w], np.float16).astype(float)[language_model.WIDTH :]) for w in own)
-    singles = [w for w in set(count) - own - set(scorer.top.tolist())]
-    total = total + sum(count[w] + 1.0 for w in singles) + 1  # and all unseen words
+    listed = {r["block"]: np.frombuffer(r["words"], np.int64) for r in scorer.blocks.collect()}
+    vectors, count = {}, {}
+    for row in scorer.equipped.collect():
+        words, seen = listed[row["block"]], language_model._unpress(row["seen"], np.int64)
+        packed, classes = language_model._unpress(row["vectors"], np.int64), language_model._unpress(row["classes"], np.int16)
+        assert ((classes > 0) == np.isin(words, scorer.top)).all()
+        for w, n, x, c in zip(words.tolist(), seen.tolist(), packed.tolist(), classes.tolist(), strict=True):
+            assert count.setdefault(w, n) == n  # the same in every block
+            if not c:
+                assert vectors.setdefault(w, x) == x and (n >= language_model.LEAST_SEEN or x == 0)
+    rest = {w: n for w, n in count.items() if n and w not in set(scorer.top.tolist())}
+    own = [w for w, n in rest.items() if n >= 2]
+    assert len(listed) > 1 and len(own) > 2000 and sum(vectors[w] != 0 for w in own) > 0.95 * len(own)
+    assert scorer.n == sum(n for n in count.values()) and scorer.v == sum(n > 0 for n in count.values())
+    q = language_model._vectors(np.array([vectors[w] for w in rest], np.int64))[:, language_model.OWN :]
+    total = (np.array(list(rest.values())) + 1.0) @ np.exp((q @ scorer.g.T).astype(float)) + 1  # and all unseen words
     assert np.allclose(np.log(total), scorer.log_rest, atol=1e-9)

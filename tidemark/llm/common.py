@@ -39,8 +39,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that Spark hands to Python at once.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark hand rows to Python in batches bounded by bytes, so that long texts don't add up; a tighter setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key, str(8 * BATCH_BYTES)))
+    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def texts(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """Only the key columns and the text, null texts as empty: extra columns cannot clash."""
+    small_batches(docs.sparkSession)
     return docs.select(*[docs[c] for c in keep], F.coalesce(docs[text], F.lit("")).alias("text"))
 
 

@@ -1,27 +1,32 @@
 """Language-model scores: a log-bilinear model trained by noise-contrastive estimation.
 
 Texts are read once into blocks: a block's tokens as indices into its own list
-of distinct words.  Words are keyed by 64-bit hashes, so a word's corpus count
-comes from one aggregation, and a join sends each block the counts of its own
-own words; no vocabulary is broadcast or gathered.  The neural model has two
+of distinct words, which are keyed by 64-bit hashes.  The neural model has two
 levels: the most frequent words are classes of their own (a fixed number), and
 one class is the rest.  Every word of the rest seen at least twice in training
-has a context vector and a target vector of its own, so the vocabulary follows
-the corpus; only singletons and unseen words share one.  With R the context
-vectors, C1 and C2 the position matrices, Q the target vectors and c the class,
+has a context vector and a target vector of its own (a few small numbers each),
+so the vocabulary follows the corpus; singletons and unseen words share one,
+zero.  With R and Q the classes' context and target vectors, C1 and C2 the
+position matrices, r and q the words' own vectors, c the class, and P and G
+directions taken from R and R C1,
 
-    log P(c | u, v) = (R[u] C1 + R[v] C2) . Q[c] + b[c] - log Z(u, v)
-    log P(w | rest, u) = log(n[w] + 1) + G[c(u)] . Q[w] - log Z(c(u))
+    log P(c | u, v) = ((R[u] + r[u] P) C1 + (R[v] + r[v] P) C2) . Q[c] + b[c] - log Z(u, v)
+    log P(w | rest, u) = log(n[w] + 1) + G[c(u)] . q[w] - log Z(c(u))
 
 Z(u, v) is summed over the classes for each position (from a table where both
 are classes), Z(c) over all words of the rest by one aggregation, so
-probabilities over all words add up to one.  Words' own vectors live with the
-blocks: each block trains those of its words, one exchange by word averages them,
-and one by block brings them back.  A word of the rest is told from others of the
-rest by the class of the word before it, not by that word's own vector.
-Training runs where the blocks are: each task fits the model to its blocks by
-NCE with unigram noise, and the tasks' parameters are averaged in a tree.
-The rounds share out the training positions: each is an example in exactly one.
+probabilities over all words add up to one.  A word of the rest is told from
+others of the rest by the class of the word before it, not by that word's own
+vector.
+
+Training runs where the blocks are.  The rounds share out the training
+positions: each is an example of the classes in exactly one; a task fits the
+classes to its blocks and the tasks' parameters are averaged in a tree.  Then
+each block fits its words' own vectors to all its positions.  One exchange by
+word adds up the word's corpus count and averages its vectors, and one by block
+brings both back: no vocabulary is broadcast or gathered, and classes, whose
+rows would be the hottest, take no part in it.  Results depend slightly on how
+the input is split, since tasks train apart and are averaged.
 """
 
 from __future__ import annotations
@@ -29,19 +34,21 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, stored, texts
 from .textvec import Block, text_blocks
 
-CLASSES, WIDTH, NOISE, ROUNDS = 512, 16, 48, 2
-#: Training count from which a word of the rest has vectors of its own; learning rate of these.
-LEAST_SEEN, WORD_RATE = 2, 0.2
-BATCH, RATE = 2048, 0.08
+CLASSES, WIDTH, NOISE, ROUNDS = 256, 16, 48, 2
+#: Numbers in each of a word's own two vectors, their steps per unit, and the training count from which it has them.
+OWN, STEPS, LEAST_SEEN = 4, 32.0, 2
+BATCH, RATE, WORD_BATCH, WORD_RATE = 2048, 0.08, 2048, 0.2
+#: Positions scored against all classes at once: their rows fit in a core's cache.
+SCORE_ROWS = 512
 _PLACE_BITS = 26
-#: Text bytes whose tokens form one block.
-CHUNK_BYTES = 8 << 20
+#: Text bytes whose tokens form one block; frequent words that a block proposes as classes.
+CHUNK_BYTES, PROPOSED = 8 << 20, 4 * CLASSES
 #: Parameter sets averaged by one task of the tree.
 FAN_IN = 32
 #: The end of a text, as a word hash; class 1 (class 0 is the rest).
@@ -63,35 +70,37 @@ def _unpress(x: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
-_BLOCK = "block long, docs binary, held binary, lengths binary, tokens binary"
-#: ``place`` is the block's number and the word's place in it, in one number.
-_PART = f"{_BLOCK}, place long, word long, seen int"
+_BLOCK = "block long, docs binary, held binary, lengths binary, tokens binary, words binary, seen binary, learned long, top_words array<long>, top_seen array<long>"
+
+
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"array<long>": pa.list_(pa.int64()), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
 
 
 def _read(batches):
-    """Rows of two kinds: a block's tokens, and each of its distinct words with its training count."""
+    """A row for each block: its tokens, its distinct words with their training counts, and its most frequent ones."""
     task = TaskContext.get().partitionId() << 12
     number = 0
     ids, nulls, held, lengths, hashes, size = [], [], [], [], [], 0
 
     def flush():
         nonlocal number, ids, nulls, held, lengths, hashes, size
-        out_held = np.concatenate(held)
-        n = np.concatenate(lengths)
+        out_held, n = np.concatenate(held), np.concatenate(lengths)
         words, place = np.unique(np.concatenate(hashes), return_inverse=True)
         learn = np.repeat(~out_held, n)
         seen = np.bincount(place[learn], minlength=len(words))
         by_count = np.argsort(-np.bincount(place, minlength=len(words)), kind="stable")  # small numbers for common words
         new = np.empty(len(words), np.int64)
         new[by_count] = np.arange(len(words))
-        block = task + number
+        words, seen = words[by_count].view(np.int64), seen[by_count]
+        top = np.lexsort((words, -seen))[:PROPOSED]
+        top = top[seen[top] > 0]
+        row = {"block": task + number, "docs": _press(np.stack([np.concatenate(ids), np.concatenate(nulls)])), "held": _press(out_held), "lengths": _press(n), "tokens": _press(new[place].astype(np.uint32))}
+        row |= {"words": words.tobytes(), "seen": _press(seen), "learned": int(learn.sum()), "top_words": words[top].tolist(), "top_seen": seen[top].tolist()}
         number += 1
-        yield pa.RecordBatch.from_pylist([{"block": block, "docs": _press(np.stack([np.concatenate(ids), np.concatenate(nulls)])), "held": _press(out_held), "lengths": _press(n), "tokens": _press(new[place].astype(np.uint32)), "place": None, "word": None, "seen": int(learn.sum())}], _schema(_PART))
-        for k in range(0, len(words), 100_000):
-            pick = by_count[k : k + 100_000]
-            none = pa.nulls(len(pick), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(pick), pa.int64()), none, none, none, none, pa.array(np.arange(k, k + len(pick)) + (block << _PLACE_BITS)), pa.array(words[pick].view(np.int64)), pa.array(seen[pick].astype(np.int32))], schema=_schema(_PART))
         ids, nulls, held, lengths, hashes, size = [], [], [], [], [], 0
+        return pa.RecordBatch.from_pylist([row], _schema(_BLOCK))
 
     for batch in batches:
         for a, b, data, offsets in text_blocks(batch.column("text")):
@@ -110,61 +119,20 @@ def _read(batches):
             hashes.append(words)
             size += len(data)
             if size >= CHUNK_BYTES:
-                yield from flush()
+                yield flush()
     if ids:
-        yield from flush()
-
-
-def _schema(ddl: str) -> pa.Schema:
-    kinds = {"array<long>": pa.list_(pa.int64()), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
-    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
-
-
-_FULL = f"{_BLOCK}, learned long, counts binary, words binary, fresh long, top_words array<long>, top_seen array<long>"
-
-
-def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A block with its words' hashes and corpus counts, how many words it alone accounts for, and its most frequent ones."""
-    right = right.sort_by("place")
-    count, word = right.column("seen").to_numpy(), right.column("word").to_numpy()
-    row = left.to_pylist()[0]
-    top = np.lexsort((word, -count))[:CLASSES]
-    top = top[count[top] > 0]
-    row |= {"learned": row.pop("seen"), "counts": _press(count), "words": _press(word), "fresh": int((right.column("first").to_numpy(zero_copy_only=False) & (count > 0)).sum()), "top_words": word[top].tolist(), "top_seen": count[top].tolist()}
-    return pa.Table.from_pylist([row], _schema(_FULL))
+        yield flush()
 
 
-class Own:
-    """Vectors of a block's words of the rest: as context ``r``, as target ``q``.  The last row is that of all other words, zero."""
-
-    def __init__(self, n: int, vectors: bytes | None = None):
-        self.n = n
-        flat = np.zeros((n, 2 * WIDTH)) if vectors is None else _unpress(vectors, np.float16).reshape(n, 2 * WIDTH).astype(float)
-        flat = np.concatenate([flat, np.zeros((1, 2 * WIDTH))])
-        self.r, self.q = flat[:, :WIDTH].copy(), flat[:, WIDTH:].copy()
-        self.state = {name: np.ones((n + 1, WIDTH)) for name in "rq"}
-
-    def at(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, pool: np.ndarray) -> Own:
-        """The rows of the examples, and those that noise is drawn from."""
-        self.u, self.v, self.w, self.pool = u, v, w, pool
-        return self
-
-    def learn(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
-        cuts = np.flatnonzero(np.diff(rows[order], prepend=-1))
-        rows, g = rows[order][cuts], np.add.reduceat(gradient[order], cuts)
-        rows, g = (rows[:-1], g[:-1]) if rows[-1] == self.n else (rows, g)
-        self.state[name][rows] += g * g
-        getattr(self, name)[rows] += WORD_RATE * g / np.sqrt(self.state[name][rows])
-
-    def rows(self) -> np.ndarray:
-        return np.concatenate([self.r[:-1], self.q[:-1]], axis=1).astype(np.float16)
+def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(held, lengths, tokens) of a block."""
+    return _unpress(row["held"], bool), _unpress(row["lengths"], np.int64), _unpress(row["tokens"], np.uint32)
 
 
 class Model:
     """Parameters of the log-bilinear model over class numbers."""
 
-    NAMES = ("r", "q", "c1", "c2", "b", "g")
+    NAMES = ("r", "q", "c1", "c2", "b")
 
     def __init__(self, unigram: np.ndarray, seed: int = 3):
         rng = np.random.default_rng(seed)
@@ -173,70 +141,66 @@ class Model:
         self.r, self.q = rng.normal(0, 0.15, (v, WIDTH)), rng.normal(0, 0.15, (v, WIDTH))
         self.c1, self.c2 = np.eye(WIDTH), np.eye(WIDTH) * 0.5
         self.b = np.log(unigram)
-        self.g = rng.normal(0, 0.15, (v, WIDTH))
+        for n in self.NAMES:
+            setattr(self, n, getattr(self, n).astype(np.float32))
 
     def vector(self) -> np.ndarray:
-        return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
+        return np.concatenate([getattr(self, n).ravel() for n in self.NAMES]).astype(np.float64)
 
     def load(self, flat: np.ndarray) -> Model:
         at = 0
         for n in self.NAMES:
             x = getattr(self, n)
-            setattr(self, n, flat[at : at + x.size].reshape(x.shape).copy())
+            setattr(self, n, flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
         return self
 
-    def fit(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, rng, state: dict | None, own: Own | None = None) -> None:
-        """One pass of NCE over examples: ``w`` follows ``u``, which follows ``v``.
-
-        Without ``state`` only the words' own vectors learn, without ``own`` only the classes.
-        """
-        log_noise = np.log(NOISE * self.unigram)
+    def noise(self, rng) -> np.ndarray:
         cumulative = np.cumsum(self.unigram)
+        return np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), len(cumulative) - 1)
+
+    def errors(self, hat: np.ndarray, t: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """NCE errors of the examples' classes and of the noise: 1 - P(data), and -P(data)."""
+        offset = self.b - np.log(NOISE * self.unigram).astype(np.float32)
+        good = (hat * self.q[t]).sum(1) + offset[t]
+        bad = hat @ self.q[noise].T + offset[noise]
+        return 1 / (1 + np.exp(np.clip(good, -30, 30))), -1 / (1 + np.exp(-np.clip(bad, -30, 30)))
+
+    def fit(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, rng, state: dict) -> None:
+        """One pass of NCE over examples: class ``w`` follows ``u``, which follows ``v``."""
         for k in range(0, len(w), BATCH):
             a, c, t = u[k : k + BATCH], v[k : k + BATCH], w[k : k + BATCH]
-            ra, rc = self.r[a], self.r[c]
-            if own is not None:
-                oa, oc, ot = own.u[k : k + BATCH], own.v[k : k + BATCH], own.w[k : k + BATCH]
-                ra, rc = ra + own.r[oa], rc + own.r[oc]
-            hat = ra @ self.c1 + rc @ self.c2
-            noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), len(cumulative) - 1)
-            good = (hat * self.q[t]).sum(1) + self.b[t] - log_noise[t]
-            bad = hat @ self.q[noise].T + self.b[noise] - log_noise[noise]
-            e_good = 1 / (1 + np.exp(np.clip(good, -30, 30)))  # 1 - P(data)
-            e_bad = -1 / (1 + np.exp(-np.clip(bad, -30, 30)))
+            hat, noise = (self.r @ self.c1)[a] + (self.r @ self.c2)[c], self.noise(rng)
+            e_good, e_bad = self.errors(hat, t, noise)
             d_hat = e_good[:, None] * self.q[t] + e_bad @ self.q[noise]
-            g_g = np.zeros_like(self.g)
-            if own is not None:
-                own.learn("r", np.concatenate([oa, oc]), np.concatenate([d_hat @ self.c1.T, d_hat @ self.c2.T]))
-                rest = np.flatnonzero(t == 0)
-                if len(rest):  # which word of the rest, told apart from others drawn by their counts
-                    context, drawn = self.g[a[rest]], rng.choice(own.pool, NOISE)
-                    e_own = 1 / (1 + np.exp(np.clip((context * own.q[ot[rest]]).sum(1), -30, 30)) / NOISE)
-                    e_drawn = -1 / (1 + NOISE * np.exp(-np.clip(context @ own.q[drawn].T, -30, 30)))
-                    np.add.at(g_g, a[rest], e_own[:, None] * own.q[ot[rest]] + e_drawn @ own.q[drawn])
-                    own.learn("q", np.concatenate([ot[rest], drawn]), np.concatenate([e_own[:, None] * context, e_drawn.T @ context]))
-            if state is None:
-                continue
-            g_q, g_b, g_r = np.zeros_like(self.q), np.bincount(t, e_good, len(self.b)), np.zeros_like(self.r)
+            g_q, d_1, d_2 = np.zeros_like(self.q), np.zeros_like(self.r), np.zeros_like(self.r)
+            g_b = np.bincount(t, e_good, len(self.b)).astype(np.float32)
             np.add.at(g_b, noise, e_bad.sum(0))
-            order = np.argsort(t, kind="stable")
-            cuts = np.flatnonzero(np.diff(t[order], prepend=-1))
-            g_q[t[order][cuts]] = np.add.reduceat((e_good[:, None] * hat)[order], cuts)
+            _add_rows(g_q, t, e_good[:, None] * hat)
             np.add.at(g_q, noise, e_bad.T @ hat)
-            for word, back in ((a, d_hat @ self.c1.T), (c, d_hat @ self.c2.T)):
-                order = np.argsort(word, kind="stable")
-                cuts = np.flatnonzero(np.diff(word[order], prepend=-1))
-                g_r[word[order][cuts]] += np.add.reduceat(back[order], cuts)
-            for n, g in (("q", g_q), ("b", g_b), ("r", g_r), ("c1", ra.T @ d_hat), ("c2", rc.T @ d_hat), ("g", g_g)):
+            _add_rows(d_1, a, d_hat)
+            _add_rows(d_2, c, d_hat)
+            for n, g in (("q", g_q), ("b", g_b), ("r", d_1 @ self.c1.T + d_2 @ self.c2.T), ("c1", self.r.T @ d_1), ("c2", self.r.T @ d_2)):
                 g = g / len(t)
                 state[n] = state.get(n, 1e-6) + g * g
                 setattr(self, n, getattr(self, n) + RATE * g / np.sqrt(state[n]))
 
+    def directions(self) -> tuple[np.ndarray, np.ndarray]:
+        """P, along which words' own vectors move their context, and G, what each class says of the word of the rest after it."""
+        share = np.sqrt(self.unigram / self.unigram.sum())[:, None]
+
+        def leading(x):
+            x = x - (share**2 * x).sum(0)
+            _, size, axes = np.linalg.svd(share * x, full_matrices=False)
+            return x, axes[:OWN], np.maximum(size[:OWN], 1e-3)
+
+        _, axes, size = leading(self.r.astype(float))
+        after, turned, spread = leading((self.r @ self.c1).astype(float))
+        return (axes * size[:, None]).astype(np.float32), (after @ turned.T / spread).astype(np.float32)
+
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pair scores by each context position, and log Z of every class pair, as 32-bit floats."""
         one, two = self.r @ self.c1 @ self.q.T + self.b, self.r @ self.c2 @ self.q.T
-        one, two = one.astype(np.float32), two.astype(np.float32)
         log_z = np.empty((len(one), len(one)), np.float32)
         for u in range(len(one)):
             s = two + one[u]
@@ -245,66 +209,124 @@ class Model:
         return one, two, log_z
 
 
-def _contexts(tokens: np.ndarray, lengths: np.ndarray, classes: np.ndarray, end: int = 1):
-    """Classes of each token and of the two before it; a text begins after two ends, whose class is ``end``."""
-    w = classes[tokens]
-    begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+def _add_rows(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """``out[rows] += values``, equal rows summed."""
+    order = np.argsort(rows, kind="stable")
+    ranked = rows[order]
+    cuts = np.flatnonzero(np.diff(ranked, prepend=-1))
+    out[ranked[cuts]] += np.add.reduceat(values[order], cuts)
+
+
+class Own:
+    """Own vectors of a block's words: ``r`` as context, ``q`` as target; those of classes stay zero."""
+
+    def __init__(self, n: int):
+        self.r, self.q = np.zeros((n, OWN), np.float32), np.zeros((n, OWN), np.float32)
+        self._state = {name: np.ones((n, OWN), np.float32) for name in "rq"}
+
+    def _learn(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
+        order = np.argsort(rows, kind="stable")
+        ranked = rows[order]
+        cuts = np.flatnonzero(np.diff(ranked, prepend=-1))
+        g, rows, state = np.add.reduceat(gradient[order], cuts), ranked[cuts], self._state[name]
+        state[rows] += g * g
+        getattr(self, name)[rows] += WORD_RATE * g / np.sqrt(state[rows])
+
+    def fit(self, model: Model, p: np.ndarray, g: np.ndarray, classes: np.ndarray, at: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, rng) -> None:
+        """One pass of NCE over the positions ``at``, the classes' parameters held fixed; ``u``, ``v``, ``w`` are word numbers (-1: none)."""
+        pool = w[at]
+        pool = pool[classes[pool] == 0]
+        c1, c2, r1, r2 = p @ model.c1, p @ model.c2, model.r @ model.c1, model.r @ model.c2
+        for k in range(0, len(at), WORD_BATCH):
+            here = at[k : k + WORD_BATCH]
+            a, c, t = u[here], v[here], w[here]
+            ca, cc, ct = np.where(a < 0, 1, classes[a]), np.where(c < 0, 1, classes[c]), classes[t]
+            hat = r1[ca] + r2[cc] + self.r[a] @ c1 + self.r[c] @ c2
+            noise = model.noise(rng)
+            e_good, e_bad = model.errors(hat, ct, noise)
+            d_hat = e_good[:, None] * model.q[ct] + e_bad @ model.q[noise]
+            for rows, kind, turn in ((a, ca, c1), (c, cc, c2)):
+                mine = np.flatnonzero(kind == 0)
+                if len(mine):
+                    self._learn("r", rows[mine], d_hat[mine] @ turn.T)
+            rest = np.flatnonzero(ct == 0)
+            if len(rest):  # which word of the rest, told apart from others drawn by their counts
+                context, drawn = g[ca[rest]], rng.choice(pool, NOISE)
+                e_own = 1 / (1 + np.exp(np.clip((context * self.q[t[rest]]).sum(1), -30, 30)) / NOISE)
+                e_drawn = -1 / (1 + NOISE * np.exp(-np.clip(context @ self.q[drawn].T, -30, 30)))
+                self._learn("q", np.concatenate([t[rest], drawn]), np.concatenate([e_own[:, None] * context, e_drawn.T @ context]))
+
+    def packed(self) -> np.ndarray:
+        """Both vectors of each word in eight bytes."""
+        flat = np.concatenate([self.r, self.q], axis=1)
+        return np.ascontiguousarray(np.clip(np.rint(flat * STEPS), -127, 127).astype(np.int8)).view(np.int64).ravel()
+
+
+def _log_share(s: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log of each row's chosen share of its exponentials; ``s`` is used up."""
+    mine = s[np.arange(len(s)), chosen]
+    top = s.max() if len(s) else 0.0
+    if top > 60 or s.min() < -60:  # beyond what 32-bit exponentials of a whole row can hold for certain
+        s = s - s.max(axis=1, keepdims=True)
+        mine = s[np.arange(len(s)), chosen]
+    np.exp(s, out=s)
+    return mine - np.log(s.sum(1))
+
+
+def _vectors(packed: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(packed).view(np.int8).reshape(-1, 2 * OWN).astype(np.float32) / np.float32(STEPS)
+
+
+def _contexts(tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's word and the two before it; a text begins after two ends, given as -1."""
+    w = tokens.astype(np.int32)
+    begin = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
     u, v = np.empty_like(w), np.empty_like(w)
     u[1:], v[2:] = w[:-1], w[:-2]
-    u[begin] = end
-    v[:2] = end
-    v[begin] = end
-    second = begin[lengths > 1] + 1
-    v[second] = end
+    u[begin] = -1
+    v[:2] = -1
+    v[begin] = -1
+    v[begin[lengths > 1] + 1] = -1
     return w, u, v
 
 
-def _own(classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of a block's words have vectors of their own, and each word's row among them (all others the last)."""
-    which = np.flatnonzero((classes == 0) & (counts >= LEAST_SEEN))
-    row = np.full(len(classes), len(which), np.int32)
-    row[which] = np.arange(len(which))
-    return which, row
-
-
-_ROUND = "flat binary, weight double, place long, word long, vector binary, times int"
-_MEAN = "block long, place long, vector binary, first boolean"
-_VECTOR_BYTES = 2 * WIDTH * 2
+def _classes(words: np.ndarray, top: np.ndarray, number: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(top, words), len(top) - 1)
+    return np.where(top[at] == words, number[at], 0).astype(np.int16)
 
 
-def _binary(x: np.ndarray) -> pa.Array:
-    """Rows of numbers as one binary value each."""
-    x = np.ascontiguousarray(x)
-    ends = np.arange(len(x) + 1, dtype=np.int32) * _VECTOR_BYTES
-    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(x)])
+def _examples(held: np.ndarray, lengths: np.ndarray, r: int, rounds: int) -> np.ndarray:
+    """The positions of round ``r``; over all rounds, each position of the texts not held out once."""
+    return np.flatnonzero(np.repeat(~held, lengths))[r::rounds]
 
 
-def _vectors(column: pa.ChunkedArray) -> np.ndarray:
-    column = column.combine_chunks()
-    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float16).reshape(len(column), 2 * WIDTH)
+_WORD = "place long, word long, seen int, vector long"
+_BACK = "block long, place long, seen long, vector long, first boolean"
 
 
 def _mean(batches):
-    """Rows sorted by word: each gets the word's vectors averaged over its blocks by their occurrences."""
+    """Rows sorted by word: each gets the word's corpus count and its vectors averaged over its blocks by their occurrences."""
 
     def settle(rows: pa.Table):
-        word, times = rows.column("word").to_numpy(), rows.column("times").to_numpy().astype(float)
-        first = np.diff(word, prepend=word[0] - 1 if word[0] > -(1 << 62) else word[0] + 1) != 0
+        word, seen = rows.column("word").to_numpy(), rows.column("seen").to_numpy().astype(np.int64)
+        first = np.ones(len(word), bool)
+        first[1:] = word[1:] != word[:-1]
         cuts = np.flatnonzero(first)
-        total = np.add.reduceat(_vectors(rows.column("vector")) * times[:, None], cuts)
-        mean = (total / np.maximum(np.add.reduceat(times, cuts), 1)[:, None]).astype(np.float16)
-        place = rows.column("place").to_numpy()
-        back = np.repeat(np.arange(len(cuts)), np.diff(cuts, append=len(word)))
+        total = np.add.reduceat(seen, cuts)
+        flat = rows.column("vector").to_numpy().view(np.int8).reshape(-1, 2 * OWN)
+        mean = np.rint(np.add.reduceat(flat * seen[:, None], cuts) / np.maximum(total, 1)[:, None]).astype(np.int8)
+        mean[total < LEAST_SEEN] = 0
+        back = np.cumsum(first) - 1
+        place, mean = rows.column("place").to_numpy(), np.ascontiguousarray(mean).view(np.int64).ravel()
         for k in range(0, len(word), 100_000):
             here = slice(k, k + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(place[here] >> _PLACE_BITS), pa.array(place[here]), _binary(mean[back[here]]), pa.array(first[here])], schema=_schema(_MEAN))
+            yield pa.RecordBatch.from_arrays([pa.array(place[here] >> _PLACE_BITS), pa.array(place[here]), pa.array(total[back[here]]), pa.array(mean[back[here]]), pa.array(first[here])], schema=_schema(_BACK))
 
     held = None
     for batch in batches:
         if batch.num_rows:
             rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([held, rows]) if held is not None else rows
+            rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
             word = rows.column("word").to_numpy()
             cut = int(np.searchsorted(word, word[-1], "left"))
             if cut:
@@ -314,26 +336,8 @@ def _mean(batches):
         yield from settle(held)
 
 
-_SCORED = f"{_BLOCK}, counts binary, words binary, vectors binary, first binary"
-
-
-def _equip(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A block with the averaged vectors of its words of the rest; ``first`` marks those it accounts for."""
-    right = right.sort_by("place")
-    vectors = _vectors(right.column("vector")) if right.num_rows else np.zeros((0, 2 * WIDTH), np.float16)
-    first = right.column("first").to_numpy(zero_copy_only=False).astype(bool)
-    row = left.select([c.split()[0] for c in _SCORED.split(", ")[:-2]]).to_pylist()[0]
-    return pa.Table.from_pylist([row | {"vectors": _press(vectors), "first": _press(first)}], _schema(_SCORED))
-
-
-def _classes(words: np.ndarray, top: np.ndarray, number: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(top, words), len(top) - 1)
-    return np.where(top[at] == words, number[at], 0).astype(np.int16)
-
-
-def _examples(held: np.ndarray, lengths: np.ndarray, r: int, rounds: int) -> np.ndarray:
-    """The positions of round ``r``; over all rounds, each position of the texts not held out once."""
-    return np.flatnonzero(np.repeat(~held, lengths))[r::rounds]
+_NARROW = "block long, docs binary, held binary, lengths binary, tokens binary, classes binary"
+_EQUIPPED = f"{_NARROW}, seen binary, vectors binary, first binary"
 
 
 def _average(batches):
@@ -342,7 +346,7 @@ def _average(batches):
         for flat, w in zip(batch.column("flat").to_pylist(), batch.column("weight").to_pylist(), strict=True):
             total, weight = total + w * np.frombuffer(flat), weight + w
     if weight:
-        yield pa.RecordBatch.from_arrays([pa.array([(total / weight).tobytes()], pa.binary()), pa.array([weight])], ["flat", "weight"])
+        yield _set(total / weight, weight)
 
 
 def _added(batches):
@@ -351,7 +355,14 @@ def _added(batches):
         for flat in batch.column("flat").to_pylist():
             total = total + np.frombuffer(flat)
     if np.ndim(total):
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([1.0])], ["flat", "weight"])
+        yield _set(total, 1.0)
+
+
+def _set(numbers: np.ndarray, weight: float) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([np.asarray(numbers, np.float64).tobytes()], pa.binary()), pa.array([float(weight)])], ["flat", "weight"])
+
+
+_SET = "flat binary, weight double"
 
 
 class Scorer:
@@ -359,73 +370,94 @@ class Scorer:
 
     def __init__(self, blocks: DataFrame):
         self.blocks = blocks
-        total = blocks.agg(F.sum("learned"), F.sum("fresh")).first()
-        self.n, self.v = int(total[0] or 0), int(total[1] or 0)
-        # A word that is frequent overall is among the most frequent of every block that holds it.
-        pair = F.explode(F.arrays_zip("top_words", "top_seen")).alias("t")
-        counts = blocks.select(pair).groupBy(F.col("t.top_words").alias("word")).agg(F.max("t.top_seen").alias("seen"))
+        self.parts = blocks.rdd.getNumPartitions()
+        self.n = int(blocks.agg(F.sum("learned")).first()[0] or 0)
         end = int(END.view(np.int64))
+        pair = F.explode(F.arrays_zip("top_words", "top_seen")).alias("t")
+        counts = blocks.select(pair).groupBy(F.col("t.top_words").alias("word")).agg(F.sum("t.top_seen").alias("seen"))
         best = counts.where(F.col("word") != end).orderBy(F.desc("seen"), "word").limit(CLASSES - 2).collect()
-        ends = counts.where(F.col("word") == end).collect()
-        end_count = int(ends[0]["seen"]) if ends else 0
-        words = np.array([int(END.view(np.int64)), *(r["word"] for r in best)], np.int64)
-        seen = np.array([end_count, *(r["seen"] for r in best)], np.int64)
+        words = np.array([end, *(r["word"] for r in best)], np.int64)
         order = np.argsort(words)
         self.top, self.number = words[order], (np.arange(len(words)) + 1)[order]
-        self.rest_n, self.rest_v = self.n - int(seen.sum()), self.v - len(best) - bool(end_count)
-        unigram = np.concatenate([[self.rest_n + 1], seen + 1]).astype(float)
-        self.model = Model(unigram / unigram.sum())
+        top, number, size = self.top, self.number, len(words) + 1
 
-    def train(self, rounds: int = ROUNDS) -> Scorer:
-        """Fit where the blocks are, then average; each round starts from the last average.
+        def run(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    classes = _classes(np.frombuffer(row["words"], np.int64), top, number)
+                    yield _set(np.bincount(classes, _unpress(row["seen"], np.int64), size), 1.0)
 
-        In the last round the words' own vectors learn too, from the positions of all rounds.
-        """
+        found = self._by_tree(blocks.select("words", "seen").mapInArrow(run, _SET), self.parts, _added)
+        #: Exact training counts by class, that of the rest at 0.
+        self.seen = np.zeros(size, np.int64) if found is None else np.rint(found).astype(np.int64)
+        self.model = Model((self.seen + 1) / (self.n + size))
+
+    def train(self, rounds: int = ROUNDS) -> Scorer:
+        """Fit the classes where the blocks are, then average; each round starts from the last average.  Then the words' own vectors."""
+        unigram, top, number = self.model.unigram, self.top, self.number
         for r in range(rounds):
-            start, unigram, top, number = self.model.vector(), self.model.unigram, self.top, self.number
-            last = r == rounds - 1
+            start = self.model.vector()
 
-            def run(batches, start=start, unigram=unigram, top=top, number=number, r=r, last=last):
+            def run(batches, start=start, r=r):
                 model, state, weight = Model(unigram).load(start), {}, 0
                 for batch in batches:
                     for row in batch.to_pylist():
-                        rng = np.random.default_rng((17, r, row["block"]))
-                        lengths, held = _unpress(row["lengths"], np.int64), _unpress(row["held"], bool)
-                        tokens, words = _unpress(row["tokens"], np.uint32), _unpress(row["words"], np.int64)
-                        classes = _classes(words, top, number)
-                        w, u, v = _contexts(tokens, lengths, classes)
-                        at = rng.permutation(_examples(held, lengths, r, rounds))
+                        held, lengths, tokens = _unpack(row)
+                        w, u, v = _contexts(tokens, lengths)
+                        classes = np.append(_classes(np.frombuffer(row["words"], np.int64), top, number), np.int16(1))  # -1: the end
+                        at = np.random.default_rng((17, r, row["block"])).permutation(_examples(held, lengths, r, rounds))
+                        model.fit(classes[u[at]], classes[v[at]], classes[w[at]], np.random.default_rng((19, r, row["block"])), state)
                         weight += len(at)
-                        if not last:
-                            model.fit(u[at], v[at], w[at], rng, state)
-                            continue
-                        which, own_row = _own(classes, _unpress(row["counts"], np.int64))
-                        ow, ou, ov = _contexts(tokens, lengths, own_row, len(which))
-                        learn = _examples(held, lengths, 0, 1)
-                        own, pool = Own(len(which)), ow[learn[w[learn] == 0]]
-                        for others in range(r + 1, r + rounds):
-                            more = rng.permutation(_examples(held, lengths, others % rounds, rounds))
-                            model.fit(u[more], v[more], w[more], rng, None, own.at(ou[more], ov[more], ow[more], pool))
-                        model.fit(u[at], v[at], w[at], rng, state, own.at(ou[at], ov[at], ow[at], pool))
-                        times, vectors = np.bincount(tokens[learn], minlength=len(words))[which].astype(np.int32), own.rows()
-                        for k in range(0, len(which), 100_000):
-                            here = slice(k, k + 100_000)
-                            none = pa.nulls(len(which[here]))
-                            yield pa.RecordBatch.from_arrays([none.cast(pa.binary()), none.cast(pa.float64()), pa.array(which[here] + (row["block"] << _PLACE_BITS)), pa.array(words[which[here]]), _binary(vectors[here]), pa.array(times[here])], schema=_schema(_ROUND))
                 if weight:
-                    yield pa.RecordBatch.from_pylist([{"flat": model.vector().tobytes(), "weight": float(weight)}], _schema(_ROUND))
+                    yield _set(model.vector(), weight)
 
-            out = self.blocks.mapInArrow(run, _ROUND)
-            if last:
-                out = stored(out, "lm-round")
-            averaged = self._by_tree(out.where("flat is not null").select("flat", "weight"), self.blocks.rdd.getNumPartitions(), _average)
+            averaged = self._by_tree(self.blocks.select("block", "held", "lengths", "tokens", "words").mapInArrow(run, _SET), self.parts, _average)
             if averaged is not None:
                 self.model.load(averaged)
-        own = out.where("word is not null").repartition("word").sortWithinPartitions("word").select("place", "word", "vector", "times").mapInArrow(_mean, _MEAN)
-        self.equipped = stored(self.blocks.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_equip, _SCORED), "lm-equipped")
+        self._equip()
         self._normalise()
         return self
 
+    def _equip(self) -> None:
+        """Blocks with the corpus counts and own vectors of their words."""
+        model, top, number, seen_by_class = self.model, self.top, self.number, self.seen
+        self.p, self.g = p, g = model.directions()
+
+        def learn(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    held, lengths, tokens = _unpack(row)
+                    words, seen = np.frombuffer(row["words"], np.int64), _unpress(row["seen"], np.int64)
+                    classes = _classes(words, top, number)
+                    rng = np.random.default_rng((23, row["block"]))
+                    own = Own(len(words) + 1)  # the last row is that of no word
+                    own.fit(model, p, g, classes, rng.permutation(_examples(held, lengths, 0, 1)), *(_contexts(tokens, lengths)[k] for k in (1, 2, 0)), rng)
+                    which, packed = np.flatnonzero(classes == 0), own.packed()
+                    for k in range(0, len(which), 100_000):
+                        here = which[k : k + 100_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(here + (row["block"] << _PLACE_BITS)), pa.array(words[here]), pa.array(seen[here].astype(np.int32)), pa.array(packed[here])], schema=_schema(_WORD))
+
+        def narrow(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    classes = _classes(np.frombuffer(row["words"], np.int64), top, number)
+                    kept = {k: row[k] for k in ("block", "docs", "held", "lengths", "tokens")}
+                    yield pa.RecordBatch.from_pylist([kept | {"classes": _press(classes)}], _schema(_NARROW))
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            row = left.to_pylist()[0]
+            classes = _unpress(row["classes"], np.int16)
+            seen, vectors, first = seen_by_class[classes], np.zeros(len(classes), np.int64), np.zeros(len(classes), bool)
+            if right.num_rows:
+                at = right.column("place").to_numpy() & ((1 << _PLACE_BITS) - 1)
+                seen[at], vectors[at], first[at] = right.column("seen").to_numpy(), right.column("vector").to_numpy(), right.column("first").to_numpy(zero_copy_only=False)
+            return pa.Table.from_pylist([row | {"seen": _press(seen), "vectors": _press(vectors), "first": _press(first)}], _schema(_EQUIPPED))
+
+        words = self.blocks.select("block", "held", "lengths", "tokens", "words", "seen").mapInArrow(learn, _WORD)
+        back = words.repartition("word").sortWithinPartitions("word").mapInArrow(_mean, _BACK)
+        left = self.blocks.select("block", "docs", "held", "lengths", "tokens", "words").mapInArrow(narrow, _NARROW)
+        self.equipped = stored(left.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(meet, _EQUIPPED), "lm-equipped")
+
     @staticmethod
     def _by_tree(sets: DataFrame, n: int, merge) -> np.ndarray | None:
         """Number sets from ``n`` partitions, merged level by level."""
@@ -436,87 +468,79 @@ class Scorer:
         return np.frombuffer(next(iter(merge(found.to_batches()))).column("flat")[0].as_py()) if found.num_rows else None
 
     def _normalise(self) -> None:
-        """log of the sum over all words of the rest, for each class of the word before."""
-        g, top, number = self.model.g, self.top, self.number
+        """V, and the log of the sum over all words of the rest for each class of the word before."""
+        g = self.g
 
         def run(batches):
             for batch in batches:
                 for row in batch.to_pylist():
-                    counts = _unpress(row["counts"], np.int64)
-                    which, _ = _own(_classes(_unpress(row["words"], np.int64), top, number), counts)
-                    own, first = Own(len(which), row["vectors"]), _unpress(row["first"], bool)
-                    q, times, total = own.q[:-1][first], counts[which][first] + 1.0, np.zeros(len(g))
+                    seen, first = _unpress(row["seen"], np.int64), _unpress(row["first"], bool)
+                    mine = np.flatnonzero(first & (seen > 0))
+                    q, times = _vectors(_unpress(row["vectors"], np.int64)[mine])[:, OWN:], seen[mine] + 1.0
+                    total = np.zeros(len(g) + 1)
+                    total[-1] = len(mine)
                     for k in range(0, len(q), 8192):
-                        total += times[k : k + 8192] @ np.expm1(q[k : k + 8192] @ g.T)
-                    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([1.0])], ["flat", "weight"])
+                        total[:-1] += times[k : k + 8192] @ np.exp((q[k : k + 8192] @ g.T).astype(np.float64))
+                    yield _set(total, 1.0)
 
-        more = self._by_tree(self.equipped.mapInArrow(run, "flat binary, weight double"), self.equipped.rdd.getNumPartitions(), _added)
-        more = 0.0 if more is None else more
-        self.log_rest = np.log(self.rest_n + self.rest_v + 1 + more) * np.ones(len(g))
+        found = self._by_tree(self.equipped.select("seen", "first", "vectors").mapInArrow(run, _SET), self.equipped.rdd.getNumPartitions(), _added)
+        found = np.zeros(len(g) + 1) if found is None else found
+        self.v = int(round(found[-1])) + int((self.seen[1:] > 0).sum())
+        self.log_rest = np.log(found[:-1] + 1)  # and all unseen words
 
     def scores(self) -> DataFrame:
         tables, n, v, model, log_rest = self.model.tables(), self.n, self.v, self.model, self.log_rest
-        top, number = self.top, self.number
+        p, g = self.p, self.g
         ten = np.log(10.0)
 
         def run(batches):
             one, two, log_z = tables
-            r, q, bias = model.r.astype(np.float32), model.q.T.astype(np.float32), model.b.astype(np.float32)
-            c1, c2 = model.c1.astype(np.float32), model.c2.astype(np.float32)
+            turned = np.concatenate([p @ model.c1 @ model.q.T, p @ model.c2 @ model.q.T])
             for batch in batches:
                 for row in batch.to_pylist():
                     ids, nulls = _unpress(row["docs"], np.int64).reshape(2, -1)
-                    lengths, held = _unpress(row["lengths"], np.int64), _unpress(row["held"], bool)
-                    tokens, count = _unpress(row["tokens"], np.uint32), _unpress(row["counts"], np.int64)
-                    classes = _classes(_unpress(row["words"], np.int64), top, number)
-                    which, own_row = _own(classes, count)
-                    own = Own(len(which), row["vectors"])
-                    own_r, own_q = own.r.astype(np.float32), own.q
+                    held, lengths, tokens = _unpack(row)
+                    count, classes = _unpress(row["seen"], np.int64), np.append(_unpress(row["classes"], np.int16), np.int16(1))
+                    own = np.concatenate([_vectors(_unpress(row["vectors"], np.int64)), np.zeros((1, 2 * OWN), np.float32)])
+                    own_r = np.ascontiguousarray(own[:, :OWN])
+                    has = own_r.any(axis=1)
                     known = count > 0
                     base = np.log10((count + 1) / (n + v + 1))
-                    w, u, v2 = _contexts(tokens, lengths, classes)
-                    ow, ou, ov = _contexts(tokens, lengths, own_row, len(which))
-                    logp = one[u, w].astype(np.float64) + two[v2, w] - log_z[u, v2]
-                    moved = np.flatnonzero((ou < len(which)) | (ov < len(which)))  # contexts with vectors of their own
-                    for k in range(0, len(moved), 4096):
-                        m = moved[k : k + 4096]
-                        s = ((r[u[m]] + own_r[ou[m]]) @ c1 + (r[v2[m]] + own_r[ov[m]]) @ c2) @ q + bias
-                        chosen = s[np.arange(len(m)), w[m]]
-                        highest = s.max(1)
-                        s -= highest[:, None]
-                        np.exp(s, out=s)
-                        logp[m] = chosen - highest - np.log(s.sum(1))
-                    rest = np.flatnonzero(w == 0)
+                    w, u, back = _contexts(tokens, lengths)
+                    cw, cu, cv = classes[w], classes[u], classes[back]
+                    logp = one[cu, cw].astype(np.float64) + two[cv, cw] - log_z[cu, cv]
+                    moved = np.flatnonzero(has[u] | has[back])  # contexts with vectors of their own
+                    for k in range(0, len(moved), SCORE_ROWS):
+                        m = moved[k : k + SCORE_ROWS]
+                        s = np.concatenate([own_r[u[m]], own_r[back[m]]], axis=1) @ turned
+                        s += one[cu[m]]
+                        s += two[cv[m]]
+                        logp[m] = _log_share(s, cw[m])
+                    rest = np.flatnonzero(cw == 0)
                     for k in range(0, len(rest), 1 << 16):
                         m = rest[k : k + (1 << 16)]
-                        logp[m] += np.log(count[tokens[m]] + 1) + (model.g[u[m]] * own_q[ow[m]]).sum(1) - log_rest[u[m]]
+                        logp[m] += np.log(count[tokens[m]] + 1) + (g[cu[m]] * own[w[m], OWN:]).sum(1) - log_rest[cu[m]]
                     at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+                    score = np.add.reduceat(logp, at) / ten
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids, mask=nulls.astype(bool)), pa.array(held), pa.array(lengths), pa.array(np.add.reduceat(known[tokens].astype(np.int64), at)), pa.array(np.full(len(ids), n)), pa.array(np.add.reduceat(base[tokens], at)), pa.array(np.add.reduceat(logp, at) / ten)],
-                        ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                        [pa.array(ids, mask=nulls.astype(bool)), pa.array(held), pa.array(lengths), pa.array(np.add.reduceat(known[tokens].astype(np.int64), at)), pa.array(np.full(len(ids), n)), pa.array(np.add.reduceat(base[tokens], at)), pa.array(score), pa.array(score / lengths)],
+                        ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "mean_score"],
                     )
 
-        return self.equipped.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return self.equipped.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mean_score double")
 
 
 def fitted(docs: DataFrame) -> Scorer:
-    """Read ``docs`` into blocks, count, and train on the rows outside the held-out fold."""
+    """Read ``docs`` into blocks and choose the classes; ``train`` learns from the rows outside the held-out fold."""
     source = texts(docs, "doc_id").withColumn("held_out", F.coalesce(fold("doc_id", 7) == 2, F.lit(False)))
-    read = stored(source.mapInArrow(_read, _PART), "lm-blocks")
-    # Blocks count their words first, so a word has at most one row per block, however common it is.
-    # Totals go back to those rows as window aggregates: one exchange and one sort by word.
-    same = Window.partitionBy("word")
-    vocabulary = read.where("word is not null").select("place", "word", F.sum("seen").over(same).alias("seen"), F.min("place").over(same).alias("_least"))
-    own = vocabulary.select(F.shiftrightunsigned("place", _PLACE_BITS).alias("of"), "place", "word", "seen", (F.col("place") == F.col("_least")).alias("first"))
-    whole = read.where("tokens is not null").select(*[c.split()[0] for c in _BLOCK.split(", ")], "seen")
-    return Scorer(stored(whole.groupBy("block").cogroup(own.groupBy("of")).applyInArrow(_meet, _FULL), "lm-full"))
+    return Scorer(stored(source.mapInArrow(_read, _BLOCK), "lm-blocks"))
 
 
 def scored(docs: DataFrame) -> DataFrame:
-    """Scores of every whole text: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
+    """Scores of every whole text: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mean_score).
 
-    A null or empty text is the end token alone.  A null doc_id counts as not
-    held out.  Repeated rows are texts of their own; other columns are ignored;
-    an empty table gives no rows.
+    ``mean_score`` is the score for a token.  A null or empty text is the end
+    token alone.  A null doc_id counts as not held out.  Repeated rows are texts
+    of their own; other columns are ignored; an empty table gives no rows.
     """
     return fitted(docs).train().scores()

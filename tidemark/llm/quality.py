@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import parts
-from .common import fold, stored, texts
+from .common import fold, small_batches, stored, texts
 
 #: Bounds of the training sample: labelled texts of each class (smallest hashes), and pieces of those that make
 #: a dictionary (smallest hashes over the whole length of all of them).  The curve is fitted on whole texts.
@@ -190,6 +190,8 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, classifier: Classifier, reject_below: float = REJECT_BELOW) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores at least ``reject_below``; a null text scores as an empty one."""
 
+    small_batches(docs.sparkSession)
+
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
         return pa.array([classifier.score(t.as_py().encode("utf-8", "surrogatepass") if t.is_valid else b"") for t in column], pa.float64())

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import small_batches, texts
 from .textvec import Block, mix, text_blocks
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -127,6 +127,8 @@ def accepted(docs: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
     Only the text goes to the measuring function and only its numbers come back; a null text has no words.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.arrow_udf(", ".join(f"{m} long" for m in MEASURES))
     def measured(column: pa.Array) -> pa.Array:
         found = [measure_block(data, offsets) for _, _, data, offsets in text_blocks(column)]
