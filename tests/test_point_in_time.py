@@ -73,5 +73,22 @@ def test_streamed_first_touch_equals_batch(spark):
 
 def test_fingerprint_ignores_volatile_parts(spark):
     rows = spark.createDataFrame([("Failed after 12ms at 2024-01-01 10:00:00",), ("failed  after 15ms at 2024-02-01 11:30:00",), ("other",)], "m string")
-    keys = [r[0] for r in rows.select(text.fingerprint(F.col("m"))).collect()]
+    keys = [r[0] for r in rows.select(text.fingerprint(F.lit("s"), F.col("m"))).collect()]
     assert keys[0] == keys[1] != keys[2]
+    apart = spark.createDataFrame([("abc1234",), ("abc5678",), ("port 8080",), ("port 9090",), ("code 42",), ("code 43",)], "m string")
+    keys = [r[0] for r in apart.select(text.fingerprint(F.lit("s"), F.col("m"))).collect()]
+    assert keys[0] != keys[1] and keys[2] == keys[3] and keys[4] != keys[5]
+
+
+SYMBOLS = {
+    "EURUSD": "EURUSD", "eurusd": "EURUSD", "EURUSD.m": "EURUSD", "EURUSD-ECN": "EURUSD", "EURUSD_micro": "EURUSD", "XAUUSD#": "XAUUSD", "BTC/USD": "BTCUSD", "USDINR": "USDINR", "USDZAR": "USDZAR",
+    "USDIDR": "USDIDR", "EURCZK": "EURCZK", "USDMYR": "USDMYR", "EURUSDm": "EURUSD", "USDINR.m": "USDINR", "USDZAR-ECN": "USDZAR", "EURUSD.pro.raw.m": "EURUSD", "US500": "US500", "GBPUSDcent": "GBPUSD", "": "",
+}
+CLASSES = {"EURUSD": ("forex", "EUR", "USD"), "XAUUSD": ("metal", "XAU", "USD"), "BTCUSD": ("crypto", "BTC", "USD"), "BTCUSDT": ("crypto", "BTC", "USDT"), "US500": ("other", None, None), "USDHUF": ("forex", "USD", "HUF"), "DOGEUSD": ("crypto", "DOGE", "USD")}
+
+
+def test_symbols(spark):
+    rows = spark.createDataFrame([(s,) for s in SYMBOLS], "raw string")
+    assert {r[0]: r[1] for r in rows.select("raw", text.canonical_symbol(F.col("raw"))).collect()} == SYMBOLS
+    rows = spark.createDataFrame([(s,) for s in CLASSES], "symbol string").select("symbol", text.classified(F.col("symbol")).alias("c")).select("symbol", "c.*")
+    assert {r[0]: tuple(r)[1:] for r in rows.collect()} == CLASSES

@@ -95,5 +95,5 @@ def next_open_close(rows: DataFrame, hours: list[tuple[int, int, int]], zone: st
 
 def hours_table(spark: SparkSession) -> DataFrame:
     """Default weekly hours by asset class, as rows."""
-    rows = [(c, d, o, e, zone) for c in ("fx", "crypto", "stock", "index") for hours, zone in [default_hours(c)] for d, o, e in hours]
+    rows = [(c, d, o, e, zone) for c in ("forex", "crypto", "stock", "index") for hours, zone in [default_hours(c)] for d, o, e in hours]
     return spark.createDataFrame(rows, "asset_class string, weekday int, opens_at int, closes_at int, zone string")

@@ -39,7 +39,7 @@ def severity_rank(severity: Column) -> Column:
 
 def incidents(events: DataFrame) -> DataFrame:
     """(component, message, severity, at) folded by fingerprint: count, first and last seen, worst severity."""
-    keyed = events.withColumn("fingerprint", fingerprint(F.col("message"), F.col("component")))
+    keyed = events.withColumn("fingerprint", fingerprint(F.col("component"), F.col("message")))
     out = keyed.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("occurrences"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen"), F.max(severity_rank(F.col("severity"))).alias("_s"), F.min("component").alias("component"))
     names = F.create_map(*[F.lit(x) for name, rank in SEVERITY_RANK.items() for x in (rank, name)])
     return out.withColumn("severity", names[F.col("_s")]).drop("_s")

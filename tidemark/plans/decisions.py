@@ -318,8 +318,21 @@ def walk_forward_folds(spark, sf_dir):
     return _folds(spark, sf_dir).groupBy("symbol", "fold", "role").agg(F.count(F.lit(1)).alias("samples"), F.sum("sample_id").alias("checksum"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS leaks")
+# Every 50th sample is planted as training data of every later fold, whenever it matured, and every 70th as both roles.
+@query(f"""WITH {BARS_A}, {_OUTCOME}, {_FOLDS}, bad AS (SELECT fd.symbol, fd.fold, fd.sample_id, CASE WHEN (sample_id // 3600) % 50 = 0 AND role <> 'test' THEN 'train' ELSE role END AS role FROM fd UNION ALL SELECT symbol, fold, sample_id, 'train' FROM fd WHERE role = 'test' AND (sample_id // 3600) % 70 = 0),
+lt AS (SELECT bad.symbol, bad.fold, bad.sample_id FROM bad JOIN bg ON bad.symbol = bg.symbol AND bad.fold = bg.fold JOIN sm ON sm.symbol = bad.symbol AND sm.sample_id = bad.sample_id WHERE role = 'train' AND outcome_ready_at >= test_start),
+bo AS (SELECT symbol, fold, sample_id FROM bad WHERE role IN ('train', 'test') GROUP BY 1, 2, 3 HAVING count(DISTINCT role) > 1)
+SELECT symbol, CAST(fold AS INTEGER) AS fold, count(*) AS leaks FROM (SELECT * FROM lt UNION ALL SELECT * FROM bo) GROUP BY 1, 2""")
 def leakage_check(spark, sf_dir):
+    folds = _folds(spark, sf_dir)
+    hour = F.floor(F.col("sample_id") / B.HOUR)
+    planted = folds.withColumn("role", F.when((hour % 50 == 0) & (F.col("role") != "test"), "train").otherwise(F.col("role")))
+    both = folds.where((F.col("role") == "test") & (hour % 70 == 0)).withColumn("role", F.lit("train"))
+    return learning.leaks(planted.unionByName(both)).groupBy("symbol", "fold").agg(F.count(F.lit(1)).alias("leaks"))
+
+
+@query(f"WITH {BARS_A}, {_OUTCOME}, {_FOLDS} SELECT count(*) AS leaks FROM fd JOIN bg USING (symbol, fold) JOIN sm USING (symbol, sample_id) WHERE role = 'train' AND outcome_ready_at >= test_start")
+def folds_without_leaks(spark, sf_dir):
     return learning.leaks(_folds(spark, sf_dir)).agg(F.count(F.lit(1)).alias("leaks"))
 
 
@@ -460,7 +473,7 @@ def empty_work(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT event_type AS component, ts AS seen_at, CASE event_id % 4 WHEN 0 THEN 'info' WHEN 1 THEN 'warning' WHEN 2 THEN 'error' ELSE 'critical' END AS severity, CASE WHEN event_id % 2 = 0 THEN 'failed after #' ELSE 'user # timed out' END AS text FROM events)
-SELECT substr(sha256(concat(component, '|', text)), 1, 24) AS fingerprint, count(*) AS occurrences, min(seen_at) AS first_seen, max(seen_at) AS last_seen, min(component) AS component, CASE max(CASE severity WHEN 'info' THEN 0 WHEN 'warning' THEN 1 WHEN 'error' THEN 2 ELSE 3 END) WHEN 0 THEN 'info' WHEN 1 THEN 'warning' WHEN 2 THEN 'error' ELSE 'critical' END AS severity FROM e GROUP BY 1 HAVING count(*) >= 5""")
+SELECT concat(component, ':', substr(sha256(concat(component, '|', text)), 1, 24)) AS fingerprint, count(*) AS occurrences, min(seen_at) AS first_seen, max(seen_at) AS last_seen, min(component) AS component, CASE max(CASE severity WHEN 'info' THEN 0 WHEN 'warning' THEN 1 WHEN 'error' THEN 2 ELSE 3 END) WHEN 0 THEN 'info' WHEN 1 THEN 'warning' WHEN 2 THEN 'error' ELSE 'critical' END AS severity FROM e GROUP BY 1 HAVING count(*) >= 5""")
 def incident_fold(spark, sf_dir):
     n = F.col("event_id")
     message = F.when(n % 2 == 0, F.concat(F.lit("Failed  after "), (n + 1000).cast("string"), F.lit("ms"))).otherwise(F.concat(F.lit("User "), (n + 5000).cast("string"), F.lit(" timed out")))
@@ -469,20 +482,23 @@ def incident_fold(spark, sf_dir):
     return operations.recurring(operations.incidents(events))
 
 
-@query("SELECT user_id AS stream, count(*) AS broken FROM events WHERE event_id % 97 = 0 GROUP BY 1")
+# Each entry carries the hash of the entry before it; payloads of every 97th are changed after hashing, links of every 89th cut.
+@query("""WITH RECURSIVE n AS (SELECT user_id AS stream, event_id AS seq, event_type AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+c AS (SELECT stream, seq, i, '' AS previous_hash, sha256(concat('', '|', payload)) AS entry_hash FROM n WHERE i = 1 UNION ALL SELECT n.stream, n.seq, n.i, c.entry_hash, sha256(concat(c.entry_hash, '|', n.payload)) FROM c JOIN n ON n.stream = c.stream AND n.i = c.i + 1)
+SELECT stream, seq, (seq % 97 = 0) AS changed, (seq % 89 = 0) AS cut FROM c WHERE seq % 97 = 0 OR seq % 89 = 0""")
 def audit_chain_verify(spark, sf_dir):
     events = B.table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), F.col("event_id").alias("seq"), F.col("event_type").alias("payload"))
-    w = Window.partitionBy("stream").orderBy("seq")
-    # Each entry links to a digest of its predecessor's payload; every 97th entry is tampered with.
-    link = F.coalesce(F.sha2(F.concat_ws(":", F.lag("seq").over(w), F.lag("payload").over(w)), 256), F.lit(""))
-    rows = events.withColumn("previous_hash", F.when(F.lag("seq").over(w).isNull(), "").otherwise(link))
-    rows = rows.withColumn("entry_hash", operations.entry_hash(F.col("previous_hash"), F.col("payload")))
-    wrong = rows.withColumn("payload", F.when(F.col("seq") % 97 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
-    bad = wrong.where(F.col("entry_hash") != operations.entry_hash(F.col("previous_hash"), F.col("payload")))
-    return bad.groupBy("stream").agg(F.count(F.lit(1)).alias("broken"))
+    one = F.sort_array(F.collect_list(F.struct("seq", "payload")))  # test input only: a chain is made entry by entry
+    link = lambda done, e: F.concat(done, F.array(F.struct(e["seq"].alias("seq"), e["payload"].alias("payload"), F.coalesce(F.try_element_at(done, F.lit(-1))["entry_hash"], F.lit("")).alias("previous_hash"), operations.entry_hash(F.coalesce(F.try_element_at(done, F.lit(-1))["entry_hash"], F.lit("")), e["payload"]).alias("entry_hash"))))
+    none = F.array().cast("array<struct<seq: bigint, payload: string, previous_hash: string, entry_hash: string>>")
+    log = events.groupBy("stream").agg(one.alias("e")).select("stream", F.explode(F.aggregate("e", none, link)).alias("l")).select("stream", "l.*")
+    bad = log.withColumn("payload", F.when(F.col("seq") % 97 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))).withColumn("previous_hash", F.when(F.col("seq") % 89 == 0, "cut").otherwise(F.col("previous_hash")))
+    return operations.audit_breaks(bad).select("stream", "seq", (F.col("seq") % 97 == 0).alias("changed"), (F.col("previous_hash") == "cut").alias("cut"))
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT w / 100.0 AS win, CAST(r AS DOUBLE) AS reward FROM (SELECT unnest(range(30, 71, 5)) AS w), (SELECT unnest([1.0, 1.5, 2.0, 3.0]) AS r)),
+b AS (SELECT win, reward, 0.0::DOUBLE AS lo, (1 - 1e-9)::DOUBLE AS hi, 0 AS k FROM g UNION ALL SELECT win, reward, CASE WHEN win * pow((lo + hi) / 2, 1 + reward) - (lo + hi) / 2 + (1 - win) > 0 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN win * pow((lo + hi) / 2, 1 + reward) - (lo + hi) / 2 + (1 - win) > 0 THEN hi ELSE (lo + hi) / 2 END, k + 1 FROM b WHERE k < 100),
+z AS (SELECT win, reward, CASE WHEN win * reward - (1 - win) > 1e-12 THEN (lo + hi) / 2 ELSE 1.0 END AS root FROM b WHERE k = 100) SELECT CAST(win AS DOUBLE) AS win, reward, round(root, 6) AS root, round(pow(root, 20), 6) AS ruin_after_20r FROM z""")
 def risk_of_ruin(spark, sf_dir):
     grid = spark.range(30, 71, 5).select((F.col("id") / 100).alias("win")).join(F.broadcast(spark.createDataFrame([(1.0,), (1.5,), (2.0,), (3.0,)], "reward double")))
     return rounded(grid.withColumn("root", stats.ruin_root(F.col("win"), F.col("reward"))).withColumn("ruin_after_20r", F.pow("root", F.lit(20.0))), "root", "ruin_after_20r")
