@@ -371,6 +371,24 @@ def test_extraction_keeps_an_article_in_a_named_wrapper():
     assert extraction.extract(f"<body><div hidden class='content share-enabled'><article>{long}</article></div><p>Here.</p></body>") == "Here."
 
 
+def test_extraction_of_broken_and_hostile_pages():
+    import time
+
+    assert extraction.extract('<p>See <a title="x>link</a> more text</p>') == "See link more text"
+    assert extraction.extract("<p>See <a title='a > b' href=\"c>d\">link</a> and 1 < 2 > 0</p>") == "See link and 1 < 2 > 0"
+    assert extraction.extract("<p>Whole text, kept <") == "Whole text, kept <" and extraction.extract("<p>a<!-- never closed <p>b") == "a"
+    assert extraction.extract("<p>a</p><script>if (a</b) x = '</p>'</script ><p>b</p><SCRIPT>c") == "a\nb"
+    long = f"<p>{LONG}</p>" * 4
+    kept = extraction.extract(f"<body><article><div class='post-header'><h1>Head</h1></div>{long}<p class='share-price'>Share price rose</p><div class='social-share-links'>Tell all</div></article></body>")
+    assert kept == "\n".join(["Head", *[LONG.strip()] * 4, "Share price rose"])
+    n = 30_000
+    hostile = ["<a b='x " * n, '<a b="x>' * n, "<div>" * n + "deep", "<i>" * n + "<hr>" * n, "</b>" * n, "<b>" + "<div>" * n + "</b>" * n, "<div>" * n + "<li>x" * n, "</script" * n, "<script>" + "</script" * n, "<!" * n, "<" * n, "<p>" * n, "&amp" * n, "<![CDATA[" * n, "<i>" * n + "<p>x</p>" * n]
+    for page in hostile:
+        began = time.process_time()
+        extraction.extract(page)
+        assert time.process_time() - began < 4, page[:20]
+
+
 # 9: packing
 
 

@@ -32,13 +32,18 @@ UNWANTED = frozenset("ad ads adv advert adverts advertisement advertising banner
 OWN_PURPOSE = frozenset("ad ads adv advert adverts advertisement advertising cookie cookies consent gdpr popup modal overlay comment comments reply replies respond disqus discussion".split())
 #: What follows one of these in a class or id word tells of the layout, not of the part itself.
 QUALIFIERS = frozenset("with without has no not".split())
+#: Words that leave an unwanted word's meaning as it is; any other beside it says that the name is about something else (a share price).
+LAYOUT = frozenset("area article articles bar block bottom box btn button buttons col column container content fixed form global group icon icons inner item items left link links list main media news outer page panel post posts primary right row section secondary site slot story stories text title top trail unit wrap wrapper zone".split())
+#: After one of these, "header" is the head of the article itself.
+OF_ARTICLE = frozenset("article content entry post story".split())
 UNWANTED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CONTAINERS = frozenset("article main section div td body blockquote html".split())
 #: Siblings of the article that are kept whatever their length, below this share of link text.
 TEXTUAL = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 hgroup ul ol dl figure table address details".split())
 LINKED = 0.25
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_QUOTE_OR_END = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
@@ -56,6 +61,22 @@ class Node:
         self.points, self.text_chars, self.link_chars = 0.0, 0, 0
 
 
+def _unwanted_words(name: str) -> set[str]:
+    """The unwanted words of one class or id name; none where other words say that it is about something else."""
+    parts = []
+    for part in _NAME_PARTS.findall(name):
+        if part.lower() in QUALIFIERS:
+            break
+        if not part.isdigit():
+            parts.append(part.lower())
+    found = {p for p in parts if p in UNWANTED}
+    if found & OWN_PURPOSE:
+        return found
+    if any(p not in UNWANTED and p not in LAYOUT for p in parts) or found == {"header"} and OF_ARTICLE & set(parts):
+        return set()
+    return found
+
+
 def _unwanted(attributes: str) -> tuple[bool, frozenset[str]]:
     """Whether role or visibility drops an element, and the unwanted words of its class and id."""
     named = set()
@@ -63,12 +84,7 @@ def _unwanted(attributes: str) -> tuple[bool, frozenset[str]]:
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
             for word in value.split():
-                for part in _NAME_PARTS.findall(word):
-                    part = part.lower()
-                    if part in QUALIFIERS:
-                        break
-                    if part in UNWANTED:
-                        named.add(part)
+                named |= _unwanted_words(word)
         elif name == "role" and value.lower().strip() in UNWANTED_ROLES:
             return True, frozenset()
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.lower().replace(" ", ""):
@@ -104,86 +120,157 @@ def _drop_named(nodes: list[Node]) -> None:
             node.dropped = True
 
 
-def parse(page: str) -> Node:
-    """A tree of elements and text; tags that don't match are mended as browsers do."""
+class _Scanner:
+    """Text, tags and the ends of raw elements of a page, each character looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self._lowered = page, None
+        self._spent = set()  # what no longer occurs in the rest of the page
+
+    def find(self, what: str, at: int) -> int:
+        if what in self._spent:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self._spent.add(what)
+        return found
+
+    def _tag_end(self, at: int) -> int:
+        """Where the tag's > is: quoted values may hold one, but a quote that never closes is none."""
+        while m := _QUOTE_OR_END.search(self.page, at):
+            if m.group() == ">":
+                return m.start()
+            closing = self.find(m.group(), m.end())
+            at = m.end() if closing < 0 else closing + 1
+        return -1
+
+    def pieces(self):
+        """("text", text), ("end", tag, "") and ("tag", tag, attributes), in order."""
+        page, at, begin = self.page, 0, 0
+        while (at := page.find("<", at)) >= 0 and self.find(">", at) >= 0:
+            special = page[at + 1 : at + 2]
+            m = _TAG.match(page, at + 1)
+            if not m and special not in ("!", "?"):
+                at += 1
+                continue
+            if begin < at:
+                yield "text", page[begin:at], ""
+            if not m:
+                if page.startswith("<!--", at):
+                    end, size = self.find("-->", at + 4), 3
+                elif page.startswith("<![CDATA[", at):
+                    end, size = self.find("]]>", at), 3
+                    yield "text", html.escape(page[at + 9 : end if end >= 0 else len(page)]), ""
+                else:
+                    end, size = page.find(">", at), 1
+                at = begin = end + size if end >= 0 else len(page)
+                continue
+            end = self._tag_end(m.end())
+            if end < 0:  # only quotes are left open: the tag ends at its first >
+                end = page.find(">", m.end())
+            at = begin = end + 1
+            tag = m.group(2).lower()
+            if m.group(1):
+                yield "end", tag, ""
+                continue
+            yield "tag", tag, page[m.end() : end]
+            if tag in RAW:
+                at = begin = self._raw_end(tag, at)
+        if begin < len(page):
+            yield "text", page[begin:], ""
+
+    def _raw_end(self, tag: str, at: int) -> int:
+        """Behind the end tag of a raw element, or the end of the page."""
+        if self._lowered is None:
+            self._lowered = self.page.translate(_ASCII_LOWER)
+        while (at := self._lowered.find(f"</{tag}", at)) >= 0:
+            behind = at + 2 + len(tag)
+            if not self.page[behind : behind + 1].isalnum():
+                end = self.page.find(">", behind)
+                return end + 1 if end >= 0 else len(self.page)
+            at = behind
+        return len(self.page)
+
+
+_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+class _Open:
+    """The open elements, and where the last one of each tag and the last block are."""
+
+    def __init__(self, root: Node):
+        self.nodes, self._at, self._blocks = [root], {root.tag: [0]}, [0]
+
+    def last(self, *tags: str) -> int:
+        return max((self._at[t][-1] for t in tags if self._at.get(t)), default=-1)
+
+    def last_block(self) -> int:
+        return self._blocks[-1]
+
+    def push(self, node: Node) -> None:
+        k = len(self.nodes)
+        self.nodes.append(node)
+        self._at.setdefault(node.tag, []).append(k)
+        if node.tag in BLOCKS:
+            self._blocks.append(k)
+
+    def close(self, k: int) -> None:
+        """Close the element at ``k`` and all in it; the root stays."""
+        while len(self.nodes) > max(k, 1):
+            node = self.nodes.pop()
+            self._at[node.tag].pop()
+            if node.tag in BLOCKS:
+                self._blocks.pop()
+
+
+def parse(page: str) -> list[Node]:
+    """All elements in page order, the root first; tags that don't match are mended as browsers do."""
     root = Node("html", None, False)
-    stack, at = [root], 0
-    nodes = [root]
-
-    def text(piece: str):
-        if piece:
-            stack[-1].children.append(piece)
-
-    for_raw = None
-    scan = _TOKEN.search
-    while m := scan(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = m.group(2)
-        if not tag:
-            if m.group().startswith("<![CDATA["):
-                text(html.escape(m.group()[9:].removesuffix("]]>")))
+    open_, nodes = _Open(root), [root]
+    for kind, tag, attributes in _Scanner(page).pieces():
+        if kind == "text":
+            open_.nodes[-1].children.append(tag)
             continue
-        tag = tag.lower()
-        if m.group(1):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("article", "main", "body", "td", "table") and tag not in BLOCKS:
-                    break  # an inline end tag closes nothing outside its container
-            continue
-        if tag in ("html", "body", "head"):
-            if tag == "body":
-                del stack[1:]
-            if tag == "html":
-                continue
-        if tag in BLOCKS:
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCKS:
-                    break
-        if tag in _CLOSED_BY:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in _CLOSED_BY[tag]:
-                    del stack[k:]
-                    break
-                if stack[k].tag in _FENCES[tag]:
-                    break
-        if tag in ("article", "main", "body", "p", "div", "section") and stack[-1].tag == "head":
-            stack.pop()
-        drop, named = stack[-1].dropped or tag in DROPPED, frozenset()
-        if not drop and tag not in ("html", "body", "article", "main") and m.group(3):
-            drop, named = _unwanted(m.group(3))
-        node = Node(tag, stack[-1], drop, named)
-        stack[-1].children.append(node)
-        nodes.append(node)
-        if tag in VOID:
+        if kind == "end":
+            k = open_.last(tag)
+            # An inline end tag closes nothing outside its container.
+            if k > 0 and (tag in BLOCKS or k > open_.last("article", "main", "body", "td", "table")):
+                open_.close(k)
             continue
-        if tag in RAW:
-            for_raw = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
-            at = for_raw.end() if for_raw else len(page)
+        if tag == "html":
             continue
-        if not (m.group(3) or "").endswith("/") or tag in BLOCKS or tag in ("a", "b", "i", "em", "strong", "span"):
-            stack.append(node)
-    text(page[at:])
+        if tag == "body":
+            open_.close(1)
+        if tag in BLOCKS and open_.nodes[open_.last_block()].tag == "p":  # a block ends an open paragraph
+            open_.close(open_.last_block())
+        if tag in _CLOSED_BY and (k := open_.last(*_CLOSED_BY[tag])) > open_.last(*_FENCES[tag]):
+            open_.close(k)
+        if tag in ("article", "main", "body", "p", "div", "section") and open_.nodes[-1].tag == "head":
+            open_.close(len(open_.nodes) - 1)
+        parent = open_.nodes[-1]
+        drop, named = parent.dropped or tag in DROPPED, frozenset()
+        if not drop and tag not in ("html", "body", "article", "main") and attributes:
+            drop, named = _unwanted(attributes)
+        node = Node(tag, parent, drop, named)
+        parent.children.append(node)
+        nodes.append(node)
+        if tag not in VOID and tag not in RAW and (not attributes.endswith("/") or tag in BLOCKS or tag in ("a", "b", "i", "em", "strong", "span")):
+            open_.push(node)
     if any(n.named for n in nodes):
         _drop_named(nodes)
-    return root
+    return nodes
 
 
 def blocks(root: Node) -> list[tuple[Node, str, int]]:
     """(block element, its text, characters inside links) in page order, dropped parts left out."""
     out, pieces, linked = [], [], 0
-    owner = root
+    owners = [root]
 
     def flush():
         nonlocal linked
         joined = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
         if joined:
-            out.append((owner, joined, min(linked, len(joined))))
+            out.append((owners[-1], joined, min(linked, len(joined))))
         pieces.clear()
         linked = 0
 
@@ -195,7 +282,8 @@ def blocks(root: Node) -> list[tuple[Node, str, int]]:
             work.pop()
             if node.tag in BLOCKS:
                 flush()
-                owner = next((n for n, _, _ in reversed(work) if n.tag in BLOCKS), root)
+                if len(owners) > 1:
+                    owners.pop()
             continue
         if isinstance(child, str):
             pieces.append(child)
@@ -209,7 +297,7 @@ def blocks(root: Node) -> list[tuple[Node, str, int]]:
         else:
             if child.tag in BLOCKS:
                 flush()
-                owner = child
+                owners.append(child)
             work.append((child, iter(child.children), links + (child.tag == "a")))
     flush()
     return out
@@ -241,43 +329,55 @@ def _widened(node: Node) -> Node:
     return node
 
 
+def _score(nodes: list[Node], found: list[tuple[Node, str, int]]) -> None:
+    """Text, link characters and points of every element, from the leaves up.
+
+    A block's points go whole to the container that is its own element or the
+    nearest above it; a container hands on half of what comes from below it,
+    and four fifths of its own block's.
+    """
+    own: dict[int, float] = {}
+    for node, text, linked in found:
+        points = (1 + len(_COMMA.findall(text)) + min(len(text) / 100, 8)) * (1 - linked / len(text))
+        own[id(node)] = own.get(id(node), 0.0) + points
+        node.text_chars += len(text)
+        node.link_chars += linked
+    for node in reversed(nodes):
+        mine = own.get(id(node), 0.0)
+        below = node.points
+        up = 0.5 * below + 0.8 * mine if node.tag in CONTAINERS else below + mine
+        node.points = below + mine
+        if node.parent is not None:
+            node.parent.points += up
+            node.parent.text_chars += node.text_chars
+            node.parent.link_chars += node.link_chars
+
+
 def extract(page: str) -> str:
     """The article's blocks of a page, one a line."""
-    root = parse(page)
-    found = blocks(root)
+    nodes = parse(page)
+    found = blocks(nodes[0])
     if not found:
         return ""
-    scored: dict[int, Node] = {}
-    for node, text, linked in found:
-        points = 1 + len(_COMMA.findall(text)) + min(len(text) / 100, 8)
-        up, weight, near = node, 1.0, node.tag not in CONTAINERS
-        while up is not None:
-            up.text_chars += len(text)
-            up.link_chars += linked
-            if up.tag in CONTAINERS:
-                if weight > 0.05:
-                    up.points += points * (1 - linked / len(text)) * weight
-                    scored[id(up)] = up
-                weight *= 0.5 if near else 0.8
-                near = True
-            up = up.parent
+    _score(nodes, found)
     value = lambda n: (n.points * (1 - _density(n))) * (1.5 if n.tag in ("article", "main") else 1.0)
-    best = max(scored.values(), key=value, default=root)
+    best = max((n for n in nodes if n.tag in CONTAINERS and n.points > 0), key=value, default=nodes[0])
     article = _article(best)
     top = article or _widened(best)
     inside = {id(top)}
-    up = top.parent
-    if up is not None:  # siblings that read like the article
+    if top.parent is not None:  # siblings that read like the article
         least = 0.25 * value(best)
-        for other in up.children:
+        for other in top.parent.children:
             if isinstance(other, Node) and other is not top and not other.dropped and (other.tag in CONTAINERS and value(other) >= least or other.tag in TEXTUAL and other.text_chars and _density(other) < LINKED):
                 inside.add(id(other))
+    # The kept element that holds each element, from the top down.
+    holder: dict[int, int] = {}
+    for node in nodes:
+        holder[id(node)] = id(node) if id(node) in inside else holder.get(id(node.parent), 0)
     kept = []
     for node, text, linked in found:
-        up = node
-        while up is not None and id(up) not in inside:
-            up = up.parent
-        if up is not None and not (linked >= 0.9 * len(text) and node.tag == "li" and up is not article):
+        where = holder[id(node)]
+        if where and not (linked >= 0.9 * len(text) and node.tag == "li" and where != id(article)):
             kept.append(text)
     return "\n".join(kept)
 
