@@ -105,7 +105,7 @@ def _drop_named(nodes: list[Node]) -> None:
         up = node.parent
         linked[id(node)] = node.tag == "a" or up is not None and linked[id(up)]
         apart[id(node)] = bool(node.named) or up is not None and apart[id(up)]
-        plain[id(node)] = 0 if node.dropped or linked[id(node)] else sum(len(_SPACE.sub(" ", c).strip()) for c in node.children if isinstance(c, str))
+        plain[id(node)] = 0 if node.dropped or linked[id(node)] else sum(len(c.strip()) for c in node.children if isinstance(c, str))
         holds[id(node)] = not node.dropped and node.tag in ("article", "main")
         clean = clean or holds[id(node)] and not apart[id(node)]
     for node in reversed(nodes):
@@ -124,7 +124,7 @@ class _Scanner:
     """Text, tags and the ends of raw elements of a page, each character looked at a bounded number of times."""
 
     def __init__(self, page: str):
-        self.page, self._lowered = page, None
+        self.page = page
         self._spent = set()  # what no longer occurs in the rest of the page
 
     def find(self, what: str, at: int) -> int:
@@ -181,18 +181,13 @@ class _Scanner:
 
     def _raw_end(self, tag: str, at: int) -> int:
         """Behind the end tag of a raw element, or the end of the page."""
-        if self._lowered is None:
-            self._lowered = self.page.translate(_ASCII_LOWER)
-        while (at := self._lowered.find(f"</{tag}", at)) >= 0:
-            behind = at + 2 + len(tag)
-            if not self.page[behind : behind + 1].isalnum():
-                end = self.page.find(">", behind)
-                return end + 1 if end >= 0 else len(self.page)
-            at = behind
+        if m := _RAW_ENDS[tag].search(self.page, at):
+            end = self.page.find(">", m.end())
+            return end + 1 if end >= 0 else len(self.page)
         return len(self.page)
 
 
-_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?![a-z0-9])", re.I) for tag in RAW}
 
 
 class _Open:
