@@ -36,13 +36,15 @@ def tails(ranked: DataFrame, least: int = LEAST_SYMBOLS, fraction: float = TAIL_
 def arms(bars: DataFrame, seed: str = "control-v1", horizon: int = HORIZON, min_history: int = MIN_HISTORY) -> DataFrame:
     """Both arms of every pick: the rule's side and a hash coin's, same entry, distance and horizon.
 
-    Long and short are each resolved once, and an arm takes its side's outcome.
+    A side is resolved once, also where both arms take it, and handed to the arms that took it.
     """
     picks = tails(stretches(bars, min_history)).withColumn("coin", coin_side(seed, F.col("symbol"), F.col("event_time")))
-    arm = F.explode(F.array(F.struct(F.lit("rule").alias("arm"), F.col("side").alias("side")), F.struct(F.lit("control").alias("arm"), F.col("coin").alias("side"))))
-    each = picks.select("symbol", "event_time", F.col("close").alias("entry"), F.col("atr"), arm.alias("a")).select("symbol", "event_time", "entry", "atr", "a.arm", "a.side")
-    stop, target = outcomes.levels(F.col("entry"), F.col("atr"), F.col("side"), STOP_MULTIPLE, TARGET_MULTIPLE)
-    return outcomes.first_touch(bars, each.withColumn("stop", stop).withColumn("target", target).drop("atr"), horizon)
+    sides = F.explode(F.array_distinct(F.array("side", "coin"))).alias("taken")
+    each = picks.select("symbol", "event_time", F.col("close").alias("entry"), "atr", F.col("side").alias("rule"), "coin", sides)
+    stop, target = outcomes.levels(F.col("entry"), F.col("atr"), F.col("taken"), STOP_MULTIPLE, TARGET_MULTIPLE)
+    touched = outcomes.first_touch(bars, each.withColumn("stop", stop).withColumn("target", target).withColumnRenamed("taken", "side").drop("atr"), horizon)
+    arms_of = F.array_compact(F.array(F.when(F.col("rule") == F.col("side"), F.lit("rule")), F.when(F.col("coin") == F.col("side"), F.lit("control"))))
+    return touched.withColumn("arm", F.explode(arms_of)).drop("rule", "coin")
 
 
 def pairs(bars: DataFrame, **options) -> DataFrame:

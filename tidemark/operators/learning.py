@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from . import ranks
 
 # Sample floors, bins and bounds.
 BUCKETS, LEAST_BUCKET, LEAST_FORECASTS = 10, 10, 100
@@ -42,19 +43,20 @@ def brier(forecasts: DataFrame, *keys: str) -> DataFrame:
 
 def to_probability(scores: DataFrame, bins: DataFrame) -> DataFrame:
     """Scores with the observed rate of their bin; null where the bin was too thin."""
-    return scores.withColumn("bucket", bucket(F.col("score"))).join(F.broadcast(bins.select("bucket", F.col("observed").alias("probability")).limit(BUCKETS)), "bucket", "left")
+    return scores.withColumn("bucket", bucket(F.col("score"))).join(bins.select("bucket", F.col("observed").alias("probability")), "bucket", "left")
 
 
 def psi(reference: DataFrame, recent: DataFrame, key: str, value: str, bins: int = DRIFT_BINS) -> DataFrame:
     """Population stability of ``value`` by key, bins by the reference's ordered values.
 
-    Edges are picked by rank in a window; no value list is gathered.
+    Edges are picked by rank through ranges of values; no value list is gathered and no key is sorted in one task.
     """
     ref, new = (d.select(key, F.col(value).alias("v")).where("v is not null and not isnan(v) and abs(v) < double('infinity')") for d in (reference, recent))
-    w = Window.partitionBy(key)
-    ranked = ref.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_i", F.row_number().over(w.orderBy("v")) - 1)
-    wanted = F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda q: F.least(F.col("_n") - 1, F.bround(q * F.col("_n") / bins).cast("long")))
-    edges = ranked.where(F.array_contains(wanted, F.col("_i").cast("long"))).withColumn("_times", F.size(F.filter(wanted, lambda x: x == F.col("_i")))).groupBy(key).agg(F.sort_array(F.flatten(F.collect_list(F.array_repeat("v", F.col("_times"))))).alias("edges"))
+    size = F.col("n")
+    wanted = F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda q: F.least(size - 1, F.bround(q * size / bins).cast("long")))
+    picked = ranks.at_ranks(ref, key, "v", wanted).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("_at"))  # at most bins - 1
+    sizes = ref.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    edges = picked.join(sizes, key).withColumn("_w", wanted).select(key, F.transform("_w", lambda r: F.try_element_at(F.col("_at"), r)).alias("edges"))
     place = lambda d: d.join(edges, key).withColumn("bin", F.size(F.filter("edges", lambda e: F.col("v") > e))).groupBy(key, "bin").agg(F.count(F.lit(1)).alias("c"))
     both = place(ref).withColumnRenamed("c", "r").join(place(new).withColumnRenamed("c", "m"), [key, "bin"], "full_outer")
     n = ref.groupBy(key).agg(F.count(F.lit(1)).alias("reference_n")).join(new.groupBy(key).agg(F.count(F.lit(1)).alias("recent_n")), key)

@@ -63,31 +63,32 @@ def first_touch(bars: DataFrame, decisions: DataFrame, horizon: int = 120, bucke
     decision meets the two buckets that hold its next ``horizon`` bars.
     """
     size = bucket or horizon
-    w = by_time()
-    numbered = bars.select("symbol", "event_time", "high", "low").withColumn("_i", F.row_number().over(w))
-    placed = decisions.join(numbered.select("symbol", "event_time", "_i"), ["symbol", "event_time"])
-    key = [c for c in decisions.columns]
-    spans = F.sequence(F.floor((F.col("_i") + 1) / size), F.floor((F.col("_i") + horizon) / size))
-    spread = placed.withColumn("_b", F.explode(spans)).withColumnRenamed("_i", "_at")
+    key = list(decisions.columns)
+    numbered = bars.select("symbol", "event_time", "high", "low", F.row_number().over(by_time()).alias("_i"))
+    # Repeated decisions are resolved once and come back as often as they were given.
+    once = decisions.groupBy(*key).agg(F.count(F.lit(1)).alias("_copies"))
+    placed = once.join(numbered.select("symbol", "event_time", F.col("_i").alias("_at")), ["symbol", "event_time"])
+    spans = F.sequence(F.floor((F.col("_at") + 1) / size), F.floor((F.col("_at") + horizon) / size))
+    spread = placed.withColumn("_b", F.explode(spans))
     later = numbered.select("symbol", F.floor(F.col("_i") / size).alias("_b"), F.col("_i").alias("_j"), "high", "low")
-    met = spread.join(later, ["symbol", "_b"]).where((F.col("_j") > F.col("_at")) & (F.col("_j") <= F.col("_at") + horizon))
-    long = F.col("side") > 0
+    met = spread.join(later, ["symbol", "_b"], "left")
+    long, ahead = F.col("side") > 0, (F.col("_j") > F.col("_at")) & (F.col("_j") <= F.col("_at") + horizon)
     stop = F.when(long, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop"))
     target = F.when(long, F.col("high") >= F.col("target")).otherwise(F.col("low") <= F.col("target"))
-    touch = met.withColumn("_s", stop).withColumn("_t", target).where("_s or _t").groupBy(*key).agg(F.min(F.struct("_j", "_s", "_t")).alias("_f"))
+    first = F.min(F.when(ahead & (stop | target), F.struct("_j", stop.alias("_s"), target.alias("_t")))).alias("_f")
+    found = met.groupBy(*key, "_at", "_copies").agg(first)
     r = F.when(F.col("_f._s") & F.col("_f._t"), F.lit(None)).when(F.col("_f._s"), -1.0).when(F.col("_f._t"), F.abs(F.col("target") - F.col("entry")) / F.abs(F.col("entry") - F.col("stop")))
-    joined = placed.alias("p").join(touch.select(*[F.col(c).alias(f"_k_{c}") for c in key], "_f"), [F.col(f"p.{c}").eqNullSafe(F.col(f"_k_{c}")) for c in key], "left")
-    return joined.select(*[F.col(f"p.{c}") for c in key], r.cast("double").alias("r"), (F.col("_f._s") & F.col("_f._t")).alias("ambiguous"), (F.col("_f._j") - F.col("p._i")).alias("bars_to_touch"))
+    each = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return each.select(*key, r.cast("double").alias("r"), (F.col("_f._s") & F.col("_f._t")).alias("ambiguous"), (F.col("_f._j") - F.col("_at")).alias("bars_to_touch"))
 
 
 def resolved(bars: DataFrame, decisions: DataFrame, horizon: int = 120) -> DataFrame:
     """Decisions with a status: win, loss, abandoned (ambiguous, or the horizon passed) or open."""
-    total = bars.groupBy("symbol").agg(F.max("event_time").alias("_last"))
-    rows = first_touch(bars, decisions, horizon).join(total, "symbol")
+    rows = first_touch(bars, decisions, horizon)
     w = Window.partitionBy("symbol").orderBy("event_time")
     index = bars.select("symbol", "event_time", (F.count(F.lit(1)).over(Window.partitionBy("symbol")) - F.row_number().over(w)).alias("bars_after"))
     status = F.when(F.col("r") > 0, "win").when(F.col("r") <= 0, "loss").when(F.col("bars_after") >= horizon, "abandoned").otherwise("open")
-    return rows.join(index, ["symbol", "event_time"]).withColumn("status", status).drop("_last")
+    return rows.join(index, ["symbol", "event_time"]).withColumn("status", status)
 
 
 def levels(entry: Column, atr: Column, side: Column, stop_multiple: float, reward_multiple: float) -> tuple[Column, Column]:
