@@ -47,6 +47,26 @@ def test_asof_join_takes_same_instant_and_keeps_unmatched(spark):
     assert {(r["id"], r["v"]) for r in asof.asof_join(left, right, "k", "t", ["v"]).collect()} == {(1, 7), (2, None), (3, None)}
 
 
+def test_chunks_change_nothing(spark, sf, monkeypatch):
+    from tidemark.operators import crosssection, features
+
+    bars = B.hourly_event_bars(spark, sf).cache()
+    decisions = bars.select("symbol", "event_time", F.lit(1).alias("side"), F.col("close").alias("entry"), (F.col("close") * 0.8).alias("stop"), (F.col("close") * 1.3).alias("target"))
+    make = [lambda: features.compute(bars), lambda: features.with_steps(bars), lambda: outcomes.forward(bars, 6), lambda: crosssection.stretches(bars, 20), lambda: outcomes.resolved(bars, decisions, 9)]
+    rounded = lambda df: df.select(*[F.round(c, 9).alias(c) if t == "double" else c for c, t in df.dtypes])
+    whole = [sorted(map(str, rounded(f()).collect())) for f in make]
+    monkeypatch.setattr(B, "CHUNK_ROWS", 64)
+    monkeypatch.setattr(B, "SPAN_SECONDS", 86400)
+    for before, f in zip(whole, make, strict=True):
+        assert before == sorted(map(str, rounded(f()).collect())) != []
+    left = bars.select("symbol", "event_time", F.col("close").alias("mine"))
+    right = bars.where(F.hour("event_time") % 7 == 0).select("symbol", "event_time", "close")
+    small = asof.asof_join(left, right, "symbol", "event_time", ["close"])
+    got = sorted(map(str, small.collect()))
+    monkeypatch.setattr(B, "SPAN_SECONDS", 1 << 40)
+    assert got == sorted(map(str, asof.asof_join(left, right, "symbol", "event_time", ["close"]).collect()))
+
+
 DECISIONS = [(1, 1, 1.0, 0.9, 1.2, "win"), (2, 1, 1.0, 0.95, 1.5, "loss"), (3, -1, 1.0, 1.2, 0.9, "loss"), (4, 1, 1.0, 0.97, 1.02, "abandoned"), (5, 1, 1.0, 0.1, 9.0, "abandoned")]
 HIGHS, LOWS = [1.0, 1.05, 1.25, 1.0, 1.0, 1.0], [1.0, 0.96, 0.99, 0.92, 1.0, 1.0]
 

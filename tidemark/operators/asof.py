@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.bars import spans
+
 BAR_KEYS = ("symbol", "event_time")
 
 
@@ -57,16 +59,24 @@ def freshness(bars: DataFrame, as_of: str, delta: int, stale_after: int = 3) ->
 def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, values: Sequence[str]) -> DataFrame:
     """Each left row with the newest right row of its key at or before its time.
 
-    Union and a running ``last`` over one sort: linear, no range join, and a
+    Union and a running ``last`` within spans of time: linear, no range join,
+    and no key's history in one task.  What a span has from before it, the last
+    right row of an earlier one, comes from a small table by key and span.  A
     right row at the same instant counts as known.
     """
     names = [c for c in left.columns if c not in (key, time)]
     kinds, right_kinds = dict(left.dtypes), dict(right.dtypes)
     a = left.select(key, time, F.lit(1).alias("_side"), *names, *[F.lit(None).cast(right_kinds[v]).alias(f"_r_{v}") for v in values], F.lit(None).cast("boolean").alias("_hit"))
     b = right.select(key, time, F.lit(0).alias("_side"), *[F.lit(None).cast(kinds[c]).alias(c) for c in names], *[F.col(v).alias(f"_r_{v}") for v in values], F.lit(True).alias("_hit"))
-    w = Window.partitionBy(key).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = F.last(F.when(F.col("_hit"), F.struct(*[F.col(f"_r_{v}").alias(v) for v in values])), ignorenulls=True).over(w)
-    return a.unionByName(b).withColumn("_m", found).where("_side = 1").select(key, time, *names, *[F.col(f"_m.{v}").alias(v) for v in values])
+    both = a.unionByName(b).withColumn("_span", spans(time))
+    row = F.when(F.col("_hit"), F.struct(*[F.col(f"_r_{v}").alias(v) for v in values]))
+    by_span = both.groupBy(key, "_span").agg(F.max_by(row, F.when(F.col("_hit"), F.col(time))).alias("_l"))
+    earlier = F.last("_l", ignorenulls=True).over(Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
+    carried = by_span.select(F.col(key).alias("_key"), F.col("_span").alias("_of"), earlier.alias("_carried"))
+    w = Window.partitionBy(key, "_span").orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.join(carried, both[key].eqNullSafe(carried["_key"]) & (both["_span"] == carried["_of"]), "left")
+    found = F.coalesce(F.last(row, ignorenulls=True).over(w), F.col("_carried"))
+    return met.withColumn("_m", found).where("_side = 1").select(key, time, *names, *[F.col(f"_m.{v}").alias(v) for v in values])
 
 
 def training_eligible(bars: DataFrame, datasets: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:

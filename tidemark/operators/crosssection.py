@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.text import coin_side
-from ..sources.bars import by_time
+from ..sources.bars import by_chunk, chunked, own
 from . import features, outcomes
 
 # Windows, tails and geometry of the measured rule.
@@ -17,11 +17,11 @@ MIN_HISTORY, STOP_MULTIPLE, TARGET_MULTIPLE, HORIZON = 80, 2.5, 1.0, 120
 
 def stretches(bars: DataFrame, min_history: int = MIN_HISTORY) -> DataFrame:
     """Distance of each close from the mean of the previous 50, in average true ranges."""
-    w = by_time()
-    rows = features.with_steps(bars, w).withColumn("_n", F.row_number().over(w)).withColumn("atr", F.when(F.count("_tr").over(w.rowsBetween(-13, 0)) == ATR_WINDOW, F.avg("_tr").over(w.rowsBetween(-13, 0))))
+    w = by_chunk()
+    rows = features.with_steps(chunked(bars, MEAN_WINDOW + 1), w).withColumn("_n", F.col("_i")).withColumn("atr", F.when(F.count("_tr").over(w.rowsBetween(-13, 0)) == ATR_WINDOW, F.avg("_tr").over(w.rowsBetween(-13, 0))))
     mean = F.avg("close").over(w.rowsBetween(-MEAN_WINDOW, -1))
     rows = rows.withColumn("stretch", F.when((F.col("_n") > min_history) & (F.col("atr") > 0), (F.col("close") - mean) / F.col("atr")))
-    return rows.where("stretch is not null").select("symbol", "event_time", "close", "atr", "stretch")
+    return own(rows).where("stretch is not null").select("symbol", "event_time", "close", "atr", "stretch")
 
 
 def tails(ranked: DataFrame, least: int = LEAST_SYMBOLS, fraction: float = TAIL_FRACTION) -> DataFrame:

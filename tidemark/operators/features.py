@@ -1,8 +1,9 @@
 """The feature catalogue: column factories over one window.
 
 Every feature reads one partition and order and differs only in its frame, so
-any number of them costs one exchange and one sort.  A feature is null until
-``lookback + 1`` bars exist.
+any number of them costs one exchange and one sort.  Windows reach back a
+bounded number of bars, so a symbol's history is cut into chunks that overlap by
+as many.  A feature is null until ``lookback + 1`` bars exist.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.bars import by_time
+from ..sources.bars import by_chunk, chunked, own
 
 
 @dataclass(frozen=True)
@@ -49,7 +50,8 @@ def _log_ratio(a: Column, b: Column) -> Column:
 
 def with_steps(bars: DataFrame, w=None) -> DataFrame:
     """Bars with the previous close, log return and true range that several features share."""
-    w = w or by_time()
+    if w is None:
+        return own(with_steps(chunked(bars, 1), by_chunk())).drop("_i")
     previous = F.lag("close").over(w)
     return (
         bars.withColumn("_prev", previous)
@@ -130,16 +132,17 @@ def specs(names: list[str] | None = None) -> list[Feature]:
 
 def compute(bars: DataFrame, names: list[str] | None = None, keep_steps: bool = False) -> DataFrame:
     """Bars with one column per feature."""
-    w = by_time()
-    steps = with_steps(bars, w).withColumn("_n", F.row_number().over(w))
-    out = steps.withColumns({f.name: F.when(F.col("_n") > f.lookback, f.make(w)) for f in specs(names)})
+    picked = specs(names)
+    w = by_chunk()
+    steps = with_steps(chunked(bars, 1 + max((f.lookback for f in picked), default=0)), w).withColumn("_n", F.col("_i"))
+    out = own(steps.withColumns({f.name: F.when(F.col("_n") > f.lookback, f.make(w)) for f in picked})).drop("_i")
     return out if keep_steps else out.drop("_prev", "_ret", "_tr", "_up", "_down", "_n")
 
 
 def latest(bars: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Features of each symbol's newest bar."""
-    newest = Window.partitionBy("symbol")
-    return compute(bars, names).withColumn("_last", F.max("event_time").over(newest)).where("event_time = _last").drop("_last")
+    newest = bars.groupBy("symbol").agg(F.max("event_time").alias("event_time"))
+    return compute(bars, names).join(newest, ["symbol", "event_time"], "left_semi")
 
 
 def materialise(bars: DataFrame, delta: int, names: list[str] | None = None, existing: DataFrame | None = None) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.bars import by_time
+from ..sources.bars import by_chunk, chunked, numbered, own
 from . import calendars, features
 
 
@@ -14,18 +14,17 @@ def forward(bars: DataFrame, horizon: int) -> DataFrame:
 
     ``bars_to_max_*`` is the first bar of the extreme, 0 where price never went that way.
     """
-    w = by_time()
+    w = by_chunk()
     ahead = w.rowsBetween(1, horizon)
-    n = F.row_number().over(w)
-    rows = bars.withColumn("_i", n)
+    rows = chunked(bars, after=horizon)
     top, bottom = F.max(F.struct(F.col("high").alias("v"), (-F.col("_i")).alias("i"))).over(ahead), F.min(F.struct(F.col("low").alias("v"), F.col("_i").alias("i"))).over(ahead)
     rows = rows.withColumn("_top", top).withColumn("_bottom", bottom).withColumn("_ahead", F.count(F.lit(1)).over(ahead)).withColumn("_exit", F.lead("close", horizon).over(w))
     full = (F.col("_ahead") == horizon) & (F.col("close") > 0)
     up, down = (F.col("_top.v") - F.col("close")) / F.col("close"), (F.col("_bottom.v") - F.col("close")) / F.col("close")
-    return rows.withColumns({
+    return own(rows.withColumns({
         "max_up_pct": F.when(full, F.greatest(F.lit(0.0), up)), "max_down_pct": F.when(full, F.least(F.lit(0.0), down)), "forward_return_pct": F.when(full, (F.col("_exit") - F.col("close")) / F.col("close")),
         "bars_to_max_up": F.when(full, F.when(up > 0, -F.col("_top.i") - F.col("_i")).otherwise(0)), "bars_to_max_down": F.when(full, F.when(down < 0, F.col("_bottom.i") - F.col("_i")).otherwise(0)), "outcome_bars": F.col("_ahead"),
-    }).drop("_i", "_top", "_bottom", "_ahead", "_exit")
+    })).drop("_i", "_top", "_bottom", "_ahead", "_exit")
 
 
 def episodes(bars: DataFrame, delta: int, horizon: int, cutoff: str | None = None, step: int = 1, names: list[str] | None = None) -> DataFrame:
@@ -64,13 +63,13 @@ def first_touch(bars: DataFrame, decisions: DataFrame, horizon: int = 120, bucke
     """
     size = bucket or horizon
     key = list(decisions.columns)
-    numbered = bars.select("symbol", "event_time", "high", "low", F.row_number().over(by_time()).alias("_i"))
+    counted = numbered(bars.select("symbol", "event_time", "high", "low"))
     # Repeated decisions are resolved once and come back as often as they were given.
     once = decisions.groupBy(*key).agg(F.count(F.lit(1)).alias("_copies"))
-    placed = once.join(numbered.select("symbol", "event_time", F.col("_i").alias("_at")), ["symbol", "event_time"])
+    placed = once.join(counted.select("symbol", "event_time", F.col("_i").alias("_at")), ["symbol", "event_time"])
     spans = F.sequence(F.floor((F.col("_at") + 1) / size), F.floor((F.col("_at") + horizon) / size))
     spread = placed.withColumn("_b", F.explode(spans))
-    later = numbered.select("symbol", F.floor(F.col("_i") / size).alias("_b"), F.col("_i").alias("_j"), "high", "low")
+    later = counted.select("symbol", F.floor(F.col("_i") / size).alias("_b"), F.col("_i").alias("_j"), "high", "low")
     met = spread.join(later, ["symbol", "_b"], "left")
     long, ahead = F.col("side") > 0, (F.col("_j") > F.col("_at")) & (F.col("_j") <= F.col("_at") + horizon)
     stop = F.when(long, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop"))
@@ -85,8 +84,8 @@ def first_touch(bars: DataFrame, decisions: DataFrame, horizon: int = 120, bucke
 def resolved(bars: DataFrame, decisions: DataFrame, horizon: int = 120) -> DataFrame:
     """Decisions with a status: win, loss, abandoned (ambiguous, or the horizon passed) or open."""
     rows = first_touch(bars, decisions, horizon)
-    w = Window.partitionBy("symbol").orderBy("event_time")
-    index = bars.select("symbol", "event_time", (F.count(F.lit(1)).over(Window.partitionBy("symbol")) - F.row_number().over(w)).alias("bars_after"))
+    total = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("_all"))
+    index = numbered(bars.select("symbol", "event_time")).join(total, "symbol").select("symbol", "event_time", (F.col("_all") - F.col("_i")).alias("bars_after"))
     status = F.when(F.col("r") > 0, "win").when(F.col("r") <= 0, "loss").when(F.col("bars_after") >= horizon, "abandoned").otherwise("open")
     return rows.join(index, ["symbol", "event_time"]).withColumn("status", status)
 

@@ -7,7 +7,7 @@ a correction is a new row, never an update.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed-grid timeframes in seconds.  W1 and MN1 follow the calendar and have no grid.
@@ -63,3 +63,49 @@ def bitemporal(bars: DataFrame, delta: int = HOUR, revise_every: int = 17, revis
 def by_time(*keys: str) -> Window:
     """The one window order that features, outcomes and detectors share."""
     return Window.partitionBy(*(keys or ("symbol",))).orderBy("event_time")
+
+
+#: Seconds whose bars are numbered together, and bars of a symbol that one window task sees (beside their context).
+SPAN_SECONDS, CHUNK_ROWS = 90 * 86400, 1 << 16
+
+
+def spans(time: str = "event_time") -> Column:
+    """The span of time that a row is in; rows without a time are before all."""
+    return F.coalesce(F.floor(F.unix_timestamp(time) / SPAN_SECONDS), F.lit(-(1 << 40))).cast("long")
+
+
+def numbered(bars: DataFrame, key: str = "symbol", time: str = "event_time") -> DataFrame:
+    """Bars with ``_i``, their number by time within the symbol, from 1.
+
+    Bars are sorted span by span; where a span begins comes from a small table
+    of counts, so a symbol's history is never in one task.
+    """
+    rows = bars.withColumn("_span", spans(time))
+    counts = rows.groupBy(key, "_span").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(key).orderBy("_span")) - F.col("_c")
+    local = F.row_number().over(Window.partitionBy(key, "_span").orderBy(time))
+    met = rows.join(counts.select(key, "_span", before.alias("_before")), [key, "_span"], "left")
+    return met.withColumn("_i", F.coalesce("_before", F.lit(0)) + local).drop("_span", "_before")
+
+
+def chunked(bars: DataFrame, before: int = 0, after: int = 0, key: str = "symbol", size: int | None = None) -> DataFrame:
+    """Numbered bars cut into chunks for windows of bounded reach.
+
+    Every bar is its own (``_own``) in one chunk; bars within ``before`` of the next
+    chunk's beginning, or ``after`` behind the last one's end, are there as context.
+    """
+    size = max(size or CHUNK_ROWS, before, after, 1)
+    at = F.col("_i") - 1
+    home, place = F.floor(at / size).cast("long"), at % size
+    where = F.array_compact(F.array(home, F.when(place >= size - before, home + 1), F.when((place < after) & (home > 0), home - 1)))
+    rows = numbered(bars, key).withColumn("_chunk", F.explode(where))
+    return rows.withColumn("_own", F.col("_chunk") == home)
+
+
+def by_chunk(key: str = "symbol") -> Window:
+    return Window.partitionBy(key, "_chunk").orderBy("event_time")
+
+
+def own(rows: DataFrame) -> DataFrame:
+    """Chunked rows without their context."""
+    return rows.where("_own").drop("_chunk", "_own")
