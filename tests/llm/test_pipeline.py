@@ -60,6 +60,18 @@ def test_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
 
 
+def test_stages_pass_other_columns_through(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    clashing = docs.selectExpr("*", "doc_id as _measures", "source as text_key", "lang as cid", "1 as digest", "'k' as key", "2 as score", "true as kept", "7 as component_id").cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clashing, sf)
+        assert out.columns == clashing.columns, name
+        given = {r["doc_id"]: r for r in clashing.collect()}
+        for r in out.collect():
+            assert [r[c] for c in clashing.columns if c not in ("text", "n_chars")] == [given[r["doc_id"]][c] for c in clashing.columns if c not in ("text", "n_chars")]
+    assert corpus_pipeline.STAGES[-1][1](spark, clashing, sf).count() >= 60
+
+
 def test_stages_on_empty_and_null(spark, sf):
     kind = "doc_id long, text string, lang string, source string, n_chars long"
     for rows in ([], [(1, None, None, None, None), (None, "a few words, and ten of them or so, at least ten", "en", "s", 3)]):

@@ -244,6 +244,24 @@ def test_vectors(spark, sf, monkeypatch):
     assert near_vectors.near_duplicates(spark.createDataFrame([], frame.schema)).count() == 0
 
 
+def test_projection_trees_keep_pairs_at_the_threshold():
+    rng = np.random.default_rng(3)
+    for depth in (8, 12):
+        unit = rng.normal(size=(3000, 64))
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        aside = rng.normal(size=unit.shape)
+        aside -= (aside * unit).sum(1, keepdims=True) * unit
+        aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+        pair = 0.9801 * unit + np.sqrt(1 - 0.9801**2) * aside
+        forest = near_vectors.Forest(unit, 64, 0.98)
+        entered = []
+        for m in (unit, pair):
+            row, code = forest.leaves(m, np.full(len(m), depth))
+            entered.append(np.split(code, np.searchsorted(row, np.arange(1, len(m)))))
+        together = [bool(np.intersect1d(a, b).size) for a, b in zip(*entered, strict=True)]
+        assert np.mean(together) > 0.995 and np.mean([len(a) for a in entered[0]]) < 25
+
+
 # 6: WARC
 
 
@@ -264,6 +282,15 @@ def test_warc(spark, sf, tmp_path):
     assert warc.archived(frame.limit(0), f"file://{tmp_path}/c").count() == 0
 
 
+def test_warc_of_many_files(spark, tmp_path, monkeypatch):
+    rows = [(k, f"u{k}", f"<p>{k}</p>" + "long text " * (20_000 if k % 10 == 0 else 1)) for k in range(60)] + [(100 + k, "u", "hot") for k in range(200)]
+    monkeypatch.setattr(warc, "FILE_BYTES", 400)
+    monkeypatch.setattr(warc, "PIECE_BYTES", 1 << 10)
+    got = warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), f"file://{tmp_path}/a").collect()
+    assert {r["page_id"]: (r["payload_bytes"], r["refers_to"], r["html"]) for r in got} == {p: (len(h), 299 if h == "hot" and p != 299 else None, h if h != "hot" or p == 299 else None) for p, _, h in rows}
+    assert len(list((tmp_path / "a").glob("*.warc.zst"))) > 4
+
+
 # 7: near-duplicates
 
 
@@ -333,6 +360,13 @@ def test_extraction(spark, sf):
         assert r["n_chars"] == len(r["text"]) > 0
 
 
+def test_extraction_with_clashing_columns_and_ties(spark):
+    frame = spark.createDataFrame([(1, "u", "<p>x</p>", "mine", 3)], "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in extraction.extracted(frame).collect()] == [(1, "u", "x", 1)]
+    same = f"<div><p>{LONG}</p></div>"
+    assert extraction.extract(f"<body>{same}{same}</body>") == f"{LONG.strip()}\n{LONG.strip()}"
+
+
 def test_extraction_of_real_pages(spark, sf):
     import html
 
@@ -433,6 +467,14 @@ def test_packing(spark, sf, rows, odd):
     assert packing.pack(empty(spark), path).count() == 0
 
 
+def test_packing_of_repeated_ids(spark):
+    rows = [(1, "one text, two words."), (1, "another text of this id."), (None, "no id"), (1, "one text, two words.")]
+    pieces = packing.pack(spark.createDataFrame([(*r, "x", 2) for r in rows], "doc_id long, text string, ids string, start int"), queries.WORD_BPE).collect()
+    whole = packing.word_tokens(queries.WORD_BPE).encode([t for _, t in rows])
+    assert sum(p["length"] for p in pieces) == sum(len(x) + 1 for x in whole)
+    assert Counter((p["doc_id"], p["doc_tokens"]) for p in pieces if p["start"] == 0) == Counter((i, len(x) + 1) for (i, _), x in zip(rows, whole, strict=True))
+
+
 def test_cuts_are_cheapest():
     rng = np.random.default_rng(8)
     total = 6000
@@ -476,6 +518,14 @@ def test_language_model(spark, docs, rows, odd):
     assert language_model.scored(empty(spark)).count() == 0
 
 
+def test_language_model_of_a_long_text(spark):
+    rows = [(1, "word other word " * 200_000), (2, "word"), (2, "other one"), (None, None)]
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, block int, words string")
+    found = language_model.scored(frame).collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in found) == Counter([(1, 600_001), (2, 2), (2, 3), (None, 1)])
+    assert all(math.isfinite(r["score"]) and r["score"] <= 0 and r["mean_score"] == pytest.approx(r["score"] / r["n_tokens"]) for r in found)
+
+
 def test_language_model_is_normalised(spark, docs):
     scorer = language_model.fitted(docs).train(1)
     one, two, log_z = scorer.model.tables()
