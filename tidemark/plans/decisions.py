@@ -504,7 +504,12 @@ def risk_of_ruin(spark, sf_dir):
     return rounded(grid.withColumn("root", stats.ruin_root(F.col("win"), F.col("reward"))).withColumn("ruin_after_20r", F.pow("root", F.lit(20.0))), "root", "ruin_after_20r")
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT l / 100.0 AS loss, CAST(t AS INTEGER) AS trades, k FROM (SELECT unnest(range(30, 71, 10)) AS l), (SELECT unnest([20, 60, 100]) AS t), (SELECT unnest([3, 5, 8]) AS k)),
+d AS (SELECT CAST(loss AS DOUBLE) AS loss, trades, k, 0 AS step, list_transform(range(k), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS run, 0.0::DOUBLE AS hit FROM g
+ UNION ALL SELECT loss, trades, k, step + 1, list_prepend(list_sum(run) * (1 - loss), list_transform(run[1:k - 1], lambda x: x * loss)), hit + run[k] * loss FROM d WHERE step < trades),
+e AS (SELECT loss, trades, k, hit FROM d WHERE step = trades)
+SELECT loss, trades, round(max(CASE WHEN k = 3 THEN hit END), 6) AS streak_3, round(max(CASE WHEN k = 5 THEN hit END), 6) AS streak_5, round(max(CASE WHEN k = 8 THEN hit END), 6) AS streak_8,
+ round(1 - pow(1 - loss, 10) - 10 * loss * pow(1 - loss, 9) - 45 * pow(loss, 2) * pow(1 - loss, 8), 6) AS three_of_ten FROM e GROUP BY loss, trades""")
 def streak_probability(spark, sf_dir):
     grid = spark.range(30, 71, 10).select((F.col("id") / 100).alias("loss")).join(F.broadcast(spark.range(20, 101, 40).select(F.col("id").cast("int").alias("trades"))))
     return rounded(grid.withColumns({f"streak_{k}": stats.streak_probability(F.col("loss"), F.col("trades"), k) for k in (3, 5, 8)}).withColumn("three_of_ten", stats.binomial_tail(F.col("loss"), 10, 3)), "streak_3", "streak_5", "streak_8", "three_of_ten")
