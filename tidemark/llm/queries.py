@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, extraction, language_model, near_text, near_vectors, packing, personal, quality, rules, warc
+from . import bpe, extraction, language_model, near_text, near_vectors, packing, personal, prefix_trie, quality, rules, urls, vector_codes, warc
 from .common import table
 
 #: Vocabularies by name; every worker finds them through the public tokenizers' package.
@@ -53,6 +53,20 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scored(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_bpe, op3_pii, op4_quality_rules, op5_embedding_dedup, op6_warc, op7_minhash, op8_html, op9_packing, op10_lm)}
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
 
-ORACLES = {"op4_quality_rules": rules.ledger_sql()}
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+OPERATORS = (op1_quality, op2_bpe, op3_pii, op4_quality_rules, op5_embedding_dedup, op6_warc, op7_minhash, op8_html, op9_packing, op10_lm, op11_url_filter, op12_prefix_trie, op13_vector_codes)
+
+QUERIES = {f.__name__: f for f in OPERATORS}
+
+ORACLES = {"op4_quality_rules": rules.ledger_sql(), "op12_prefix_trie": prefix_trie.TRIE_SQL, "op13_vector_codes": vector_codes.CODES_SQL}
