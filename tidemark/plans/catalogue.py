@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decisions, desk, series, streams  # noqa: F401
+from . import decisions, desk, ingestion, series, streams  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
