@@ -345,6 +345,29 @@ def test_estimate_is_unbiased():
 # 8: extraction
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_regular_texts_do_not_collide(spark):
+    """Words and lines that differ by a pattern which defeats polynomial hashes."""
+    for n in (512, 1024, 2048, 4096, 4104, 65_536):
+        one, two = thue_morse(n), thue_morse(n, "b", "a")
+        text = f"{one}\n{two}\n{one}"
+        frame = spark.createDataFrame([(1, text), (2, one), (3, two), (4, " ".join([one, "x", "y", "z", "w"] * 2)), (5, " ".join([two, "x", "y", "z", "w"] * 2))], "doc_id long, text string")
+        got = {r["doc_id"]: tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) for r in rules.judged(frame).collect()}
+        assert got == {r["doc_id"]: brute_rules(r["text"]) for r in frame.collect()}
+        near = {r["doc_id"]: r["component_id"] for r in near_text.near_duplicates(frame, 85).collect()}
+        assert near == {i: i for i in range(1, 6)}
+    from tidemark.llm.textvec import Block
+
+    rng = np.random.default_rng(1)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 2, k)) for k in range(1, 40) for _ in range(300)] + [thue_morse(k) for k in (8, 64, 5000)]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    found = Block(data, np.array([0, len(data)]), lower=False).hash
+    assert len(found) == len(words) and len(set(found.tolist())) == len(set(words))
+
+
 def test_extraction(spark, sf):
     page = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body><div id="cookie-notice"><p>We use cookies, really, many cookies.</p></div>
     <header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></li></ul></nav><div class="layout"><main><article><h1>Head &amp; line</h1><p>First   para, with <b>bold</b>
@@ -391,7 +414,20 @@ def test_extraction_keeps_the_whole_article():
         assert extraction.extract(f"<body><{tag}>Beside it</{tag}><div>{long}</div></body>") == f"Beside it\n{lines}", tag
     works = "<ul><li><a href=a>First work</a></li><li><a href=b>Second work</a></li></ul>"
     assert extraction.extract(f"<body><article>{long}{works}</article></body>") == f"{lines}\nFirst work\nSecond work"
-    assert extraction.extract(f"<body><div>{long}{works}</div></body>") == lines
+    assert extraction.extract(f"<body><div>{long}{works}</div></body>") == f"{lines}\nFirst work\nSecond work"
+    assert extraction.extract(f"<body>{works}{long}</body>") == lines  # a menu ahead of the text
+
+
+def test_extraction_loses_no_part_of_the_article():
+    long, lines = f"<p>{LONG}</p>" * 4, "\n".join([LONG.strip()] * 4)
+    site = "<header><h1>Site</h1></header>"
+    for wrapped in (f"<form id='aspnetForm' action='x'><div>{long}</div></form>", f"<form><input name=a>{site}<article>{long}</article><footer>us</footer></form>"):
+        assert extraction.extract(f"<body>{wrapped}</body>") == lines
+    assert extraction.extract(f"<body><article>{long}</article><form><p>{LONG * 9}</p></form></body>") == lines
+    assert extraction.extract(f"<body>{site}<article><header><h1>Head</h1><p>By me, today.</p></header>{long}</article></body>") == f"Head\nBy me, today.\n{lines}"
+    assert extraction.extract(f"<body>{site}<main><header><h1>Head</h1><nav>Menu</nav></header>{long}</main></body>") == f"Head\n{lines}"
+    assert extraction.extract(f"<body><div>{long}</div><div><p>Short end.</p></div><div class='share'>Tell all</div></body>") == f"{lines}\nShort end."
+    assert extraction.extract(f"<body><div>{long}</div><section>Short end.</section><div><a href=x>More, elsewhere</a></div></body>") == f"{lines}\nShort end."
 
 
 def test_extraction_keeps_an_article_in_a_named_wrapper():

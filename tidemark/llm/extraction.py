@@ -25,7 +25,7 @@ from .common import texts
 # Elements by role, and the words of class, id and role names that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
-DROPPED = frozenset("head script style textarea title noscript iframe noembed noframes template nav header footer aside form button select option svg canvas object video audio dialog menu input".split())
+DROPPED = frozenset("head script style textarea title noscript iframe noembed noframes template nav footer aside button select option svg canvas object video audio dialog menu input".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 UNWANTED = frozenset("ad ads adv advert adverts advertisement advertising banner promo promotion promoted sponsor sponsored sponsors nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar side aside widget widgets related recommended recommendations share sharing social subscribe subscription newsletter signup login cookie cookies consent notice notices alert gdpr popup modal overlay comment comments reply replies respond disqus discussion pagination pager toolbar tags skip copyright".split())
 #: Of these, the words that say what a part is for, however long it is.
@@ -97,7 +97,9 @@ def _drop_named(nodes: list[Node]) -> None:
 
     Such a one holds an article or main element while none stands outside the
     unwanted subtrees, or holds more than half of the page's text outside links
-    and its name isn't that of a part with a purpose of its own.  ``nodes`` is in page order.
+    and its name isn't that of a part with a purpose of its own.  A form is
+    such a part too, unless it wraps the page: it stays only while no article stands outside.
+    ``nodes`` is in page order.
     """
     plain, holds, linked, apart = {}, {}, {}, {}
     clean = False
@@ -116,7 +118,7 @@ def _drop_named(nodes: list[Node]) -> None:
     for node in nodes:
         if node.parent is not None and node.parent.dropped:
             node.dropped = True
-        elif node.named and not (holds[id(node)] and not clean or 2 * plain[id(node)] > whole and not node.named & OWN_PURPOSE):
+        elif node.named and not (holds[id(node)] and not clean or 2 * plain[id(node)] > whole and not node.named & OWN_PURPOSE and not (clean and "form" in node.named)):
             node.dropped = True
 
 
@@ -246,6 +248,10 @@ def parse(page: str) -> list[Node]:
         drop, named = parent.dropped or tag in DROPPED, frozenset()
         if not drop and tag not in ("html", "body", "article", "main") and attributes:
             drop, named = _unwanted(attributes)
+        if tag == "header" and open_.last("article", "main") < 0:  # inside them it is the article's own head
+            drop = True
+        elif tag == "form":
+            named = named | {"form"}
         node = Node(tag, parent, drop, named)
         parent.children.append(node)
         nodes.append(node)
@@ -363,7 +369,10 @@ def extract(page: str) -> str:
     if top.parent is not None:  # siblings that read like the article
         least = 0.25 * value(best)
         for other in top.parent.children:
-            if isinstance(other, Node) and other is not top and not other.dropped and (other.tag in CONTAINERS and value(other) >= least or other.tag in TEXTUAL and other.text_chars and _density(other) < LINKED):
+            if not isinstance(other, Node) or other is top or other.dropped or not other.text_chars:
+                continue
+            few_links = _density(other) < LINKED and (other.tag in TEXTUAL or article is None)
+            if few_links or other.tag in CONTAINERS and value(other) >= least:
                 inside.add(id(other))
     # The kept element that holds each element, from the top down.
     holder: dict[int, int] = {}
@@ -372,7 +381,8 @@ def extract(page: str) -> str:
     kept = []
     for node, text, linked in found:
         where = holder[id(node)]
-        if where and not (linked >= 0.9 * len(text) and node.tag == "li" and where != id(article)):
+        # Links in a list ahead of all text are a menu, unless an article begins with them.
+        if where and (kept or not (linked >= 0.9 * len(text) and node.tag == "li" and where != id(article))):
             kept.append(text)
     return "\n".join(kept)
 

@@ -1,14 +1,16 @@
 """Vectorised word, line and shingle hashing over Arrow string buffers.
 
 A text's words are ``[^\\x20\\x09-\\x0D]+``.  Everything here works on the raw
-UTF-8 bytes of a block of texts at once: a prefix sum of ``table[byte] * B**i``
-modulo 2**64 gives the hash of any byte range by one subtraction and one
-multiplication with the inverse power, so no Python object is made per word.
+UTF-8 bytes of a block of texts at once: all byte ranges take their next eight
+bytes together, mix them into 64-bit states, and those that have ended drop
+out, so no Python object is made per word.  Every step is a bijection of the
+state, so no pattern of bytes collides by construction.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +19,15 @@ import pyarrow as pa
 BLOCK_BYTES = 1 << 20
 
 _U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_RAW = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U64(2) + _U64(1)
-_LOWER = _RAW.copy()
-_LOWER[65:91] = _RAW[97:123]
 _SHINGLE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * _U64(2) + _U64(1)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: The low k bytes of eight, and the bytes from which on a range is hashed by itself.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_ALONE = 4096
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,16 +39,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U64(31))
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
-
-
 def text_blocks(column: pa.Array | pa.ChunkedArray, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a string column into blocks: (first row, row after the last, bytes, offsets).
 
@@ -76,9 +68,8 @@ class Block:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
         self.data, self.offsets, self.n_docs = data, offsets, len(offsets) - 1
         n = len(data)
-        power, self._inverse = _pow(n + 1)
-        self._prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum((_LOWER if lower else _RAW)[data] * power[:n], out=self._prefix[1:])
+        self._bytes = np.zeros(n + 8, np.uint8)
+        self._bytes[:n] = _LOWER[data] if lower else data
         self.space = _SPACE[data]
         head = np.ones(n + 1, bool)
         head[1:n] = self.space[: n - 1] if n else False
@@ -94,7 +85,20 @@ class Block:
         self.n_words = np.bincount(self.doc, minlength=self.n_docs)
 
     def range_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self._prefix[end] - self._prefix[start]) * self._inverse[start])
+        """Hashes of byte ranges, eight bytes of each at a time; very long ones one by one."""
+        eights = np.ndarray((len(self.data) + 1,), "<u8", self._bytes, strides=(1,))
+        left = end - start
+        out = mix(left.astype(np.uint64) * _U64(0x9E3779B97F4A7C15) + _U64(1))
+        for k in np.flatnonzero(left > _ALONE):
+            out[k] = int.from_bytes(blake2b(self._bytes[start[k] : end[k]], digest_size=8).digest(), "little")
+        live = np.flatnonzero((left > 0) & (left <= _ALONE))
+        at, left = start[live], left[live]
+        while len(live):
+            piece = eights[at] & _KEEP[np.minimum(left, 8)]
+            out[live] = mix((out[live] ^ piece) * _U64(0xD6E8FEB86659FD93))
+            on = left > 8
+            live, at, left = live[on], at[on] + 8, left[on] - 8
+        return out
 
     def per_doc(self, flags: np.ndarray) -> np.ndarray:
         """Sum of a byte-wise flag in each text."""
