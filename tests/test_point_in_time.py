@@ -9,7 +9,6 @@ from tidemark.functions import text
 from tidemark.operators import asof, outcomes
 from tidemark.sources import bars as B
 from tidemark.sources.shared import fresh_folder
-from tidemark.streaming import resolve
 
 START = datetime(2024, 3, 4)
 BAR = "symbol string, event_time timestamp, open double, high double, low double, close double, volume double"
@@ -79,18 +78,6 @@ def test_first_touch_by_hand(spark):
     assert found == {d[0]: d[5] for d in DECISIONS}
 
 
-def test_streamed_first_touch_equals_batch(spark):
-    folder = fresh_folder(spark, "bars-in")
-    bars = series(spark, HIGHS, LOWS)
-    for i in range(3):
-        bars.where((F.hour("event_time") / 2).cast("int") == i).coalesce(1).write.mode("append").parquet(folder)
-    rows = [(i, "X", START, s, e, x, t) for i, s, e, x, t, _ in DECISIONS]
-    decisions = spark.createDataFrame(rows, "decision_id long, symbol string, opened_at timestamp, side int, entry double, stop double, target double")
-    stream = resolve.resolve(spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(folder), decisions, 5)
-    stream.writeStream.format("memory").queryName("resolved").option("checkpointLocation", fresh_folder(spark, "resolve-state")).trigger(availableNow=True).start().awaitTermination()
-    assert {r["decision_id"]: r["status"] for r in spark.table("resolved").collect()} == {d[0]: d[5] for d in DECISIONS}
-
-
 def test_fingerprint_ignores_volatile_parts(spark):
     rows = spark.createDataFrame([("Failed after 12ms at 2024-01-01 10:00:00",), ("failed  after 15ms at 2024-02-01 11:30:00",), ("other",)], "m string")
     keys = [r[0] for r in rows.select(text.fingerprint(F.lit("s"), F.col("m"))).collect()]
