@@ -29,7 +29,7 @@ def decisions_of(spark):
 
 def streamed(spark, bars, decisions, pieces, horizon=5, salts=3):
     before = resolve.with_rocksdb(spark)
-    found = resolve.resolve(streams.replayed(spark, bars, "b", pieces), streams.replayed(spark, decisions, "d", pieces), horizon, salts)
+    found = resolve.resolve(streams.replayed(spark, bars, "b", pieces), streams.replayed(spark, decisions, "d", pieces, like=bars), horizon, salts)
     name = fresh_folder(spark, "x")[-32:]
     run = found.writeStream.format("memory").queryName(f"t{name}").option("checkpointLocation", fresh_folder(spark, "s")).trigger(availableNow=True).start()
     run.awaitTermination()

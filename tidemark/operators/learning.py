@@ -11,7 +11,7 @@ from . import ranks
 # Sample floors, bins and bounds.
 BUCKETS, LEAST_BUCKET, LEAST_FORECASTS = 10, 10, 100
 DRIFT_BINS, LEAST_DRIFT, SHIFTED, BROKEN, EPSILON = 10, 50, 0.1, 0.25, 1e-6
-LEAST_TRIALS, LEAST_EVALUATED, LEAST_OVERLAP, SIGMAS = 50, 60, 0.8, 2.0
+LEAST_TRIALS, LEAST_EVALUATED, LEAST_OVERLAP, SIGMAS, LEAST_TEST = 50, 60, 0.8, 2.0, 20
 
 
 def bucket(score: Column) -> Column:
@@ -93,14 +93,15 @@ def scorecards(trials: DataFrame, key: str = "strategy", r: str = "r") -> DataFr
     return rows.withColumn("verdict", verdict)
 
 
-def walk_forward(samples: DataFrame, folds: int, least_train: int, embargo_seconds: int = 0, key: str = "symbol") -> DataFrame:
+def walk_forward(samples: DataFrame, folds: int, least_train: int, embargo_seconds: int = 0, key: str = "symbol", least_test: int = LEAST_TEST) -> DataFrame:
     """(key, sample_id, fold, role): train, test, purge or embargo for each fold.
 
     The first ``least_train`` samples only train; the rest is split evenly and the last fold takes the remainder.
-    Training samples whose outcome was not known when the test began are purged.
+    Training samples whose outcome was not known when the test began are purged.  A key that can't
+    give every fold ``least_test`` samples has no folds.
     """
     w = Window.partitionBy(key)
-    rows = samples.withColumn("_i", F.row_number().over(w.orderBy("event_time", "sample_id")) - 1).withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= least_train + folds)
+    rows = samples.withColumn("_i", F.row_number().over(w.orderBy("event_time", "sample_id")) - 1).withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= least_train + folds * least_test)
     size = F.floor((F.col("_n") - least_train) / folds)
     own = F.when(F.col("_i") < least_train, -1).otherwise(F.least(F.floor((F.col("_i") - least_train) / size), F.lit(folds - 1)))
     rows = rows.withColumn("_own", own.cast("int"))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import fingerprint
 
 # Floors of the operational reports.
-LEAST_RUNS, SLOW_FACTOR, LEAST_TRADES, LEAST_OVERLAP, LAG_MARGIN = 12, 3.0, 5, 100, 1.15
-SEVERITY_RANK = {"info": 0, "warning": 1, "error": 2, "critical": 3}
+LEAST_RUNS, SLOW_FACTOR, LEAST_TRADES, LEAST_OVERLAP, LAG_MARGIN, WINDOW_DAYS, LEAST_BARS = 12, 3.0, 5, 100, 1.15, 3, 10
+SEVERITY_RANK = {"info": 0, "warning": 1, "serious": 2, "critical": 3}
 
 
 def retry_waste(runs: DataFrame) -> DataFrame:
@@ -24,10 +24,21 @@ def slow_runs(runs: DataFrame) -> DataFrame:
     return runs.join(typical, "instrument").where(F.col("seconds") > SLOW_FACTOR * F.col("median_seconds"))
 
 
-def empty_work(runs: DataFrame, least: int = LEAST_TRADES) -> DataFrame:
-    """Instruments whose runs, at least ``least`` of them, wrote nothing."""
-    out = runs.groupBy("instrument").agg(F.count(F.lit(1)).alias("runs"), F.sum("rows_written").alias("written"))
-    return out.where((F.col("runs") >= least) & (F.col("written") == 0)).drop("written")
+def recent(rows: DataFrame, now: str | Column, time: str) -> DataFrame:
+    """Rows of the last three days before ``now``."""
+    now = F.lit(now).cast("timestamp") if isinstance(now, str) else now
+    return rows.where(F.col(time) >= F.timestamp_seconds(F.unix_timestamp(now) - WINDOW_DAYS * 86400))
+
+
+def empty_work(runs: DataFrame, now: str | Column, least: int = LEAST_RUNS) -> DataFrame:
+    """Instruments whose runs of the last three days, at least 12, wrote nothing."""
+    out = recent(runs, now, "started_at").groupBy("instrument").agg(F.count(F.lit(1)).alias("runs"), F.sum("rows_written").alias("written"))
+    return out.where((F.col("runs") >= least) & (F.coalesce("written", F.lit(0)) <= 0)).drop("written")
+
+
+def thin_coverage(bars: DataFrame, now: str | Column, least: int = LEAST_BARS) -> DataFrame:
+    """Symbols that are still collected but had fewer than ten bars in the last three days."""
+    return recent(bars, now, "ingested_at").groupBy("symbol").agg(F.count(F.lit(1)).alias("bars")).where(F.col("bars") < least)
 
 
 def severity_rank(severity: Column) -> Column:
@@ -64,14 +75,17 @@ def audit_breaks(log: DataFrame, key: str = "stream") -> DataFrame:
 def clock_offset(public: DataFrame, broker: DataFrame, step: int, lags: range = range(-12, 15), least: int = LEAST_OVERLAP) -> DataFrame:
     """The shift in steps by which a broker's clock leads: the least mean distance of closes over 27 lags.
 
-    A lag needs 100 shared bars, and the best must beat the next by 15 per cent.
+    A lag needs 100 shared bars.  The only one with so many is certain; else the
+    best must beat the next by 15 per cent, and where both fit perfectly (a
+    flat series) nothing is known.  An uncertain lag is null.
     """
     lag = F.explode(F.array(*[F.lit(k) for k in lags]))
     shifted = broker.select("symbol", F.col("event_time").alias("_t"), F.col("close").alias("broker_close"), lag.alias("lag")).withColumn("event_time", F.timestamp_seconds(F.unix_timestamp("_t") - F.col("lag") * step))
     each = shifted.join(public.select("symbol", "event_time", "close"), ["symbol", "event_time"]).groupBy("symbol", "lag").agg(F.count(F.lit(1)).alias("overlap"), F.avg(F.abs(F.col("broker_close") - F.col("close"))).alias("distance")).where(F.col("overlap") >= least)
     w = Window.partitionBy("symbol").orderBy("distance", F.abs("lag"), "lag")
     best = each.withColumn("_k", F.row_number().over(w)).withColumn("_next", F.lead("distance").over(w)).where("_k = 1")
-    return best.select("symbol", "lag", "overlap", "distance", (F.col("_next") >= F.col("distance") * LAG_MARGIN).alias("certain"))
+    certain = F.when(F.col("_next").isNull(), True).when(F.col("distance") <= 0, F.col("_next") > 0).otherwise(F.col("_next") / F.col("distance") >= LAG_MARGIN)
+    return best.select("symbol", F.when(certain, F.col("lag")).alias("lag"), "overlap", "distance", certain.alias("certain"))
 
 
 def revisions(incoming: DataFrame, stored: DataFrame, keys=("symbol", "event_time"), values=("open", "high", "low", "close", "volume"), tolerance: float = 1e-9) -> DataFrame:

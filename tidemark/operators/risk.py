@@ -10,8 +10,15 @@ TOTAL_R, CURRENCY_R, CLUSTER_R, INSTRUMENT_R, CLUSTER_BOUND = 6.0, 3.0, 3.0, 2.0
 HARD = {"trade_r": 1.0, "daily_loss_r": 3.0, "drawdown": 0.10, "positions": 10, "margin": 0.50, "data_age_bars": 3.0}
 SOFT = {"target_r": 1.0, "drawdown": 0.05, "daily_loss_r": 1.5, "free_margin": 0.30}
 DAY_SHIFT_SECONDS, DAY_OPEN_WINDOW_SECONDS = 2 * 3600, 600
-# Legal moves of an order.
-ORDER_MOVES = {"created": ("validated", "rejected"), "validated": ("submitted", "cancelled", "rejected"), "submitted": ("accepted", "rejected", "cancelled"), "accepted": ("filled", "partial", "cancelled"), "partial": ("filled", "cancelled")}
+# Legal moves of an order; no answer in time is unknown, which leads back to the live states.
+ORDER_MOVES = {
+    "draft": ("submitted", "cancelled"),
+    "submitted": ("accepted", "rejected", "partially_filled", "filled", "unknown"),
+    "accepted": ("partially_filled", "filled", "cancelled", "rejected", "unknown"),
+    "partially_filled": ("filled", "cancelled", "unknown"),
+    "unknown": ("accepted", "partially_filled", "filled", "cancelled", "rejected"),
+}
+FIRST_STATE = "draft"
 
 
 def currency_exposure(positions: DataFrame, *keys: str) -> DataFrame:
@@ -122,11 +129,50 @@ def illegal_moves(orders: DataFrame) -> DataFrame:
     legal = F.lit(False)
     for state, nexts in ORDER_MOVES.items():
         legal = legal | ((F.col("before") == state) & F.col("state").isin(*nexts))
-    return moved.where(F.when(F.col("before").isNull(), F.col("state") != "created").otherwise(~legal))
+    return moved.where(F.when(F.col("before").isNull(), F.col("state") != FIRST_STATE).otherwise(~legal))
+
+
+SKIPS = ("kill_switch", "disabled", "not_permitted", "ceiling")
+
+
+def _permits_all() -> Column:
+    return F.coalesce(F.size("permitted"), F.lit(0)) < 1
 
 
 def route(intents: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Every intent against every account that trades its symbol, with the first reason to skip."""
-    met = intents.join(accounts, "symbol")
-    reason = F.when(~F.col("enabled"), "disabled").when(F.col("open_risk_r") + F.col("risk_r") > F.col("max_risk_r"), "risk").when(F.col("free_margin") < F.col("needed_margin"), "margin")
-    return met.withColumn("skipped", reason)
+    """The accounts that may act on each intent (intent, symbol, risk_r), and those whose ceiling is below its risk.
+
+    ``accounts`` has (account, killed, enabled, permitted, max_risk_r); an empty
+    or null list permits every symbol, and a null switch counts as engaged.
+    Accounts that are switched off or don't permit the symbol have no rows here:
+    ``routing`` counts them.  An equi-join on symbols; accounts that permit all
+    get the distinct symbols asked for.
+    """
+    live = accounts.where(~F.coalesce("killed", F.lit(True)) & F.coalesce("enabled", F.lit(False)))
+    asked = intents.agg(F.coalesce(F.collect_set("symbol"), F.array()).alias("_asked"))  # one row: the distinct symbols
+    listed = live.join(F.broadcast(asked)).select("account", "max_risk_r", F.explode(F.when(_permits_all(), F.col("_asked")).otherwise(F.array_distinct("permitted"))).alias("symbol"))
+    return intents.join(listed, "symbol").select("intent", "account", F.when(F.col("risk_r") > F.col("max_risk_r"), SKIPS[3]).alias("skipped"))
+
+
+def routing(intents: DataFrame, accounts: DataFrame) -> DataFrame:
+    """How many accounts take each intent and how many skip it for which reason, without a row for each pair.
+
+    Accounts are counted by permitted symbol and ceiling (those that permit all
+    under no symbol), intents meet the counts of their symbol: one row for
+    each ceiling that occurs there.
+    """
+    book = accounts.select(F.coalesce("killed", F.lit(True)).alias("killed"), F.coalesce("enabled", F.lit(False)).alias("enabled"), "permitted", "max_risk_r")
+    live = book.where("not killed and enabled")
+    totals = book.agg(F.count_if("killed").alias("kill_switch"), F.count_if(F.expr("not killed and not enabled")).alias("disabled"), F.count_if(F.expr("not killed and enabled")).alias("_live"))
+    named = live.where(~_permits_all()).select("max_risk_r", F.explode(F.array_distinct("permitted")).alias("symbol")).groupBy("symbol", "max_risk_r").agg(F.count(F.lit(1)).alias("_n"))
+    free = live.where(_permits_all()).groupBy("max_risk_r").agg(F.count(F.lit(1)).alias("_n"))
+    asked = intents.select("symbol", "risk_r").distinct()
+    # The ceilings of accounts that permit all, as one row.
+    spread = free.agg(F.coalesce(F.collect_list(F.struct("max_risk_r", "_n")), F.array()).alias("_free"))
+    sums = lambda pick: F.aggregate(F.filter("_free", pick), F.lit(0).cast("long"), lambda a, x: a + x["_n"])
+    own = asked.join(named, "symbol", "left").groupBy("symbol", "risk_r").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_own"), F.coalesce(F.sum(F.when(F.col("risk_r") > F.col("max_risk_r"), F.col("_n"))), F.lit(0)).alias("_over"))
+    own = own.join(F.broadcast(spread)).join(F.broadcast(totals))  # one row each
+    over = F.col("_over") + sums(lambda x: F.col("risk_r") > x["max_risk_r"])
+    own = own.withColumn("ceiling", over).withColumn("_may", F.col("_own") + sums(lambda x: F.lit(True)))
+    counts = own.select("symbol", "risk_r", "kill_switch", "disabled", (F.col("_live") - F.col("_may")).alias("not_permitted"), "ceiling", (F.col("_may") - F.col("ceiling")).alias("routed"))
+    return intents.join(counts, ["symbol", "risk_r"]).select("intent", "routed", *SKIPS)

@@ -304,13 +304,13 @@ def scorecard_wilson(spark, sf_dir):
 
 
 _FOLDS = f"""sm AS (SELECT symbol, CAST(epoch(event_time) AS BIGINT) AS sample_id, event_time, outcome_ready_at, row_number() OVER (PARTITION BY symbol ORDER BY event_time) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM oc),
-ow AS (SELECT *, CASE WHEN i < 100 THEN -1 ELSE least((i - 100) // ((n - 100) // 4), 3) END AS own FROM sm WHERE n >= 104), bg AS (SELECT symbol, own AS fold, min(event_time) AS test_start FROM ow WHERE own >= 0 GROUP BY 1, 2),
+ow AS (SELECT *, CASE WHEN i < 60 THEN -1 ELSE least((i - 60) // ((n - 60) // 4), 3) END AS own FROM sm WHERE n >= 140), bg AS (SELECT symbol, own AS fold, min(event_time) AS test_start FROM ow WHERE own >= 0 GROUP BY 1, 2),
 fd AS (SELECT ow.symbol, sample_id, fold, CASE WHEN own = fold THEN 'test' WHEN outcome_ready_at >= test_start THEN 'purge' WHEN event_time >= test_start - INTERVAL 6 HOUR THEN 'embargo' ELSE 'train' END AS role FROM ow JOIN bg ON ow.symbol = bg.symbol AND own <= fold)"""
 
 
 def _folds(spark, sf_dir):
     samples = outcomes.episodes(A(spark, sf_dir), B.HOUR, H, names=[]).select("symbol", F.unix_timestamp("event_time").alias("sample_id"), "event_time", "outcome_ready_at")
-    return learning.walk_forward(samples, 4, 100, 6 * B.HOUR)
+    return learning.walk_forward(samples, 4, 60, 6 * B.HOUR)
 
 
 @query(f"WITH {BARS_A}, {_OUTCOME}, {_FOLDS} SELECT symbol, CAST(fold AS INTEGER) AS fold, role, count(*) AS samples, CAST(sum(sample_id) AS BIGINT) AS checksum FROM fd GROUP BY 1, 2, 3")
@@ -432,11 +432,13 @@ def pnl_rollup(spark, sf_dir):
     return rounded(rounded(operations.pnl(deals), "net", places=2), "hit_rate")
 
 
-@query(f"""WITH {BARS_A}, sh AS (SELECT symbol, event_time + INTERVAL 3 HOUR AS t, close * 1.0001 AS close FROM a), lg AS (SELECT unnest(range(-12, 15)) AS lag), e AS (SELECT sh.symbol, lag, count(*) AS overlap, avg(abs(sh.close - a.close)) AS distance FROM sh, lg JOIN a ON a.symbol = sh.symbol AND a.event_time = sh.t - to_hours(CAST(lag AS INTEGER)) GROUP BY 1, 2 HAVING count(*) >= 100),
-k AS (SELECT *, row_number() OVER v AS k, lead(distance) OVER v AS nx FROM e WINDOW v AS (PARTITION BY symbol ORDER BY distance, abs(lag), lag)) SELECT symbol, CAST(lag AS INTEGER) AS lag, overlap, round(distance, 6) AS distance, nx >= distance * 1.15 AS certain FROM k WHERE k = 1""")
+@query(f"""WITH {BARS_A.replace("a AS (", "a0 AS (", 1)}, a AS (SELECT * REPLACE (CASE WHEN symbol = 'click' THEN 1.0 ELSE close END AS close) FROM a0), sh AS (SELECT symbol, event_time + INTERVAL 3 HOUR AS t, CASE WHEN symbol = 'click' THEN 1.0 ELSE close * 1.0001 END AS close FROM a), lg AS (SELECT unnest(range(-12, 15)) AS lag), e AS (SELECT sh.symbol, lag, count(*) AS overlap, avg(abs(sh.close - a.close)) AS distance FROM sh, lg JOIN a ON a.symbol = sh.symbol AND a.event_time = sh.t - to_hours(CAST(lag AS INTEGER)) GROUP BY 1, 2 HAVING count(*) >= 100),
+k AS (SELECT *, row_number() OVER v AS k, lead(distance) OVER v AS nx FROM e WINDOW v AS (PARTITION BY symbol ORDER BY distance, abs(lag), lag)), c AS (SELECT *, CASE WHEN nx IS NULL THEN true WHEN distance <= 0 THEN nx > 0 ELSE nx / distance >= 1.15 END AS certain FROM k WHERE k = 1)
+SELECT symbol, CASE WHEN certain THEN CAST(lag AS INTEGER) END AS lag, overlap, round(distance, 6) AS distance, certain FROM c""")
 def clock_offset_align(spark, sf_dir):
-    bars = A(spark, sf_dir)
-    broker = bars.select("symbol", F.timestamp_seconds(F.unix_timestamp("event_time") + 3 * B.HOUR).alias("event_time"), (F.col("close") * 1.0001).alias("close"))
+    flat = F.col("symbol") == "click"  # a series that fits at every lag
+    bars = A(spark, sf_dir).withColumn("close", F.when(flat, 1.0).otherwise(F.col("close")))
+    broker = bars.select("symbol", F.timestamp_seconds(F.unix_timestamp("event_time") + 3 * B.HOUR).alias("event_time"), F.when(flat, 1.0).otherwise(F.col("close") * 1.0001).alias("close"))
     return rounded(operations.clock_offset(bars, broker, B.HOUR), "distance")
 
 
@@ -450,11 +452,11 @@ def revision_diff(spark, sf_dir):
     return rounded(operations.revisions(incoming.unionByName(again).drop("h"), stored).select("symbol", "event_time", "close", "revision"), "close")
 
 
-_RUNLOG = "rl AS (SELECT user_id AS instrument, event_id, value AS seconds, 1 + CAST(value AS BIGINT) % 3 AS attempts, CASE WHEN user_id % 8 = 0 THEN 0 ELSE 5 END AS rows_written FROM events)"
+_RUNLOG = "rl AS (SELECT user_id AS instrument, event_id, value AS seconds, 1 + CAST(value AS BIGINT) % 3 AS attempts, CASE WHEN user_id % 8 = 0 THEN 0 ELSE 5 END AS rows_written, ts AS started_at FROM events)"
 
 
 def run_log(spark, sf_dir):
-    return B.table(spark, sf_dir, "events").select(F.col("user_id").alias("instrument"), "event_id", F.col("value").alias("seconds"), (1 + F.rint("value").cast("long") % 3).alias("attempts"), F.when(F.col("user_id") % 8 == 0, 0).otherwise(5).alias("rows_written"))
+    return B.table(spark, sf_dir, "events").select(F.col("user_id").alias("instrument"), "event_id", F.col("value").alias("seconds"), (1 + F.rint("value").cast("long") % 3).alias("attempts"), F.when(F.col("user_id") % 8 == 0, 0).otherwise(5).alias("rows_written"), F.col("ts").cast("timestamp").alias("started_at"))
 
 
 @query(f"WITH {_RUNLOG} SELECT instrument, count(*) AS runs, CAST(sum(attempts) AS BIGINT) AS attempts, CAST(sum(attempts) - count(*) AS BIGINT) AS extra FROM rl GROUP BY 1 HAVING sum(attempts) > count(*)")
@@ -467,13 +469,21 @@ def slow_runs(spark, sf_dir):
     return rounded(operations.slow_runs(run_log(spark, sf_dir)).select("instrument", "event_id", "seconds", "median_seconds"), "seconds", "median_seconds")
 
 
-@query(f"WITH {_RUNLOG} SELECT instrument, count(*) AS runs FROM rl GROUP BY 1 HAVING count(*) >= 5 AND sum(rows_written) = 0")
+@query(f"WITH {_RUNLOG} SELECT instrument, count(*) AS runs FROM rl WHERE started_at >= TIMESTAMP '{AS_OF}' - INTERVAL 3 DAY GROUP BY 1 HAVING count(*) >= 12 AND sum(rows_written) = 0")
 def empty_work(spark, sf_dir):
-    return operations.empty_work(run_log(spark, sf_dir))
+    return operations.empty_work(run_log(spark, sf_dir), AS_OF)
 
 
-@query("""WITH e AS (SELECT event_type AS component, ts AS seen_at, CASE event_id % 4 WHEN 0 THEN 'info' WHEN 1 THEN 'warning' WHEN 2 THEN 'error' ELSE 'critical' END AS severity, CASE WHEN event_id % 2 = 0 THEN 'failed after #' ELSE 'user # timed out' END AS text FROM events)
-SELECT concat(component, ':', substr(sha256(concat(component, '|', text)), 1, 24)) AS fingerprint, count(*) AS occurrences, min(seen_at) AS first_seen, max(seen_at) AS last_seen, min(component) AS component, CASE max(CASE severity WHEN 'info' THEN 0 WHEN 'warning' THEN 1 WHEN 'error' THEN 2 ELSE 3 END) WHEN 0 THEN 'info' WHEN 1 THEN 'warning' WHEN 2 THEN 'error' ELSE 'critical' END AS severity FROM e GROUP BY 1 HAVING count(*) >= 5""")
+@query(f"WITH {BARS_A} SELECT symbol, count(*) AS bars FROM (SELECT CASE WHEN hour(event_time) IN (3, 9) THEN concat(symbol, '-thin') ELSE symbol END AS symbol, event_time + INTERVAL 1 HOUR AS ingested_at FROM a) WHERE ingested_at >= TIMESTAMP '{AS_OF}' - INTERVAL 3 DAY AND ingested_at < TIMESTAMP '{AS_OF}' GROUP BY 1 HAVING count(*) < 10")
+def thin_coverage(spark, sf_dir):
+    """Symbols with next to no bars in the last three days; two hours of each day are a symbol of their own."""
+    seen = B.bitemporal(A(spark, sf_dir)).where("revision = 1").where(F.col("ingested_at") < F.lit(AS_OF).cast("timestamp"))
+    thin = F.when(F.hour("event_time").isin(3, 9), F.concat("symbol", F.lit("-thin"))).otherwise(F.col("symbol"))
+    return operations.thin_coverage(seen.withColumn("symbol", thin), AS_OF)
+
+
+@query("""WITH e AS (SELECT event_type AS component, ts AS seen_at, CASE event_id % 4 WHEN 0 THEN 'info' WHEN 1 THEN 'warning' WHEN 2 THEN 'serious' ELSE 'critical' END AS severity, CASE WHEN event_id % 2 = 0 THEN 'failed after #' ELSE 'user # timed out' END AS text FROM events)
+SELECT concat(component, ':', substr(sha256(concat(component, '|', text)), 1, 24)) AS fingerprint, count(*) AS occurrences, min(seen_at) AS first_seen, max(seen_at) AS last_seen, min(component) AS component, CASE max(CASE severity WHEN 'info' THEN 0 WHEN 'warning' THEN 1 WHEN 'serious' THEN 2 ELSE 3 END) WHEN 0 THEN 'info' WHEN 1 THEN 'warning' WHEN 2 THEN 'serious' ELSE 'critical' END AS severity FROM e GROUP BY 1 HAVING count(*) >= 5""")
 def incident_fold(spark, sf_dir):
     n = F.col("event_id")
     message = F.when(n % 2 == 0, F.concat(F.lit("Failed  after "), (n + 1000).cast("string"), F.lit("ms"))).otherwise(F.concat(F.lit("User "), (n + 5000).cast("string"), F.lit(" timed out")))

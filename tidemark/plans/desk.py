@@ -52,16 +52,16 @@ def asset_classes(spark, sf_dir):
 
 
 _MESSAGE = """CASE event_id % 5 WHEN 0 THEN concat('Failed  after ', event_id, 'ms at ', strftime(ts, '%Y-%m-%d %H:%M:%S'), 'Z') WHEN 1 THEN concat('User ', event_id + 5000, ' timed out') WHEN 2 THEN concat('node abc', event_id % 7 + 1000, ' lost')
- WHEN 3 THEN concat(' Job 0f8fad5b-d9cb-469f-a165-7086728', 10000 + event_id % 90000, ' ended ') ELSE concat('code ', event_id % 4, ' port ', 8000 + event_id % 9) END"""
+ WHEN 3 THEN concat(chr(9), ' Job 0f8fad5b-d9cb-469f-a165-7086728', 10000 + event_id % 90000, ' ended ') ELSE concat('code ', event_id % 4, ' port ', 8000 + event_id % 9) END"""
 
 
-@query(f"""WITH m AS (SELECT event_type AS source, {_MESSAGE} AS message FROM events), k AS (SELECT source, regexp_replace(regexp_replace(lower(trim(message)), '{text.VOLATILE}', '#', 'g'), '\\s+', ' ', 'g') AS bones FROM m)
+@query(f"""WITH m AS (SELECT event_type AS source, {_MESSAGE} AS message FROM events), k AS (SELECT source, regexp_replace(regexp_replace(lower(regexp_replace(message, '^\\s+|\\s+$', '', 'g')), '{text.VOLATILE}', '#', 'g'), '\\s+', ' ', 'g') AS bones FROM m)
 SELECT concat(source, ':', substr(sha256(concat(source, '|', bones)), 1, 24)) AS fingerprint, count(*) AS occurrences FROM k GROUP BY 1""")
 def fingerprints(spark, sf_dir):
     n, s = F.col("event_id"), lambda x: x.cast("string")
     kinds = [
         F.concat(F.lit("Failed  after "), s(n), F.lit("ms at "), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("Z")), F.concat(F.lit("User "), s(n + 5000), F.lit(" timed out")),
-        F.concat(F.lit("node abc"), s(n % 7 + 1000), F.lit(" lost")), F.concat(F.lit(" Job 0f8fad5b-d9cb-469f-a165-7086728"), s(10000 + n % 90000), F.lit(" ended ")), F.concat(F.lit("code "), s(n % 4), F.lit(" port "), s(8000 + n % 9)),
+        F.concat(F.lit("node abc"), s(n % 7 + 1000), F.lit(" lost")), F.concat(F.lit("\t Job 0f8fad5b-d9cb-469f-a165-7086728"), s(10000 + n % 90000), F.lit(" ended ")), F.concat(F.lit("code "), s(n % 4), F.lit(" port "), s(8000 + n % 9)),
     ]
     message = F.element_at(F.array(*kinds), (n % 5 + 1).cast("int"))
     rows = B.table(spark, sf_dir, "events").select(text.fingerprint(F.col("event_type"), message).alias("fingerprint"))
@@ -258,27 +258,33 @@ def replayed_decisions(spark, sf_dir):
     return operations.replay_changes(orders.where("decision_id % 13 <> 0"), after)
 
 
-_MOVES = " OR ".join(f"(b = '{a}' AND state IN {_IN(n)})" for a, n in risk.ORDER_MOVES.items())
+# The moves as the rules state them, for the checking SQL alone.
+_MOVES = """('draft', 'submitted'), ('draft', 'cancelled'), ('submitted', 'accepted'), ('submitted', 'rejected'), ('submitted', 'partially_filled'), ('submitted', 'filled'), ('submitted', 'unknown'), ('accepted', 'partially_filled'), ('accepted', 'filled'), ('accepted', 'cancelled'), ('accepted', 'rejected'), ('accepted', 'unknown'),
+ ('partially_filled', 'filled'), ('partially_filled', 'cancelled'), ('partially_filled', 'unknown'), ('unknown', 'accepted'), ('unknown', 'partially_filled'), ('unknown', 'filled'), ('unknown', 'cancelled'), ('unknown', 'rejected')"""
+_STATES = ("draft", "submitted", "unknown", "accepted", "partially_filled", "filled", "cancelled", "rejected")
 
 
-@query(f"""WITH o AS (SELECT user_id AS order_id, event_id, ['created', 'validated', 'submitted', 'accepted', 'partial', 'filled'][CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) + CASE WHEN event_id % 29 = 0 THEN 1 ELSE 0 END - 1 AS BIGINT) % 6 + 1] AS state FROM events), m AS (SELECT *, lag(state) OVER (PARTITION BY order_id ORDER BY event_id) AS b FROM o)
-SELECT order_id, event_id, b AS before, state FROM m WHERE CASE WHEN b IS NULL THEN state <> 'created' ELSE NOT ({_MOVES}) END""")
+@query(f"""WITH o AS (SELECT user_id AS order_id, event_id, {list(_STATES)}[CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 + CASE WHEN event_id % 5 = 0 THEN event_id % 7 ELSE 0 END AS BIGINT) % 8 + 1] AS state FROM events), m AS (SELECT *, lag(state) OVER (PARTITION BY order_id ORDER BY event_id) AS b FROM o)
+SELECT order_id, event_id, b AS before, state FROM m WHERE CASE WHEN b IS NULL THEN state <> 'draft' ELSE (b, state) NOT IN ({_MOVES}) END""")
 def illegal_order_moves(spark, sf_dir):
     from pyspark.sql import Window
 
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) + F.when(F.col("event_id") % 29 == 0, 1).otherwise(0) - 1
-    states = F.array(*map(F.lit, ("created", "validated", "submitted", "accepted", "partial", "filled")))
-    orders = B.table(spark, sf_dir, "events").select(F.col("user_id").alias("order_id"), "event_id", F.element_at(states, (place % 6 + 1).cast("int")).alias("state"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1 + F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 7).otherwise(0)
+    orders = B.table(spark, sf_dir, "events").select(F.col("user_id").alias("order_id"), "event_id", F.element_at(F.array(*map(F.lit, _STATES)), (place % 8 + 1).cast("int")).alias("state"))
     return risk.illegal_moves(orders.withColumnRenamed("event_id", "at")).select("order_id", F.col("at").alias("event_id"), "before", "state")
 
 
-@query("""WITH i AS (SELECT o_orderkey AS intent, o_custkey % 25 AS symbol, 0.5 + o_orderkey % 3 * 0.5 AS risk_r, CAST(o_orderkey % 400 AS DOUBLE) AS need FROM orders WHERE o_orderkey % 50 = 0), a AS (SELECT c_custkey AS account, c_nationkey AS symbol, c_custkey % 7 <> 0 AS enabled, c_custkey % 6 * 1.0 AS open_r, 5.0 AS max_r, c_acctbal / 20 AS free FROM customer WHERE c_custkey % 10 = 0)
-SELECT intent, account, CASE WHEN NOT enabled THEN 'disabled' WHEN open_r + risk_r > max_r THEN 'risk' WHEN free < need THEN 'margin' END AS skipped FROM i JOIN a USING (symbol)""")
+@query("""WITH i AS (SELECT o_orderkey AS intent, o_custkey % 25 AS symbol, 0.5 + o_orderkey % 3 * 0.5 AS risk_r FROM orders), a AS (SELECT c_custkey AS account, c_custkey % 11 = 0 AS killed, c_custkey % 7 <> 0 AS enabled, CASE WHEN c_custkey % 5 > 0 THEN [c_nationkey, (c_nationkey + 1) % 25] ELSE [] END AS permitted, 0.5 + c_custkey % 4 * 0.5 AS top FROM customer),
+k AS (SELECT DISTINCT symbol, risk_r FROM i), n AS (SELECT symbol, risk_r, CASE WHEN killed THEN 'kill_switch' WHEN NOT enabled THEN 'disabled' WHEN len(permitted) > 0 AND NOT list_contains(permitted, symbol) THEN 'not_permitted' WHEN risk_r > top THEN 'ceiling' ELSE 'routed' END AS reason FROM k, a),
+c AS (SELECT symbol, risk_r, count(*) FILTER (reason = 'routed') AS routed, count(*) FILTER (reason = 'kill_switch') AS kill_switch, count(*) FILTER (reason = 'disabled') AS disabled, count(*) FILTER (reason = 'not_permitted') AS not_permitted, count(*) FILTER (reason = 'ceiling') AS ceiling FROM n GROUP BY 1, 2)
+SELECT intent, routed, kill_switch, disabled, not_permitted, ceiling FROM i JOIN c USING (symbol, risk_r)""")
 def routed_intents(spark, sf_dir):
-    o, c = F.col("o_orderkey"), F.col("c_custkey")
-    intents = B.table(spark, sf_dir, "orders").where(o % 50 == 0).select(o.alias("intent"), (F.col("o_custkey") % 25).alias("symbol"), (0.5 + o % 3 * 0.5).alias("risk_r"), (o % 400).cast("double").alias("needed_margin"))
-    accounts = B.table(spark, sf_dir, "customer").where(c % 10 == 0).select(c.alias("account"), F.col("c_nationkey").alias("symbol"), (c % 7 != 0).alias("enabled"), (c % 6 * 1.0).alias("open_risk_r"), F.lit(5.0).alias("max_risk_r"), (F.col("c_acctbal") / 20).alias("free_margin"))
-    return risk.route(intents, accounts).select("intent", "account", "skipped")
+    """For every order as an intent: how many customers as accounts take it, and how many skip it for which reason."""
+    o, c, n = F.col("o_orderkey"), F.col("c_custkey"), F.col("c_nationkey").cast("long")
+    intents = B.table(spark, sf_dir, "orders").select(o.alias("intent"), (F.col("o_custkey") % 25).cast("long").alias("symbol"), (0.5 + o % 3 * 0.5).alias("risk_r"))
+    listed = F.when(c % 5 > 0, F.array(n, (n + 1) % 25)).otherwise(F.array().cast("array<bigint>"))
+    accounts = B.table(spark, sf_dir, "customer").select(c.alias("account"), (c % 11 == 0).alias("killed"), (c % 7 != 0).alias("enabled"), listed.alias("permitted"), (0.5 + c % 4 * 0.5).alias("max_risk_r"))
+    return risk.routing(intents, accounts)
 
 
 @query("""WITH g AS (SELECT p_brand, avg(p_retailprice - 1000) AS m, stddev_samp(p_retailprice) AS s, count(*) AS n FROM part GROUP BY 1), t AS (SELECT *, m / (s / sqrt(n)) AS t FROM g WHERE n > 1 AND s > 0)

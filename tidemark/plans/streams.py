@@ -19,10 +19,10 @@ def stream_ingest(spark, sf_dir):
     return rounded(ingest.streamed_bars(spark, sf_dir), "open", "high", "low", "close")
 
 
-def replayed(spark, rows, name: str, pieces: int, time: str = "event_time"):
-    """``rows`` as a stream of one file a batch, in ``pieces`` of equal spans of time, the earliest first."""
+def replayed(spark, rows, name: str, pieces: int, time: str = "event_time", like=None):
+    """``rows`` as a stream of one file a batch, in ``pieces`` of equal spans of time, the earliest first; the spans are those of ``like`` where it is given."""
     rows = stores.stored(rows, f"{name}-rows")
-    lo, hi = rows.agg(F.min(F.unix_timestamp(time)), F.max(F.unix_timestamp(time))).first()
+    lo, hi = (rows if like is None else like).agg(F.min(F.unix_timestamp(time)), F.max(F.unix_timestamp(time))).first()
     folder, size = fresh_folder(spark, name), max(1, -(-(((hi or 0) - (lo or 0)) + 1) // pieces))
     piece = F.floor((F.unix_timestamp(time) - F.lit(lo or 0)) / size)
     for k in range(pieces):  # one after another: the file source takes them by age
@@ -49,7 +49,7 @@ def stream_resolve(spark, sf_dir):
     decisions = stores.stored(planted_decisions(bars), "decisions")
     before = resolve.with_rocksdb(spark)
     path = fresh_folder(spark, "closed")
-    closed = resolve.resolve(replayed(spark, bars, "bar-files", 4), replayed(spark, decisions, "decision-files", 4), HORIZON)
+    closed = resolve.resolve(replayed(spark, bars, "bar-files", 4), replayed(spark, decisions, "decision-files", 4, like=bars), HORIZON)
     record.run(closed, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}"), fresh_folder(spark, "resolve-state"))
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if before is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     found = spark.read.schema(resolve.OUTCOME).option("basePath", path).parquet(f"{path}/batch=*")
