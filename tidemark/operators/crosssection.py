@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.text import coin_side
-from ..sources.bars import by_chunk, chunked, own
+from ..sources import stores
+from ..sources.bars import by_chunk, chunked, numbered, own
 from . import features, outcomes
 
 # Windows, tails and geometry of the measured rule.
@@ -37,7 +38,9 @@ def arms(bars: DataFrame, seed: str = "control-v1", horizon: int = HORIZON, min_
     """Both arms of every pick: the rule's side and a hash coin's, same entry, distance and horizon.
 
     A side is resolved once, also where both arms take it, and handed to the arms that took it.
+    Bars are derived and numbered once, and read from the shared folder by both windows and first touch.
     """
+    bars = stores.stored(numbered(bars), "cross-section-bars")
     picks = tails(stretches(bars, min_history)).withColumn("coin", coin_side(seed, F.col("symbol"), F.col("event_time")))
     sides = F.explode(F.array_distinct(F.array("side", "coin"))).alias("taken")
     each = picks.select("symbol", "event_time", F.col("close").alias("entry"), "atr", F.col("side").alias("rule"), "coin", sides)
@@ -54,10 +57,19 @@ def pairs(bars: DataFrame, **options) -> DataFrame:
 
 
 def measured(paired: DataFrame) -> DataFrame:
-    """One row: instants, trades, both means, and the t of their difference by instant and by trade."""
-    good = paired.where("decided")
-    instant = good.groupBy("event_time").agg(F.avg("rule_r").alias("rule"), F.avg("control_r").alias("control"), F.count(F.lit(1)).alias("k"))
+    """One row: instants, trades, both means, and the t of their difference by instant and by trade.
+
+    One pass over the pairs: each instant gives its counts, sums and squares, which add up to both answers.
+    """
+    gap = F.when(F.col("decided"), F.col("rule_r") - F.col("control_r"))
+    instant = paired.groupBy("event_time").agg(
+        F.avg(F.when(F.col("decided"), F.col("rule_r"))).alias("rule"), F.avg(F.when(F.col("decided"), F.col("control_r"))).alias("control"), F.count(gap).alias("k"), F.count_if(~F.col("decided")).alias("open"), F.sum(gap).alias("s"), F.sum(gap * gap).alias("q")
+    )
     difference = F.col("rule") - F.col("control")
-    by_instant = instant.agg(F.count(F.lit(1)).alias("instants"), F.coalesce(F.sum("k"), F.lit(0)).alias("trades"), F.avg("rule").alias("rule_r"), F.avg("control").alias("control_r"), F.stddev_samp(difference).alias("spread_r"), stats.paired_t(difference).alias("t_statistic"))
-    by_trade = paired.agg(stats.paired_t(F.when(F.col("decided"), F.col("rule_r") - F.col("control_r"))).alias("unclustered_t"), F.count_if(~F.col("decided")).alias("dropped_undecided"))
-    return by_instant.join(F.broadcast(by_trade))  # one row each
+    out = instant.agg(
+        F.count("rule").alias("instants"), F.coalesce(F.sum("k"), F.lit(0)).alias("trades"), F.avg("rule").alias("rule_r"), F.avg("control").alias("control_r"), F.stddev_samp(difference).alias("spread_r"), stats.paired_t(difference).alias("t_statistic"),
+        F.coalesce(F.sum("open"), F.lit(0)).alias("dropped_undecided"), F.sum("s").alias("_s"), F.sum("q").alias("_q"),
+    )
+    n = F.col("trades")
+    variance = (F.col("_q") - F.col("_s") * F.col("_s") / n) / (n - 1)
+    return out.withColumn("unclustered_t", F.when((n > 1) & (variance > 1e-18), F.col("_s") / n / F.sqrt(variance / n)).otherwise(0.0)).drop("_s", "_q")

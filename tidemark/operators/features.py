@@ -131,11 +131,12 @@ def specs(names: list[str] | None = None) -> list[Feature]:
 
 
 def compute(bars: DataFrame, names: list[str] | None = None, keep_steps: bool = False) -> DataFrame:
-    """Bars with one column per feature."""
-    picked = specs(names)
+    """Bars with one column per feature; numbers that the bars carry stay."""
+    picked, counted = specs(names), "_i" in bars.columns
     w = by_chunk()
     steps = with_steps(chunked(bars, 1 + max((f.lookback for f in picked), default=0)), w).withColumn("_n", F.col("_i"))
-    out = own(steps.withColumns({f.name: F.when(F.col("_n") > f.lookback, f.make(w)) for f in picked})).drop("_i")
+    out = own(steps.withColumns({f.name: F.when(F.col("_n") > f.lookback, f.make(w)) for f in picked}))
+    out = out if counted else out.drop("_i")
     return out if keep_steps else out.drop("_prev", "_ret", "_tr", "_up", "_down", "_n")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import stores
 from ..sources.bars import by_chunk, chunked, numbered, own
 from . import calendars, features
 
@@ -34,7 +35,7 @@ def episodes(bars: DataFrame, delta: int, horizon: int, cutoff: str | None = Non
     the epoch grid, so the choice does not move with the start of the read.
     """
     ready = F.timestamp_seconds(F.unix_timestamp("event_time") + delta * (horizon + 1))
-    rows = forward(features.compute(bars, names), horizon).where("forward_return_pct is not null").withColumn("outcome_ready_at", ready).withColumn("computed_at", ready)
+    rows = forward(features.compute(numbered(bars), names), horizon).where("forward_return_pct is not null").withColumn("outcome_ready_at", ready).withColumn("computed_at", ready)
     if cutoff is not None:
         rows = rows.where(F.col("outcome_ready_at") <= F.lit(cutoff).cast("timestamp"))
     if step > 1:
@@ -63,7 +64,7 @@ def first_touch(bars: DataFrame, decisions: DataFrame, horizon: int = 120, bucke
     """
     size = bucket or horizon
     key = list(decisions.columns)
-    counted = numbered(bars.select("symbol", "event_time", "high", "low"))
+    counted = stores.stored(numbered(bars).select("symbol", "event_time", "high", "low", "_i"), "numbered")  # read twice
     # Repeated decisions are resolved once and come back as often as they were given.
     once = decisions.groupBy(*key).agg(F.count(F.lit(1)).alias("_copies"))
     placed = once.join(counted.select("symbol", "event_time", F.col("_i").alias("_at")), ["symbol", "event_time"])

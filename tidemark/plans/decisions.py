@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..operators import asof, calendars, crosssection, features, learning, neighbours, operations, outcomes, profiles, risk, scoring
 from ..sources import bars as B
+from ..sources import stores
 from .registry import AS_OF, BARS_A, BARS_B, BARS_C, BITEMPORAL, KNOWN, W, frame, query, rounded, steps
 from .series import _OUTCOME, A, H, _session_sql, feature_sql, known
 
@@ -105,7 +106,7 @@ def robust_scaler(spark, sf_dir):
 
 
 def _neighbours(spark, sf_dir):
-    library = _episodes(spark, sf_dir).select("id", "symbol", "event_time", "forward_return_pct", *KNN)
+    library = stores.stored(_episodes(spark, sf_dir).select("id", "symbol", "event_time", "forward_return_pct", *KNN), "episodes")  # scales and neighbours read it
     scales = neighbours.scaler(neighbours.tall(library, ["id"], KNN))
     ready = neighbours.scaled(library, scales, KNN)
     asked = neighbours.scaled(features.latest(known(spark, sf_dir), KNN).select(F.col("symbol").alias("query_id"), *KNN), scales, KNN)

@@ -78,8 +78,11 @@ def numbered(bars: DataFrame, key: str = "symbol", time: str = "event_time") ->
     """Bars with ``_i``, their number by time within the symbol, from 1.
 
     Bars are sorted span by span; where a span begins comes from a small table
-    of counts, so a symbol's history is never in one task.
+    of counts, so a symbol's history is never in one task.  Bars that carry
+    numbers keep them, so that several windows can share one numbering.
     """
+    if "_i" in bars.columns:
+        return bars
     rows = bars.withColumn("_span", spans(time))
     counts = rows.groupBy(key, "_span").agg(F.count(F.lit(1)).alias("_c"))
     before = F.sum("_c").over(Window.partitionBy(key).orderBy("_span")) - F.col("_c")
