@@ -28,12 +28,13 @@ def currency_exposure(positions: DataFrame, *keys: str) -> DataFrame:
     return positions.select(*keys, F.explode(legs).alias("l")).where("l.currency is not null").groupBy(*keys, F.col("l.currency").alias("currency")).agg(F.sum("l.r").alias("exposure"))
 
 
-def headroom(candidates: DataFrame, positions: DataFrame, correlations: DataFrame, key: str = "account") -> DataFrame:
+def headroom(candidates: DataFrame, positions: DataFrame, correlations: DataFrame, key: str = "account", bound: float = CLUSTER_BOUND) -> DataFrame:
     """What each candidate (key, symbol, side, risk_r, base, quote) may still add to its book.
 
     The least of the total, instrument, cluster and both currencies' headroom;
-    of equal ones the first in that order limits.  An unmeasured correlation is
-    reported as unknown, not as none.
+    of equal ones the first in that order limits.  Positions whose correlation
+    with the candidate is ``bound`` or more are its cluster; an unmeasured
+    correlation is reported as unknown, not as none.
     """
     total = positions.groupBy(key).agg(F.sum("risk_r").alias("total_r"))
     own = positions.groupBy(key, "symbol").agg(F.sum("risk_r").alias("instrument_r"))
@@ -42,7 +43,7 @@ def headroom(candidates: DataFrame, positions: DataFrame, correlations: DataFram
     other = positions.select(key, F.col("symbol").alias("other"), F.col("risk_r").alias("other_r"))
     met = candidates.select(*ids).distinct().join(other, key).where("symbol <> other")
     both = correlations.select(F.col("a").alias("symbol"), F.col("b").alias("other"), "r").unionByName(correlations.select(F.col("b").alias("symbol"), F.col("a").alias("other"), "r"))
-    cluster = met.join(both, ["symbol", "other"], "left").groupBy(*ids).agg(F.sum(F.when(F.abs("r") >= CLUSTER_BOUND, F.col("other_r"))).alias("cluster_r"), F.count_distinct(F.when(F.col("r").isNull(), F.col("other"))).alias("unknown"))
+    cluster = met.join(both, ["symbol", "other"], "left").groupBy(*ids).agg(F.sum(F.when(F.abs("r") >= bound, F.col("other_r"))).alias("cluster_r"), F.count_distinct(F.when(F.col("r").isNull(), F.col("other"))).alias("unknown"))
     rows = candidates.join(total, key, "left").join(own, ids, "left").join(cluster, ids, "left")
     for leg, sign in (("base", 1), ("quote", -1)):
         rows = rows.join(exposure.select(key, F.col("currency").alias(leg), F.col("exposure").alias(f"_{leg}")), [key, leg], "left")

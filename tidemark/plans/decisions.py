@@ -148,7 +148,10 @@ def states(spark, sf_dir):
     for block in (horizon("short"), horizon("medium"), volatility, fresh, past):
         rows = rows.join(block, "symbol", "left")
     now = asof.instant(AS_OF)
-    return rows.withColumn("sessions", calendars.active_sessions(now)).withColumn("is_open", calendars.within_hours(now, *calendars.CRYPTO_HOURS)).withColumn("eligible", F.lit(True))
+    counts = B.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("symbol")).agg((F.count(F.lit(1)) % 2 == 0).alias("eligible"))
+    # Symbols up to p keep currency hours, the others trade all the time.
+    hours = F.when(F.col("symbol") < "p", calendars.within_hours(now, *calendars.FX_HOURS)).otherwise(calendars.within_hours(now, *calendars.CRYPTO_HOURS))
+    return rows.join(counts, "symbol", "left").withColumn("sessions", calendars.active_sessions(now)).withColumn("is_open", hours)
 
 
 _STATE = f"""{_MEMORY}, zs0 AS (SELECT *, lag(close) OVER {W} AS prev, row_number() OVER {W} AS n FROM k), zst AS (SELECT *, CASE WHEN prev > 0 AND close > 0 THEN ln(close / prev) END AS ret, CASE WHEN prev IS NOT NULL THEN greatest(high - low, abs(high - prev), abs(low - prev)) END AS tr,
@@ -179,18 +182,43 @@ def strategy_signals(spark, sf_dir):
     return scoring.strategies(scoring.regimes(states(spark, sf_dir))).select("symbol", "strategy", "fired", "direction")
 
 
-@query()
+_WEIGHT = """CASE analyst WHEN 'trend' THEN 1.0 * CASE regime WHEN 'range' THEN 0.5 WHEN 'trend_up' THEN 1.3 WHEN 'trend_down' THEN 1.3 WHEN 'breakout' THEN 1.2 WHEN 'reversal' THEN 0.6 ELSE 1.0 END WHEN 'structure' THEN 0.6 * CASE regime WHEN 'range' THEN 1.2 WHEN 'high_volatility' THEN 0.7 WHEN 'breakout' THEN 1.3 ELSE 1.0 END
+ WHEN 'momentum' THEN 0.6 * CASE regime WHEN 'range' THEN 1.2 WHEN 'trend_up' THEN 0.8 WHEN 'trend_down' THEN 0.8 ELSE 1.0 END WHEN 'regime' THEN 1.0 WHEN 'history' THEN 1.2 * CASE regime WHEN 'high_volatility' THEN 0.7 WHEN 'reversal' THEN 1.3 ELSE 1.0 END ELSE 0.0 END"""
+_NOW = f"TIMESTAMP '{AS_OF}'"
+_COUNCIL = f"""{BARS_A}, {BITEMPORAL}, {KNOWN}, {_STATE}, {_OUTCOME},
+zh AS (SELECT symbol, count(*) AS hc, avg(CASE WHEN forward_return_pct > 0 THEN 1.0 ELSE 0.0 END) AS hs, stddev_pop(forward_return_pct) AS hd, median(forward_return_pct) AS hm FROM oc WHERE outcome_ready_at <= {_NOW} GROUP BY 1),
+cs AS (SELECT zg.*, hc, (hs - 0.5) * 2 AS share, abs((hs - 0.5) * 2) > 0 AND hd > abs(coalesce(hm, 0)) * 3 AS wide, least(1.0, hc / 100.0) AS settled, stale, eligible, CASE WHEN symbol < 'p' THEN false ELSE true END AS is_open, len({_session_sql(_NOW)}) > 0 AS live, mt IN ('up', 'down') AS medium, mt IN ('up', 'down') AND stt IN ('up', 'down') AND mt <> stt AS conflict,
+ least(1.0, abs(ss) / 3) AS base, position_in_range_20 AS pos, rsi_14 AS rsi, atr_14_pct AS atr FROM zg LEFT JOIN zh USING (symbol) LEFT JOIN (SELECT symbol, epoch({_NOW}) - epoch(max(event_time)) - 3600 > 10800 AS stale FROM k GROUP BY 1) USING (symbol) LEFT JOIN (SELECT event_type AS symbol, count(*) % 2 = 0 AS eligible FROM events GROUP BY 1) USING (symbol)),
+ov AS (SELECT symbol, regime, 'trend' AS analyst, ss IS NOT NULL AS said, ss / 3 AS score, CASE WHEN conflict THEN base * 0.5 WHEN medium THEN least(1.0, base * 1.2) ELSE base END AS confidence, [concat('trend_', stt), CASE WHEN conflict THEN 'horizon_conflict' WHEN medium THEN 'horizon_aligned' END] AS codes FROM cs
+ UNION ALL SELECT symbol, regime, 'structure', pos IS NOT NULL, (pos - 0.5) * 2, least(1.0, abs((pos - 0.5) * 2)), [CASE WHEN pos > 0.65 THEN 'range_high' WHEN pos < 0.35 THEN 'range_low' ELSE 'mid_range' END] FROM cs
+ UNION ALL SELECT symbol, regime, 'momentum', rsi IS NOT NULL, (rsi - 50) / 50, least(1.0, abs((rsi - 50) / 50) * 1.5), [CASE WHEN rsi >= 70 THEN 'overbought' WHEN rsi <= 30 THEN 'oversold' ELSE 'momentum_neutral' END] FROM cs
+ UNION ALL SELECT symbol, regime, 'volatility', atr IS NOT NULL, 0.0, 0.4, ['volatility_measured', CASE WHEN atr >= p75 THEN 'volatility_expanded' WHEN atr <= p25 THEN 'volatility_compressed' END] FROM cs
+ UNION ALL SELECT symbol, regime, 'session', true, 0.0, CASE WHEN live THEN 0.6 ELSE 0.2 END, [CASE WHEN is_open THEN 'market_open' ELSE 'market_closed' END, CASE WHEN NOT live THEN 'thin_liquidity' END] FROM cs
+ UNION ALL SELECT symbol, regime, 'regime', regime <> 'uncertain', CASE regime WHEN 'trend_up' THEN 0.6 WHEN 'trend_down' THEN -0.6 ELSE 0.0 END, confidence, [concat('regime_', regime)] FROM cs
+ UNION ALL SELECT symbol, regime, 'history', share IS NOT NULL, share, CASE WHEN wide THEN settled * 0.5 ELSE settled END, [CASE WHEN share > 0 THEN 'history_bullish' ELSE 'history_bearish' END, CASE WHEN wide THEN 'history_disagrees' END] FROM cs
+ UNION ALL SELECT symbol, regime, 'data_quality', eligible IS NOT NULL, 0.0, CASE WHEN stale THEN 0.0 WHEN NOT eligible THEN 0.3 ELSE 1.0 END, [CASE WHEN NOT eligible THEN 'data_not_training_eligible' END, CASE WHEN stale THEN 'stale_data' END, CASE WHEN eligible AND NOT coalesce(stale, false) THEN 'data_ok' END] FROM cs),
+vo AS (SELECT symbol, regime, analyst, NOT said AS abstained, CASE WHEN said THEN greatest(-1.0, least(1.0, CAST(score AS DOUBLE))) END AS score, CASE WHEN said THEN CAST(confidence AS DOUBLE) END AS confidence, CASE WHEN said THEN list_filter(codes, lambda x: x IS NOT NULL) ELSE [] END AS codes, {_WEIGHT} AS w FROM ov),
+vd AS (SELECT symbol, coalesce(sum(w * greatest(confidence, 0) * score) FILTER (WHERE NOT abstained AND w > 0) / nullif(sum(w * greatest(confidence, 0)) FILTER (WHERE NOT abstained AND w > 0), 0), 0.0) AS conviction, CASE WHEN count(*) FILTER (WHERE NOT abstained AND w > 0 AND abs(score) >= 0.15) > 1 THEN stddev_pop(score) FILTER (WHERE NOT abstained AND w > 0 AND abs(score) >= 0.15) ELSE 0.0 END AS disagreement,
+ count(*) FILTER (WHERE abstained) AS abstained, count(*) FILTER (WHERE NOT abstained AND w > 0) AS voters, max(score) FILTER (WHERE analyst = 'history') AS hist, flatten(list(codes)) AS said FROM vo GROUP BY symbol),
+ve AS (SELECT *, CASE WHEN voters = 0 THEN 'no_reading' WHEN disagreement > 0.55 THEN 'disagreement' WHEN abs(conviction) < 0.20 THEN 'conviction' END AS suppressed FROM vd),
+vf AS (SELECT *, CASE WHEN suppressed IS NOT NULL THEN 'wait' WHEN conviction > 0 THEN 'buy' ELSE 'sell' END AS decision FROM ve),
+vg AS (SELECT *, list_filter([CASE WHEN list_contains(said, 'stale_data') THEN 'stale_data' END, CASE WHEN list_contains(said, 'market_closed') THEN 'market_closed' END, CASE WHEN hist * conviction < 0 THEN 'history_contradicts' END], lambda x: x IS NOT NULL) AS blocking,
+ list_filter([CASE WHEN list_contains(said, 'data_not_training_eligible') THEN 'poor_data_quality' END, CASE WHEN list_contains(said, 'thin_liquidity') THEN 'thin_liquidity' END, CASE WHEN list_contains(said, 'volatility_expanded') THEN 'volatility_expanded' END, CASE WHEN disagreement > 0.55 * 0.7 THEN 'council_split' END, CASE WHEN hist IS NULL THEN 'no_historical_support' END,
+  CASE WHEN decision = 'buy' AND list_contains(said, 'overbought') THEN 'buying_overbought' END, CASE WHEN decision = 'sell' AND list_contains(said, 'oversold') THEN 'selling_oversold' END, CASE WHEN abstained >= 3 THEN 'thin_evidence' END], lambda x: x IS NOT NULL) AS concerns FROM vf)"""
+
+
+@query(f"WITH {_COUNCIL} SELECT symbol, analyst, abstained, round(score, 6) AS score, round(confidence, 6) AS confidence, array_to_string(codes, ',') AS codes FROM vo")
 def council_votes(spark, sf_dir):
     rows = scoring.regimes(states(spark, sf_dir)).withColumn("o", F.explode(scoring.opinions()))
     return rounded(rows.select("symbol", "o.analyst", "o.abstained", "o.score", "o.confidence", F.concat_ws(",", "o.codes").alias("codes")), "score", "confidence")
 
 
-@query()
+@query(f"WITH {_COUNCIL} SELECT symbol, round(conviction, 6) AS conviction, round(disagreement, 6) AS disagreement, CAST(abstained AS INTEGER) AS abstained, suppressed, decision FROM vf")
 def weighted_verdict(spark, sf_dir):
     return rounded(scoring.verdicts(scoring.regimes(states(spark, sf_dir))).select("symbol", "conviction", "disagreement", "abstained", "suppressed", "decision"), "conviction", "disagreement")
 
 
-@query()
+@query(f"WITH {_COUNCIL}, vh AS (SELECT *, CASE WHEN len(blocking) > 0 THEN 'block' WHEN len(concerns) >= 2 THEN 'reduce' ELSE 'clear' END AS challenge FROM vg) SELECT symbol, array_to_string(blocking, ',') AS blocking, array_to_string(concerns, ',') AS concerns, challenge, round(CASE WHEN challenge = 'reduce' THEN conviction * 0.5 ELSE conviction END, 6) AS final_conviction FROM vh")
 def adversarial_flags(spark, sf_dir):
     rows = scoring.challenges(scoring.verdicts(scoring.regimes(states(spark, sf_dir))))
     return rounded(rows.select("symbol", F.concat_ws(",", "blocking").alias("blocking"), F.concat_ws(",", "concerns").alias("concerns"), "challenge", "final_conviction"), "final_conviction")
@@ -345,13 +373,13 @@ def champion_challenger(spark, sf_dir):
     return rounded(learning.compared(one("champion", 11, 150000).unionByName(one("challenger", 13, 120000))), "overlap", "margin", "error")
 
 
-_POSITIONS = "ps AS (SELECT o_custkey AS account, o_orderkey, concat('N', CAST(c_nationkey AS VARCHAR)) AS symbol, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS side, o_totalprice / 400000.0 AS risk_r, concat('C', CAST(c_nationkey % 7 AS VARCHAR)) AS base, concat('C', CAST(c_nationkey % 5 + 7 AS VARCHAR)) AS quote FROM orders JOIN customer ON o_custkey = c_custkey)"
+_POSITIONS = "ps AS (SELECT o_custkey // 10 AS account, o_orderkey, concat('N', CAST(c_nationkey AS VARCHAR)) AS symbol, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS side, o_totalprice / 400000.0 AS risk_r, concat('C', CAST(c_nationkey % 7 AS VARCHAR)) AS base, concat('C', CAST(c_nationkey % 5 + 7 AS VARCHAR)) AS quote FROM orders JOIN customer ON o_custkey = c_custkey)"
 
 
 def positions(spark, sf_dir):
     rows = B.table(spark, sf_dir, "orders").join(B.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     name = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
-    return rows.select(F.col("o_custkey").alias("account"), "o_orderkey", name("N", F.col("c_nationkey")).alias("symbol"), F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(-1).alias("side"), (F.col("o_totalprice") / 400000.0).alias("risk_r"), name("C", F.col("c_nationkey") % 7).alias("base"), name("C", F.col("c_nationkey") % 5 + 7).alias("quote"))
+    return rows.select(F.floor(F.col("o_custkey") / 10).cast("long").alias("account"), "o_orderkey", name("N", F.col("c_nationkey")).alias("symbol"), F.when(F.col("o_orderkey") % 2 == 0, 1).otherwise(-1).alias("side"), (F.col("o_totalprice") / 400000.0).alias("risk_r"), name("C", F.col("c_nationkey") % 7).alias("base"), name("C", F.col("c_nationkey") % 5 + 7).alias("quote"))
 
 
 @query(f"WITH {_POSITIONS} SELECT currency, round(sum(x), 4) AS exposure FROM (SELECT base AS currency, side * risk_r AS x FROM ps UNION ALL SELECT quote, -side * risk_r FROM ps) GROUP BY 1")
@@ -359,16 +387,22 @@ def currency_exposure(spark, sf_dir):
     return rounded(risk.currency_exposure(positions(spark, sf_dir)), "exposure", places=4)
 
 
-@query(f"""WITH {_POSITIONS}, op AS (SELECT * FROM ps WHERE o_orderkey % 3 <> 0), cd AS (SELECT * FROM ps WHERE o_orderkey % 3 = 0), tot AS (SELECT account, sum(risk_r) AS t FROM op GROUP BY 1), ins AS (SELECT account, symbol, sum(risk_r) AS t FROM op GROUP BY 1, 2),
+#: Nations' weekly prices hardly move together: a bound that makes clusters of them.
+BOUND = 0.05
+
+
+@query(f"""WITH {BARS_C}, {_CORR}, {_POSITIONS}, op AS (SELECT * FROM ps WHERE o_orderkey % 3 <> 0), cd AS (SELECT * FROM ps WHERE o_orderkey % 3 = 0), tot AS (SELECT account, sum(risk_r) AS t FROM op GROUP BY 1), ins AS (SELECT account, symbol, sum(risk_r) AS t FROM op GROUP BY 1, 2),
 ex AS (SELECT account, currency, sum(x) AS e FROM (SELECT account, base AS currency, side * risk_r AS x FROM op UNION ALL SELECT account, quote, -side * risk_r FROM op) GROUP BY 1, 2),
-j AS (SELECT cd.*, 6.0 - coalesce(tot.t, 0) AS r1, 2.0 - coalesce(ins.t, 0) AS r2, 3.0 AS r3, 3.0 - CASE WHEN (coalesce(b.e, 0) > 0) = (cd.side > 0) THEN abs(coalesce(b.e, 0)) ELSE 0 END AS r4, 3.0 - CASE WHEN (coalesce(q.e, 0) > 0) = (-cd.side > 0) THEN abs(coalesce(q.e, 0)) ELSE 0 END AS r5
- FROM cd LEFT JOIN tot ON cd.account = tot.account LEFT JOIN ins ON cd.account = ins.account AND cd.symbol = ins.symbol LEFT JOIN ex b ON cd.account = b.account AND cd.base = b.currency LEFT JOIN ex q ON cd.account = q.account AND cd.quote = q.currency),
-h AS (SELECT *, greatest(0.0, least(r1, r2, r3, r4, r5)) AS hr FROM j) SELECT account, o_orderkey, round(hr, 6) AS headroom_r, round(least(risk_r, hr), 6) AS allowed_r, CASE WHEN least(risk_r, hr) <= 0 THEN 'block' WHEN least(risk_r, hr) < risk_r THEN 'reduce' ELSE 'approve' END AS verdict FROM h""")
+bo AS (SELECT a, b, r FROM cp UNION ALL SELECT b, a, r FROM cp), ds AS (SELECT DISTINCT account, symbol FROM cd),
+cl AS (SELECT ds.account, ds.symbol, sum(CASE WHEN abs(r) >= {BOUND} THEN op.risk_r END) AS t, count(DISTINCT CASE WHEN r IS NULL THEN op.symbol END) AS unknown FROM ds JOIN op ON op.account = ds.account AND op.symbol <> ds.symbol LEFT JOIN bo ON bo.a = ds.symbol AND bo.b = op.symbol GROUP BY 1, 2),
+j AS (SELECT cd.*, 6.0 - coalesce(tot.t, 0) AS r1, 2.0 - coalesce(ins.t, 0) AS r2, 3.0 - coalesce(cl.t, 0) AS r3, coalesce(cl.unknown, 0) AS unknown, 3.0 - CASE WHEN (coalesce(b.e, 0) > 0) = (cd.side > 0) THEN abs(coalesce(b.e, 0)) ELSE 0 END AS r4, 3.0 - CASE WHEN (coalesce(q.e, 0) > 0) = (-cd.side > 0) THEN abs(coalesce(q.e, 0)) ELSE 0 END AS r5
+ FROM cd LEFT JOIN tot ON cd.account = tot.account LEFT JOIN ins ON cd.account = ins.account AND cd.symbol = ins.symbol LEFT JOIN cl ON cd.account = cl.account AND cd.symbol = cl.symbol LEFT JOIN ex b ON cd.account = b.account AND cd.base = b.currency LEFT JOIN ex q ON cd.account = q.account AND cd.quote = q.currency),
+h AS (SELECT *, greatest(0.0, least(r1, r2, r3, r4, r5)) AS hr FROM j) SELECT account, o_orderkey, unknown, round(hr, 6) AS headroom_r, round(least(risk_r, hr), 6) AS allowed_r, CASE WHEN least(risk_r, hr) <= 0 THEN 'block' WHEN least(risk_r, hr) < risk_r THEN 'reduce' ELSE 'approve' END AS verdict FROM h""")
 def portfolio_headroom(spark, sf_dir):
     rows = positions(spark, sf_dir)
-    none = spark.createDataFrame([], "a string, b string, r double")
-    out = risk.headroom(rows.where("o_orderkey % 3 = 0"), rows.where("o_orderkey % 3 <> 0"), none)
-    return rounded(out.select("account", "o_orderkey", "headroom_r", "allowed_r", "verdict"), "headroom_r", "allowed_r")
+    measured = profiles.correlations(B.weekly_nation_bars(spark, sf_dir)).where("r is not null")
+    out = risk.headroom(rows.where("o_orderkey % 3 = 0"), rows.where("o_orderkey % 3 <> 0"), measured, bound=BOUND)
+    return rounded(out.select("account", "o_orderkey", "unknown", "headroom_r", "allowed_r", "verdict"), "headroom_r", "allowed_r")
 
 
 @query(f"WITH {_POSITIONS} SELECT account, count(*) AS positions, round(sum(risk_r), 9) AS total_r, round(sum(risk_r * risk_r) / sum(risk_r) ** 2, 9) AS herfindahl, round(sum(risk_r) ** 2 / sum(risk_r * risk_r), 9) AS effective_positions, round(max(risk_r) / sum(risk_r), 9) AS largest_share, round(sqrt(0.7 * sum(risk_r * risk_r) + 0.3 * sum(risk_r) ** 2), 9) AS correlated_loss_r FROM ps GROUP BY account")
