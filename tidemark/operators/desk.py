@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import currencies
+from ..sources.bars import TIMEFRAME_SECONDS
 
 # Pips, the news window, and floors of the reports.
 YEN_PIP, PIP = 0.01, 0.0001
@@ -109,3 +110,38 @@ def profiles_asof(profiles: DataFrame, as_of: str) -> DataFrame:
     rest = [c for c in profiles.columns if c not in ("symbol", "kind")]
     best = known.groupBy("symbol", "kind").agg(F.max_by(F.struct(*rest), F.struct("as_of", "computed_at")).alias("_b"))
     return best.select("symbol", "kind", *[F.col(f"_b.{c}").alias(c) for c in rest])
+
+
+# Busy hours of the sessions in UTC, and the hour of Friday from which the weekend is ahead.
+BUSY_HOURS = {"Sydney": (21, 6), "Tokyo": (0, 9), "London": (7, 16), "New York": (12, 21)}
+WEEKEND_HOUR, DECISION_MINUTES = 16, 60
+
+
+def busy_sessions(moment: Column) -> Column:
+    """Names of the sessions that are busy at an instant in UTC; one that crosses midnight is open after its start or before its end."""
+    at = F.unix_timestamp(moment) % 86400
+    inside = lambda a, b: (at >= a * 3600) & (at < b * 3600) if a < b else (at >= a * 3600) | (at < b * 3600)
+    return F.array_compact(F.array(*[F.when(inside(a, b), F.lit(name)) for name, (a, b) in BUSY_HOURS.items()]))
+
+
+def weekend_ahead(moment: Column) -> Column:
+    """Friday from the warning hour on, Saturday and Sunday, in UTC."""
+    return (F.weekday(moment) > 4) | ((F.weekday(moment) == 4) & (F.hour(moment) >= WEEKEND_HOUR))
+
+
+def volatility_figures(atr: Column, price: Column, pip: Column) -> Column:
+    """The true range in price, in pips and in per cent of the price; null where it or the price is missing."""
+    figures = F.struct(atr.alias("atr_price"), F.round(atr / pip, 1).alias("atr_pips"), F.round(atr / price * 100, 4).alias("atr_percent"))
+    return F.when((atr > 0) & (price > 0), figures)
+
+
+def open_risk_r(opened: Column, stop: Column, volume: Column, tick_size: Column, tick_value: Column, one_r: Column) -> Column:
+    """What an open position still risks, in R; null, which is unknown and not none, without a stop or a price for a tick."""
+    distance = F.abs(opened - stop)
+    return F.when((tick_size > 0) & (one_r > 0) & (volume > 0) & (distance > 0), distance / tick_size * tick_value * volume / one_r)
+
+
+def bar_minutes(timeframe: Column) -> Column:
+    """Minutes of the bar a decision was taken on; an hour where its timeframe is not known."""
+    names = F.create_map(*[F.lit(x) for name, seconds in TIMEFRAME_SECONDS.items() for x in (name, seconds // 60)])
+    return F.coalesce(F.try_element_at(names, timeframe), F.lit(DECISION_MINUTES))
