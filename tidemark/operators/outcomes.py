@@ -83,11 +83,12 @@ def first_touch(bars: DataFrame, decisions: DataFrame, horizon: int = 120, bucke
 
 
 def resolved(bars: DataFrame, decisions: DataFrame, horizon: int = 120) -> DataFrame:
-    """Decisions with a status: win, loss, abandoned (ambiguous, or the horizon passed) or open."""
+    """Decisions with a status: win, loss, abandoned (ambiguous, or the horizon passed), open, or excluded (no level to score it by)."""
     rows = first_touch(bars, decisions, horizon)
     total = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("_all"))
     index = numbered(bars.select("symbol", "event_time")).join(total, "symbol").select("symbol", "event_time", (F.col("_all") - F.col("_i")).alias("bars_after"))
-    status = F.when(F.col("r") > 0, "win").when(F.col("r") <= 0, "loss").when(F.col("bars_after") >= horizon, "abandoned").otherwise("open")
+    scored = F.col("entry").isNotNull() & F.col("stop").isNotNull() & F.col("target").isNotNull()
+    status = F.when(~scored, "excluded").when(F.col("r") > 0, "win").when(F.col("r") <= 0, "loss").when(F.col("bars_after") >= horizon, "abandoned").otherwise("open")
     return rows.join(index, ["symbol", "event_time"]).withColumn("status", status)
 
 

@@ -68,13 +68,18 @@ def fingerprints(spark, sf_dir):
     return rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
-@query(f"WITH {BARS_A} SELECT symbol, event_time, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, CASE WHEN CAST(epoch(event_time) AS BIGINT) // 3600 % 5 = 0 THEN NULL ELSE volume END AS volume FROM a WHERE event_time >= TIMESTAMP '2024-01-05 00:00:00' AND event_time < TIMESTAMP '2024-01-20 00:00:00' AND symbol IN ('click', 'view')")
+@query(f"""WITH {BARS_A} SELECT symbol, event_time, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, CASE WHEN CAST(epoch(event_time) AS BIGINT) // 3600 % 5 = 0 THEN NULL ELSE volume END AS volume, CASE WHEN symbol < 'p' THEN volume * 3 END AS tick_volume, CASE WHEN symbol < 'p' THEN 0.5::DOUBLE END AS spread, concat('csv:', symbol, ':H1') AS source_ref
+FROM a WHERE event_time >= TIMESTAMP '2024-01-05 00:00:00' AND event_time < TIMESTAMP '2024-01-20 00:00:00'""")
 def csv_bars(spark, sf_dir):
+    """Every symbol as a CSV file; those before p have the optional columns, the others lack them."""
     root, rows = fresh_folder(spark, "csv"), A(spark, sf_dir)
     hour = F.floor(F.unix_timestamp("event_time") / B.HOUR)
-    for symbol in ("click", "view"):
-        own = rows.where(F.col("symbol") == symbol).withColumn("volume", F.when(hour % 5 == 0, None).otherwise(F.col("volume")))
-        own.select(F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"), "open", "high", "low", "close", "volume").write.option("header", True).csv(f"{root}/{symbol}/H1.csv")
+    rows = rows.withColumn("volume", F.when(hour % 5 == 0, None).otherwise(F.col("volume"))).withColumn("tick_volume", F.col("volume") * 3)
+    whole = A(spark, sf_dir).select("symbol", "event_time", (F.col("volume") * 3).alias("tick_volume"))
+    rows = rows.drop("tick_volume").join(whole, ["symbol", "event_time"]).withColumn("time", F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    for symbol in [r["symbol"] for r in rows.select("symbol").distinct().collect()]:  # one folder a symbol, as a provider delivers them
+        optional = ("tick_volume", F.lit(0.5).alias("spread")) if symbol < "p" else ()
+        rows.where(F.col("symbol") == symbol).select("time", "open", "high", "low", "close", "volume", *optional).write.option("header", True).csv(f"{root}/{symbol}/H1.csv")
     return rounded(files.csv_bars(spark, root, "H1", "2024-01-05 00:00:00", "2024-01-20 00:00:00"), "open", "high", "low", "close")
 
 
@@ -295,15 +300,15 @@ def scalar_statistics(spark, sf_dir):
     return g.select("p_brand", F.round(stats.spread_from_t(F.col("m"), t, F.col("n")), 6).alias("spread"), stats.sample_size(F.col("m"), F.col("s")).cast("long").alias("needed"), stats.floor_to(F.col("m"), 2).alias("floored"), stats.money(F.col("s")).alias("money"))
 
 
-@query(f"""WITH {BARS_A}, nb AS (SELECT *, row_number() OVER {W} AS i, count(*) OVER (PARTITION BY symbol) AS n FROM a), d AS (SELECT symbol, event_time, i, n, close AS entry, close * 0.7 AS stop, close * 1.5 AS target FROM nb WHERE i % 7 = 0),
+@query(f"""WITH {BARS_A}, nb AS (SELECT *, row_number() OVER {W} AS i, count(*) OVER (PARTITION BY symbol) AS n FROM a), d AS (SELECT symbol, event_time, i, n, close AS entry, CASE WHEN i % 13 <> 0 THEN close * 0.7 END AS stop, close * 1.5 AS target FROM nb WHERE i % 7 = 0),
 m AS (SELECT d.symbol, d.event_time, nb.i AS j, nb.low <= stop AS hs, nb.high >= target AS ht FROM d JOIN nb ON d.symbol = nb.symbol AND nb.i > d.i AND nb.i <= d.i + 24), f AS (SELECT symbol, event_time, min(j) AS j, arg_min(hs, j) AS hs, arg_min(ht, j) AS ht FROM m WHERE hs OR ht GROUP BY 1, 2)
-SELECT d.symbol, d.event_time, CASE WHEN hs AND ht THEN CASE WHEN n - d.i >= 24 THEN 'abandoned' ELSE 'open' END WHEN hs THEN 'loss' WHEN ht THEN 'win' WHEN n - d.i >= 24 THEN 'abandoned' ELSE 'open' END AS status FROM d LEFT JOIN f USING (symbol, event_time)""")
+SELECT d.symbol, d.event_time, CASE WHEN stop IS NULL THEN 'excluded' WHEN hs AND ht THEN CASE WHEN n - d.i >= 24 THEN 'abandoned' ELSE 'open' END WHEN hs THEN 'loss' WHEN ht THEN 'win' WHEN n - d.i >= 24 THEN 'abandoned' ELSE 'open' END AS status FROM d LEFT JOIN f USING (symbol, event_time)""")
 def resolved_decisions(spark, sf_dir):
     from pyspark.sql import Window
 
     bars = A(spark, sf_dir)
     own = bars.withColumn("i", F.row_number().over(Window.partitionBy("symbol").orderBy("event_time"))).where("i % 7 = 0")
-    decisions = own.select("symbol", "event_time", F.lit(1).alias("side"), F.col("close").alias("entry"), (F.col("close") * 0.7).alias("stop"), (F.col("close") * 1.5).alias("target"))
+    decisions = own.select("symbol", "event_time", F.lit(1).alias("side"), F.col("close").alias("entry"), F.when(F.col("i") % 13 != 0, F.col("close") * 0.7).alias("stop"), (F.col("close") * 1.5).alias("target"))
     return outcomes.resolved(bars, decisions, 24).select("symbol", "event_time", "status")
 
 

@@ -8,18 +8,26 @@ from pyspark.sql import functions as F
 # Sizes of the big-endian records, and price scales in the order in which they are tried.
 CANDLE_BYTES, TICK_BYTES = 24, 20
 SCALES, SCALE_TOLERANCE = (1e5, 1e3, 1e2, 1e4, 1e6), 0.25
-CSV_COLUMNS = "time string, open double, high double, low double, close double, volume double"
+#: Columns that a CSV file may lack.
+CSV_OPTIONAL = ("volume", "tick_volume", "spread")
 
 
 def csv_bars(spark: SparkSession, root: str, timeframe: str, start: str, end: str) -> DataFrame:
     """Bars of ``root/<symbol>/<timeframe>.csv`` with start <= time < end.
 
-    Blank numbers are null and lines without a time are left out.  Nothing is
-    sorted or made unique: defects of the source are for the quality checks.
+    Files may have volume, tick_volume and spread, in any order behind the
+    prices: each column is found by its name in the file's own header.  Blank
+    and unreadable numbers are null, lines without a time are left out.  A
+    timeframe that no symbol has is an error.  Nothing is sorted or made unique: defects
+    of the source are for the quality checks.
     """
-    lines = spark.read.schema(CSV_COLUMNS).option("header", True).csv(f"{root}/*/{timeframe}.csv")
-    symbol = F.regexp_extract(F.input_file_name(), rf"([^/]+)/{timeframe}\.csv", 1)
-    rows = lines.select(symbol.alias("symbol"), F.col("time").cast("timestamp").alias("event_time"), "open", "high", "low", "close", "volume")
+    lines = spark.read.text(f"{root}/*/{timeframe}.csv").select(F.col("_metadata.file_path").alias("file"), F.split("value", ",").alias("cells"))
+    heads = lines.where(F.lower(F.trim(F.col("cells")[0])) == "time").groupBy("file").agg(F.first(F.transform("cells", lambda c: F.lower(F.trim(c)))).alias("names"))
+    met = lines.join(F.broadcast(heads), "file")  # one row a file
+    cell = lambda name: F.try_element_at("cells", F.nullif(F.array_position("names", F.lit(name)).cast("int"), F.lit(0)))
+    symbol = F.regexp_extract("file", rf"([^/]+)/{timeframe}\.csv", 1)
+    number = lambda name: F.trim(cell(name)).try_cast("double").alias(name)
+    rows = met.select(symbol.alias("symbol"), F.trim(cell("time")).try_cast("timestamp").alias("event_time"), *[number(n) for n in ("open", "high", "low", "close", *CSV_OPTIONAL)], F.concat_ws(":", F.lit("csv"), symbol, F.lit(timeframe)).alias("source_ref"))
     return rows.where((F.col("event_time") >= F.lit(start).cast("timestamp")) & (F.col("event_time") < F.lit(end).cast("timestamp")))
 
 
