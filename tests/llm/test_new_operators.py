@@ -112,8 +112,9 @@ def brute_trie(rows):
 TURNS = "conv_id long, turn long, role string, text string"
 
 
-@pytest.mark.parametrize("ranges", [1, 2, 7])
-def test_trie_equals_brute_force(spark, monkeypatch, ranges):
+@pytest.mark.parametrize(("ranges", "long"), [(1, 4096), (2, 9), (7, 4096), (5, 3)])
+def test_trie_equals_brute_force(spark, monkeypatch, ranges, long):
+    monkeypatch.setattr(prefix_trie, "LONG", long)
     monkeypatch.setattr(prefix_trie, "SPAN", 3)
     monkeypatch.setattr(prefix_trie, "ID_BLOCK", 16)
     monkeypatch.setattr(prefix_trie, "RANGE_TURNS", 40)
@@ -123,6 +124,8 @@ def test_trie_equals_brute_force(spark, monkeypatch, ranges):
         for t in range(rng.choice((1, 2, 3, 5, 12))):
             rows.append((c, rng.choice((t, t, t, None, 5)), rng.choice(("user", "bot", None, "")), rng.choice(("a", "b", "é" * 9, None, "", "long " * 400)) if t % 3 else "same"))
     rows += rows[:5] + [(None, 0, "user", "lost")] + [(2000, t, "user", str(t)) for t in range(50)] + [(2001, t, "user", str(t)) for t in range(50)]
+    # One that shares twenty turns with them, one that ends where a key does, and two equal ones with other turn numbers.
+    rows += [(2002, t, "user", str(t) if t < 20 else f"other {t}") for t in range(40)] + [(2003, t, "user", str(t)) for t in range(9)] + [(c, t * k, "bot", f"alone {t}") for c, k in ((3000, 1), (4000, 5)) for t in range(30)] + [(5000, t, "bot", f"lonely {t}") for t in range(30)]
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", ranges)
     try:

@@ -9,6 +9,12 @@ depths that end a turn emit nodes.  A node that lies wholly inside a range is
 final there.  Only the paths that a range shares with its neighbours are
 partial: every sum over a subtree is a sum over ranges, because a node counts
 as new only in the first range that has it, and those few rows are added up.
+
+A key has at most ``LONG`` turns.  Behind them the nodes of a conversation are a
+chain, as long as no different one begins with the same ``LONG`` turns: the rest
+is a digest in the key, with the rest's bytes, and its nodes are made row by
+row from the pieces of the conversation, which are never gathered.  Different
+conversations that share more than ``LONG`` turns keep whole keys.
 """
 
 from __future__ import annotations
@@ -26,6 +32,8 @@ from .common import hot_keys, spread_join, stored
 WIDTH, SPAN, ID_BLOCK, RANGE_TURNS = 16, 1024, 1 << 16, 500_000
 #: Turns that a conversation may take from the first of its five, at most.
 MOST_SHARED = 8
+#: Turns of a key.  The rest of a longer conversation is one last id of its key, and a chain of nodes of its own.
+LONG = 4096
 NO_MEMBERS = hashlib.sha256(b"").hexdigest()
 
 
@@ -293,7 +301,7 @@ def _segments(turns: DataFrame) -> DataFrame:
     """(conv_id, at, els): a conversation's turns in order, cut where its turn numbers pass a multiple of ``SPAN``; ``at`` turns come before."""
     role, text = F.coalesce(turns["role"].cast("string"), F.lit("")), F.coalesce(turns["text"].cast("string"), F.lit(""))
     ident = F.substring(F.sha2(F.concat(F.length(role).cast("string"), F.lit(":"), role, text), 256), 1, 2 * WIDTH)
-    rows = turns.select(turns["conv_id"].cast("long").alias("conv_id"), turns["turn"].cast("long").alias("turn"), ident.alias("id"), F.octet_length(text).alias("size")).where("conv_id is not null")
+    rows = turns.select(turns["conv_id"].cast("long").alias("conv_id"), turns["turn"].cast("long").alias("turn"), ident.alias("id"), F.octet_length(text).cast("long").alias("size")).where("conv_id is not null")
     span = F.coalesce(F.floor(F.col("turn") / SPAN).cast("long"), F.lit(-(1 << 62)))
     cut = rows.groupBy("conv_id", span.alias("span")).agg(F.array_sort(F.collect_list(F.struct("turn", "id", "size"))).alias("els"))
     cut = stored(cut.select("conv_id", "span", F.transform("els", lambda e: F.struct(e["id"].alias("id"), e["size"].alias("size"))).alias("els")), "turns")
@@ -302,8 +310,8 @@ def _segments(turns: DataFrame) -> DataFrame:
     return cut.join(counts.select("conv_id", "span", at.alias("at")), ["conv_id", "span"]).drop("span")
 
 
-def rebuilt(turns: DataFrame) -> DataFrame:
-    """(conv_id, key, sizes) of every rebuilt conversation; a key is its turns' ids, ``sizes`` their bytes of text.
+def _pieces(turns: DataFrame) -> DataFrame:
+    """(conv_id, start, els) of every rebuilt conversation: its turns in pieces, ``start`` turns come before; a turnless one has an empty piece.
 
     Conversation c takes the first h turns of conversation c - c mod 5, then
     its own behind its first h; h is crc32 of the decimal c, modulo 9.
@@ -315,15 +323,61 @@ def rebuilt(turns: DataFrame) -> DataFrame:
     heads = heads.groupBy("base").agg(F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["els"])).alias("head"))
     each = cut.select("conv_id").distinct().withColumn("base", base).join(heads, "base", "left")
     lead = F.when(F.col("head").isNotNull(), F.slice("head", F.lit(1), shared.cast("int")))
-    none = F.array().cast("array<struct<id:string,size:int>>")
-    lead = each.select("conv_id", F.struct(F.lit(-1).cast("long").alias("at"), F.coalesce(lead, none).alias("els")).alias("piece"))
+    none = F.array().cast("array<struct<id:string,size:bigint>>")
+    lead = each.select("conv_id", F.coalesce(lead, none).alias("els"))
     skip = F.greatest(F.lit(0), shared - F.col("at")).cast("int")
-    own = cut.where(F.size("els") > skip).select("conv_id", F.struct("at", F.slice("els", skip + 1, F.size("els")).alias("els")).alias("piece"))
-    whole = lead.unionByName(own).groupBy("conv_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["els"])).alias("els"))
+    own = cut.where(F.size("els") > skip).select("conv_id", F.greatest(F.lit(0).cast("long"), F.col("at") - shared).alias("behind"), F.slice("els", skip + 1, F.size("els")).alias("els"))
+    sizes = lead.select("conv_id", F.size("els").cast("long").alias("led"))
+    return lead.select("conv_id", F.lit(0).cast("long").alias("start"), "els").unionByName(own.join(sizes, "conv_id").select("conv_id", (F.col("led") + F.col("behind")).alias("start"), "els"))
+
+
+def _joined(pieces: DataFrame) -> DataFrame:
+    """(conv_id, key, sizes) of whole pieces."""
+    whole = pieces.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("start", F.size("els").alias("n"), "els"))).alias("p"))
+    whole = whole.withColumn("els", F.flatten(F.transform("p", lambda x: x["els"])))
     key = F.unhex(F.array_join(F.transform("els", lambda e: e["id"]), ""))
     return whole.select("conv_id", key.alias("key"), F.transform("els", lambda e: e["size"]).alias("sizes"))
 
 
+def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Keys (conv_id, key, sizes) of every rebuilt conversation, and the pieces (conv_id, start, els) behind keys that end with a digest, if any do."""
+    pieces = stored(_pieces(turns), "pieces")
+    over = F.col("start") + F.size("els") - LONG  # turns of a piece behind the key
+    long = stored(pieces.where(over > 0).select("conv_id").distinct(), "long-conversations")
+    if long.isEmpty():
+        return _joined(pieces), None
+    short, rest = pieces.join(long, "conv_id", "left_anti"), pieces.join(long, "conv_id", "left_semi")
+    front = rest.where(F.col("start") < LONG).withColumn("els", F.slice("els", F.lit(1), (F.lit(LONG) - F.col("start")).cast("int")))
+    back = rest.where(over > 0).select("conv_id", F.greatest("start", F.lit(LONG).cast("long")).alias("start"), F.when(F.col("start") < LONG, F.slice("els", (F.lit(LONG) - F.col("start") + 1).cast("int"), F.size("els"))).otherwise(F.col("els")).alias("els"))
+    back = stored(back, "tails")
+    # Sums over turns do not depend on where pieces were cut.
+    turn = F.posexplode("els").alias("k", "e")
+    each = back.select("conv_id", "start", turn).select("conv_id", "e.size", *[F.xxhash64(F.lit(seed), F.col("start") + F.col("k"), "e.id").cast("decimal(38,0)").alias(f"h{seed}") for seed in (1, 2)])
+    digest = each.groupBy("conv_id").agg(F.sum("h1").alias("h1"), F.sum("h2").alias("h2"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    digest = digest.select("conv_id", F.substring(F.sha2(F.concat_ws(":", F.lit("rest"), "h1", "h2", "n"), 256), 1, 2 * WIDTH).alias("rest"), "bytes")
+    keyed = _joined(front).join(digest, "conv_id").withColumn("front", F.sha2("key", 256))
+    apart = keyed.groupBy("front").agg(F.count_distinct("rest").alias("_k")).where("_k > 1").select("front")
+    keyed = stored(keyed.join(apart.withColumn("split", F.lit(True)), "front", "left"), "long-keys")
+    whole = rest.join(keyed.where("split").select("conv_id"), "conv_id", "left_semi")
+    chains = keyed.where("split is null")
+    ended = chains.select("conv_id", F.concat("key", F.unhex("rest")).alias("key"), F.concat("sizes", F.array("bytes")).alias("sizes"))
+    return _joined(short).unionByName(_joined(whole)).unionByName(ended), back.join(chains.select("conv_id"), "conv_id", "left_semi")
+
+
+def _chains(ends: DataFrame, tails: DataFrame) -> DataFrame:
+    """Nodes behind the keys' last digests: one for each turn of the smallest member's tail, from its pieces."""
+    sums = tails.select("conv_id", "start", F.aggregate("els", F.lit(0).cast("long"), lambda a, e: a + e["size"]).alias("b"), F.size("els").alias("n"))
+    by = Window.partitionBy("conv_id")
+    sums = sums.select("conv_id", "start", (F.sum("b").over(by) - F.sum("b").over(by.orderBy("start")) + F.col("b")).alias("left"), F.max(F.col("start") + F.col("n")).over(by).alias("last"))
+    each = tails.join(sums, ["conv_id", "start"]).select("conv_id", "start", "left", "last", F.posexplode("els").alias("k", "e"))
+    before = F.sum("e.size").over(Window.partitionBy("conv_id", "start").orderBy("k")) - F.col("e.size")
+    rows = each.withColumn("left", F.col("left") - before).join(ends.select("conv_id", "parent_conv_id", "n_convs", "ends_sha256"), "conv_id").withColumn("depth", F.col("start") + F.col("k") + 1)
+    final = F.col("depth") == F.col("last")
+    parent = F.when(F.col("depth") == LONG + 1, F.col("parent_conv_id")).otherwise(F.col("conv_id"))
+    one = F.lit(1).cast("long")
+    return rows.select("conv_id", "depth", parent.alias("parent_conv_id"), "n_convs", F.when(final, 0).otherwise(1).cast("long").alias("n_children"), one.alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("left")).alias("saved_tokens"), F.when(final, F.col("ends_sha256")).otherwise(NO_MEMBERS).alias("ends_sha256"))
+
+
 def _distinct(conversations: DataFrame) -> DataFrame:
     """(key, sizes, n, lowest, ends): equal conversations once, with the digest of their ids."""
     named = conversations.withColumn("sid", F.unhex(F.sha2("key", 256)))
@@ -343,7 +397,8 @@ def trie(turns: DataFrame) -> DataFrame:
     ignored; an empty table has no node.
     """
     spark = turns.sparkSession
-    keys = stored(_distinct(stored(rebuilt(turns), "rebuilt")), "keys")
+    conversations, tails = rebuilt(turns)
+    keys = stored(_distinct(stored(conversations, "rebuilt")), "keys")
     total = keys.agg(F.sum(F.size("sizes") + 1)).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_TURNS))
     ranged = stored(keys.repartitionByRange(ranges, "key").withColumn("part", F.spark_partition_id()), "key-ranges")
@@ -359,7 +414,12 @@ def trie(turns: DataFrame) -> DataFrame:
     hot = stored(hot_keys(below.groupBy("parent").agg(F.count(F.lit(1)).alias("n")), "parent", "n"), "hot-parents")
     columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", (F.col("weight") - F.col("fresh")).alias("saved_tokens"), F.col("ends").alias("ends_sha256")]
     rows = [made.where("node is null and parent is null"), spread_join(below, above, "parent", hot, "conv_id"), met.join(above, "parent", "left")]
-    return rows[0].select(*columns).unionByName(rows[1].select(*columns)).unionByName(rows[2].select(*columns))
+    nodes = rows[0].select(*columns).unionByName(rows[1].select(*columns)).unionByName(rows[2].select(*columns))
+    if tails is None:
+        return nodes
+    nodes = stored(nodes, "nodes")
+    ends = nodes.where(F.col("depth") == LONG + 1).join(tails.select("conv_id").distinct(), "conv_id", "left_semi")
+    return nodes.join(ends.select("conv_id", "depth"), ["conv_id", "depth"], "left_anti").select(*nodes.columns).unionByName(_chains(ends, tails))
 
 
 def _crc32(text: str) -> str:
