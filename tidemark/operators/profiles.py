@@ -124,3 +124,14 @@ def memory_agreement(snapshots: DataFrame) -> DataFrame:
     directional = F.when(F.col("trend").isin("up", "down"), F.col("trend"))
     out = snapshots.groupBy("symbol").agg(F.count(directional).alias("directional"), F.count_distinct(directional).alias("_k"))
     return out.withColumn("agree", F.when(F.col("directional") >= 2, F.col("_k") == 1)).drop("_k")
+
+
+def snapshot(facets: dict[str, DataFrame], as_of: str, computed_at: str) -> DataFrame:
+    """All facets of the profiles at one cutoff as (symbol, kind, as_of, computed_at, metric, value); what a facet could not measure is left out."""
+    out = None
+    for kind, rows in facets.items():
+        metrics = [c for c, t in rows.dtypes if c != "symbol" and t in ("double", "bigint", "int")]
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in metrics])).alias("c")
+        each = rows.select("symbol", F.lit(kind).alias("kind"), F.lit(as_of).cast("timestamp").alias("as_of"), F.lit(computed_at).cast("timestamp").alias("computed_at"), cells).select("symbol", "kind", "as_of", "computed_at", "c.metric", "c.value").where("value is not null")
+        out = each if out is None else out.unionByName(each)
+    return out

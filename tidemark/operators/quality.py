@@ -119,3 +119,11 @@ def scores(bars: DataFrame, findings: DataFrame) -> DataFrame:
     both = stored.join(open_, "symbol", "left").fillna(0, ["penalty", "findings", "blocking"])
     score = F.when(F.col("bars") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("penalty") / F.col("bars")))).otherwise(0.0)
     return both.withColumn("score", score).withColumn("is_training_eligible", (F.col("score") >= ELIGIBLE_SCORE) & (F.col("blocking") == 0) & (F.col("bars") > 0))
+
+
+def batch_scores(rows: DataFrame, findings: DataFrame, *keys: str) -> DataFrame:
+    """Score of each batch over the rows that were checked, repeats included; 0 for a batch whose rows are missing."""
+    checked = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("checked"))
+    found = findings.groupBy(*keys).agg(F.sum(penalty()).alias("penalty"))
+    both = checked.join(found, list(keys), "full_outer").fillna(0, ["checked", "penalty"])
+    return both.withColumn("score", F.when(F.col("checked") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("penalty") / F.col("checked")))).otherwise(0.0))

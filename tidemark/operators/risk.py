@@ -177,3 +177,27 @@ def routing(intents: DataFrame, accounts: DataFrame) -> DataFrame:
     own = own.withColumn("ceiling", over).withColumn("_may", F.col("_own") + sums(lambda x: F.lit(True)))
     counts = own.select("symbol", "risk_r", "kill_switch", "disabled", (F.col("_live") - F.col("_may")).alias("not_permitted"), "ceiling", (F.col("_may") - F.col("ceiling")).alias("routed"))
     return intents.join(counts, ["symbol", "risk_r"]).select("intent", "routed", *SKIPS)
+
+
+# Layers that must have approved an order, seconds after which an authorisation is stale, and seconds it may lie ahead.
+APPROVALS, MOST_AGE_SECONDS, MOST_SKEW_SECONDS = ("risk", "portfolio", "challenge", "stress"), 5, 1
+
+
+def preflight(intents: DataFrame, now: Column) -> DataFrame:
+    """Every check of an order, with all that fail; one failure blocks it.
+
+    Columns: enabled, killed, require_auth, approvals (map of layer to a struct
+    of approved and at), authorised_at, risk_r, max_risk_r, submitted_as (the
+    id of a former submission, null if it is known that there was none).
+    A null switch, approval or time fails its check.
+    """
+    age = lambda at: F.unix_timestamp(now) - F.unix_timestamp(at)
+    given = {a: F.try_element_at("approvals", F.lit(a)) for a in APPROVALS}
+    at = age(F.col("authorised_at"))
+    checks = {"execution_enabled": F.col("enabled"), "kill_switch_clear": ~F.col("killed"), "auth_required": F.col("require_auth")}
+    checks |= {f"approved_by_{a}": g["approved"] for a, g in given.items()}
+    checks |= {"authorisation_not_future_dated": at >= -MOST_SKEW_SECONDS, "authorisation_fresh": at <= MOST_AGE_SECONDS}
+    checks |= {f"{a}_approval_fresh": g.isNull() | (age(g["at"]) <= MOST_AGE_SECONDS) for a, g in given.items()}
+    checks |= {"size_within_ceiling": F.col("risk_r") <= F.col("max_risk_r"), "not_a_duplicate": F.col("submitted_as").isNull()}
+    blocks = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in checks.items()]))
+    return intents.withColumn("blocks", blocks).withColumn("cleared", F.size("blocks") == 0)

@@ -148,6 +148,18 @@ def challenges(judged: DataFrame) -> DataFrame:
     return rows.withColumn("challenge", F.when(F.size("blocking") > 0, "block").when(F.size("concerns") >= CONCERNS_TO_REDUCE, "reduce").otherwise("clear")).withColumn("final_conviction", F.when(F.col("challenge") == "reduce", F.col("conviction") * 0.5).otherwise(F.col("conviction")))
 
 
+def proposals(challenged: DataFrame) -> DataFrame:
+    """Challenged verdicts with what is proposed: the decision, or wait with every reason for it.
+
+    A suppressed verdict and each blocking challenge are reasons; the conviction
+    of a decision is halved where the challenges say reduce, and 0 for a wait.
+    """
+    reasons = F.concat(F.array_compact(F.array("suppressed")), "blocking")
+    rows = challenged.withColumn("wait_reasons", reasons)
+    go = F.size("wait_reasons") == 0
+    return rows.withColumn("proposed", F.when(go, F.col("decision")).otherwise("wait")).withColumn("proposed_conviction", F.when(go, F.abs("final_conviction")).otherwise(0.0))
+
+
 def strategies(states: DataFrame) -> DataFrame:
     """One row per strategy of each state that suits its regime, fired or not."""
     rsi, over, position, regime = F.col("rsi_14"), F.col("close_over_sma_20"), F.col("position_in_range_20"), F.col("regime")

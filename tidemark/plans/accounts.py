@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import accounts as rules
-from ..operators import journal, stress
+from ..operators import journal, risk, stress
 from ..sources import bars as B
 from ..sources import calendar_feed
 from ..sources.shared import fresh_folder
@@ -169,3 +169,17 @@ def zone_times(spark, sf_dir):
     hours = B.table(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").cast("timestamp").alias("moment")).distinct()
     each = hours.select("moment", F.explode(calendar_feed.local_times(F.col("moment"), F.when(F.hour("moment") % 2 == 0, 0.0))).alias("p"))
     return each.select("moment", "p.name", F.col("p.offset").alias("hours"), "p.local")
+
+
+# Orders as intents: their numbers say which switch, approval or time is amiss.
+@query("""WITH i AS (SELECT o_orderkey AS intent, o_orderkey % 31 <> 0 AS enabled, o_orderkey % 37 = 0 AS killed, o_orderkey % 41 <> 0 AS auth, o_orderkey % 6 AS m, o_orderkey % 9 - 1 AS age, 0.5 + o_orderkey % 3 * 0.5 AS risk_r, CASE WHEN o_orderkey % 43 = 0 THEN 'earlier' END AS earlier FROM orders),
+b AS (SELECT intent, list_filter([CASE WHEN NOT enabled THEN 'execution_enabled' END, CASE WHEN killed THEN 'kill_switch_clear' END, CASE WHEN NOT auth THEN 'auth_required' END, CASE WHEN m = 1 THEN 'approved_by_portfolio' END, CASE WHEN m = 2 THEN 'approved_by_challenge' END, CASE WHEN age < -1 THEN 'authorisation_not_future_dated' END, CASE WHEN age > 5 THEN 'authorisation_fresh' END, CASE WHEN m = 3 THEN 'risk_approval_fresh' END, CASE WHEN risk_r > 1 THEN 'size_within_ceiling' END, CASE WHEN earlier IS NOT NULL THEN 'not_a_duplicate' END], lambda x: x IS NOT NULL) AS blocks FROM i)
+SELECT intent, len(blocks) = 0 AS cleared, array_to_string(blocks, ',') AS blocks FROM b""")
+def preflight_checks(spark, sf_dir):
+    k, now = F.col("o_orderkey"), F.lit("2024-01-20 00:00:00").cast("timestamp")
+    m, before = k % 6, lambda s: F.timestamp_seconds(F.unix_timestamp(now) - s)
+    layer = lambda name, approved, late: F.struct(F.lit(name).alias("key"), F.struct(approved.alias("approved"), before(F.when(late, 60).otherwise(1)).alias("at")).alias("value"))
+    yes, no = F.lit(True), F.lit(False)
+    entries = F.array_compact(F.array(layer("risk", yes, m == 3), F.when(m != 1, layer("portfolio", yes, no)), layer("challenge", m != 2, no), layer("stress", yes, no)))
+    rows = B.table(spark, sf_dir, "orders").select(k.alias("intent"), (k % 31 != 0).alias("enabled"), (k % 37 == 0).alias("killed"), (k % 41 != 0).alias("require_auth"), F.map_from_entries(entries).alias("approvals"), before(k % 9 - 1).alias("authorised_at"), (0.5 + k % 3 * 0.5).alias("risk_r"), F.lit(1.0).alias("max_risk_r"), F.when(k % 43 == 0, "earlier").alias("submitted_as"))
+    return risk.preflight(rows, now).select("intent", "cleared", F.array_join("blocks", ",").alias("blocks"))

@@ -9,7 +9,7 @@ from ..functions import stats
 from ..operators import asof, calendars, crosssection, features, learning, neighbours, operations, outcomes, profiles, risk, scoring
 from ..sources import bars as B
 from ..sources import stores
-from .registry import AS_OF, BARS_A, BARS_B, BARS_C, BITEMPORAL, KNOWN, W, frame, query, rounded, steps
+from .registry import AS_OF, BARS_A, BARS_B, BARS_C, BITEMPORAL, KNOWN, ORACLES, W, frame, query, rounded, steps
 from .series import _OUTCOME, A, H, _session_sql, feature_sql, known
 
 
@@ -224,6 +224,26 @@ def adversarial_flags(spark, sf_dir):
     return rounded(rows.select("symbol", F.concat_ws(",", "blocking").alias("blocking"), F.concat_ws(",", "concerns").alias("concerns"), "challenge", "final_conviction"), "final_conviction")
 
 
+@query(f"""WITH {_COUNCIL}, vp AS (SELECT *, list_filter(list_prepend(suppressed, blocking), lambda x: x IS NOT NULL) AS reasons FROM vg) SELECT symbol, CASE WHEN len(reasons) = 0 THEN decision ELSE 'wait' END AS proposed, round(CASE WHEN len(reasons) = 0 THEN abs(conviction) * CASE WHEN len(concerns) >= 2 THEN 0.5 ELSE 1.0 END ELSE 0.0 END, 6) AS proposed_conviction, array_to_string(reasons, ',') AS wait_reasons FROM vp""")
+def proposals(spark, sf_dir):
+    rows = scoring.proposals(scoring.challenges(scoring.verdicts(scoring.regimes(states(spark, sf_dir)))))
+    return rounded(rows.select("symbol", "proposed", "proposed_conviction", F.array_join("wait_reasons", ",").alias("wait_reasons")), "proposed_conviction")
+
+
+_FACETS = {"volatility": ("profile_volatility", [*_names("range"), "range_mean", "return_stdev", *_names("abs_return")]), "structure": ("profile_structure", ["autocorrelation", "up_share", *_names("body"), *_names("gap")]), "liquidity": ("profile_liquidity", [*_names("volume"), "volume_mean"])}
+_SNAPSHOT = " UNION ALL ".join(f"SELECT symbol, '{kind}' AS kind, metric, value FROM (UNPIVOT (SELECT symbol, {', '.join(f'CAST({m} AS DOUBLE) AS {m}' for m in metrics)} FROM ({ORACLES[name]})) ON {', '.join(metrics)} INTO NAME metric VALUE value)" for kind, (name, metrics) in _FACETS.items())
+
+
+@query(_SNAPSHOT)
+def profile_snapshot(spark, sf_dir):
+    """The facets of every symbol's profile as stored at one cutoff."""
+    bars = stores.stored(A(spark, sf_dir), "profile-bars")
+    facets = {"volatility": profiles.volatility(bars), "structure": profiles.structure(bars), "liquidity": profiles.liquidity(bars)}
+    keep = {kind: [c for c in metrics] for kind, (_, metrics) in _FACETS.items()}
+    out = profiles.snapshot({kind: rows.select("symbol", *keep[kind]) for kind, rows in facets.items()}, AS_OF, AS_OF)
+    return rounded(out.select("symbol", "kind", "metric", "value"), "value")
+
+
 _STRETCH = f"{steps('b')}, sx AS (SELECT symbol, event_time, close, CASE WHEN count(tr) OVER {frame(13)} = 14 THEN avg(tr) OVER {frame(13)} END AS atr, avg(close) OVER {frame(50, -1)} AS mu, n FROM st), sr AS (SELECT symbol, event_time, close, atr, (close - mu) / atr AS stretch FROM sx WHERE n > 80 AND atr > 0)"
 _TAILS = "tk AS (SELECT *, count(*) OVER (PARTITION BY event_time) AS considered, row_number() OVER (PARTITION BY event_time ORDER BY stretch, symbol) AS place FROM sr), tt AS (SELECT *, greatest(1, CAST(floor(considered * 0.10) AS BIGINT)) AS take FROM tk WHERE considered >= 20), tp AS (SELECT *, CASE WHEN place <= take THEN 1 WHEN place > considered - take THEN -1 END AS side FROM tt WHERE place <= take OR place > considered - take)"
 

@@ -214,6 +214,13 @@ def dq_score(spark, sf_dir):
     return rounded(quality.scores(rows, quality.structure(rows)), "score")
 
 
+@query(f"""WITH {BARS_A}, {_DEFECTS}, fi AS ({_STRUCTURE}), p AS (SELECT symbol, sum(affected_rows * CASE severity WHEN 'critical' THEN 20 WHEN 'error' THEN 4 WHEN 'warning' THEN 1 ELSE 0 END) AS penalty FROM fi GROUP BY symbol), c AS (SELECT symbol, count(*) AS checked FROM dd GROUP BY symbol)
+SELECT symbol, checked, CAST(coalesce(penalty, 0) AS BIGINT) AS penalty, round(greatest(0.0, least(1.0, 1 - CAST(coalesce(penalty, 0) AS DOUBLE) / checked)), 6) AS score FROM c LEFT JOIN p USING (symbol)""")
+def dq_batch_score(spark, sf_dir):
+    rows = defective(spark, sf_dir)
+    return rounded(quality.batch_scores(rows, quality.structure(rows), "symbol"), "score")
+
+
 def _session_sql(t: str) -> str:
     parts = []
     for name, (zone, opens, closes) in calendars.SESSIONS.items():
