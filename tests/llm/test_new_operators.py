@@ -13,6 +13,36 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import prefix_trie, urls, vector_codes
 
+# --- quality classifier
+
+
+def test_scores_equal_plain_compression(spark, sf):
+    """Every score from the trained parts alone: frames of plain Zstandard, pooled neighbours, a logistic curve."""
+    import zstandard
+
+    from tidemark.llm import quality
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    presses = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (model.good, model.bad)]
+
+    def difference(text):
+        pieces = [text[k : k + quality.CHUNK_BYTES] for k in range(0, len(text), quality.CHUNK_BYTES)]
+        good, bad = (sum(len(p.compress(x)) for x in pieces) for p in presses)
+        return (bad - good) / (len(text) + quality.DAMPING)
+
+    def score(x):
+        p = 1 / (1 + math.exp(-max(-40.0, min(40.0, model.slope * x + model.offset))))
+        xs, ys = model.knots
+        k = next((i for i, v in enumerate(xs) if v > x), len(xs))
+        line = ys[0] if k == 0 else ys[-1] if k == len(xs) else ys[k - 1] + (ys[k] - ys[k - 1]) * (x - xs[k - 1]) / (xs[k] - xs[k - 1])
+        return (1 - quality.BLEND) * line + quality.BLEND * p
+
+    assert all(b >= a for a, b in zip(model.knots[1], model.knots[1][1:]))
+    got = Counter((r["doc_id"], round(r["score"], 9)) for r in quality.scores(docs, model).collect())
+    assert got == Counter((r["doc_id"], round(score(difference((r["text"] or "").encode())), 9)) for r in docs.collect())
+
+
 # --- URL filter
 
 
