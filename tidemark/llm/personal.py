@@ -2,11 +2,12 @@
 
 The base finds e-mail addresses, IP addresses, card and phone numbers exactly.
 The tagger (see ``tagger``) is trained on labelled windows of a bounded sample
-of the corpus: the base spans, and credentials marked by the seed patterns
-below.  It reads overlapping windows around every cue of every whole text: a
-digit, ``@`` or ``=``, a word such as token or secret with the value it
-introduces, or a long run of mixed case; in an overlap, each character takes its tag from the window in which it
-stands furthest from an edge, so spans are reconciled over the whole text.
+of the corpus: the base spans, credentials marked by the seed patterns below,
+the text around such cues (a digit, ``@`` or ``=``, a word such as token with
+the value it introduces, a long run of mixed case), and text without any.  It
+reads every character of every text, in overlapping windows; in an overlap,
+each character takes its tag from the window in which it stands furthest from
+an edge, so spans are reconciled over the whole text.
 Only spans that touch no base span are added.
 """
 
@@ -31,8 +32,10 @@ BASE_KINDS = KINDS[:4]
 SEED_SECRETS = re.compile(r"\bAKIA[0-9A-Z]{16}\b|password=[^\s]+|token = \"[0-9a-f]+\"|\bsk-[A-Za-z0-9]{16,}|\bghp_[A-Za-z0-9]{20,}")
 #: Bounds of the training sample: documents, windows of 64 characters of one document, and windows in all.
 SAMPLE_DOCS, DOC_WINDOWS, SAMPLE_WINDOWS = 1500, 64, 4000
-#: Characters kept on each side of a cue; least length of an added span.
+#: Characters kept on each side of a cue and between training windows; least length of an added span.
 MARGIN, STRIDE, LEAST_SPAN = 24, 32, 8
+#: Characters of a window that is read, and from one to the next.
+READ_LENGTH, READ_STRIDE = 256, 224
 N_TAGS = 1 + 2 * len(KINDS)
 WINDOW_BATCH = 512
 #: Text bytes whose windows' votes are held at once (a longer text is alone).
@@ -104,7 +107,7 @@ def _cues(text: str) -> list[tuple[int, int]]:
 
 
 def regions(text: str):
-    """Stretches around cues that the tagger reads, in order and apart."""
+    """Stretches around cues, which training windows are drawn from, in order and apart."""
     end = -1
     start = 0
     for first, last in _cues(text):
@@ -118,14 +121,14 @@ def regions(text: str):
         yield start, end
 
 
-def windows(start: int, end: int):
-    """Overlapping windows of a region."""
+def windows(start: int, end: int, length: int = tagger.LENGTH, stride: int = STRIDE):
+    """Overlapping windows of a stretch."""
     at = start
     while True:
         yield at
-        if at + tagger.LENGTH >= end:
+        if at + length >= end:
             return
-        at += STRIDE
+        at += stride
 
 
 def _tags(text: str, spans: list[tuple[int, int, int]], start: int) -> np.ndarray:
@@ -160,9 +163,24 @@ def sampled_windows(text: str) -> list[tuple[bytes, bytes]]:
     return [found[k] for k in sorted(order[:DOC_WINDOWS])]
 
 
+def plain_windows(text: str, most: int) -> list[tuple[bytes, bytes]]:
+    """At most ``most`` training windows, by hash, of what lies between the regions: nothing in them is tagged."""
+    edges = [0, *(p for region in regions(text) for p in region), len(text)]
+    chars, none = tagger.classes(text), bytes(tagger.LENGTH)
+    found = [_window_chars(chars[:b], at).tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b for at in range(a, b, tagger.LENGTH)]
+    order = sorted(range(len(found)), key=lambda k: zlib.crc32(found[k] + k.to_bytes(8)))
+    return [(found[k], none) for k in sorted(order[:most])]
+
+
+def training_windows(text: str) -> list[tuple[bytes, bytes]]:
+    """Windows around cues, and a quarter as many of the rest of the text."""
+    found = sampled_windows(text)
+    return found + plain_windows(text, -(-len(found) // 4))
+
+
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> dict[str, np.ndarray] | None:
     """Train on a bounded sample: the ``sample_docs`` texts with cues that have the smallest id hashes,
-    with ``DOC_WINDOWS`` windows of each at most.
+    with ``DOC_WINDOWS`` windows around cues of each at most, and a quarter as many without.
 
     Returns None if no text holds a cue.
     """
@@ -172,7 +190,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = S
 
     def run(batches):
         for batch in batches:
-            rows = [w for t in batch.column("text").to_pylist() for w in sampled_windows(t)]
+            rows = [w for t in batch.column("text").to_pylist() for w in training_windows(t)]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.binary()), pa.array([t for _, t in rows], pa.binary())], ["chars", "tags"])
 
     found = source.join(F.broadcast(picked), "doc_id").mapInArrow(run, "chars binary, tags binary").orderBy(F.xxhash64("chars"), "tags").limit(sample_windows).toArrow()
@@ -197,7 +215,7 @@ def _plausible(kind: str, piece: str) -> bool:
 
 
 def _spans_of(tags: np.ndarray, text: str, start: int):
-    """(kind, start, end) of one region's reconciled tags."""
+    """(kind, start, end) of the reconciled tags of a stretch."""
     tags = tags.astype(np.int64)
     kind = np.where(tags > 0, (tags - 1) // 2, -1)
     begin = (tags > 0) & ((tags - 1) % 2 == 0)
@@ -219,39 +237,30 @@ def added_spans(model, rows: list[str], base: list[dict]) -> list[list[tuple[str
     out: list[list[tuple[str, int, int]]] = [[] for _ in rows]
     if model is None:
         return out
-    places, stack = [], []
-    pending: dict[tuple[int, int, int], list] = {}
-
-    def settle():
-        if not stack:
-            return
-        found = tagger.viterbi(model, np.stack(stack))
-        for (row, a, b, at), tags in zip(places, found, strict=True):
-            votes = pending.setdefault((row, a, b), [np.zeros(b - a, np.uint8), np.full(b - a, -1, np.int32)])
-            n = min(tagger.LENGTH, b - at)
-            inner = np.minimum(np.arange(n) + (10**6 if at == a else 0), np.arange(n)[::-1] + (10**6 if at + tagger.LENGTH >= b else 0))
-            here = slice(at - a, at - a + n)
-            better = inner > votes[1][here]
-            votes[0][here] = np.where(better, tags[:n], votes[0][here])
-            votes[1][here] = np.where(better, inner, votes[1][here])
-        places.clear()
-        stack.clear()
-
+    chars = [tagger.classes(text) for text in rows]
+    places = [(row, at) for row, text in enumerate(rows) if text for at in windows(0, len(text), READ_LENGTH, READ_STRIDE)]
+    places.sort(key=lambda p: min(READ_LENGTH, len(rows[p[0]]) - p[1]))  # windows of about one length are read together
+    tags = [np.zeros(len(text), np.uint8) for text in rows]
+    depth = [np.full(len(text), -1, np.int32) for text in rows]
+    for first in range(0, len(places), WINDOW_BATCH):
+        batch = places[first : first + WINDOW_BATCH]
+        stack = np.zeros((len(batch), min(READ_LENGTH, len(rows[batch[-1][0]]) - batch[-1][1])), np.uint8)
+        for k, (row, at) in enumerate(batch):
+            piece = chars[row][at : at + READ_LENGTH]
+            stack[k, : len(piece)] = piece
+        for (row, at), found in zip(batch, tagger.viterbi(model, stack), strict=True):
+            end = len(rows[row])
+            n = min(READ_LENGTH, end - at)
+            inner = np.minimum(np.arange(n) + (10**6 if at == 0 else 0), np.arange(n)[::-1] + (10**6 if at + n == end else 0))
+            here = slice(at, at + n)
+            better = inner > depth[row][here]
+            tags[row][here] = np.where(better, found[:n], tags[row][here])
+            depth[row][here] = np.where(better, inner, depth[row][here])
     for row, text in enumerate(rows):
-        apart = list(regions(text))
-        if not apart:
+        if not tags[row].any():
             continue
-        chars = tagger.classes(text)
-        for a, b in apart:
-            for at in windows(a, b):
-                places.append((row, a, b, at))
-                stack.append(_window_chars(chars, at))
-                if len(stack) >= WINDOW_BATCH:
-                    settle()
-    settle()
-    for (row, a, _), (tags, _) in pending.items():
         taken = sorted(s for found in base[row].values() for s in found)
-        for kind, p, q in _spans_of(tags, rows[row], a):
+        for kind, p, q in _spans_of(tags[row], text, 0):
             if not any(s < q and p < e for s, e in taken):
                 out[row].append((KINDS[kind], p, q))
     return out
