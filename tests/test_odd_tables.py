@@ -6,6 +6,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.plans import catalogue
 
@@ -31,3 +32,17 @@ def test_events_without_a_value_above_zero_are_quoted(spark, tmp_path, name):
     pq.write_table(pa.table({"event_id": pa.array(range(n), pa.int64()), "ts": pa.array(at, pa.timestamp("us")), "user_id": pa.array([1] * n, pa.int64()), "event_type": kind, "value": value}), tmp_path / "events.parquet")
     found, wanted = compared(spark, tmp_path, name)
     assert found == wanted
+
+
+def test_first_touch_keeps_no_rows_sorted(spark):
+    """Bars that are met fold into one long a decision, in a hash map."""
+    from tidemark.operators import outcomes
+
+    bars = spark.createDataFrame([("S", datetime.datetime(2024, 1, 1, h), 10.0 + h, 5.0 - h, 8.0) for h in range(6)], "symbol string, event_time timestamp, high double, low double, close double")
+    kinds = "symbol string, event_time timestamp, side int, entry double, stop double, target double"
+    at = datetime.datetime(2024, 1, 1)
+    decisions = spark.createDataFrame([("S", at, 1, 8.0, 3.0, 99.0), ("S", at, 1, 8.0, -99.0, 12.0), ("S", at, -1, 8.0, 12.0, 3.0), ("S", at, 1, 8.0, -99.0, 99.0), ("S", at, 1, 8.0, None, 99.0), ("S", at, 1, 8.0, None, 12.0)], kinds)
+    touched = outcomes.first_touch(bars, decisions, 4)
+    found = {(r["side"], r["stop"], r["target"]): (r["r"], r["ambiguous"], r["bars_to_touch"]) for r in touched.collect()}
+    assert found == {(1, 3.0, 99.0): (-1.0, False, 2), (1, -99.0, 12.0): (4.0 / 107.0, False, 2), (-1, 12.0, 3.0): (None, True, 2), (1, -99.0, 99.0): (None, None, None), (1, None, 99.0): (None, None, None), (1, None, 12.0): (None, None, 2)}
+    assert "SortAggregate" not in touched._jdf.queryExecution().executedPlan().toString()

@@ -75,8 +75,12 @@ def first_touch(bars: DataFrame, decisions: DataFrame, horizon: int = 120, bucke
     long, ahead = F.col("side") > 0, (F.col("_j") > F.col("_at")) & (F.col("_j") <= F.col("_at") + horizon)
     stop = F.when(long, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop"))
     target = F.when(long, F.col("high") >= F.col("target")).otherwise(F.col("low") <= F.col("target"))
-    first = F.min(F.when(ahead & (stop | target), F.struct("_j", stop.alias("_s"), target.alias("_t")))).alias("_f")
-    found = met.groupBy(*key, "_at", "_copies").agg(first)
+    # Number and touches as one long: its least is kept in a hash map as bars are met, where a struct's would need them all sorted.
+    code = lambda c: F.when(c, 1).when(~c, 0).otherwise(2)
+    touch = F.col("_j") * 16 + code(stop) * 4 + code(target)
+    found = met.groupBy(*key, "_at", "_copies").agg(F.min(F.when(ahead & (stop | target), touch)).alias("_m"))
+    known = lambda at: F.when(F.shiftright("_m", at).bitwiseAND(3) < 2, F.shiftright("_m", at).bitwiseAND(3) == 1)
+    found = found.withColumn("_f", F.struct(F.shiftright("_m", 4).alias("_j"), known(2).alias("_s"), known(0).alias("_t")))
     r = F.when(F.col("_f._s") & F.col("_f._t"), F.lit(None)).when(F.col("_f._s"), -1.0).when(F.col("_f._t"), F.abs(F.col("target") - F.col("entry")) / F.abs(F.col("entry") - F.col("stop")))
     each = found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return each.select(*key, r.cast("double").alias("r"), (F.col("_f._s") & F.col("_f._t")).alias("ambiguous"), (F.col("_f._j") - F.col("_at")).alias("bars_to_touch"))
