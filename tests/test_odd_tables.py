@@ -46,3 +46,16 @@ def test_first_touch_keeps_no_rows_sorted(spark):
     found = {(r["side"], r["stop"], r["target"]): (r["r"], r["ambiguous"], r["bars_to_touch"]) for r in touched.collect()}
     assert found == {(1, 3.0, 99.0): (-1.0, False, 2), (1, -99.0, 12.0): (4.0 / 107.0, False, 2), (-1, 12.0, 3.0): (None, True, 2), (1, -99.0, 99.0): (None, None, None), (1, None, 99.0): (None, None, None), (1, None, 12.0): (None, None, 2)}
     assert "SortAggregate" not in touched._jdf.queryExecution().executedPlan().toString()
+
+
+def test_replayed_pieces_are_batches_of_several_files(spark):
+    from tidemark.plans.streams import replayed
+    from tidemark.sources.shared import fresh_folder
+    from tidemark.streaming import record
+
+    begin = datetime.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(k, begin + datetime.timedelta(minutes=m)) for k, m in enumerate([*range(40), 100, *range(200, 240)])], "k long, event_time timestamp")
+    batches = {}
+    record.run(replayed(spark, rows, "few-rows", 3, file_rows=9), lambda batch, n: batches.update({n: (sorted(r["k"] for r in batch.collect()), batch.select(F.input_file_name()).distinct().collect())}), fresh_folder(spark, "few-rows-state"))
+    assert {n: ks for n, (ks, _) in batches.items()} == {0: list(range(40)), 1: [40], 2: list(range(41, 81))}
+    assert all(len(files) > 1 for n, (_, files) in batches.items() if n != 1)

@@ -19,15 +19,25 @@ def stream_ingest(spark, sf_dir):
     return rounded(ingest.streamed_bars(spark, sf_dir), "open", "high", "low", "close")
 
 
-def replayed(spark, rows, name: str, pieces: int, time: str = "event_time", like=None):
-    """``rows`` as a stream of one file a batch, in ``pieces`` of equal spans of time, the earliest first; the spans are those of ``like`` where it is given."""
+#: Rows of one file of a replayed stream, about.
+FILE_ROWS = 1 << 19
+
+
+def replayed(spark, rows, name: str, pieces: int, time: str = "event_time", like=None, file_rows: int = FILE_ROWS):
+    """``rows`` as a stream of one piece a batch, in ``pieces`` of equal spans of time, the earliest first; the spans are those of ``like`` where it is given.
+
+    All pieces have the same number of files, which grows with the rows, so that no task writes or reads a whole piece.
+    """
     rows = stores.stored(rows, f"{name}-rows")
     lo, hi = (rows if like is None else like).agg(F.min(F.unix_timestamp(time)), F.max(F.unix_timestamp(time))).first()
     folder, size = fresh_folder(spark, name), max(1, -(-(((hi or 0) - (lo or 0)) + 1) // pieces))
     piece = F.floor((F.unix_timestamp(time) - F.lit(lo or 0)) / size)
+    files = max(1, -(-rows.count() // (pieces * file_rows)))
     for k in range(pieces):  # one after another: the file source takes them by age
-        rows.where(piece == k).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        rows.where(piece == k).repartition(files).write.mode("append").parquet(folder)
+        while len(spark.read.schema(rows.schema).parquet(folder).inputFiles()) < (k + 1) * files:  # a piece of few rows fills fewer
+            rows.limit(0).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 HORIZON = 24

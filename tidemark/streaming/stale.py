@@ -24,8 +24,8 @@ class Silence(StatefulProcessor):
         self.last = handle.getValueState("last", "at long, reported boolean")
 
     def rows(self, symbol: str, last: list[int]) -> pd.DataFrame:
-        when = lambda values: pd.to_datetime(pd.Series(values, dtype="int64"), unit="ms")
-        return pd.DataFrame({"symbol": pd.Series([symbol] * len(last), dtype="object"), "last_seen": when(last), "stale_at": when([t + self.patience for t in last])})
+        seen = np.array(last, "int64")
+        return pd.DataFrame({"symbol": np.array([symbol] * len(last), "object"), "last_seen": seen.astype("datetime64[ms]"), "stale_at": (seen + self.patience).astype("datetime64[ms]")})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         times = np.unique(np.concatenate([frame["at"].to_numpy() for frame in rows]))
@@ -36,11 +36,12 @@ class Silence(StatefulProcessor):
         if reported and silent and silent[0] == at:
             silent = silent[1:]
         if at is None or len(times) > 1:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+            if at is not None and not reported:  # else it has none
+                self.handle.deleteTimer(at + self.patience)
             self.last.update((int(times[-1]), False))
             self.handle.registerTimer(int(times[-1]) + self.patience)
-        yield self.rows(key[0], silent)
+        if silent:
+            yield self.rows(key[0], silent)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at, _ = self.last.get()
