@@ -1,6 +1,7 @@
 """The tagger reads every character, and its fast form says what the plain one does."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidemark.llm import personal, tagger
 
@@ -62,3 +63,66 @@ def test_training_sees_text_without_cues():
     plain = personal.plain_windows(text, 5)
     assert len(plain) == 5 and not any(any(t) for _, t in plain)
     assert len(personal.training_windows(text)) > len(personal.sampled_windows(text))
+
+
+def test_spans_do_not_depend_on_the_texts_read_beside(monkeypatch):
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(personal, "_plausible", lambda kind, piece: True)
+    model = {k: v * 2 for k, v in tagger.new_model(personal.N_TAGS).items()}
+    model["trans"][0, 0] += 1
+    texts = ["".join(rng.choice(list("abcdef gh.@=XY0123456789"), n)) for n in (9, 40, 41, 90, 200, 511, 512, 513, 700, 1500)]
+    together = personal.added_spans(model, texts, [{} for _ in texts])
+    assert together == [personal.added_spans(model, [t], [{}])[0] for t in texts]
+    assert sum(map(bool, together)) >= 8
+
+
+def test_padded_windows_are_decoded_as_the_plain_ones():
+    rng = np.random.default_rng(9)
+    decoded = 0
+    for bias in (2.0, 6.0, 9.0):  # the more, the fewer stretches are open
+        model = {k: v * 2 for k, v in tagger.new_model(5).items()}
+        model["bias"] = np.array([bias, 0, 0, 0, 0], np.float32)
+        lengths = [1, 2, 17, 49, 50, 50, 64]
+        chars = np.full((len(lengths), 64), tagger.PAD, np.uint8)
+        for row, n in zip(chars, lengths, strict=True):
+            row[:n] = rng.integers(1, tagger.N_CLASSES, n)
+        scores, tags = tagger.emissions(model, chars), tagger.viterbi(model, chars)
+        for k, n in enumerate(lengths):
+            x = model["embed"][chars[k : k + 1, :n].T]
+            plain = (np.concatenate([tagger._lstm(model, d, x, None) for d in "fb"], axis=2) @ model["out"] + model["bias"])[:, 0]
+            np.testing.assert_allclose(scores[:n, :, k], plain, atol=1e-4)
+            score, back = plain[0].astype(np.float64) + model["begin"], []
+            for e in plain[1:]:
+                step = score[:, None] + model["trans"]
+                back.append(step.argmax(axis=0))
+                score = step.max(axis=0) + e
+            best = [int(score.argmax())]
+            for b in reversed(back):
+                best.append(int(b[best[-1]]))
+            assert tags[k].tolist() == best[::-1] + [0] * (64 - n)
+            decoded += 0 < np.count_nonzero(tags[k]) < n
+    assert decoded >= 3
+
+
+def test_few_characters_are_read_twice_or_padded(monkeypatch):
+    read = []
+
+    def seen(model, chars):
+        read.append(chars.size)
+        return np.zeros(chars.shape, np.uint8)
+
+    monkeypatch.setattr(tagger, "viterbi", seen)
+    texts = ["x" * n for n in range(200, 5000, 4)]
+    personal.added_spans({}, texts, [{} for _ in texts])
+    assert sum(map(len, texts)) < sum(read) < 1.12 * sum(map(len, texts))
+
+
+def test_the_sample_is_that_of_all_texts_with_cues(spark, monkeypatch):
+    rows = [(k if k % 50 else None, "password=abcdefgh" if k % 7 == 0 else "just words of a text") for k in range(3000)] + [(14, "1"), (21, "2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = docs.where(F.col("text").rlike(personal._CUES_SQL)).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").collect()
+    for first in (0.5, 2, 16):  # several rounds, some, one
+        monkeypatch.setattr(personal, "FIRST_TRIED", first)
+        for most in (1, 30, 300, 1000):
+            assert personal._picked(docs, most) == sorted({r["doc_id"] for r in order[:most]} - {None})
+    assert personal._picked(docs.where("doc_id % 7 <> 0"), 5) == []

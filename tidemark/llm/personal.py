@@ -32,14 +32,16 @@ BASE_KINDS = KINDS[:4]
 SEED_SECRETS = re.compile(r"\bAKIA[0-9A-Z]{16}\b|password=[^\s]+|token = \"[0-9a-f]+\"|\bsk-[A-Za-z0-9]{16,}|\bghp_[A-Za-z0-9]{20,}")
 #: Bounds of the training sample: documents, windows of 64 characters of one document, and windows in all.
 SAMPLE_DOCS, DOC_WINDOWS, SAMPLE_WINDOWS = 1500, 64, 4000
+#: Texts searched at first for cues, for each document of the sample.
+FIRST_TRIED = 16
 #: Characters kept on each side of a cue and between training windows; least length of an added span.
 MARGIN, STRIDE, LEAST_SPAN = 24, 32, 8
 #: Characters of a window that is read, and from one to the next.
-READ_LENGTH, READ_STRIDE = 256, 224
+READ_LENGTH, READ_STRIDE = 512, 480
 N_TAGS = 1 + 2 * len(KINDS)
 WINDOW_BATCH = 512
-#: Text bytes whose windows' votes are held at once (a longer text is alone).
-SLICE_BYTES = 1 << 20
+#: Text bytes whose windows are read together (a longer text is alone).
+SLICE_BYTES = 4 << 20
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -178,6 +180,22 @@ def training_windows(text: str) -> list[tuple[bytes, bytes]]:
     return found + plain_windows(text, -(-len(found) // 4))
 
 
+def _picked(source: DataFrame, most: int) -> list:
+    """Ids of the ``most`` rows with cues that have the smallest id hashes.
+
+    Only as many rows are searched for cues as it takes: those with the smallest
+    hashes, ``FIRST_TRIED`` for each wanted, then eight times as many, until enough
+    have cues or all were searched.
+    """
+    h, share = F.xxhash64("doc_id"), FIRST_TRIED * most / max(1, source.count())
+    while True:
+        tried = source if share >= 1 else source.where(h < int(share * 2**64) - 2**63)
+        found = tried.where(F.col("text").rlike(_CUES_SQL)).select("doc_id", h.alias("h")).orderBy("h", "doc_id").limit(most).collect()
+        if len(found) >= most or share >= 1:
+            return sorted({r["doc_id"] for r in found if r["doc_id"] is not None})
+        share *= 8
+
+
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> dict[str, np.ndarray] | None:
     """Train on a bounded sample: the ``sample_docs`` texts with cues that have the smallest id hashes,
     with ``DOC_WINDOWS`` windows around cues of each at most, and a quarter as many without.
@@ -185,8 +203,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = S
     Returns None if no text holds a cue.
     """
     source = texts(docs, "doc_id")
-    order = F.xxhash64("doc_id")
-    picked = source.where(F.col("text").rlike(_CUES_SQL)).select("doc_id", order.alias("h")).orderBy("h", "doc_id").limit(sample_docs).select("doc_id").distinct()
+    picked = docs.sparkSession.createDataFrame([(k,) for k in _picked(source, sample_docs)], source.select("doc_id").schema)
 
     def run(batches):
         for batch in batches:
@@ -241,21 +258,18 @@ def added_spans(model, rows: list[str], base: list[dict]) -> list[list[tuple[str
     places = [(row, at) for row, text in enumerate(rows) if text for at in windows(0, len(text), READ_LENGTH, READ_STRIDE)]
     places.sort(key=lambda p: min(READ_LENGTH, len(rows[p[0]]) - p[1]))  # windows of about one length are read together
     tags = [np.zeros(len(text), np.uint8) for text in rows]
-    depth = [np.full(len(text), -1, np.int32) for text in rows]
+    edge = (READ_LENGTH - READ_STRIDE) // 2
     for first in range(0, len(places), WINDOW_BATCH):
         batch = places[first : first + WINDOW_BATCH]
-        stack = np.zeros((len(batch), min(READ_LENGTH, len(rows[batch[-1][0]]) - batch[-1][1])), np.uint8)
+        stack = np.full((len(batch), min(READ_LENGTH, len(rows[batch[-1][0]]) - batch[-1][1])), tagger.PAD, np.uint8)
         for k, (row, at) in enumerate(batch):
             piece = chars[row][at : at + READ_LENGTH]
             stack[k, : len(piece)] = piece
-        for (row, at), found in zip(batch, tagger.viterbi(model, stack), strict=True):
-            end = len(rows[row])
-            n = min(READ_LENGTH, end - at)
-            inner = np.minimum(np.arange(n) + (10**6 if at == 0 else 0), np.arange(n)[::-1] + (10**6 if at + n == end else 0))
-            here = slice(at, at + n)
-            better = inner > depth[row][here]
-            tags[row][here] = np.where(better, found[:n], tags[row][here])
-            depth[row][here] = np.where(better, inner, depth[row][here])
+        found = tagger.viterbi(model, stack)
+        for k in np.flatnonzero(found.any(axis=1)):
+            row, at = batch[k]
+            a, b = at + edge if at else 0, at + READ_LENGTH - edge if at + READ_LENGTH < len(rows[row]) else len(rows[row])
+            tags[row][a:b] = found[k, a - at : b - at]
     for row, text in enumerate(rows):
         if not tags[row].any():
             continue

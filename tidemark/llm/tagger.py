@@ -12,8 +12,10 @@ import numpy as np
 LENGTH, EMBED, HIDDEN = 64, 10, 16
 _SINGLE = "abcdefghijklmnopqrstuvwxyz@.-+()=\"':_%/,"
 _CLASSES = {c: i + 1 for i, c in enumerate(_SINGLE)}
-#: Class 0 is padding; then the characters above, digit, upper case, space, line break, other.
+#: Class 0 pads training windows; then the characters above, digit, upper case, space, line break, other.
 N_CLASSES = len(_SINGLE) + 6
+#: Pads a window that is read, at its end: no class.
+PAD = 255
 _DIGIT, _UPPER, _BLANK, _BREAK, _OTHER = range(len(_SINGLE) + 1, len(_SINGLE) + 6)
 _TABLE = np.full(128, _OTHER, np.uint8)
 for _c, _i in _CLASSES.items():
@@ -94,58 +96,113 @@ def emissions(m, chars) -> np.ndarray:
     """Tag scores (T, K, B) of windows (B, T).
 
     Both directions go step by step together: the backward one reads the windows
-    from their end.
+    from their end, and no state comes out of ``PAD`` there, so it changes no score
+    before it.  One product gives a step's gates and the scores of the step before
+    it, hence one step more than characters.  Of each part of z half its ``_squash``
+    is taken, x * (1/18 + (4/3) / (3 + x * x)), so cells are halves too; of these it
+    is taken whole, x * (2/9 + (4/3) / (3/4 + x * x)).
     """
     n, length = chars.shape
-    w = np.stack([_HALF[:, None] * np.vstack([m["w" + d], m["c" + d]]).T for d in "fb"]).astype(np.float32)
-    x = np.take(m["embed"].T.astype(np.float32), chars.T, axis=1)  # (E, T, B)
+    n_gates, n_tags = 4 * HIDDEN, len(m["bias"])
+    w = np.zeros((2, n_gates + n_tags, EMBED + HIDDEN + 1), np.float32)
+    for d, side in zip("fb", w, strict=True):
+        side[:n_gates] = _HALF[:, None] * np.vstack([m["w" + d], m["c" + d]]).T
+    w[:, n_gates:, EMBED:-1] = m["out"].reshape(2, HIDDEN, n_tags).transpose(0, 2, 1)
+    w[0, n_gates:, -1] = m["bias"]
+    x = np.take(m["embed"].T.astype(np.float32), chars.T, axis=1, mode="clip")  # (E, T, B)
     given = np.ones((2, EMBED + HIDDEN + 1, n), np.float32)  # embedding, state and one
     state = given[:, EMBED:-1]
     state[:] = 0
-    c, z = np.zeros((2, HIDDEN, n), np.float32), np.empty((2, 4 * HIDDEN, n), np.float32)
-    gates, (i, f, o, g) = z[:, : 3 * HIDDEN], (z[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
-    u = np.empty_like(c)
-    out = m["out"].reshape(2, HIDDEN, -1).transpose(0, 2, 1).astype(np.float32)
-    scores = np.empty((length, out.shape[1], n), np.float32)
-    scores[:] = m["bias"].astype(np.float32)[:, None]
-    for t in range(length):
-        given[0, :EMBED], given[1, :EMBED] = x[:, t], x[:, -1 - t]
+    z, q = np.empty((2, n_gates + n_tags, n), np.float32), np.empty((2, n_gates, n), np.float32)
+    every, gates, (i, f, o, g) = z[:, :n_gates], z[:, : 3 * HIDDEN], (z[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+    c, u, v = np.zeros((3, 2, HIDDEN, n), np.float32)
+    scores = np.zeros((length, n_tags, n), np.float32)
+    held = (chars.T != PAD).astype(np.float32)
+    padded = (held.min(axis=1) == 0).tolist()
+    for t in range(length + 1):
+        if t < length:
+            given[0, :EMBED], given[1, :EMBED] = x[:, t], x[:, -1 - t]
         np.matmul(w, given, out=z)
-        _squash(z, out=z)
-        gates *= 0.5
+        if t > 0:
+            scores[t - 1] += z[0, n_gates:]
+            scores[-t] += z[1, n_gates:]
+        every.clip(-3, 3, out=every)
+        np.multiply(every, every, out=q)
+        q += 3
+        np.divide(4 / 3, q, out=q)
+        q += 1 / 18
+        every *= q
         gates += 0.5
         np.multiply(i, g, out=u)
-        np.multiply(f, c, out=c)
+        c *= f
         c += u
-        np.multiply(o, _squash(c), out=state)
-        e = out @ state
-        scores[t] += e[0]
-        scores[-1 - t] += e[1]
+        c.clip(-1.5, 1.5, out=u)
+        np.multiply(u, u, out=v)
+        v += 3 / 4
+        np.divide(4 / 3, v, out=v)
+        v += 2 / 9
+        u *= v
+        np.multiply(o, u, out=state)
+        if t < length and padded[-1 - t]:
+            state[1] *= held[-1 - t]
+            c[1] *= held[-1 - t]
     return scores
 
 
+def _open_stretches(e, trans, weak, n):
+    """Stretches (window, first, end) of scores (T, K, B) of windows of ``n`` characters outside which tag 0 is right,
+    with the character on each side.
+
+    Where tag 0 beats each other tag by more than the transitions from and to any
+    neighbours can bring, every best path has it; between two such characters, other
+    tags need a ``weak`` one.
+    """
+    gain = np.maximum(0, (trans - trans[:, :1]).max(axis=0)) + np.maximum(0, (trans - trans[:1]).max(axis=1))
+    free = weak | ((e[:, 1:] + (gain[1:, None] + 1e-3)).max(axis=1) >= e[:, 0])
+    free &= np.arange(len(e))[:, None] < n
+    edge = np.diff(np.pad(free.T.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (window, first), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    before = np.pad(np.cumsum(weak.T, axis=1), ((0, 0), (1, 0)))
+    held = before[window, end] > before[window, first]
+    return window[held], np.maximum(first[held] - 1, 0), np.minimum(end[held] + 1, n[window[held]])
+
+
 def viterbi(m, chars) -> np.ndarray:
-    """Best tags (B, T) of windows (B, T).
+    """Best tags (B, T) of windows (B, T), 0 for ``PAD`` at their ends.
 
     A window in which tag 0 beats all others at each character, by more than any
-    transitions can bring, is 0 throughout; the rest are decoded.
+    transitions can bring, is 0 throughout; of the rest, what may hold another tag is
+    decoded, stretches of about one length together.
     """
     e, trans = emissions(m, chars), m["trans"].astype(np.float32)
     e[0] += m["begin"].astype(np.float32)[:, None]
-    tags = np.zeros(chars.shape, np.int64)
+    tags = np.zeros(chars.shape, np.uint8)
     stay, away = trans[0, 0], trans[1:, 1:].max()
     gain = max(0.0, trans[0, 1:].max() - stay) + max(0.0, trans[1:, 0].max() - stay) + max(0.0, away - stay)
-    unsure = np.flatnonzero(((e[:, 1:].max(axis=1) - e[:, 0]).max(axis=0)) >= -gain)
+    n_chars = (chars != PAD).sum(axis=1)
+    weak = (e[:, 1:].max(axis=1) - e[:, 0] >= -gain) & (np.arange(len(e))[:, None] < n_chars)
+    unsure = np.flatnonzero(weak.any(axis=0))
     if not len(unsure):
         return tags
     e = e[:, :, unsure]
-    for t in range(1, len(e)):  # the best score that ends in each tag takes the place of its emission
-        e[t] += (e[t - 1][:, None] + trans[:, :, None]).max(axis=0)
-    best = e[-1].argmax(axis=0)
-    tags[unsure, -1] = best
-    for t in range(len(e) - 1, 0, -1):
-        best = (e[t - 1] + trans[:, best]).argmax(axis=0)
-        tags[unsure, t - 1] = best
+    window, first, end = _open_stretches(e, trans, weak[:, unsure], n_chars[unsure])
+    order = np.argsort(first - end, kind="stable")
+    window, first, length = window[order], first[order], (end - first)[order]
+    done = 0
+    while done < len(order):
+        longest = int(length[done])
+        here = slice(done, done + max(1, chars.size // longest))
+        w, a, n = window[here], first[here], length[here]
+        at = np.minimum(a + np.arange(longest)[:, None], len(e) - 1)
+        best = np.ascontiguousarray(e[at, :, w].transpose(0, 2, 1))
+        for t in range(1, longest):  # the best score that ends in each tag takes the place of its emission
+            best[t] += (best[t - 1][:, None] + trans[:, :, None]).max(axis=0)
+        tag = np.zeros(len(w), np.int64)
+        for t in range(longest - 1, -1, -1):
+            tag = (best[t] + np.where(t < n - 1, trans[:, tag], 0)).argmax(axis=0)
+            live = np.count_nonzero(n > t)
+            tags[unsure[w[:live]], a[:live] + t] = tag[:live]
+        done = here.stop
     return tags
 
 
