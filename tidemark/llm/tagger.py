@@ -191,7 +191,7 @@ def viterbi(m, chars) -> np.ndarray:
     done = 0
     while done < len(order):
         longest = int(length[done])
-        here = slice(done, done + max(1, chars.size // longest))
+        here = slice(done, done + max(1, chars.size // (len(trans) * longest)))
         w, a, n = window[here], first[here], length[here]
         at = np.minimum(a + np.arange(longest)[:, None], len(e) - 1)
         best = np.ascontiguousarray(e[at, :, w].transpose(0, 2, 1))
