@@ -115,28 +115,31 @@ def spread_join(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame, by:
     return dealt.join(beside, [key, "_salt"], how).drop("_salt")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every id with a link (u, v) has no other one, and its v has none."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("up")), F.struct(F.col("v").alias("id"), F.lit(0).alias("up")))))
+    each = ends.groupBy("id").agg(F.sum("up").alias("n"), F.min("up").alias("least"))
+    return not each.agg(F.count_if((F.col("n") > 1) | (F.col("n") == 1) & (F.col("least") == 0))).first()[0]
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of links (a, b): rows (id, component), the smallest id reachable.
 
-    Alternating large-star and small-star rounds; each is one aggregation and
-    one join, written to the shared folder.  Nothing is gathered on the driver
-    but two sums that tell whether a round changed the links.
+    Alternating large-star and small-star rounds, as many as it takes until the
+    links are stars; each is two aggregations and two joins, written to the
+    shared folder.  Nothing is gathered on the driver but the number of ids that
+    are no part of a star.
     """
-    spark = edges.sparkSession
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
     for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        if _stars(edges):
+            break
+        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
+        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         edges = stored(small, "links")
-        after = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003)).first()
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError("components did not settle")
     # Settled links are stars: every u points at the smallest id of its component.

@@ -33,6 +33,8 @@ LEADER_ROUNDS = 2
 #: Standard errors below the threshold at which the estimate still asks for the full sets.
 SIGMAS = 5.0
 ATTEMPTS = 48
+#: What follows from a set alone, so that its class has it from any row.
+OF_A_SET = ("n_shingles", "bands", "sketch")
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _BORROW = _rng.integers(0, REGISTERS, (ATTEMPTS, REGISTERS))
@@ -230,9 +232,9 @@ def _open(members: DataFrame, known: DataFrame | None, seed: int) -> DataFrame:
     ``known`` components each class is its own.
     """
     if known is None:
-        rows = members.withColumn("component", F.col("cid"))
+        rows = members.select("bucket", "cid", F.col("cid").alias("component"))
     else:
-        rows = members.join(known, members["cid"] == known["id"], "left").select("bucket", "cid", F.coalesce("component", "cid").alias("component"))
+        rows = members.select("bucket", "cid").join(known, F.col("cid") == known["id"], "left").select("bucket", "cid", F.coalesce("component", "cid").alias("component"))
     sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max_by("component", F.struct("n", F.xxhash64("component", F.lit(seed)))).alias("main")).where("k > 1").select("bucket", "main")
     return stored(rows.join(main, "bucket").select("bucket", "cid", "component", (F.col("component") != F.col("main")).alias("minor")), "open")
@@ -279,17 +281,17 @@ def _block_links(rows: DataFrame, payload: DataFrame, threshold: int) -> DataFra
 
 
 def _classes(filled: DataFrame) -> DataFrame:
-    """(digest, doc_id, text_key, cid, n) of each distinct set: one row that has it, the name it goes by, and its rows.
+    """(digest, doc_id, text_key, cid, n, and what equal sets share) of each distinct set: one row that has it, the name it goes by, and its rows.
 
     The name is the row's doc_id in eight bytes, followed by the text's hash
     where several classes would have the same: a doc_id that repeats with
     different texts is in several classes.
     """
-    first = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("_r"), F.count(F.lit(1)).alias("n")).select("digest", "_r.doc_id", "_r.text_key", "n")
+    first = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("_r"), F.count(F.lit(1)).alias("n"), *[F.any_value(c).alias(c) for c in OF_A_SET]).select("digest", "_r.doc_id", "_r.text_key", "n", *OF_A_SET)
     shared = first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     eight = lambda c: F.lpad(F.hex(c), 16, "0")
     name = F.concat(eight("doc_id"), F.when(F.col("_n").isNotNull(), eight("text_key")).otherwise(""))
-    return first.join(shared, "doc_id", "left").select("digest", "doc_id", "text_key", F.unhex(name).alias("cid"), "n")
+    return first.join(shared, "doc_id", "left").select("digest", "doc_id", "text_key", F.unhex(name).alias("cid"), "n", *OF_A_SET)
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
@@ -314,22 +316,23 @@ def _grouped(docs: DataFrame, threshold: int) -> DataFrame:
     filled = parts.where("digest is not null and doc_id is not null")
     classes = stored(_classes(filled), "classes")
     row = ["doc_id", "text_key"]
-    reps = filled.join(classes.select(*row, "cid"), row).dropDuplicates(["cid"])
-    buckets = reps.select("cid", F.explode("bands").alias("bucket"))
+    buckets = classes.select("cid", F.explode(F.array_distinct("bands")).alias("bucket"))
     # Buckets with the same members would repeat the same comparisons: one of them is enough.
     member = F.xxhash64("cid")
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(member).alias("x"), F.sum(member.bitwiseAND((1 << 40) - 1)).alias("s")).where("n > 1")
     chosen = sizes.groupBy("n", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket")
-    members = stored(buckets.join(chosen, "bucket", "left_semi").distinct(), "members")
+    members = stored(buckets.join(chosen, "bucket", "left_semi"), "members")
     needed = members.select("cid").distinct()
-    rows = reps.select("cid", *row, "n_shingles", "sketch").join(needed, "cid", "left_semi")
+    rows = classes.select("cid", *row, "n_shingles", "sketch").join(needed, "cid", "left_semi")
     # One plan at every size: the needed ids grow with the corpus, so they are never broadcast.
     payload = stored(source.join(rows.hint("merge"), row).dropDuplicates(["cid"]).select("cid", "n_shingles", "sketch", "text"), "payload")
     # Leaders join most of a group in few comparisons; the rest meets in blocks, so that every candidate pair of two components is tested.
-    known = None
+    # A bucket of one component stays so: each step reads only those that the last left open.
+    known, rest = None, members
     for seed in range(LEADER_ROUNDS):
-        known = _joined(known, _leader_links(_open(members, known, seed), payload, threshold, seed))
-    known = _joined(known, _block_links(_open(members, known, LEADER_ROUNDS), payload, threshold))
+        rest = _open(rest, known, seed)
+        known = _joined(known, _leader_links(rest, payload, threshold, seed))
+    known = _joined(known, _block_links(_open(rest, known, LEADER_ROUNDS), payload, threshold))
     first = F.struct("doc_id", "text_key")
     linked = classes.join(known, classes["cid"] == known["id"]).select("digest", first.alias("own"), "component")
     least = linked.groupBy("component").agg(F.min("own").alias("first"))
